@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +25,19 @@ def approx_sigmoid(z: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), z + F.lit(0.5)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where lambdas repeat it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(z: Column) -> Column:
     """Softmax over an array column, shifted by its maximum."""
-    shifted = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(shifted, lambda v: v / total)
+    parts = _bound(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top)))
+
+    def normed(e: Column) -> Column:
+        return _bound(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(e, lambda v: v / total))
+
+    return _bound(parts, normed)
 
 
 def activation(objective: str, z: Column) -> Column:

@@ -202,7 +202,9 @@ def hash_to_group(id: Column) -> Column:
 def blind(token: Column, secret: int) -> Column:
     """Raise group elements to a party's secret. Blinding by two parties commutes.
 
-    The secret travels in the function's closure and is not part of the plan.
+    The secret travels in the function's closure and is not part of the plan. The function
+    counts as non-deterministic only to keep the optimizer from moving a copy of it into the
+    join's null filter, which would do the costly work twice.
     """
 
     @F.pandas_udf("binary")
@@ -210,14 +212,16 @@ def blind(token: Column, secret: int) -> Column:
         power = lambda t: pow(_element(t), secret, MODP_2048).to_bytes(TOKEN_BYTES, "big")
         return tokens.map(power, na_action="ignore")
 
-    return raise_to_secret(token)
+    return raise_to_secret.asNondeterministic()(token)
 
 
 def _blinded_side(df: DataFrame, on: str, first: int, second: int, skew: str) -> DataFrame:
-    # An exponentiation costs milliseconds, a shuffled row microseconds: blind distinct ids only.
+    # An exponentiation costs milliseconds, a shuffled row microseconds: blind distinct ids only,
+    # and spread them by number, since a partitioning by id would be merged into the distinct and
+    # then into few tasks, as ids are small.
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ids = df.select(on).where(F.col(on).isNotNull()).distinct().repartition(tasks, on)
+    ids = df.select(on).where(F.col(on).isNotNull()).distinct().repartition(tasks)
     tokens = ids.select(on, blind(blind(hash_to_group(F.col(on)), first), second).alias("token"))
     return equi_join(df, tokens, on, skew).drop(on)
 

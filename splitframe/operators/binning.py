@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +16,13 @@ from .align import psi_join
 DEFAULT_K = 50
 EDGE_DECIMALS = 3
 
-SKETCH_ACCURACY = 10_000
-BUFFER_ROWS = 1_000_000
+APPROX_ACCURACY = 10_000
+# A sketch of this size errs by about 0.05 % of the rows; the slack around a rank is twice that.
+SKETCH_K = 8192
+SLACK = 0.001
+GRID = 500
 FETCH_ROWS = 100_000
-CASE_EDGES = 600
+COLUMNS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ def cut_probabilities(k: int) -> list[float]:
     return [(i + 1) / (k + 1) for i in range(k)]
 
 
-def quantile_edges(df: DataFrame, columns: list[str], k: int = DEFAULT_K, method: str = "exact", buffer_rows: int = BUFFER_ROWS) -> Edges:
+def quantile_edges(df: DataFrame, columns: list[str], k: int = DEFAULT_K, method: str = "exact") -> Edges:
     """Cut points at (i+1)/(k+1) of every column, linearly interpolated, three decimals.
 
     ``method="exact"`` is exact at any size, see :func:`exact_quantiles`. ``"approx"`` takes
@@ -59,10 +63,10 @@ def quantile_edges(df: DataFrame, columns: list[str], k: int = DEFAULT_K, method
         raise ValueError("k must be positive")
     probs = cut_probabilities(k)
     if method == "approx":
-        found = df.agg(*[F.percentile_approx(c, probs, SKETCH_ACCURACY).alias(c) for c in columns]).first()
+        found = df.agg(*[F.percentile_approx(c, probs, APPROX_ACCURACY).alias(c) for c in columns]).first()
         values = {c: found[c] for c in columns}
     elif method == "exact":
-        values = exact_quantiles(df, columns, probs, buffer_rows)
+        values = exact_quantiles(df, columns, probs)
     else:
         raise ValueError(f"unknown method {method!r}")
     missing = [c for c in columns if values[c] is None]
@@ -71,173 +75,177 @@ def quantile_edges(df: DataFrame, columns: list[str], k: int = DEFAULT_K, method
     return Edges({c: tuple(float(x) for x in np.round(values[c], EDGE_DECIMALS)) for c in columns})
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buffer_rows: int = BUFFER_ROWS) -> dict[str, list[float] | None]:
-    """Exact interpolated quantiles of many columns.
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], fetch_rows: int = FETCH_ROWS, sketch_k: int = SKETCH_K
+) -> dict[str, list[float] | None]:
+    """Exact interpolated quantiles of many columns; nulls and NaN do not count.
 
-    Up to ``buffer_rows`` values a column fits one aggregation buffer and Spark's own exact
-    percentile is used. Beyond that the wanted ranks are closed in on: a sketch proposes cut
-    values around them, one counting pass says exactly how many rows lie at and between the
-    cuts, and only the few values between the two cuts around a rank are looked at. Passes
-    read the columns and shuffle counts; nothing is sorted or gathered, and the sketch's
-    error affects the number of passes, never the result.
+    The wanted ranks are closed in on. A sketch proposes cut values around them, one counting
+    pass says exactly how many rows lie at and between the cuts, and only the few values
+    between the two cuts next to a rank are looked at; while those are still more than
+    ``fetch_rows``, their stretches are sketched and counted again. Passes (three, as a rule)
+    read the columns and shuffle counts. Nothing is sorted or gathered, and a sketch's error
+    affects the number of passes, never the result.
     """
-    names = {c: f"q{i}" for i, c in enumerate(columns)}
-    # Adding 0.0 turns -0.0 into 0.0, so that equal values have one form.
-    wide = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(names[c]) for c in columns])
-    sizes = wide.agg(*[F.count(n).alias(n) for n in names.values()]).first()
-    small = [n for n in names.values() if sizes[n] <= buffer_rows]
     out: dict[str, list[float] | None] = {}
-    if small:
-        found = wide.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in small]).first()
-        out = {n: found[n] for n in small}
-    large = {n: sizes[n] for n in names.values() if sizes[n] > buffer_rows}
-    if large:
-        out |= _narrow(wide, large, probs)
-    return {c: out[n] for c, n in names.items()}
-
-
-def _narrow(wide: DataFrame, sizes: dict[str, int], probs: list[float]) -> dict[str, list[float]]:
-    ranks: dict[str, set[int]] = {}
-    for n, rows in sizes.items():
-        places = [(rows - 1) * p for p in probs]
-        ranks[n] = {math.floor(h) for h in places} | {math.ceil(h) for h in places}
-    known: dict[str, dict[int, float]] = {n: {} for n in sizes}
-    # An open stretch is (low cut, high cut, rows up to and with low, rows inside).
-    stretches = {n: [(None, None, 0, rows)] for n, rows in sizes.items()}
-    cuts: dict[str, set[float]] = {n: set() for n in sizes}
-    while any(stretches.values()):
-        if sum(s[3] for per in stretches.values() for s in per) <= FETCH_ROWS:
-            _fetch(wide, stretches, ranks, known)
-            break
-        for n, found in _propose(wide, stretches, ranks).items():
-            cuts[n] |= found
-        stretches = _count(wide, cuts, ranks, known)
-    at = lambda n, h: known[n][math.floor(h)] + (known[n][math.ceil(h)] - known[n][math.floor(h)]) * (h - math.floor(h))
-    return {n: [at(n, (rows - 1) * p) for p in probs] for n, rows in sizes.items()}
-
-
-def _inside(column: str, stretch: tuple) -> Column:
-    low, high = stretch[:2]
-    ok = F.col(column).isNotNull()
-    if low is not None:
-        ok = ok & (F.col(column) > F.lit(low))
-    if high is not None:
-        ok = ok & (F.col(column) < F.lit(high))
-    return ok
-
-
-def _wanted(ranks: set[int], stretch: tuple) -> list[int]:
-    _, _, before, rows = stretch
-    return sorted(r for r in ranks if before <= r < before + rows)
-
-
-def _propose(wide: DataFrame, stretches: dict, ranks: dict) -> dict[str, set[float]]:
-    """New cut values around every wanted rank, from a sketch of the open stretches."""
-    asks, places = [], []
-    for n, per in stretches.items():
-        for s in per:
-            slack = max(2.0 / SKETCH_ACCURACY, 2.0 / s[3])
-            grid = {min(1.0, max(0.0, (r - s[2] + 0.5) / s[3] + d)) for r in _wanted(ranks[n], s) for d in (-slack, slack)}
-            value = F.when(_inside(n, s), F.col(n))
-            asks.append(F.percentile_approx(value, sorted(grid), SKETCH_ACCURACY).alias(f"a{len(asks)}"))
-            places.append(n)
-    found = wide.agg(*asks).first()
-    out: dict[str, set[float]] = {}
-    for n, values in zip(places, found):
-        out.setdefault(n, set()).update(values or ())
+    for start in range(0, len(columns), COLUMNS_AT_ONCE):
+        chunk = columns[start : start + COLUMNS_AT_ONCE]
+        out |= dict(zip(chunk, _quantiles(df, chunk, probs, fetch_rows, sketch_k)))
     return out
 
 
-def _count(wide: DataFrame, cuts: dict, ranks: dict, known: dict) -> dict[str, list[tuple]]:
-    """Count rows at and between cuts; note ranks that fall on a cut, return open stretches."""
-    ordered = {n: sorted(c) for n, c in cuts.items()}
-    # Segment 2m lies below cut m (and above cut m - 1), segment 2m + 1 is cut m itself.
-    cells = [F.struct(F.lit(n).alias("name"), segment_of(n, ordered[n]).alias("seg")) for n in ordered]
-    counted = wide.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.name", "c.seg").count()
-    per: dict[str, dict[int, int]] = {n: {} for n in ordered}
-    for r in counted.where(F.col("seg").isNotNull()).collect():
-        per[r["name"]][r["seg"]] = r["count"]
-    open_: dict[str, list[tuple]] = {n: [] for n in ordered}
-    for n, values in ordered.items():
-        before = 0
-        for seg in range(2 * len(values) + 1):
-            rows = per[n].get(seg, 0)
-            cut = seg // 2
-            if seg % 2:
-                known[n].update({r: values[cut] for r in ranks[n] if before <= r < before + rows})
-            elif rows:
-                low = values[cut - 1] if cut else None
-                high = values[cut] if cut < len(values) else None
-                stretch = (low, high, before, rows)
-                if _wanted(ranks[n], stretch):
-                    open_[n].append(stretch)
-            before += rows
-    return open_
+def _quantiles(df: DataFrame, columns: list[str], probs: list[float], fetch_rows: int, sketch_k: int) -> list[list[float] | None]:
+    wide = df.select(*[_plain(F.col(c)).alias(f"q{i}") for i, c in enumerate(columns)])
+    around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
+    asks = []
+    for i in range(len(columns)):
+        sketch = F.expr(f"kll_sketch_agg_double(q{i}, {sketch_k})")
+        asks += [F.count(f"q{i}").alias(f"n{i}"), F.when(F.count(f"q{i}") > 0, _sketch_values(sketch, around)).alias(f"c{i}")]
+    seen = wide.agg(*asks).first()
+    found = [_Search(i, seen[f"n{i}"], probs, set(seen[f"c{i}"] or ())) for i in range(len(columns))]
+    _count(wide, found)
+    while any(s.open for s in found):
+        if sum(rows for s in found for _, _, rows in s.open) <= fetch_rows:
+            _fetch(wide, found)
+            break
+        _propose(wide, found, sketch_k)
+        _count(wide, found)
+    return [s.result() for s in found]
 
 
-def _fetch(wide: DataFrame, stretches: dict, ranks: dict, known: dict) -> None:
-    """Read the values of the open stretches, at most ``FETCH_ROWS`` of them in all."""
-    cells = [
-        F.when(_inside(n, s), F.struct(F.lit(n).alias("name"), F.lit(at).alias("at"), F.col(n).alias("value")))
-        for n, per in stretches.items()
-        for at, s in enumerate(per)
-    ]
-    values = wide.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.name", "c.at", "c.value").count()
-    runs: dict[tuple[str, int], list[tuple[float, int]]] = {}
-    for r in values.collect():
-        runs.setdefault((r["name"], r["at"]), []).append((r["value"], r["count"]))
-    for (n, at), run in runs.items():
-        stretch = stretches[n][at]
-        before = stretch[2]
-        wanted = _wanted(ranks[n], stretch)
-        for value, rows in sorted(run):
-            known[n].update({r: value for r in wanted if before <= r < before + rows})
-            before += rows
+def _plain(x: Column) -> Column:
+    """As double, NaN as null. Adding 0.0 turns -0.0 into 0.0, so equal values have one form."""
+    x = x.cast("double") + F.lit(0.0)
+    return F.when(~F.isnan(x), x)
 
 
-# --- labels ------------------------------------------------------------------------------------
+def _sketch_values(sketch: Column, fractions: list[float]) -> Column:
+    return F.call_function("kll_sketch_get_quantile_double", sketch, F.array(*map(F.lit, fractions)))
 
 
-def _number(x: float) -> str:
-    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{x}')"
+class _Search:
+    """Where the wanted ranks of one column may lie: cut values, and stretches between cuts.
 
+    Segment 2m lies between cut m - 1 and cut m, segment 2m + 1 is cut m itself.
+    """
 
-def _ladder(column: str, keys: list[float], results: list[int]) -> str:
-    """Nested CASE over sorted keys: ``results[m]`` if exactly m keys are below the value."""
-    if not keys:
-        return str(results[0])
-    mid = len(keys) // 2
-    low = _ladder(column, keys[:mid], results[: mid + 1])
-    high = _ladder(column, keys[mid + 1 :], results[mid + 1 :])
-    return f"CASE WHEN {column} <= {_number(keys[mid])} THEN {low} ELSE {high} END"
+    def __init__(self, index: int, rows: int, probs: list[float], cuts: set[float]):
+        self.index, self.rows, self.cuts = index, rows, cuts
+        self.places = [(rows - 1) * p for p in probs] if rows else []
+        self.wanted = {math.floor(h) for h in self.places} | {math.ceil(h) for h in self.places}
+        self.known: dict[int, float] = {}
+        # (segment, rows before it, rows in it)
+        self.open: list[tuple[int, int, int]] = []
+
+    def ranks(self, before: int, rows: int) -> list[int]:
+        return [r for r in self.wanted if before <= r < before + rows]
+
+    def counted(self, counts: dict[int, int]) -> None:
+        """Note ranks that fall on a cut; keep the stretches in which others lie."""
+        values, before, self.open = sorted(self.cuts), 0, []
+        for seg in sorted(counts):
+            rows = counts[seg]
+            if seg % 2:
+                self.known |= dict.fromkeys(self.ranks(before, rows), values[seg // 2])
+            elif self.ranks(before, rows):
+                self.open.append((seg, before, rows))
+            before += rows
 
+    def result(self) -> list[float] | None:
+        at = lambda h: self.known[math.floor(h)] + (self.known[math.ceil(h)] - self.known[math.floor(h)]) * (h - math.floor(h))
+        return [at(h) for h in self.places] if self.rows else None
 
-def count_below(column: str, cuts: list[float] | tuple[float, ...], compact: bool = False) -> Column:
-    """Number of cuts strictly below a value; null for null.
 
-    A binary search spelled as nested CASE stays in generated code. ``compact`` uses one array
-    literal instead, for column sets whose ladders would outgrow a compiled method.
-    """
-    name = f"`{column}`"
-    if compact:
-        below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(cuts)]), lambda e: e < F.col(column)))
-        return F.when(F.col(column).isNotNull(), below)
-    keys = sorted(set(cuts))
-    results = [sum(1 for c in cuts if c < key) for key in keys] + [len(cuts)]
-    return F.expr(f"CASE WHEN {name} IS NOT NULL THEN {_ladder(name, keys, results)} END")
+def _segments(wide: DataFrame, found: list[_Search]) -> DataFrame:
+    """Long table (col, seg, x) of all values."""
+    live = [s for s in found if s.cuts]
+    below = count_below(wide, {f"q{s.index}": sorted(s.cuts) for s in live}, "_lt")
+    both = count_below(below, {f"q{s.index}": sorted(s.cuts) for s in live}, "_le", or_equal=True)
+    cells = [
+        F.struct(
+            F.lit(s.index).alias("col"), (F.col(f"q{s.index}_lt") + F.col(f"q{s.index}_le")).alias("seg"), F.col(f"q{s.index}").alias("x")
+        )
+        for s in live
+    ]
+    return both.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("seg").isNotNull())
+
+
+def _count(wide: DataFrame, found: list[_Search]) -> None:
+    if not any(s.cuts for s in found):
+        return
+    counts: dict[int, dict[int, int]] = {}
+    for r in _segments(wide, found).groupBy("col", "seg").count().collect():
+        counts.setdefault(r["col"], {})[r["seg"]] = r["count"]
+    for s in found:
+        s.counted(counts.get(s.index, {}))
+
+
+def _open_values(wide: DataFrame, found: list[_Search]) -> DataFrame:
+    """Rows of the long table that lie in open stretches."""
+    keep = F.lit(False)
+    for s in found:
+        if s.open:
+            keep = keep | ((F.col("col") == s.index) & F.col("seg").isin([seg for seg, _, _ in s.open]))
+    return _segments(wide, [s for s in found if s.open]).where(keep)
+
+
+def _propose(wide: DataFrame, found: list[_Search], sketch_k: int) -> None:
+    """Add the grid values on both sides of every wanted rank, from a sketch per open stretch."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    sketches = _open_values(wide, found).groupBy("col", "seg").agg(F.expr(f"kll_sketch_agg_double(x, {sketch_k})").alias("s"))
+    for r in sketches.select("col", "seg", _sketch_values(F.col("s"), grid).alias("v")).collect():
+        search = found[r["col"]]
+        before, rows = next((b, n) for seg, b, n in search.open if seg == r["seg"])
+        for rank in search.ranks(before, rows):
+            at = (rank - before + 0.5) / rows * GRID
+            search.cuts |= {r["v"][max(0, math.floor(at) - 1)], r["v"][min(GRID, math.ceil(at) + 1)]}
+
+
+def _fetch(wide: DataFrame, found: list[_Search]) -> None:
+    """Read the values of the open stretches, which are counted to be few."""
+    runs: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for r in _open_values(wide, found).groupBy("col", "seg", "x").count().collect():
+        runs.setdefault((r["col"], r["seg"]), []).append((r["x"], r["count"]))
+    for s in found:
+        for seg, before, _ in s.open:
+            for value, rows in sorted(runs[s.index, seg]):
+                s.known |= dict.fromkeys(s.ranks(before, rows), value)
+                before += rows
 
 
-def segment_of(column: str, cuts: list[float]) -> Column:
-    """2m + 1 on cut m, 2m between cut m - 1 and cut m, for distinct sorted cuts."""
-    below = count_below(column, cuts, compact=len(cuts) > CASE_EDGES)
-    on_cut = F.col(column).isin([float(c) for c in cuts])
-    return F.lit(2) * below + on_cut.cast("int")
+# --- labels ------------------------------------------------------------------------------------
+
+
+def count_below(df: DataFrame, cuts: dict[str, list[float]], suffix: str, or_equal: bool = False) -> DataFrame:
+    """Add the number of cuts strictly below (``or_equal``: not above) each column's value.
+
+    The library's ``Bucketizer`` looks values up by binary search, for any number of cuts in
+    the same compiled code. Its buckets are closed on the left; closed on the right, as wanted
+    for "strictly below", they come from negated values and cuts. Null and NaN give null.
+    """
+    sign = (lambda x: x + 0.0) if or_equal else (lambda x: 0.0 - x)
+    names = list(cuts)
+    if not names:
+        return df
+    keys = {c: sorted({float(x) + 0.0 for x in cuts[c]}) for c in names}
+    bounds = [[-math.inf, *sorted(sign(x) for x in keys[c]), math.inf] for c in names]
+    inputs, outputs = [f"{c}{suffix}_in" for c in names], [f"{c}{suffix}_at" for c in names]
+    ready = df.withColumns({i: sign(_plain(F.col(c))) for i, c in zip(inputs, names)})
+    placed = Bucketizer(splitsArray=bounds, inputCols=inputs, outputCols=outputs, handleInvalid="keep").transform(ready)
+    found = {}
+    for c, at in zip(names, outputs):
+        place = F.col(at).cast("int")
+        distinct = place if or_equal else F.lit(len(keys[c])) - place
+        # Repeated cuts count as often as they occur.
+        upto = [sum(1 for x in cuts[c] if x <= key) for key in keys[c]]
+        repeated = len(keys[c]) < len(cuts[c])
+        found[c + suffix] = F.array(F.lit(0), *map(F.lit, upto))[distinct] if repeated else distinct
+    return placed.withColumns(found).drop(*inputs, *outputs)
 
 
 def bin_label(df: DataFrame, edges: Edges, suffix: str = "_bin") -> DataFrame:
-    """Add a label per feature: the smallest i with x <= edge i, else k. Null stays null."""
-    compact = sum(len(set(c)) for c in edges.cuts.values()) > CASE_EDGES
-    return df.withColumns({f + suffix: count_below(f, c, compact) for f, c in edges.cuts.items()})
+    """Add a label per feature: the smallest i with x <= edge i, else k. Missing stays null."""
+    return count_below(df, {f: list(c) for f, c in edges.cuts.items()}, suffix)
 
 
 def bin_edge_join(df: DataFrame, id: str, edges: Edges) -> DataFrame:

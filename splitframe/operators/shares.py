@@ -54,16 +54,20 @@ def psi_shares(
     return side("company"), side("partner")
 
 
-def share_reconstruct(first: DataFrame, second: DataFrame, columns: list[str] | None = None, row_id: str = ROW_ID) -> DataFrame:
-    """Add two share tables row by row."""
-    return share_add(first, second, columns, row_id)
+def share_reconstruct(
+    first: DataFrame, second: DataFrame, columns: list[str] | None = None, row_id: str = ROW_ID, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add two share tables row by row; public columns to ``keep`` are taken from the first."""
+    return share_add(first, second, columns, row_id, keep)
 
 
-def share_add(a: DataFrame, b: DataFrame, columns: list[str] | None = None, row_id: str = ROW_ID) -> DataFrame:
+def share_add(
+    a: DataFrame, b: DataFrame, columns: list[str] | None = None, row_id: str = ROW_ID, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Add two tables of one party's shares (row ids are unique, so no key is hot)."""
-    columns = columns or [c for c in a.columns if c != row_id]
+    columns = columns or [c for c in a.columns if c != row_id and c not in keep]
     joined = a.alias("a").join(b.select(row_id, *columns).alias("b"), row_id)
-    return joined.select(row_id, *[(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in columns])
+    return joined.select(row_id, *[f"a.{c}" for c in keep], *[(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in columns])
 
 
 def share_sub(a: DataFrame, b: DataFrame, columns: list[str] | None = None, row_id: str = ROW_ID) -> DataFrame:

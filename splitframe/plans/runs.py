@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators.align import psi_join
-from ..operators.binning import Edges, bin_label, long_bins, quantile_edges
+from ..operators.binning import Edges, bin_label, quantile_edges
 from ..operators.prep import find_label_party
 from ..operators.shares import ROW_ID, psi_shares, share_reconstruct
 from ..spec import LABEL, Party
@@ -59,13 +59,7 @@ def _aligned(company: DataFrame, partner: DataFrame, on: str, public: tuple[str,
 
         sink_shares(ours, theirs, opt.shares_to["company"], opt.shares_to["partner"])
         ours, theirs = scan_shares(company.sparkSession, opt.shares_to["company"], opt.shares_to["partner"])
-    return _revealed(ours, theirs, public), ours, theirs
-
-
-def _revealed(ours: DataFrame, theirs: DataFrame, public: tuple[str, ...]) -> DataFrame:
-    hidden = [c for c in ours.columns if c != ROW_ID and c not in public]
-    table = share_reconstruct(ours, theirs, hidden)
-    return table.join(ours.select(ROW_ID, *public), ROW_ID) if public else table
+    return share_reconstruct(ours, theirs, keep=public), ours, theirs
 
 
 def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(), validation: DataFrame | None = None) -> RunResult:
@@ -110,7 +104,7 @@ def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions()
     if options.bins_to:
         from ..sources.stores import sink_bins
 
-        sink_bins(long_bins(table, ROW_ID if options.through_shares else company.spec.id, features), options.bins_to)
+        sink_bins(table, ROW_ID if options.through_shares else company.spec.id, features, options.bins_to)
     model = boosting.gbt_fit(
         table,
         features,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import SHARE_DOMAIN
-from ..operators.binning import Edges
+from ..operators.binning import Edges, long_bins
 from ..operators.shares import ROW_ID
 from ..plans.boosting import GBTModel, TreeNode
 from ..plans.linear import LinearModel
@@ -54,18 +54,21 @@ def _write(df: DataFrame, path: str, format: str) -> None:
 # --- bins ----------------------------------------------------------------------------------------
 
 
-def sink_bins(bins: DataFrame, path: str) -> None:
-    """Write (row_id, feature, bin), a folder per feature.
+def sink_bins(df: DataFrame, id: str, features: list[str], path: str, suffix: str = "_bin") -> None:
+    """Write bin membership as the row id and one small integer column per feature.
 
-    Tasks keep their rows and write one file per feature each, so no feature is gathered.
+    Columns already let a reader take some features only, without a file per task and feature
+    and without repeating the id for every feature.
     """
-    bins.write.mode("overwrite").partitionBy("feature").parquet(path)
+    bins = [F.col(f + suffix).cast("smallint").alias(f + suffix) for f in features]
+    df.select(id, *bins).write.mode("overwrite").parquet(path)
 
 
-def scan_bins(spark: SparkSession, path: str, features: list[str] | None = None) -> DataFrame:
-    """Read bin membership; naming features skips the other folders."""
+def scan_bins(spark: SparkSession, path: str, id: str, features: list[str] | None = None, suffix: str = "_bin") -> DataFrame:
+    """Read bin membership as (id, feature, bin); naming features reads their columns only."""
     df = spark.read.parquet(path)
-    return df.where(F.col("feature").isin(features)) if features else df
+    features = features or [c.removesuffix(suffix) for c in df.columns if c != id]
+    return long_bins(df, id, features, suffix).select(id, "feature", F.col("bin").cast("int").alias("bin"))
 
 
 # --- models ----------------------------------------------------------------------------------------

@@ -82,18 +82,18 @@ def _(spark, sf):
 @query(
     "mat_compare",
     " union all ".join(
-        f"select '{op}' as op, * from ({_V} select i, j, cast(v {op} v * v as integer) as matrix, cast(v {op} 0.1E0 as integer) as number from e)"
+        f"select * from ({_V} select '{op}' as op, '{with_}' as operand, i, j, cast(v {op} {x} as integer) as v from e)"
         for op in ("<", ">", "<=", ">=")
+        for with_, x in (("matrix", "v * v"), ("number", "0.1E0"))
     ),
 )
 def _(spark, sf):
     e, sq = cells(spark, sf), _square(spark, sf)
     out = None
     for op in ("<", ">", "<=", ">="):
-        both = m.mat_compare(e, op, sq).withColumnRenamed("v", "matrix")
-        both = both.join(m.mat_compare(e, op, 0.1).withColumnRenamed("v", "number"), ["i", "j"])
-        both = both.select(F.lit(op).alias("op"), "i", "j", "matrix", "number")
-        out = both if out is None else out.unionByName(both)
+        for operand, x in (("matrix", sq), ("number", 0.1)):
+            one = m.mat_compare(e, op, x).select(F.lit(op).alias("op"), F.lit(operand).alias("operand"), "i", "j", "v")
+            out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import to_int_labels
 from ..operators.align import psi_join
-from ..operators.binning import bin_label, long_bins, quantile_edges
+from ..operators.binning import bin_label, quantile_edges
 from ..operators.shares import psi_shares, share_reconstruct
 from ..plans.boosting import gbt_fit
 from ..plans.linear import lr_fit
@@ -105,8 +105,8 @@ def _(spark, sf):
     path = _folder(spark)
     lines = table(spark, sf, "lineitem")
     edges = quantile_edges(lines, ["l_quantity"], 4)
-    sink_bins(long_bins(bin_label(lines, edges), "l_orderkey", ["l_quantity"]), path)
-    return scan_bins(spark, path, ["l_quantity"]).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    sink_bins(bin_label(lines, edges), "l_orderkey", ["l_quantity"], path)
+    return scan_bins(spark, path, "l_orderkey", ["l_quantity"]).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sink_scan_linear_model", LR_TWO_STEPS)
