@@ -159,8 +159,8 @@ class _Search:
 def _segments(wide: DataFrame, found: list[_Search]) -> DataFrame:
     """Long table (col, seg, x) of all values."""
     live = [s for s in found if s.cuts]
-    below = count_below(wide, {f"q{s.index}": sorted(s.cuts) for s in live}, "_lt")
-    both = count_below(below, {f"q{s.index}": sorted(s.cuts) for s in live}, "_le", or_equal=True)
+    asks = [(f"q{s.index}_{n}", f"q{s.index}", sorted(s.cuts), n == "le") for s in live for n in ("lt", "le")]
+    both = count_below(wide, asks)
     cells = [
         F.struct(
             F.lit(s.index).alias("col"), (F.col(f"q{s.index}_lt") + F.col(f"q{s.index}_le")).alias("seg"), F.col(f"q{s.index}").alias("x")
@@ -216,36 +216,36 @@ def _fetch(wide: DataFrame, found: list[_Search]) -> None:
 # --- labels ------------------------------------------------------------------------------------
 
 
-def count_below(df: DataFrame, cuts: dict[str, list[float]], suffix: str, or_equal: bool = False) -> DataFrame:
-    """Add the number of cuts strictly below (``or_equal``: not above) each column's value.
+def count_below(df: DataFrame, asks: list[tuple[str, str, list[float], bool]]) -> DataFrame:
+    """Add counts of cuts: (new column, column, cuts, whether cuts equal to the value count).
 
     The library's ``Bucketizer`` looks values up by binary search, for any number of cuts in
     the same compiled code. Its buckets are closed on the left; closed on the right, as wanted
     for "strictly below", they come from negated values and cuts. Null and NaN give null.
     """
-    sign = (lambda x: x + 0.0) if or_equal else (lambda x: 0.0 - x)
-    names = list(cuts)
-    if not names:
+    if not asks:
         return df
-    keys = {c: sorted({float(x) + 0.0 for x in cuts[c]}) for c in names}
-    bounds = [[-math.inf, *sorted(sign(x) for x in keys[c]), math.inf] for c in names]
-    inputs, outputs = [f"{c}{suffix}_in" for c in names], [f"{c}{suffix}_at" for c in names]
-    ready = df.withColumns({i: sign(_plain(F.col(c))) for i, c in zip(inputs, names)})
-    placed = Bucketizer(splitsArray=bounds, inputCols=inputs, outputCols=outputs, handleInvalid="keep").transform(ready)
-    found = {}
-    for c, at in zip(names, outputs):
-        place = F.col(at).cast("int")
-        distinct = place if or_equal else F.lit(len(keys[c])) - place
+    sign = lambda x, equal: x + 0.0 if equal else 0.0 - x
+    inputs, outputs, bounds, ready, found = [], [], [], {}, {}
+    for out, column, cuts, equal in asks:
+        keys = sorted({float(x) + 0.0 for x in cuts})
+        inputs.append(f"{out}_in")
+        outputs.append(f"{out}_at")
+        bounds.append([-math.inf, *sorted(sign(x, equal) for x in keys), math.inf])
+        ready[f"{out}_in"] = sign(_plain(F.col(column)), equal)
+        place = F.col(f"{out}_at").cast("int")
+        distinct = place if equal else F.lit(len(keys)) - place
         # Repeated cuts count as often as they occur.
-        upto = [sum(1 for x in cuts[c] if x <= key) for key in keys[c]]
-        repeated = len(keys[c]) < len(cuts[c])
-        found[c + suffix] = F.array(F.lit(0), *map(F.lit, upto))[distinct] if repeated else distinct
-    return placed.withColumns(found).drop(*inputs, *outputs)
+        upto = [sum(1 for x in cuts if x <= key) for key in keys]
+        found[out] = F.array(F.lit(0), *map(F.lit, upto))[distinct] if len(keys) < len(cuts) else distinct
+    search = Bucketizer(splitsArray=bounds, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
+    placed = search.transform(df.select("*", *[c.alias(n) for n, c in ready.items()]))
+    return placed.select(*df.columns, *[c.alias(n) for n, c in found.items()])
 
 
 def bin_label(df: DataFrame, edges: Edges, suffix: str = "_bin") -> DataFrame:
     """Add a label per feature: the smallest i with x <= edge i, else k. Missing stays null."""
-    return count_below(df, {f: list(c) for f, c in edges.cuts.items()}, suffix)
+    return count_below(df, [(f + suffix, f, list(c), False) for f, c in edges.cuts.items()])
 
 
 def bin_edge_join(df: DataFrame, id: str, edges: Edges) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..spec import Party
 
 
@@ -89,6 +90,12 @@ def parties(spark: SparkSession, sf: str, name: str) -> tuple[Party, Party]:
     return Party.of(company(spark, sf)), Party.of(partner(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str, name: str) -> tuple[Party, Party]:
+    """Parties whose aggregated side is written once: binning and training read it many times."""
+    company, partner = parties(spark, sf, name)
+    return company, Party.of(materialise(partner.df, "partner"))
+
+
 def joined(spark: SparkSession, sf: str, name: str = "a") -> DataFrame:
     company, partner = parties(spark, sf, name)
     return company.df.join(partner.df, "id")

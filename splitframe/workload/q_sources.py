@@ -12,7 +12,7 @@ from ..operators.binning import bin_label, quantile_edges
 from ..operators.shares import psi_shares, share_reconstruct
 from ..plans.boosting import gbt_fit
 from ..plans.linear import lr_fit
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources import (
     load_linear,
     load_trees,
@@ -121,7 +121,7 @@ def _(spark, sf):
 @query("sink_scan_tree_model", f"with {SQL_A} select count(*) as n, count(*) as equal_labels, count(*) as equal_scores from j")
 def _(spark, sf):
     path = _folder(spark)
-    data = joined(spark, sf)
+    data = materialise(joined(spark, sf), "joined")
     edges = quantile_edges(data, FEATURES_A, 10)
     model = gbt_fit(bin_label(data, edges), FEATURES_A, edges, n_estimators=2, max_depth=2)
     paths = {"company": f"{path}/company", "partner": f"{path}/partner"}

@@ -12,8 +12,8 @@ from ..operators import splits
 from ..operators.binning import bin_label, quantile_edges
 from ..plans.boosting import gbt_fit
 from ..plans.runs import RunOptions, run_trees
-from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, parties, wide_e
-from .q_bins import edges_a, edges_a_sql, edges_sql
+from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, stored, wide_e
+from .q_bins import COMPANY_COLS, PARTNER_COLS, edges_a_sql, edges_sql
 from .registry import query, rnd, sql_rnd
 
 K = 20
@@ -77,8 +77,9 @@ def node_rows(spark, model, scale: int = 4):
 
 
 def binned_a(spark, sf, k=K):
-    edges = edges_a(spark, sf, k)
-    return bin_label(joined(spark, sf), edges), edges
+    company, partner = stored(spark, sf, "a")
+    edges = quantile_edges(company.df, COMPANY_COLS, k).merge(quantile_edges(partner.df, PARTNER_COLS, k))
+    return bin_label(company.df.join(partner.df, "id"), edges), edges
 
 
 def first_gh(df):
@@ -239,7 +240,7 @@ _EDGES_D = f"ed as ({edges_sql('co', ['c0'], K)} union all {edges_sql('pa', ['p0
 
 @query("gbt_objective_squared", boost_sql(SQL_D, _EDGES_D, FEATURES_D, 2, 1, 0.001, SQUARED_GH) + nodes_sql(2, 2).replace(sql_rnd("weight"), sql_rnd("weight", 3)))
 def _(spark, sf):
-    company, partner = parties(spark, sf, "d")
+    company, partner = stored(spark, sf, "d")
     edges = quantile_edges(company.df, ["c0"], K).merge(quantile_edges(partner.df, ["p0", "p1", "p2"], K))
     df = bin_label(company.df.join(partner.df, "id"), edges)
     model = gbt_fit(df, FEATURES_D, edges, n_estimators=2, max_depth=1, lambda_=0.001, mission="regression")
@@ -275,7 +276,7 @@ def _(spark, sf):
 
 @query("gbt_label_at_company", boost_sql(SQL_C, f"ed as ({edges_sql('co', ['c0', 'c1'], 8)} union all {edges_sql('pa', ['p0', 'p1'], 8)})", ["c0", "c1", "p0", "p1"], 1, 2, 1e-05, LOGISTIC_GH) + nodes_sql(1))
 def _(spark, sf):
-    company, partner = parties(spark, sf, "c")
+    company, partner = stored(spark, sf, "c")
     edges = quantile_edges(company.df, ["c0", "c1"], 8).merge(quantile_edges(partner.df, ["p0", "p1"], 8))
     df = bin_label(company.df.join(partner.df, "id"), edges)
     return node_rows(spark, gbt_fit(df, ["c0", "c1", "p0", "p1"], edges, n_estimators=1, max_depth=2))
@@ -283,6 +284,6 @@ def _(spark, sf):
 
 @query("gbt_end_to_end", f"{_FOREST} {nodes_sql(2)}")
 def _(spark, sf):
-    company, partner = parties(spark, sf, "a")
+    company, partner = stored(spark, sf, "a")
     options = RunOptions(reg_coef=1.0, k_quantiles=K, n_estimators=2, max_depth=2, unique_ids=True, curve=False)
     return node_rows(spark, run_trees(company, partner, options).model)
