@@ -32,15 +32,18 @@ def gh_histogram(df: DataFrame, bins: list[str], by: tuple[str, ...] = ("node",)
 def split_prefix_sums(histogram: DataFrame, by: tuple[str, ...] = ("node",)) -> DataFrame:
     """Sums left of and right of every cut: bins up to the cut go left, the rest goes right.
 
-    Missing values (null bin) sort last and so count as right. Cuts without rows on both
+    Missing values (null bin) sort last and so count as right. Cuts without values on both
     sides are left out, which removes the last bin. A window sees one feature's bins only.
     """
     w = Window.partitionBy(*by, "feature")
     upto = w.orderBy(F.col("bin").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {f"{c}_l": F.sum(c).over(upto) for c in ("g", "h", "n")} | {f"{c}_all": F.sum(c).over(w) for c in ("g", "h", "n")}
+    sums["present"] = F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(w)
     both = histogram.select(*by, "feature", "bin", *[v.alias(k) for k, v in sums.items()])
     right = [(F.col(f"{c}_all") - F.col(f"{c}_l")).alias(f"{c}_r") for c in ("g", "h", "n")]
-    return both.select(*by, "feature", "bin", "g_l", "h_l", "n_l", *right).where((F.col("n_r") > 0) & F.col("bin").isNotNull())
+    return both.select(*by, "feature", "bin", "g_l", "h_l", "n_l", *right, "present").where(
+        F.col("bin").isNotNull() & (F.col("n_l") < F.col("present"))
+    ).drop("present")
 
 
 def split_gain(g_l: Column, h_l: Column, g_r: Column, h_r: Column, lambda_: float, gamma: float | None = None) -> Column:
