@@ -10,6 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .align import psi_join
 
 # Default number of cut points and decimals kept of a cut point.
@@ -309,8 +310,15 @@ def bin_before_join(
     on: str = "id",
     method: str = "exact",
     skew: str = "aqe",
+    write: bool = True,
 ) -> tuple[DataFrame, Edges]:
-    """Cut each party's whole table, then let values and labels travel through the join."""
+    """Cut each party's whole table, then let values and labels travel through the join.
+
+    A party's table is read by every quantile pass and once more for its labels. ``write``
+    stores it as Parquet first; switch it off for tables that are plain Parquet already.
+    """
+    if write:
+        company, partner = materialise(company, "company"), materialise(partner, "partner")
     c_edges = quantile_edges(company, company_features, k, method)
     p_edges = quantile_edges(partner, partner_features, k, method)
     joined = psi_join(bin_label(company, c_edges), bin_label(partner, p_edges), on, skew)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import keyed_int
 
-BLOCK = 256
+# A pair of blocks takes 16 KB, so an Arrow batch of 10,000 pairs stays under 200 MB.
+BLOCK = 32
 SMALL_CELLS = 1_000_000
 
 _COMPARE = {
@@ -143,7 +144,8 @@ def _blocks(a: DataFrame, block: int) -> DataFrame:
         dense[(cells["i"] % block).to_numpy(), (cells["j"] % block).to_numpy()] = cells["v"].to_numpy()
         return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [dense.tobytes()]})
 
-    return a.select("i", "j", "v", at("i"), at("j")).groupBy("bi", "bj").applyInPandas(pack, "bi bigint, bj bigint, data binary")
+    blocks = a.select("i", "j", "v", at("i"), at("j"))
+    return blocks.groupBy("bi", "bj").applyInPandas(pack, "bi bigint, bj bigint, data binary")
 
 
 def _block_mul(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
@@ -152,10 +154,20 @@ def _block_mul(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pairs in batches:
+            sums: dict[tuple[int, int], np.ndarray] = {}
             for bi, bj, x, y in zip(pairs["bi"], pairs["bj"], pairs["ldata"], pairs["rdata"]):
                 product = np.frombuffer(x).reshape(block, block) @ np.frombuffer(y).reshape(block, block)
-                r, c = np.nonzero(product)
-                yield pd.DataFrame({"i": r + bi * block, "j": c + bj * block, "v": product[r, c]})
+                sums[bi, bj] = sums[bi, bj] + product if (bi, bj) in sums else product
+            parts = [(np.nonzero(s), bi, bj, s) for (bi, bj), s in sums.items()]
+            if not parts:
+                continue
+            yield pd.DataFrame(
+                {
+                    "i": np.concatenate([r + bi * block for (r, _), bi, _, _ in parts]),
+                    "j": np.concatenate([c + bj * block for (_, c), _, bj, _ in parts]),
+                    "v": np.concatenate([s[at] for at, _, _, s in parts]),
+                }
+            )
 
     pairs = left.join(right, "bk").select("bi", "bj", "ldata", "rdata")
     cells = pairs.mapInPandas(multiply, "i bigint, j bigint, v double")

@@ -10,6 +10,7 @@ from ..operators.align import psi_join
 from ..operators.binning import Edges, bin_label, quantile_edges
 from ..operators.prep import find_label_party
 from ..operators.shares import ROW_ID, psi_shares, share_reconstruct
+from ..session import materialise
 from ..spec import LABEL, Party
 from . import boosting, linear
 
@@ -44,6 +45,7 @@ class RunOptions:
     classes: list | int | None = None
     mission: str = "classification"
     curve: bool = True
+    write_parties: bool = True
     shares_to: dict[str, str] | None = None
     bins_to: str | None = None
     model_to: dict[str, str] | None = None
@@ -91,13 +93,18 @@ def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(
 
 
 def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions(), validation: DataFrame | None = None) -> RunResult:
-    """Bin each party's whole table, align, share and boost trees; labels of bins stay public."""
+    """Bin each party's whole table, align, share and boost trees; labels of bins stay public.
+
+    ``write_parties`` stores both tables as Parquet before the quantile passes read them; it is
+    wasted on inputs that are plain Parquet already.
+    """
     holder = find_label_party(company.df, partner.df)
     sides, edges = [], Edges({})
     for party in (company, partner):
-        cuts = quantile_edges(party.df, list(party.spec.features), options.k_quantiles)
+        table = materialise(party.table(), "party") if options.write_parties else party.table()
+        cuts = quantile_edges(table, list(party.spec.features), options.k_quantiles)
         edges = edges.merge(cuts)
-        sides.append(bin_label(party.table(), cuts))
+        sides.append(bin_label(table, cuts))
     features = [*company.spec.features, *partner.spec.features]
     public = tuple(f"{f}_bin" for f in features)
     table, ours, theirs = _aligned(sides[0], sides[1], company.spec.id, public, options)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import binning as b
-from .fixtures import SQL_A, company_a, partner_a, table
+from .fixtures import SQL_A, company_a, partner_a, stored, table
 from .registry import query, rnd
 
 
@@ -28,8 +28,9 @@ def edges_a_sql(k: int) -> str:
 
 
 def edges_a(spark, sf, k):
-    c = b.quantile_edges(company_a(spark, sf), COMPANY_COLS, k)
-    return c.merge(b.quantile_edges(partner_a(spark, sf), PARTNER_COLS, k))
+    company, partner = stored(spark, sf, "a")
+    c = b.quantile_edges(company.df, COMPANY_COLS, k)
+    return c.merge(b.quantile_edges(partner.df, PARTNER_COLS, k))
 
 
 @query("quantile_edges", f"with {SQL_A}, {edges_a_sql(20)} select feature, edge_idx, edge from ed")
@@ -67,7 +68,7 @@ def _label_sql(x: str, feature: str, k: int) -> str:
     f"with {SQL_A}, {edges_a_sql(20)} select id, {', '.join(f'{_label_sql(c, c, 20)} as {c}_bin' for c in PARTNER_COLS)} from pa",
 )
 def _(spark, sf):
-    df = partner_a(spark, sf)
+    df = stored(spark, sf, "a")[1].df
     return b.bin_label(df, b.quantile_edges(df, PARTNER_COLS, 20)).select("id", *[f"{c}_bin" for c in PARTNER_COLS])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shares
 from ..plans.linear import lr_fit
+from ..session import materialise
 from .fixtures import FEATURES_A, SQL_A, company_a, joined, partner_a, scaled_a, table
 from .q_linear import lr_steps_sql
 from .registry import query, rnd, rounded, sql_rnd
@@ -69,7 +70,7 @@ def _(spark, sf):
 
 @query("share_group_sum", f"with {SQL_A} select c1 as month, {sql_rnd('sum(c0)', 4)} as c0, {sql_rnd('sum(p0)', 4)} as p0 from j group by c1")
 def _(spark, sf):
-    rows = joined(spark, sf).select(F.col("id").alias("row_id"), "c0", "p0", F.col("c1").alias("month"))
+    rows = materialise(joined(spark, sf).select(F.col("id").alias("row_id"), "c0", "p0", F.col("c1").alias("month")), "rows")
     first, second = shares.share_split(rows, ["c0", "p0"], seed=10)
     return rounded(shares.share_group_sum(first, second, rows, ["month"], ["c0", "p0"]), ["month"], ["c0", "p0"], 4)
 

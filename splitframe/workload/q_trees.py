@@ -12,7 +12,7 @@ from ..operators import splits
 from ..operators.binning import bin_label, quantile_edges
 from ..plans.boosting import gbt_fit
 from ..plans.runs import RunOptions, run_trees
-from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, stored, wide_e
+from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, parties, stored, wide_e
 from .q_bins import COMPANY_COLS, PARTNER_COLS, edges_a_sql, edges_sql
 from .registry import query, rnd, sql_rnd
 
@@ -284,6 +284,6 @@ def _(spark, sf):
 
 @query("gbt_end_to_end", f"{_FOREST} {nodes_sql(2)}")
 def _(spark, sf):
-    company, partner = stored(spark, sf, "a")
+    company, partner = parties(spark, sf, "a")
     options = RunOptions(reg_coef=1.0, k_quantiles=K, n_estimators=2, max_depth=2, unique_ids=True, curve=False)
     return node_rows(spark, run_trees(company, partner, options).model)
