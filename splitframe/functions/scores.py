@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ SOFTMAX = "softmax"
 SQUARED = "squared"
 
 
+def sql_number(x: float) -> str:
+    """A double as SQL text."""
+    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)!r}')"
+
+
 def sigmoid(z: Column, clip: float | None = None) -> Column:
     """``1 / (1 + exp(-z))``; ``clip`` bounds z first (the plain linear model uses 500)."""
     if clip is not None:

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import key_to_token
 from ..spec import COMPANY
 from .position import global_position
 from .prep import merged_columns
@@ -252,8 +251,3 @@ def psi_blinded_join(
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return equi_join(c, p, "token", skew).select(*names)
-
-
-def key_tokens(df: DataFrame, on: str = "id", bits: int = 512) -> DataFrame:
-    """The ids of a table as digests, columns kept."""
-    return df.withColumn(on, key_to_token(F.col(on), bits))

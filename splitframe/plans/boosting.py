@@ -73,7 +73,7 @@ class GBTModel:
 
     def tree_score(self, tree: int, cls: int = 0, by: str = "value", suffix: str = "_bin") -> Column:
         """Weight of the leaf a row reaches, as one nested CASE."""
-        return F.expr(case_tree(self._tree(tree, cls), lambda n: f"{n.weight!r}D", by, suffix))
+        return F.expr(case_tree(self._tree(tree, cls), lambda n: scores.sql_number(n.weight), by, suffix))
 
     def leaf_of(self, tree: int, cls: int = 0, by: str = "value", suffix: str = "_bin") -> Column:
         """Heap number of the leaf a row reaches."""
@@ -161,7 +161,7 @@ def case_tree(tree: dict[int, TreeNode], leaf, by: str = "value", suffix: str =
         n = tree[node]
         if n.is_leaf:
             return leaf(n)
-        name, cut = (f"`{n.feature}`", f"{n.edge!r}D") if by == "value" else (f"`{n.feature}{suffix}`", str(n.bin))
+        name, cut = (f"`{n.feature}`", scores.sql_number(n.edge)) if by == "value" else (f"`{n.feature}{suffix}`", str(n.bin))
         return f"CASE WHEN {name} <= {cut} THEN {render(2 * node)} ELSE {render(2 * node + 1)} END"
 
     return render(1)

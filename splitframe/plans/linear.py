@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.keys import keyed_digest
 from ..operators.metrics import accuracy
 from ..operators.position import Positioned, position_rows
 from ..operators.prep import iter_batches, label_classes
@@ -18,7 +19,8 @@ from ..session import materialise
 
 HINGE = "hinge"
 INLINE_SUMS = 64
-SAMPLE_STEPS = 500
+DRAWN_ROWS = 50_000
+DRAWN_BATCH = 10_000
 
 
 @dataclass
@@ -40,13 +42,10 @@ class LinearModel:
     def margins(self, features: list[str] | None = None) -> list[Column]:
         """Weighted sum per class, over all features or one party's."""
         chosen = features if features is not None else self.features
-        out = []
-        for c in range(self.width):
-            z = F.lit(0.0)
-            for f in chosen:
-                z = z + F.col(f) * F.lit(float(self.weights[self.features.index(f), c]))
-            out.append(z)
-        return out
+        at = {f: i for i, f in enumerate(self.features)}
+        # One parsed expression per class: a training step builds it anew each time.
+        terms = [[f"`{f}` * {scores.sql_number(self.weights[at[f], c])}" for f in chosen] for c in range(self.width)]
+        return [F.expr(" + ".join(t) if t else "0.0D") for t in terms]
 
     def score_split(self, df: DataFrame) -> DataFrame:
         """Each party's part of the score, and their sum."""
@@ -95,8 +94,8 @@ def residual_sums(frame: DataFrame, model: LinearModel, label: str) -> tuple[np.
     if model.width == 1 and len(model.features) <= INLINE_SUMS:
         r = residual(model, model.margins()[0], F.col(label))
         held = frame.select(*model.features, r.alias("_r"))
-        sums = [F.sum(F.col(f) * F.col("_r")).alias(f"s{i}") for i, f in enumerate(model.features)]
-        row = held.agg(*sums, F.count(F.lit(1)).alias("n")).first()
+        sums = [f"sum(`{f}` * _r) AS s{i}" for i, f in enumerate(model.features)]
+        row = held.selectExpr(*sums, "count(1) AS n").first()
         return np.array([[row[f"s{i}"] or 0.0] for i in range(len(model.features))]), row["n"]
     parts = frame.select(*model.features, label).mapInPandas(_partial_sums(model, label), "i int, c int, v double")
     sums = np.zeros_like(model.weights)
@@ -223,7 +222,8 @@ def svm_fit(
     """Sub-gradient steps with rate ``1 / (lambda t)``; labels -1/+1, or one-vs-rest classes.
 
     ``w <- (1 - rate lambda) w + (rate / b) sum(y x over rows with y f(x) < 1)``. A batch is
-    drawn anew for each step; ``batch_size=None`` uses all rows in every step.
+    drawn anew for each step, without replacement; ``batch_size=None`` uses all rows in every
+    step. Batches over 10,000 rows are runs of one random order, from a random place each.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label) if classes > 1 else None
@@ -235,8 +235,11 @@ def svm_fit(
         frame = materialise(frame, "train") if write else frame
         batches: Iterator[DataFrame] = (frame for _ in range(n_steps))
     else:
-        placed = position_rows(df.select(*dict.fromkeys([id, *needed])), id)
-        batches = _drawn(placed, n_steps, min(batch_size, placed.rows), seed)
+        rows = df.select(*dict.fromkeys([id, *needed]))
+        if batch_size <= DRAWN_BATCH:
+            batches = _drawn(position_rows(rows, id), n_steps, batch_size, seed)
+        else:
+            batches = _runs(rows, id, n_steps, batch_size, seed)
     for t, batch in enumerate(batches, start=1):
         sums, rows = residual_sums(batch, model, label)
         rate = 1.0 / (lambda_ * t)
@@ -249,16 +252,32 @@ def svm_fit(
 def _drawn(placed: Positioned, n_steps: int, size: int, seed: int) -> Iterator[DataFrame]:
     """Batches without replacement for many steps at once.
 
-    Row numbers are drawn on the driver (steps x batch numbers, whatever the table's size);
-    the rows of 500 steps are fetched in one scan and written, then read step by step.
+    Row numbers are drawn on the driver, at most 50,000 at a time whatever the table's size;
+    the rows of those steps are fetched in one scan and written, then read step by step.
     """
     rng = np.random.default_rng(seed)
     spark = placed.df.sparkSession
-    for low in range(0, n_steps, SAMPLE_STEPS):
-        steps = range(low, min(low + SAMPLE_STEPS, n_steps))
+    size = min(size, placed.rows)
+    at_once = max(1, DRAWN_ROWS // size)
+    for low in range(0, n_steps, at_once):
+        steps = range(low, min(low + at_once, n_steps))
         draws = [(t, int(p)) for t in steps for p in rng.choice(placed.rows, size, replace=False)]
         wanted = F.broadcast(spark.createDataFrame(draws, "_step int, _pos bigint"))
         fetched = placed.with_position("_pos").join(wanted, "_pos").drop("_pos")
         stored = materialise(fetched.repartition("_step").sortWithinPartitions("_step"), "drawn")
         for t in steps:
             yield stored.where(F.col("_step") == t)
+
+
+def _runs(rows: DataFrame, id: str, n_steps: int, size: int, seed: int) -> Iterator[DataFrame]:
+    """Large batches: the table is put in one random order, and a step takes a run of it.
+
+    The run starts at a random place and wraps around; reading it skips the rest of the files.
+    """
+    rng = np.random.default_rng(seed)
+    placed = position_rows(rows.withColumn("_draw", keyed_digest(seed, id)), "_draw", id)
+    size = min(size, placed.rows)
+    for _ in range(n_steps):
+        start = int(rng.integers(placed.rows))
+        run, past = placed.slice(start, start + size), start + size - placed.rows
+        yield run if past <= 0 else run.unionByName(placed.slice(0, past))

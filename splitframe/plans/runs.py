@@ -27,7 +27,11 @@ class RunResult:
 
 @dataclass(frozen=True)
 class RunOptions:
-    """Options of a run. The defaults are fixed values of the usual command-line runs."""
+    """Options of a run; defaults are fixed values of the usual command-line runs.
+
+    The exception is ``batch_size``, usually 1024: a step is a job, and a large table has too many
+    batches of that size to take one after another. ``None`` takes one step per epoch.
+    """
 
     share_y: bool = False
     through_shares: bool = True
@@ -36,7 +40,7 @@ class RunOptions:
     skew: str = "aqe"
     reg_coef: float = 0.0
     n_epochs: int = 10
-    batch_size: int | None = 1024
+    batch_size: int | None = None
     val_steps: int = 1
     lr: float = 0.1
     k_quantiles: int = 20

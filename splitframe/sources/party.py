@@ -13,11 +13,6 @@ from ..spec import COMPANY, LABEL, Party
 FEATURE_RANGE = 100.0
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, from its first line."""
-    return spark.read.option("header", True).option("enforceSchema", False).csv(path).columns
-
-
 def scan_party_csv(
     spark: SparkSession, path: str, id: str | None = None, float32: bool = False, label: str = LABEL, public: tuple[str, ...] = ()
 ) -> Party:
@@ -25,8 +20,8 @@ def scan_party_csv(
 
     ``id=None`` takes the first column. Types come from this rule, not from reading the data.
     """
-    names = csv_header(spark, path)
-    return _typed(spark.read.option("header", True).csv(path), names, id or names[0], float32, label, public)
+    df = spark.read.option("header", True).csv(path)
+    return _typed(df, id or df.columns[0], float32, label, public)
 
 
 def scan_party_parquet(
@@ -34,11 +29,11 @@ def scan_party_parquet(
 ) -> Party:
     """Party table from Parquet, with the same typing."""
     df = spark.read.parquet(path)
-    return _typed(df, df.columns, id or df.columns[0], float32, label, public)
+    return _typed(df, id or df.columns[0], float32, label, public)
 
 
-def _typed(df: DataFrame, names: list[str], id: str, float32: bool, label: str, public: tuple[str, ...]) -> Party:
-    if id not in names:
+def _typed(df: DataFrame, id: str, float32: bool, label: str, public: tuple[str, ...]) -> Party:
+    if id not in df.columns:
         raise ValueError(f"no id column {id!r}")
 
     def cast(c: str):
@@ -50,7 +45,7 @@ def _typed(df: DataFrame, names: list[str], id: str, float32: bool, label: str,
         number = F.col(c).cast("float") if float32 else F.col(c)
         return number.cast("double").alias(c)
 
-    return Party.of(df.select(*map(cast, names)), id, label, public)
+    return Party.of(df.select(*map(cast, df.columns)), id, label, public)
 
 
 def scan_aligned_pair(company: Party, partner: Party, label: str = LABEL) -> tuple[DataFrame, list[str], list[str], str]:

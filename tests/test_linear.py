@@ -98,7 +98,7 @@ def test_svm_one_against_the_rest(spark):
 
 
 def test_drawn_batches_have_distinct_rows_and_repeat_with_the_seed(spark, monkeypatch):
-    monkeypatch.setattr(linear, "SAMPLE_STEPS", 3)
+    monkeypatch.setattr(linear, "DRAWN_ROWS", 120)
     df, *_ = data(spark)
     placed = position_rows(df.select("id", *NAMES, "y"), "id")
     first = [sorted(r["id"] for r in b.collect()) for b in linear._drawn(placed, 5, 40, 1)]
@@ -121,3 +121,24 @@ def test_each_party_scores_its_own_columns(spark):
     r = model.score_split(df).first()
     assert r["z_company"] == pytest.approx(model.weights[0, 0] * r["a"])
     assert r["z"] == pytest.approx(r["z_company"] + r["z_partner"])
+
+
+def test_large_batches_are_runs_of_a_random_order(spark):
+    df, *_ = data(spark)
+    batches = [sorted(r["id"] for r in b.collect()) for b in linear._runs(df, "id", 4, 200, 1)]
+    assert all(len(set(ids)) == 200 for ids in batches)
+    assert batches[0] != batches[1] and batches[0] != list(range(200))
+
+
+def test_large_batch_steps(spark, monkeypatch):
+    monkeypatch.setattr(linear, "DRAWN_BATCH", 50)
+    df, *_ = data(spark)
+    pm = df.withColumn("y", F.when(F.col("y") == 0, -1.0).otherwise(F.col("y")))
+    model = svm_fit(pm, NAMES, lambda_=0.1, n_steps=5, batch_size=250)
+    assert linear.evaluate(model, pm) > 0.85
+
+
+def test_weights_that_run_away_stay_valid(spark):
+    df, *_ = data(spark)
+    model = linear.LinearModel(NAMES, "logistic", None, 0.0, np.array([[np.inf], [1e300], [-1.0]]))
+    assert model.predict(df).count() == 300
