@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import sql_number
 from ..session import materialise
 from .align import psi_join
 
@@ -96,13 +98,15 @@ def exact_quantiles(
 
 
 def _quantiles(df: DataFrame, columns: list[str], probs: list[float], fetch_rows: int, sketch_k: int) -> list[list[float] | None]:
-    wide = df.select(*[_plain(F.col(c)).alias(f"q{i}") for i, c in enumerate(columns)])
+    # Expressions over many columns are written as text: building them call by call takes longer
+    # than running them on a small table.
+    wide = df.selectExpr(*[f"{_plain(c)} AS q{i}" for i, c in enumerate(columns)])
     around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
     asks = []
     for i in range(len(columns)):
-        sketch = F.expr(f"kll_sketch_agg_double(q{i}, {sketch_k})")
-        asks += [F.count(f"q{i}").alias(f"n{i}"), F.when(F.count(f"q{i}") > 0, _sketch_values(sketch, around)).alias(f"c{i}")]
-    seen = wide.agg(*asks).first()
+        values = _sketch_values(f"kll_sketch_agg_double(q{i}, {sketch_k})", around)
+        asks += [f"count(q{i}) AS n{i}", f"CASE WHEN count(q{i}) > 0 THEN {values} END AS c{i}"]
+    seen = wide.selectExpr(*asks).first()
     found = [_Search(i, seen[f"n{i}"], probs, set(seen[f"c{i}"] or ())) for i in range(len(columns))]
     _count(wide, found)
     while any(s.open for s in found):
@@ -114,14 +118,19 @@ def _quantiles(df: DataFrame, columns: list[str], probs: list[float], fetch_rows
     return [s.result() for s in found]
 
 
-def _plain(x: Column) -> Column:
+def _plain(column: str) -> str:
     """As double, NaN as null. Adding 0.0 turns -0.0 into 0.0, so equal values have one form."""
-    x = x.cast("double") + F.lit(0.0)
-    return F.when(~F.isnan(x), x)
+    x = f"(CAST(`{column}` AS DOUBLE) + 0.0D)"
+    return f"CASE WHEN NOT isnan{x} THEN {x} END"
 
 
-def _sketch_values(sketch: Column, fractions: list[float]) -> Column:
-    return F.call_function("kll_sketch_get_quantile_double", sketch, F.array(*map(F.lit, fractions)))
+def _sketch_values(sketch: str, fractions: list[float]) -> str:
+    return f"kll_sketch_get_quantile_double({sketch}, array({', '.join(map(sql_number, fractions))}))"
+
+
+def _unfold(cells: list[str]) -> str:
+    """One row per cell, for long tables out of wide ones."""
+    return f"explode(array({', '.join(cells)})) AS c"
 
 
 class _Search:
@@ -162,13 +171,8 @@ def _segments(wide: DataFrame, found: list[_Search]) -> DataFrame:
     live = [s for s in found if s.cuts]
     asks = [(f"q{s.index}_{n}", f"q{s.index}", sorted(s.cuts), n == "le") for s in live for n in ("lt", "le")]
     both = count_below(wide, asks)
-    cells = [
-        F.struct(
-            F.lit(s.index).alias("col"), (F.col(f"q{s.index}_lt") + F.col(f"q{s.index}_le")).alias("seg"), F.col(f"q{s.index}").alias("x")
-        )
-        for s in live
-    ]
-    return both.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("seg").isNotNull())
+    cells = [f"struct({i} AS col, q{i}_lt + q{i}_le AS seg, q{i} AS x)" for i in (s.index for s in live)]
+    return both.selectExpr(_unfold(cells)).select("c.*").where("seg IS NOT NULL")
 
 
 def _count(wide: DataFrame, found: list[_Search]) -> None:
@@ -183,18 +187,15 @@ def _count(wide: DataFrame, found: list[_Search]) -> None:
 
 def _open_values(wide: DataFrame, found: list[_Search]) -> DataFrame:
     """Rows of the long table that lie in open stretches."""
-    keep = F.lit(False)
-    for s in found:
-        if s.open:
-            keep = keep | ((F.col("col") == s.index) & F.col("seg").isin([seg for seg, _, _ in s.open]))
-    return _segments(wide, [s for s in found if s.open]).where(keep)
+    keep = [f"(col = {s.index} AND seg IN ({', '.join(str(seg) for seg, _, _ in s.open)}))" for s in found if s.open]
+    return _segments(wide, [s for s in found if s.open]).where(" OR ".join(keep))
 
 
 def _propose(wide: DataFrame, found: list[_Search], sketch_k: int) -> None:
     """Add the grid values on both sides of every wanted rank, from a sketch per open stretch."""
     grid = [i / GRID for i in range(GRID + 1)]
     sketches = _open_values(wide, found).groupBy("col", "seg").agg(F.expr(f"kll_sketch_agg_double(x, {sketch_k})").alias("s"))
-    for r in sketches.select("col", "seg", _sketch_values(F.col("s"), grid).alias("v")).collect():
+    for r in sketches.selectExpr("col", "seg", f"{_sketch_values('s', grid)} AS v").collect():
         search = found[r["col"]]
         before, rows = next((b, n) for seg, b, n in search.open if seg == r["seg"])
         for rank in search.ranks(before, rows):
@@ -218,7 +219,7 @@ def _fetch(wide: DataFrame, found: list[_Search]) -> None:
 
 
 def count_below(df: DataFrame, asks: list[tuple[str, str, list[float], bool]]) -> DataFrame:
-    """Add counts of cuts: (new column, column, cuts, whether cuts equal to the value count).
+    """Add counts of cuts: (new column, column, sorted cuts, whether a cut equal to the value counts).
 
     The library's ``Bucketizer`` looks values up by binary search, for any number of cuts in
     the same compiled code. Its buckets are closed on the left; closed on the right, as wanted
@@ -226,27 +227,27 @@ def count_below(df: DataFrame, asks: list[tuple[str, str, list[float], bool]]) -
     """
     if not asks:
         return df
-    sign = lambda x, equal: x + 0.0 if equal else 0.0 - x
-    inputs, outputs, bounds, ready, found = [], [], [], {}, {}
+    inputs, outputs, bounds, ready, found = [], [], [], [], []
     for out, column, cuts, equal in asks:
         keys = sorted({float(x) + 0.0 for x in cuts})
         inputs.append(f"{out}_in")
         outputs.append(f"{out}_at")
-        bounds.append([-math.inf, *sorted(sign(x, equal) for x in keys), math.inf])
-        ready[f"{out}_in"] = sign(_plain(F.col(column)), equal)
-        place = F.col(f"{out}_at").cast("int")
-        distinct = place if equal else F.lit(len(keys)) - place
+        bounds.append([-math.inf, *(keys if equal else [0.0 - x for x in reversed(keys)]), math.inf])
+        ready.append(f"{'' if equal else '0.0D - '}{_plain(column)} AS `{out}_in`")
+        place = f"CAST(`{out}_at` AS INT)"
+        distinct = place if equal else f"({len(keys)} - {place})"
         # Repeated cuts count as often as they occur.
-        upto = [sum(1 for x in cuts if x <= key) for key in keys]
-        found[out] = F.array(F.lit(0), *map(F.lit, upto))[distinct] if len(keys) < len(cuts) else distinct
+        upto = [0, *(bisect_right(cuts, key) for key in keys)]
+        repeated = len(keys) < len(cuts)
+        found.append((f"array({', '.join(map(str, upto))})[{distinct}]" if repeated else distinct) + f" AS `{out}`")
     search = Bucketizer(splitsArray=bounds, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
-    placed = search.transform(df.select("*", *[c.alias(n) for n, c in ready.items()]))
-    return placed.select(*df.columns, *[c.alias(n) for n, c in found.items()])
+    placed = search.transform(df.selectExpr("*", *ready))
+    return placed.selectExpr(*[f"`{c}`" for c in df.columns], *found)
 
 
 def bin_label(df: DataFrame, edges: Edges, suffix: str = "_bin") -> DataFrame:
     """Add a label per feature: the smallest i with x <= edge i, else k. Missing stays null."""
-    return count_below(df, [(f + suffix, f, list(c), False) for f, c in edges.cuts.items()])
+    return count_below(df, [(f + suffix, f, sorted(c), False) for f, c in edges.cuts.items()])
 
 
 def bin_edge_join(df: DataFrame, id: str, edges: Edges) -> DataFrame:
@@ -269,14 +270,14 @@ def bin_edge_join(df: DataFrame, id: str, edges: Edges) -> DataFrame:
 
 def long_bins(df: DataFrame, id: str, features: list[str], suffix: str = "_bin") -> DataFrame:
     """Bin labels as (id, feature, bin)."""
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f + suffix).alias("bin")) for f in features]
-    return df.select(id, F.explode(F.array(*cells)).alias("c")).select(id, "c.feature", "c.bin")
+    cells = [f"struct('{f}' AS feature, `{f}{suffix}` AS bin)" for f in features]
+    return df.selectExpr(f"`{id}`", _unfold(cells)).select(id, "c.feature", "c.bin")
 
 
 def bin_counts(df: DataFrame, features: list[str], suffix: str = "_bin") -> DataFrame:
     """Rows per non-empty (feature, bin)."""
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f + suffix).alias("bin")) for f in features]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.feature", "c.bin")
+    cells = [f"struct('{f}' AS feature, `{f}{suffix}` AS bin)" for f in features]
+    long = df.selectExpr(_unfold(cells)).select("c.feature", "c.bin")
     return long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 

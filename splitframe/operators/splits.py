@@ -20,8 +20,8 @@ def gh_histogram(df: DataFrame, bins: list[str], by: tuple[str, ...] = ("node",)
     Rows are unfolded inside the task and summed before the shuffle, so what moves is bounded
     by tasks x nodes x features x bins, however many rows share a bin.
     """
-    cells = [F.struct(F.lit(i).alias("feature"), F.col(b).alias("bin")) for i, b in enumerate(bins)]
-    long = df.select(*by, F.col(g).alias("g"), F.col(h).alias("h"), F.explode(F.array(*cells)).alias("c"))
+    cells = ", ".join(f"struct({i} AS feature, `{b}` AS bin)" for i, b in enumerate(bins))
+    long = df.select(*by, F.col(g).alias("g"), F.col(h).alias("h"), F.expr(f"explode(array({cells}))").alias("c"))
     return (
         long.select(*by, "c.feature", "c.bin", "g", "h")
         .groupBy(*by, "feature", "bin")

@@ -123,7 +123,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 def wide_e(spark: SparkSession, sf: str, width: int = 64) -> DataFrame:
     """E as columns x0..x63."""
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[j].cast("double").alias(f"x{j}") for j in range(width)])
+    return e.selectExpr("vec_id AS id", "label", *[f"CAST(embedding[{j}] AS DOUBLE) AS x{j}" for j in range(width)])
 
 
 FEATURES_A = ["c0", "c1", "p0", "p1", "p2"]
