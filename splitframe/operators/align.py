@@ -221,7 +221,9 @@ def _blinded_side(df: DataFrame, on: str, first: int, second: int, skew: str) ->
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ids = df.select(on).where(F.col(on).isNotNull()).distinct().repartition(tasks)
-    tokens = ids.select(on, blind(blind(hash_to_group(F.col(on)), first), second).alias("token"))
+    element = blind(blind(hash_to_group(F.col(on)), first), second)
+    # A digest stands for the 256-byte element from here on: a short key to shuffle and join by.
+    tokens = ids.select(on, F.sha2(element, 256).alias("token"))
     return equi_join(df, tokens, on, skew).drop(on)
 
 

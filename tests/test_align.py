@@ -105,3 +105,10 @@ def test_secrets_are_not_in_the_plan(spark):
     a, b = pair(spark, [("a", 1.0)], [("a", 1.0)])
     joined = align.psi_blinded_join(a, b, 998877665544332211, 112233445566778899, mode="two_party")
     assert "998877665544332211" not in joined._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("mode, secrets", [("salted", ("s1", "s2")), ("two_party", (1234567, 7654321))])
+def test_blinded_join_takes_hot_ids(spark, mode, secrets):
+    a, b = pair(spark, [("hot", float(i)) for i in range(40)] + [("k", 1.0), ("m", 2.0)], [("hot", 3.0), ("k", 4.0)])
+    plain = rows(align.psi_join(a, b).drop("id"))
+    assert rows(align.psi_blinded_join(a, b, *secrets, mode=mode, skew="salt")) == plain
