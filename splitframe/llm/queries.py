@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .chat import format_paths, linear_tree, masked_text, read_turns, reply_paths
 from .dedup import exact_duplicates
+from .common import bucket
 from .mixing import mix
+from .quality import fit_quality
 from .sharding import shard
 from .warc import archive
 
@@ -97,3 +99,12 @@ def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return archive(_table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    known = labels.where(bucket(4) != 2).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    score = fit_quality(docs, known).score(F.col("text"))
+    scored = docs.select("doc_id", (bucket(4) == 2).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
