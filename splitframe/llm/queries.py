@@ -12,6 +12,7 @@ from .common import bucket
 from .mixing import mix
 from .quality import fit_quality
 from .sharding import shard
+from .toxicity import fit_toxicity
 from .warc import archive
 
 QUERIES = {}
@@ -108,3 +109,12 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     score = fit_quality(docs, known).score(F.col("text"))
     scored = docs.select("doc_id", (bucket(4) == 2).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    known = labels.where(bucket(5) != 0).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    score = fit_toxicity(docs, known).score(F.col("text"))
+    scored = docs.select("doc_id", (bucket(5) == 0).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
