@@ -121,7 +121,7 @@ def mix(
     parts = parts.select("row", "n", "block", (low - start).alias("low"), (high - low).alias("length"), (low - F.col("at")).alias("first_word"))
     slots = _slots(sources, block, shards, seed)
     pieces = (
-        parts.join(slots, ["n", "block"])
+        parts.join(slots.hint("merge"), ["n", "block"])  # the estimate of unfolded rows is far too low for a broadcast
         .withColumn("words", F.least(F.col("low") + F.col("length"), F.col("take")) - F.col("low"))
         .where("words > 0")
         .select("row", "pass", "shard", "slot", "first_word", "words")
