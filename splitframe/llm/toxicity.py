@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from .quality import sample_labelled
 
 #: Labelled rows that a model is fitted on at most, and terms that it has at most.
-LABELLED, TERMS = 12_000, 500
+LABELLED, TERMS = 6_000, 500
 #: Words of a stem's length; words before and after a term that are looked at.
 STEMS, WINDOW = range(3, 8), 8
+#: Words of clean texts that a term with misspellings may be close to.
+NEIGHBOURS = 1
 
 # Quotation marks, and words that report what others say.
 OPENING, CLOSING = "\"'“„«‘`", "\"'”“»’`"
@@ -31,10 +33,11 @@ class Automaton:
     """Levenshtein automata of all terms at once: sets of (trie node, edits) are its states.
 
     States are made as words ask for them. A term of ``fuzzy_from`` letters or more also accepts
-    one inserted, lost, changed or swapped letter; a stem accepts any word that begins with it.
+    one inserted, lost, changed or swapped letter, unless it is ``firm``; a stem accepts any word
+    that begins with it.
     """
 
-    def __init__(self, terms: list[str], stems: list[str], fuzzy_from: int = 5, most_states: int = 50_000):
+    def __init__(self, terms: list[str], stems: list[str], firm: set[str] = frozenset(), fuzzy_from: int = 5, most_states: int = 50_000):
         self.next: list[dict[str, int]] = [{}]
         self.end: list[int] = [0]
         self.most_states = most_states
@@ -48,7 +51,7 @@ class Automaton:
                         self.end.append(0)
                     node = self.next[node][c]
                 self.end[node] |= mark
-                if mark == 1 and len(word) >= fuzzy_from:
+                if mark == 1 and len(word) >= fuzzy_from and word not in firm:
                     self.end[node] |= 4
         # Only nodes that lead to a fuzzy term may spend an edit.
         self.fuzzy = [bool(e & 4) for e in self.end]
@@ -123,12 +126,26 @@ def _cores(word: bytes) -> list[str]:
     return parts if len(parts) < 2 else [*parts, "".join(parts)]
 
 
+class _Cache(dict):
+    """Values of ``make`` by word; starts anew when it holds ``limit`` words."""
+
+    def __init__(self, make, limit: int = 300_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, word):
+        if len(self) > self.limit:
+            self.clear()
+        self[word] = value = self.make(word)
+        return value
+
+
 class _Hits(dict):
     """What each word is, by :meth:`Automaton.match`; bounded like a vocabulary."""
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.automaton = Automaton(list(model.terms), list(model.stems))
+        self.automaton = Automaton(list(model.terms), list(model.stems), set(model.firm))
         self.clean = model.clean
 
     def __missing__(self, word: bytes) -> int:
@@ -171,10 +188,11 @@ PRIOR, HELD = np.array([-3.0, 10.0, 8.0, 2.0]), 0.3
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Terms, stems, words near terms that clean texts use, and four weights."""
+    """Terms, stems, terms without misspellings, words near terms that clean texts use, and four weights."""
 
     terms: tuple[str, ...] = ()
     stems: tuple[str, ...] = ()
+    firm: tuple[str, ...] = ()
     clean: frozenset[str] = frozenset()
     weights: tuple[float, ...] = tuple(PRIOR)
 
@@ -217,26 +235,23 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
     rare = max(2, round(4 / -log10(share)))
     sure = max(rare, round(10 / -log10(share)), round(0.02 * len(toxic)))
 
-    def keys(text):
-        out = set()
-        for word in {c for w in set(text.split()) for c in _cores(w[:400])}:
-            if not word.isdigit():
-                out.add(word)
-                out.update(word[:k] + "*" for k in STEMS if len(word) > k)
-        return out
+    def keys(word: bytes) -> list[str]:
+        cores = [c for c in _cores(word[:400]) if not c.isdigit()]
+        return cores + [c[:k] + "*" for c in cores for k in STEMS if len(c) > k]
 
+    made = _Cache(keys)
     seen = Counter()
     for text in toxic:
-        seen.update(keys(text))
+        seen.update(set().union(*map(made.__getitem__, set(text.split()))))
     where = {k: set() for k, n in seen.items() if n >= rare}
+    wanted = _Cache(lambda word: [k for k in keys(word) if k in where])
     for i, text in enumerate(toxic):
-        for k in keys(text):
-            if k in where:
-                where[k].add(i)
+        for k in set().union(*map(wanted.__getitem__, set(text.split()))):
+            where[k].add(i)
     against = Counter()
     for text in clean:
-        against.update(k for k in keys(text) if k in where)
-    fit = {k: v for k, v in where.items() if against[k] * 50 <= len(v)}
+        against.update(set().union(*filter(None, map(wanted.__getitem__, set(text.split())))))
+    fit = {k: v for k, v in where.items() if against[k] * 20 <= len(v)}
     chosen, open_ = [], set(range(len(toxic)))
     while fit and len(chosen) < most:
         best = max(fit, key=lambda k: (len(fit[k] & open_) - 5 * against[k], k[-1] != "*", len(k), k))
@@ -253,12 +268,20 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
 
 
 def learn(rows: list[tuple[bytes, int]]) -> ToxicityModel:
-    """Terms, then words close to them that clean texts use, then weights near their prior."""
+    """Terms, then words close to them that clean texts use, then weights near their prior.
+
+    Such words are no misspellings. A term that has more than ``NEIGHBOURS`` of them stands so
+    close to ordinary words that it is only matched as it is.
+    """
     terms, stems = learn_terms(rows)
-    model = ToxicityModel(tuple(terms), tuple(stems))
     automaton = Automaton(terms, stems)
-    near = {c for text, y in rows if not y for w in set(text.split()) for c in _cores(w[:400]) if automaton.match(c) == 1}
-    model = ToxicityModel(model.terms, model.stems, frozenset(near))
+    close = _Cache(lambda w: [c for c in _cores(w[:400]) if automaton.match(c) == 1])
+    near = set()
+    for text, label in rows:
+        if not label:
+            near.update(*filter(None, map(close.__getitem__, set(text.split()))))
+    firm = [t for t in terms if sum(Automaton([t], []).match(c) == 1 for c in near) > NEIGHBOURS]
+    model = ToxicityModel(tuple(terms), tuple(stems), tuple(firm), frozenset(near))
     hits = _Hits(model)
     x, y = np.array([evidence(t, hits) for t, _ in rows]).reshape(-1, 4), np.array([y for _, y in rows], float)
     w = PRIOR.copy()
@@ -267,7 +290,7 @@ def learn(rows: list[tuple[bytes, int]]) -> ToxicityModel:
         slope = x.T @ (p - y) + HELD * (w - PRIOR)
         bend = (x * (p * (1 - p))[:, None]).T @ x + HELD * np.eye(4)
         w = w - np.clip(np.linalg.solve(bend, slope), -2, 2)
-    return ToxicityModel(model.terms, model.stems, model.clean, tuple(w.tolist()))
+    return ToxicityModel(model.terms, model.stems, model.firm, model.clean, tuple(w.tolist()))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> ToxicityModel:
@@ -277,6 +300,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     text has one low score.
     """
 
+    words = ("terms", "stems", "firm")
+
     def fitted(batches):
         rows = []
         for batch in batches:
@@ -284,12 +309,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         rows.sort()
         model = learn([(t, y) for _, t, y in rows])
         yield pa.RecordBatch.from_pylist(
-            [{"terms": list(model.terms), "stems": list(model.stems), "clean": sorted(model.clean), "weights": list(model.weights)}],
-            schema=pa.schema([("terms", pa.list_(pa.string())), ("stems", pa.list_(pa.string())), ("clean", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]),
+            [{**{k: list(getattr(model, k)) for k in words}, "clean": sorted(model.clean), "weights": list(model.weights)}],
+            schema=pa.schema([*((k, pa.list_(pa.string())) for k in (*words, "clean")), ("weights", pa.list_(pa.float64()))]),
         )
 
     sample = sample_labelled(docs, labels, id_col, text_col, most).repartition(1)
-    row = sample.mapInArrow(fitted, "terms array<string>, stems array<string>, clean array<string>, weights array<double>").first()
+    row = sample.mapInArrow(fitted, "terms array<string>, stems array<string>, firm array<string>, clean array<string>, weights array<double>").first()
     if row is None:
         return ToxicityModel()
-    return ToxicityModel(tuple(row["terms"]), tuple(row["stems"]), frozenset(row["clean"]), tuple(row["weights"]))
+    return ToxicityModel(*(tuple(row[k]) for k in words), frozenset(row["clean"]), tuple(row["weights"]))
