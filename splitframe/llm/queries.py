@@ -9,6 +9,7 @@ from ..session import materialise
 from .chat import format_paths, linear_tree, masked_text, read_turns, reply_paths
 from .dedup import exact_duplicates
 from .common import bucket
+from .jaccard import jaccard_components
 from .mixing import mix
 from .quality import fit_quality
 from .sharding import shard
@@ -118,3 +119,20 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     score = fit_toxicity(docs, known).score(F.col("text"))
     scored = docs.select("doc_id", (bucket(5) == 0).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@_query(
+    sql=r"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents),
+    s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+      else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end as g from w),
+    n as (select doc_id, len(g) as n from s),
+    u as (select doc_id, unnest(g) as g from s),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as c from u a join u b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+    r as (select doc_id, doc_id as other from n union select r.doc_id, l.b from r join l on l.a = r.other)
+    select n.doc_id, n.n::bigint as n_shingles, min(r.other) as component_id from n join r on r.doc_id = n.doc_id group by 1, 2"""
+)
+def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    found = jaccard_components(_table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
