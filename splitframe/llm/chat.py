@@ -65,22 +65,19 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = links.join(inner, ["tree", "node"], "left_anti")
     # Every (leaf, node) met: its distance from the leaf, and the node's link 2**k up.
     met = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("above"))
-    jump, k, most = links.select("tree", "node", "up"), 0, links.count()
+    jump, k, most = links.where("up is not null").select("tree", "node", "up"), 0, links.count()
     while True:
-        jump = materialise(jump, "jump")
-        open_ = jump.where("up is not null")
-        if open_.isEmpty():
+        jump = materialise(jump, "jump")  # only of nodes that have an ancestor 2**k above
+        if jump.isEmpty():
             break
         if 1 << k > most:
-            met = met.join(open_.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
+            met = met.join(jump.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
             break
-        reached = met.join(open_, ["tree", "node"]).select(
-            "tree", "leaf", F.col("up").alias("node"), (F.col("above") + F.lit(1 << k)).alias("above")
-        )
+        reached = met.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + F.lit(1 << k)).alias("above"))
         met = materialise(met.unionByName(reached), "met")
         jump = (
             jump.alias("a")
-            .join(jump.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
+            .join(jump.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
             .select("a.tree", "a.node", "b.up")
         )
         k += 1
