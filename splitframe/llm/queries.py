@@ -123,7 +123,7 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(
     sql=r"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
       else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end as g from w),
     n as (select doc_id, len(g) as n from s),
