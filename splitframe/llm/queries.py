@@ -10,6 +10,7 @@ from .chat import format_paths, linear_tree, masked_text, read_turns, reply_path
 from .dedup import exact_duplicates
 from .common import bucket
 from .jaccard import jaccard_components
+from .lm import score_corpus
 from .mixing import mix
 from .quality import fit_quality
 from .sharding import shard
@@ -136,3 +137,9 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     found = jaccard_components(_table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@_query
+def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    scored = score_corpus(_table(spark, sf, "documents"), bucket(7) == 2)
+    return scored.withColumnRenamed("id", "doc_id")
