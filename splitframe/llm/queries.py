@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .chat import format_paths, linear_tree, masked_text, read_turns, reply_paths
+from .decontaminate import COVERED, LEAST, UNITS, WINDOW, leaks
 from .dedup import exact_duplicates
 from .common import bucket
 from .jaccard import jaccard_components
@@ -143,3 +144,43 @@ def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     scored = score_corpus(_table(spark, sf, "documents"), bucket(7) == 2)
     return scored.withColumnRenamed("id", "doc_id")
+
+
+def _sql_tokens(text: str) -> str:
+    """Marked tokens in SQL."""
+    steps = (
+        (r"\x01", " "),
+        ("([0-9])[.,]([0-9])", r"\1_\2"),
+        ("([0-9][0-9_]*)", " ' || chr(1) || 'n\\1 "),
+        (rf"(\x01n[0-9_]+) +({UNITS})([^\p{{L}}]|$)", r"\1 ' || chr(1) || 'u\2\3"),
+        (r"(\p{Lu}\p{Ll}+)", r"' || chr(1) || 'a\1"),
+    )
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return rf"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}_\x01]+'), lambda t: t <> '')"
+
+
+@_query(
+    sql=rf"""with i as (select item_id, {_sql_tokens("coalesce(text, '')")} as toks from benchmark), it as (select * from i where len(toks) >= {LEAST}),
+    d as (select doc_id, {_sql_tokens("coalesce(text, '')")} as toks from documents),
+    tpl as (select item_id, toks, list_transform(toks, lambda t: case when t[1] = chr(1) then t[:2] else t end) as tp from it),
+    dtpl as (select doc_id, toks, list_transform(toks, lambda t: case when t[1] = chr(1) then t[:2] else t end) as tp from d),
+    iw as (select item_id, k as ip, least(len(tp), {WINDOW}) as width, array_to_string(tp[k + 1 : k + least(len(tp), {WINDOW})], ' ') as w
+      from tpl, unnest(range(0, greatest(len(tp) - {WINDOW}, 0) + 1)) as r(k)),
+    widths as (select distinct width from iw),
+    dw as (select doc_id, k as pos, width, array_to_string(tp[k + 1 : k + width], ' ') as w from dtpl, widths, unnest(range(0, len(tp) - width + 1)) as r(k)),
+    f as (select doc_id, item_id, pos - ip as shift, ip, width from dw join iw using (w, width)),
+    places as (select distinct doc_id, item_id, shift, unnest(range(ip, ip + width)) as ip from f),
+    v as (select doc_id, item_id, shift, ip, it.toks[ip + 1] as given, d.toks[ip + shift + 1] as value, len(it.toks) as item_tokens
+      from places join it using (item_id) join d using (doc_id)),
+    c as (select doc_id, item_id, shift, any_value(item_tokens) as item_tokens, count(*) as covered,
+      count(distinct given || chr(2) || value) filter (given[1] = chr(1)) as pairs, count(distinct given) filter (given[1] = chr(1)) as givens,
+      count(distinct value) filter (given[1] = chr(1)) as vals, bool_and(given = value) as exact from v group by all)
+    select doc_id, item_id, max(covered) as covered, max(item_tokens)::bigint as item_tokens, bool_or(exact) as exact from c
+    where covered >= least({COVERED}, item_tokens) and pairs = givens and pairs = vals group by 1, 2"""
+)
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    ids = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id")
+    found = materialise(leaks(docs, _table(spark, sf, "benchmark")), "found")
+    return ids.join(found, "row").select("doc_id", "item_id", "covered", "item_tokens", "exact")
