@@ -256,12 +256,12 @@ def link_classes(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> Dat
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """(row, id, n_shingles, class_id, component_id) for each row of ``docs``.
+    """(row, id, n_shingles, class_id, component_id, first_row) for each row of ``docs``.
 
     Words are runs of other characters than ASCII white space, A to Z lower-cased; a set is the
     distinct shingles of ``k`` words, or the whole sequence if it is shorter. Sets link when
     100 * common >= percent * union. ``class_id`` is the smallest id with the same set,
-    ``component_id`` the smallest that links reach. A null or empty text, or one of white space,
+    ``component_id`` the smallest that links reach, ``first_row`` a row that has it. A null or empty text, or one of white space,
     has no set and is its own class and component. A null id comes after all others; rows may
     repeat. ``row`` is the place in the stored table ``docs``, which tells rows apart.
     """
@@ -283,21 +283,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = made.select("row", "id", "n").join(classed, "row", "left").withColumn("node", F.coalesce("node", "row"))
     members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = materialise(members, "members")
-    least = lambda key, out: materialise(members.groupBy(key).agg(F.min("id").alias(out), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), out)
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    least = lambda key, out: materialise(members.groupBy(key).agg(order.alias(out), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), out)
+    of = lambda out, field, own: F.when(F.col(out).isNotNull(), F.col(out)[field]).otherwise(F.col(own))
     return (
-        members.join(least("node", "class_id"), "node", "left")
-        .join(least("root", "component_id"), "root", "left")
-        .select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+        members.join(least("node", "same"), "node", "left")
+        .join(least("root", "reached"), "root", "left")
+        .select(
+            "row",
+            "id",
+            F.col("n").alias("n_shingles"),
+            of("same", "id", "id").alias("class_id"),
+            of("reached", "id", "id").alias("component_id"),
+            of("reached", "row", "row").alias("first_row"),
+        )
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id, the first if it repeats."""
+    """``docs`` with one row of each component: the one with the smallest id, of several the first."""
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("row", "component_id", "n_shingles", "id")
-    # Of rows that share the smallest id of a component, the first; rows without a set all stay.
-    first = stays.groupBy("id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").drop("c")
-    stays = stays.join(materialise(first, "first"), "id", "left").where("first is null or row = first or n_shingles = 0")
-    gone = materialise(found.select("row").join(stays.select("row"), "row", "left_anti"), "gone")
+    gone = materialise(found.where("row <> first_row").select(F.col("row").alias("_row")), "gone")
     marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    return marked.join(_few(gone.toDF("_row")), "_row", "left_anti").select(*docs.columns)
+    return marked.join(_few(gone), "_row", "left_anti").select(*docs.columns)
