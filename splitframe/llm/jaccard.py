@@ -15,18 +15,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import materialise
-from .common import Vocabulary, mixed
+from .common import Vocabulary, mixed, unit
 from .components import components
 
-#: Columns that more rows than this share go last, if there are not more than ``LAST`` of them.
-FREQUENT, LAST = 32, 200_000
-#: Column blocks whose counts bound an overlap.
-BLOCKS = 32
+#: Columns that so many rows share go last, if there are not more than ``LAST`` of them.
+FREQUENT, LAST = 8, 200_000
+#: Column blocks: where the counts of two rows differ in parity, a column is in one of them only.
+BLOCKS = 512
 #: Ids broadcast at most (16 bytes each); beyond, tables are shuffled instead.
 BROADCAST_IDS = 2_000_000
+#: Shingles (eight bytes each) of compared rows broadcast at most.
+BROADCAST_GRAMS = 2_000_000
+#: Rows of a list that all of its rows meet.
+HEADS = 16
 
 
 def shingles(text: bytes, words: Vocabulary, k: int) -> np.ndarray:
@@ -88,14 +91,14 @@ def _leading(k: int, percent: int):
 
 
 def _rows(k: int, percent: int, last: np.ndarray):
-    """Size, identity, block counts and prefix of each row; ``plain`` columns of it are not frequent."""
+    """Size, identity, block parities and prefix of each row; frequent columns come last."""
 
     def rows(batches):
         words = _vocabulary()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                sizes, digests, counts, prefixes, plain = [], [], [], [], []
+                sizes, digests, parities, prefixes = [], [], [], []
                 for x in part.column(2):
                     grams = shingles(x.as_py(), words, k)
                     n = len(grams)
@@ -105,23 +108,22 @@ def _rows(k: int, percent: int, last: np.ndarray):
                         first = grams[~frequent][:p]
                         prefix = np.concatenate([first, grams[frequent][: p - len(first)]])
                     else:
-                        first = prefix = grams[:p]
+                        prefix = grams[:p]
                     sizes.append(n)
                     digests.append(blake2b(grams.tobytes(), digest_size=16).digest())
-                    counts.append(np.bincount((grams & np.uint64(BLOCKS - 1)).astype(np.int64), minlength=BLOCKS).astype(np.int32))
+                    counts = np.bincount((grams & np.uint64(BLOCKS - 1)).astype(np.int64), minlength=BLOCKS)
+                    parities.append(np.packbits((counts & 1).astype(np.uint8)).view(np.uint64))
                     prefixes.append(prefix)
-                    plain.append(len(first))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, BLOCKS * len(sizes) + 1, BLOCKS, dtype=np.int32)), pa.array(np.concatenate(counts))),
+                        _longs(parities),
                         _longs(prefixes),
-                        pa.array(plain, pa.int32()),
                     ],
-                    names=["row", "id", "n", "digest", "blocks", "prefix", "plain"],
+                    names=["row", "id", "n", "digest", "parity", "prefix"],
                 )
 
     return rows
@@ -150,11 +152,11 @@ def frequent_columns(texts: DataFrame, k: int, percent: int) -> np.ndarray:
     Counts cover all rows. The set only decides the order of columns, which may be any; if more
     than ``LAST`` pass the threshold it is doubled until they fit.
     """
-    counts = texts.select("text").mapInArrow(_leading(k, percent), "gram bigint").groupBy("gram").count().where(F.col("count") > FREQUENT)
+    counts = texts.select("text").mapInArrow(_leading(k, percent), "gram bigint").groupBy("gram").count().where(F.col("count") >= FREQUENT)
     counts = materialise(counts, "frequent")
     floor = F.floor(F.log2("count")).cast("int")
     by = {r[0]: r[1] for r in counts.groupBy(floor.alias("f")).count().collect()}
-    least, held = 64, 0
+    least, held = 64, 0  # counts are below 2**64
     for f in sorted(by, reverse=True):
         held += by[f]
         if held > LAST:
@@ -169,22 +171,30 @@ def _overlap_needed(percent: int, a: Column, b: Column) -> Column:
     return F.lit(percent) * (a + b)
 
 
+def _differ_little(percent: int, na: str, a: str, nb: str, b: str) -> Column:
+    """Whether the parities allow the similarity: each one that differs is a column of one row only."""
+    apart = F.lit(0)
+    for i in range(BLOCKS // 64):
+        apart = apart + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    both = F.col(na) + F.col(nb)
+    return (both - apart) * F.lit(100 + percent) >= F.lit(2 * percent) * both
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full rows reach the similarity."""
-    light = rows.select("row", "n", "blocks")
+    light = rows.select("row", "n", "parity")
     bounded = (
         pairs.join(light.toDF("a", "na", "ca"), "a")
         .join(light.toDF("b", "nb", "cb"), "b")
-        .where(
-            F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * F.lit(100 + percent)
-            >= _overlap_needed(percent, F.col("na"), F.col("nb"))
-        )
+        .where(_differ_little(percent, "na", "ca", "nb", "cb"))
         .select("a", "b", "na", "nb")
     )
     bounded = materialise(bounded, "bounded")
     nodes = materialise(bounded.select(F.col("a").alias("node")).unionByName(bounded.select(F.col("b").alias("node"))).distinct(), "nodes")
     wanted = texts.select(F.col("row").alias("node"), "text").join(_few(nodes), "node", "left_semi")
     sets = materialise(wanted.mapInArrow(_sets(k), "node bigint, grams array<bigint>"), "sets")
+    size = sets.agg(F.sum(F.size("grams"))).first()[0] or 0
+    sets = F.broadcast(sets) if size <= BROADCAST_GRAMS else sets
     common = F.size(F.array_intersect("ga", "gb"))
     return (
         bounded.join(sets.toDF("a", "ga"), "a")
@@ -195,19 +205,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, k: int, perce
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(gram, node, n, pos) of the prefixes' columns that several rows have.
+    """(gram, node, n, pos, c, parity) of the prefixes' columns that c > 1 rows have.
 
-    Columns that are not frequent have short lists, so windows count them; frequent ones are
-    counted with map-side sums and joined.
+    Counted with map-side sums and joined with what is left, so that a column that very many rows
+    have is never gathered.
     """
-    entries = rows.select("row", "n", "plain", F.posexplode("prefix").alias("pos", "gram")).select(
-        "gram", F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.col("pos").alias("pos"), (F.col("pos") < F.col("plain")).alias("rare")
-    )
-    rare = entries.where("rare").drop("rare").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("gram"))).where("c > 1").drop("c")
-    frequent = entries.where("not rare").drop("rare")
-    held = materialise(frequent, "frequent-entries")
-    many = materialise(held.groupBy("gram").count().where("count > 1").select("gram"), "frequent-grams")
-    return materialise(rare.unionByName(held.join(many, "gram")), "shared")
+    entries = rows.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    many = materialise(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "many")
+    held = materialise(entries.join(many, "gram").select("gram", "node", "n", "pos", "c"), "held")
+    return materialise(held.join(rows.select(F.col("row").alias("node"), "parity"), "node").select("gram", "node", "n", "pos", "c", "parity"), "shared")
 
 
 def _near(percent: int, na: str, pa_: str, nb: str, pb: str) -> Column:
@@ -217,42 +223,37 @@ def _near(percent: int, na: str, pa_: str, nb: str, pb: str) -> Column:
     return (F.lit(100) * F.col(na) >= F.lit(percent) * F.col(nb)) & (left * F.lit(100 + percent) >= need)
 
 
+def _met(x: DataFrame, y: DataFrame, percent: int, apart: Column) -> DataFrame:
+    """Distinct pairs (a, b) of the entries x (.., a) and y (.., b) of the same lists that may link."""
+    first = (F.col("na") < F.col("nb")) & _near(percent, "na", "pa", "nb", "pb") | (F.col("na") >= F.col("nb")) & _near(percent, "nb", "pb", "na", "pa")
+    pairs = x.join(y, "gram").where(apart & first & _differ_little(percent, "na", "ca", "nb", "cb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link_classes(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of rows (one for each distinct set) that links join.
 
-    First each row of a column's list meets the list's head, the row with the fewest rarer columns:
-    near copies of one text become one component by as many pairs as rows. Then rows of a list that
-    are still in different components meet each other. No link between components is lost.
+    First the rows of each column's list meet about ``HEADS`` of them, chosen by a hash: all of them
+    in short lists. Near copies of one text mostly become one component that way, by pairs that grow
+    with the rows. Then rows of longer lists that are still in different components meet each
+    other. Components lose no link between them.
     """
     shared = _shared(rows)
-    heads = materialise(shared.groupBy("gram").agg(F.min(F.struct("pos", "n", "node")).alias("h")), "heads")
-    star = (
-        shared.join(heads, "gram")
-        .where(F.col("node") != F.col("h.node"))
-        .select("node", "n", "pos", F.col("h.node").alias("hn"), F.col("h.n").alias("hs"), F.col("h.pos").alias("hp"))
-        .where((F.col("n") >= F.col("hs")) & _near(percent, "hs", "hp", "n", "pos") | (F.col("n") < F.col("hs")) & _near(percent, "n", "pos", "hs", "hp"))
-        .select(F.least("node", "hn").alias("a"), F.greatest("node", "hn").alias("b"))
-        .distinct()
-    )
-    star = materialise(star, "star")
+    heads = shared.where(unit(F.lit(17), "node") * F.col("c") < HEADS)
+    x = shared.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("parity").alias("ca"))
+    y = heads.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("parity").alias("cb"))
+    star = materialise(_met(x, y, percent, F.col("a") != F.col("b")), "star")
     links = materialise(_verified(star, texts, rows, k, percent), "links")
     found = materialise(components(links), "components")
-    placed = shared.join(found, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed, "placed")
-    split = materialise(placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "split")
-    open_ = materialise(placed.join(split, "gram"), "open")
-    x, y = open_.toDF("gram", "a", "na", "pa", "ra"), open_.toDF("gram", "b", "nb", "pb", "rb")
-    order = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
-    rest = (
-        x.join(y, "gram")
-        .where((F.col("ra") != F.col("rb")) & order & _near(percent, "na", "pa", "nb", "pb"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    long = shared.where(F.col("c") > HEADS).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    long = materialise(long, "long")
+    split = materialise(long.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "split")
+    open_ = materialise(long.join(split, "gram").select("gram", "node", "n", "pos", "parity", "root"), "open")
+    x, y = open_.toDF("gram", "a", "na", "pa", "ca", "ra"), open_.toDF("gram", "b", "nb", "pb", "cb", "rb")
+    rest = _met(x, y, percent, (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")))
     rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, texts, rows, k, percent)
-    stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionByName(more))
+    more = materialise(_verified(rest, texts, rows, k, percent), "more-links")
+    return components(links.unionByName(more))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -269,7 +270,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     last = frequent_columns(texts, k, percent)
     made = texts.mapInArrow(
-        _rows(k, percent, last), "row bigint, id bigint, n bigint, digest binary, blocks array<int>, prefix array<bigint>, plain int"
+        _rows(k, percent, last), "row bigint, id bigint, n bigint, digest binary, parity array<bigint>, prefix array<bigint>"
     )
     made = materialise(made, "rows")
     # One row stands for each set: the one with the smallest id, nulls last.
