@@ -46,12 +46,23 @@ def template(token: Column) -> Column:
     return F.when(_slot(token), F.left(token, F.lit(2))).otherwise(token)
 
 
+def plain(token: Column) -> Column:
+    """A capitalised word as a word, other tokens as they are."""
+    return F.when(F.startswith(token, F.lit(MARK + "a")), F.substr(token, F.lit(3))).otherwise(token)
+
+
 def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, pos, h): hashes of the template windows of ``width`` tokens of (key, tokens)."""
-    hashed = rows.select(key, F.transform("tokens", lambda t: F.xxhash64(template(t))).alias("hashes"))
+    """(key, pos, h): hashes of the template windows of ``width`` tokens of (key, tokens).
+
+    Each place has two: with placeholders for capitalised words, and with those as words, so that a
+    copy in other case is found too.
+    """
+    names = F.transform("tokens", lambda t: F.xxhash64(template(t)))
+    words = F.transform("tokens", lambda t: F.xxhash64(template(plain(t))))
+    hashed = rows.where(F.size("tokens") >= width).select(key, F.explode(F.array_distinct(F.array(names, words))).alias("hashes"))
     stop = F.size("hashes") - width
-    grams = F.when(stop >= 0, F.transform(F.sequence(F.lit(0), stop), lambda i: F.xxhash64(F.slice("hashes", i + 1, F.lit(width)))))
-    return hashed.where(stop >= 0).select(key, F.posexplode(grams).alias("pos", "h"))
+    grams = F.transform(F.sequence(F.lit(0), stop), lambda i: F.xxhash64(F.slice("hashes", i + 1, F.lit(width))))
+    return hashed.select(key, F.posexplode(grams).alias("pos", "h"))
 
 
 def _few(rows: DataFrame, most: int) -> DataFrame:
@@ -67,7 +78,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     document cover tokens; they are a leak if they cover at least ``covered`` tokens, or all of a
     shorter item, and the values in the slots correspond one to one: so a question asked with
     other numbers or names is found, while a chance likeness of templates, which puts different
-    values for one, is not. ``exact`` says that the values are the same.
+    values for one, is not. A capitalised word also matches as the word it is. ``exact`` says that
+    the values are the same.
 
     Items of fewer than four tokens never leak; null or empty texts have no tokens; equal items are
     items of their own; of rows that repeat an item id, one counts. Null item ids are left out.
@@ -80,7 +92,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     found = None
     for width in sorted(r["width"] for r in lengths):
         own = items if width == window else items.where(F.size("tokens") == width)
-        wanted = materialise(_windows(own, "item_id", width).withColumnRenamed("pos", "at"), "windows")
+        wanted = materialise(_windows(own, "item_id", width).withColumnRenamed("pos", "at").distinct(), "windows")
         some = _windows(parts, "row", width).join(_few(wanted, BROADCAST_WINDOWS), "h")
         some = some.select("row", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", F.lit(width).alias("width"))
         found = some if found is None else found.unionByName(some)
@@ -112,7 +124,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
         F.count_distinct(slot).alias("pairs"),
         F.count_distinct(slot["given"]).alias("givens"),
         F.count_distinct(slot["value"]).alias("values"),
-        F.bool_and(F.col("given") == F.col("value")).alias("exact"),
+        F.bool_and(plain(F.col("given")) == plain(F.col("value"))).alias("exact"),
     )
     good = checked.where("pairs = givens and pairs = values")
     return good.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))

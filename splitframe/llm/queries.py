@@ -160,12 +160,17 @@ def _sql_tokens(text: str) -> str:
     return rf"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}_\x01]+'), lambda t: t <> '')"
 
 
+_SQL_NAMES = "list_transform(toks, lambda t: case when t[1] = chr(1) then t[:2] else t end)"
+_SQL_WORDS = "list_transform(toks, lambda t: case when t[:2] = chr(1) || 'a' then t[3:] when t[1] = chr(1) then t[:2] else t end)"
+_SQL_PLAIN = "(case when {0}[:2] = chr(1) || 'a' then {0}[3:] else {0} end)"
+
+
 @_query(
     sql=rf"""with i as (select item_id, {_sql_tokens("coalesce(text, '')")} as toks from benchmark), it as (select * from i where len(toks) >= {LEAST}),
     d as (select doc_id, {_sql_tokens("coalesce(text, '')")} as toks from documents),
-    tpl as (select item_id, toks, list_transform(toks, lambda t: case when t[1] = chr(1) then t[:2] else t end) as tp from it),
-    dtpl as (select doc_id, toks, list_transform(toks, lambda t: case when t[1] = chr(1) then t[:2] else t end) as tp from d),
-    iw as (select item_id, k as ip, least(len(tp), {WINDOW}) as width, array_to_string(tp[k + 1 : k + least(len(tp), {WINDOW})], ' ') as w
+    tpl as (select item_id, toks, unnest([{_SQL_NAMES}, {_SQL_WORDS}]) as tp from it),
+    dtpl as (select doc_id, toks, unnest([{_SQL_NAMES}, {_SQL_WORDS}]) as tp from d),
+    iw as (select distinct item_id, k as ip, least(len(tp), {WINDOW}) as width, array_to_string(tp[k + 1 : k + least(len(tp), {WINDOW})], ' ') as w
       from tpl, unnest(range(0, greatest(len(tp) - {WINDOW}, 0) + 1)) as r(k)),
     widths as (select distinct width from iw),
     dw as (select doc_id, k as pos, width, array_to_string(tp[k + 1 : k + width], ' ') as w from dtpl, widths, unnest(range(0, len(tp) - width + 1)) as r(k)),
@@ -175,7 +180,7 @@ def _sql_tokens(text: str) -> str:
       from places join it using (item_id) join d using (doc_id)),
     c as (select doc_id, item_id, shift, any_value(item_tokens) as item_tokens, count(*) as covered,
       count(distinct given || chr(2) || value) filter (given[1] = chr(1)) as pairs, count(distinct given) filter (given[1] = chr(1)) as givens,
-      count(distinct value) filter (given[1] = chr(1)) as vals, bool_and(given = value) as exact from v group by all)
+      count(distinct value) filter (given[1] = chr(1)) as vals, bool_and({_SQL_PLAIN.format('given')} = {_SQL_PLAIN.format('value')}) as exact from v group by all)
     select doc_id, item_id, max(covered) as covered, max(item_tokens)::bigint as item_tokens, bool_or(exact) as exact from c
     where covered >= least({COVERED}, item_tokens) and pairs = givens and pairs = vals group by 1, 2"""
 )
