@@ -32,7 +32,9 @@ def digest_word(digest: Column, word: int = 0) -> Column:
 
 
 def keyed_int(low: int, high: int, seed: str | int, *parts: Column | str) -> Column:
-    """Repeatable integer in ``[low, high)``."""
+    """Repeatable integer in ``[low, high)``, a range of at most 2**32 numbers."""
+    if not 0 < high - low <= 2**32:
+        raise ValueError("the range must hold 1 to 2**32 integers")
     return F.pmod(digest_word(keyed_digest(seed, *parts)), F.lit(high - low)) + F.lit(low)
 
 

@@ -26,8 +26,8 @@ MODP_2048 = int(
 )
 TOKEN_BYTES = 256
 
-HOT_TRACKED = 10_000
-HOT_KEYS = 1_000
+# Fixed value: the most items that Spark's frequent-items sketch tracks.
+TRACKED_MOST = 1_000_000
 COPY_CHUNK = 1_000_000
 
 
@@ -35,14 +35,17 @@ COPY_CHUNK = 1_000_000
 
 
 def hot_keys(df: DataFrame, id: str, share: float = 0.001) -> list:
-    """Keys that hold more than ``share`` of the rows, at most 1,000 of them.
+    """Keys that hold more than ``share`` of the rows, so at most 1 / share of them.
 
     One pass with a mergeable frequent-items sketch; nothing is shuffled by key. The result
     only steers how rows are spread, so its being approximate never changes a join's rows.
     """
     kept = df.where(F.col(id).isNotNull())
+    most = int(1 / share) + 1
+    if 10 * most > TRACKED_MOST:
+        raise ValueError(f"share must be at least {10 / TRACKED_MOST:g}")
     found = kept.agg(
-        F.expr(f"approx_top_k(`{id}`, {HOT_KEYS}, {HOT_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+        F.expr(f"approx_top_k(`{id}`, {most}, {10 * most})").alias("top"), F.count(F.lit(1)).alias("n")
     ).first()
     return [t["item"] for t in (found["top"] or []) if t["count"] > share * found["n"]]
 

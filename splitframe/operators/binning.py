@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import sql_number
 from ..session import materialise
+from ..spec import COMPANY, PARTNER
 from .align import psi_join
+from .prep import merged_columns
 
 # Default number of cut points and decimals kept of a cut point.
 DEFAULT_K = 50
@@ -42,6 +44,10 @@ class Edges:
         return list(self.cuts)
 
     def merge(self, other: Edges) -> Edges:
+        """Both parties' edges; a feature name of both is an error, as one would be lost."""
+        both = set(self.cuts) & set(other.cuts)
+        if both:
+            raise ValueError(f"edges of both parties for {sorted(both)}: give their features different names")
         return Edges({**self.cuts, **other.cuts})
 
     def table(self, spark) -> DataFrame:
@@ -229,7 +235,19 @@ def count_below(df: DataFrame, asks: list[tuple[str, str, list[float], bool]]) -
         return df
     inputs, outputs, bounds, ready, found = [], [], [], [], []
     for out, column, cuts, equal in asks:
-        keys = sorted({float(x) + 0.0 for x in cuts})
+        keys = sorted({float(x) + 0.0 for x in cuts if math.isfinite(x)})
+        # Infinite cuts are outside the search: one at the bottom counts for all values but, where
+        # equal ones do not count, itself; one at the top for itself only, where equal ones count.
+        bottom, top = sum(x == -math.inf for x in cuts), sum(x == math.inf for x in cuts)
+        edge = []
+        if bottom:
+            edge.append(f" + {bottom}" if equal else f" + if({_plain(column)} > double('-Infinity'), {bottom}, 0)")
+        if top and equal:
+            edge.append(f" + if({_plain(column)} = double('Infinity'), {top}, 0)")
+        if not keys:
+            given = f"{_plain(column)} IS NULL OR isnan({_plain(column)})"
+            found.append(f"if({given}, CAST(NULL AS INT), CAST(0{''.join(edge)} AS INT)) AS `{out}`")
+            continue
         inputs.append(f"{out}_in")
         outputs.append(f"{out}_at")
         bounds.append([-math.inf, *(keys if equal else [0.0 - x for x in reversed(keys)]), math.inf])
@@ -237,9 +255,14 @@ def count_below(df: DataFrame, asks: list[tuple[str, str, list[float], bool]]) -
         place = f"CAST(`{out}_at` AS INT)"
         distinct = place if equal else f"({len(keys)} - {place})"
         # Repeated cuts count as often as they occur.
-        upto = [0, *(bisect_right(cuts, key) for key in keys)]
-        repeated = len(keys) < len(cuts)
-        found.append((f"array({', '.join(map(str, upto))})[{distinct}]" if repeated else distinct) + f" AS `{out}`")
+        finite = [x for x in cuts if math.isfinite(x)]
+        upto = [0, *(bisect_right(finite, key) for key in keys)]
+        repeated = len(keys) < len(finite)
+        # A missing value has a bucket of its own, outside the array.
+        place = f"get(array({', '.join(map(str, upto))}), {distinct})" if repeated else f"if({_plain(column)} IS NULL, NULL, {distinct})"
+        found.append(f"{place}{''.join(edge)} AS `{out}`")
+    if not inputs:
+        return df.selectExpr(*[f"`{c}`" for c in df.columns], *found)
     search = Bucketizer(splitsArray=bounds, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
     placed = search.transform(df.selectExpr("*", *ready))
     return placed.selectExpr(*[f"`{c}`" for c in df.columns], *found)
@@ -322,5 +345,8 @@ def bin_before_join(
         company, partner = materialise(company, "company"), materialise(partner, "partner")
     c_edges = quantile_edges(company, company_features, k, method)
     p_edges = quantile_edges(partner, partner_features, k, method)
-    joined = psi_join(bin_label(company, c_edges), bin_label(partner, p_edges), on, skew)
-    return joined, c_edges.merge(p_edges)
+    ours, theirs = bin_label(company, c_edges), bin_label(partner, p_edges)
+    named = {(party, x): out for party, x, out in merged_columns(ours.columns, theirs.columns, on)}
+    # Under the names that the columns have in the joined table.
+    out = Edges({named[COMPANY, f]: c for f, c in c_edges.cuts.items()}).merge(Edges({named[PARTNER, f]: c for f, c in p_edges.cuts.items()}))
+    return psi_join(ours, theirs, on, skew), out

@@ -14,6 +14,8 @@ from ..functions.keys import keyed_int
 # A pair of blocks takes 16 KB, so an Arrow batch of 10,000 pairs stays under 200 MB.
 BLOCK = 32
 SMALL_CELLS = 1_000_000
+# Fixed value: a quiet NaN that arithmetic does not make.
+ABSENT = np.array(0x7FF8_0000_0000_5A5A, np.int64).view(np.float64)
 
 _COMPARE = {
     "<": lambda a, b: a < b,
@@ -103,12 +105,15 @@ def mat_slice(a: DataFrame, rows: slice | list[int] | None = None, columns: slic
 def mat_assign(
     a: DataFrame, value: DataFrame | float, rows: slice | list[int] | None = None, columns: slice | list[int] | None = None
 ) -> DataFrame:
-    """Overwrite the chosen rows and columns by a number or by another matrix's cells."""
+    """Overwrite the chosen rows and columns by a number or by another matrix's cells.
+
+    A matrix replaces all that was there: cells it lacks become absent, new ones are added. A
+    number is put in present cells only, as the table does not know its shape.
+    """
     inside = _within("i", rows) & _within("j", columns)
     if not isinstance(value, DataFrame):
         return a.select("i", "j", F.when(inside, F.lit(float(value))).otherwise(F.col("v")).alias("v"))
-    new = value.where(inside).select("i", "j", F.col("v").alias("_new"))
-    return a.join(new, ["i", "j"], "left").select("i", "j", F.coalesce("_new", "v").alias("v"))
+    return a.where(~inside).select("i", "j", "v").unionByName(value.where(inside).select("i", "j", "v"))
 
 
 def mat_like(a: DataFrame, fill: float = 0.0) -> DataFrame:
@@ -126,9 +131,10 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = BLOCK, small_cells: int = S
 
     A right side of at most ``small_cells`` cells (counted first) is broadcast: then the left
     side is not shuffled at all and only combined sums move. Two large matrices are cut into
-    square blocks, which bounds every group, and blocks are multiplied by NumPy in tasks.
+    square blocks, which bounds every group, and blocks are multiplied by NumPy in tasks. Either
+    way there is a cell, be it zero, exactly where two cells met.
     """
-    if b.limit(small_cells + 1).count() <= small_cells:
+    if b.count() <= small_cells:
         right = F.broadcast(b.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("w")))
         products = a.join(right, "j").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
         return products.select("i", F.col("k").alias("j"), "v")
@@ -140,7 +146,8 @@ def _blocks(a: DataFrame, block: int) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / F.lit(block)).alias(f"b{c}")
 
     def pack(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros((block, block))
+        # Absent cells are NaN in bits of their own, to be told from numbers that are zero or NaN.
+        dense = np.full((block, block), ABSENT)
         dense[(cells["i"] % block).to_numpy(), (cells["j"] % block).to_numpy()] = cells["v"].to_numpy()
         return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [dense.tobytes()]})
 
@@ -148,17 +155,30 @@ def _blocks(a: DataFrame, block: int) -> DataFrame:
     return blocks.groupBy("bi", "bj").applyInPandas(pack, "bi bigint, bj bigint, data binary")
 
 
+def _product(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Product over the cells that are there, and where such a product is."""
+    here, there = x.view(np.int64) != ABSENT.view(np.int64), y.view(np.int64) != ABSENT.view(np.int64)
+    some = here.astype(float) @ there.astype(float) > 0
+    x, y = np.where(here, x, 0.0), np.where(there, y, 0.0)
+    if np.isfinite(x).all() and np.isfinite(y).all():
+        return x @ y, some
+    # An infinite cell times an absent one is nothing, not NaN.
+    parts = (np.where(here[:, k, None] & there[k], x[:, k, None] * y[k], 0.0) for k in range(x.shape[1]))
+    return sum(parts), some
+
+
 def _block_mul(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     left = _blocks(a, block).select("bi", F.col("bj").alias("bk"), F.col("data").alias("ldata"))
     right = _blocks(b, block).select(F.col("bi").alias("bk"), "bj", F.col("data").alias("rdata"))
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pairs in batches:
-            sums: dict[tuple[int, int], np.ndarray] = {}
+            sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
             for bi, bj, x, y in zip(pairs["bi"], pairs["bj"], pairs["ldata"], pairs["rdata"]):
-                product = np.frombuffer(x).reshape(block, block) @ np.frombuffer(y).reshape(block, block)
-                sums[bi, bj] = sums[bi, bj] + product if (bi, bj) in sums else product
-            parts = [(np.nonzero(s), bi, bj, s) for (bi, bj), s in sums.items()]
+                product, some = _product(np.frombuffer(x).reshape(block, block), np.frombuffer(y).reshape(block, block))
+                held = sums.get((bi, bj))
+                sums[bi, bj] = (held[0] + product, held[1] | some) if held else (product, some)
+            parts = [(np.nonzero(some), bi, bj, s) for (bi, bj), (s, some) in sums.items()]
             if not parts:
                 continue
             yield pd.DataFrame(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -44,21 +45,23 @@ class Positioned:
     def slice(self, low: int, high: int) -> DataFrame:
         """Rows at positions ``[low, high)``.
 
-        Expressed as ranges on the stored id, which is sorted in every file, so Parquet
-        statistics skip the row groups outside the slice.
+        The stored id grows with the position, so this is one range of it, found by binary search
+        whatever the number of parts; it is sorted in every file, so Parquet statistics skip the row
+        groups outside the slice.
         """
-        ranges: list[Column] = []
-        ends = (*self.starts[1:], self.rows)
-        for part, start, end in zip(self.parts, self.starts, ends):
-            a, b = max(low, start), min(high, end)
-            if a < b:
-                base = (part << ROW_BITS) - start
-                ranges.append((F.col(_MID) >= F.lit(base + a)) & (F.col(_MID) < F.lit(base + b)))
-        keep = ranges[0] if ranges else F.lit(False)
-        for r in ranges[1:]:
-            keep = keep | r
+        low, high = max(low, 0), min(high, self.rows)
+        if low >= high:
+            return self.df.where(F.lit(False)).drop(_MID)
+        keep = F.col(_MID) >= F.lit(self._id(low))
+        if high < self.rows:
+            keep = keep & (F.col(_MID) < F.lit(self._id(high)))
         return self.df.where(keep).drop(_MID)
 
+    def _id(self, position: int) -> int:
+        """The stored id of the row at a position."""
+        k = bisect_right(self.starts, position) - 1
+        return (self.parts[k] << ROW_BITS) + position - self.starts[k]
+
 
 def position_rows(df: DataFrame, *order_by: str) -> Positioned:
     """Order ``df`` globally by ``order_by`` (which must identify rows) and number the rows.

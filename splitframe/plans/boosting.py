@@ -239,6 +239,8 @@ def tree_fit(model: GBTModel, frame: DataFrame, gh: list[tuple[Column, Column]],
         open_ = next_open
     if len(sums) < width:
         _root_sums(open_rows(), sums)
+    if len(sums) < width:
+        raise ValueError("no rows to train on")
 
     def finish(n: TreeNode) -> TreeNode:
         if not n.is_leaf:
@@ -253,6 +255,8 @@ def tree_fit(model: GBTModel, frame: DataFrame, gh: list[tuple[Column, Column]],
 def _root_sums(rows: DataFrame, sums: dict) -> None:
     """Totals of roots that have no possible cut."""
     for r in gh_total(rows.where(F.col("node") == 1), ["cls"]).collect():
+        if r["g"] is None:
+            raise ValueError("no rows to train on")
         sums.setdefault((r["cls"], 1), (r["g"], r["h"]))
 
 

@@ -44,8 +44,12 @@ class LinearModel:
         chosen = features if features is not None else self.features
         at = {f: i for i, f in enumerate(self.features)}
         # One parsed expression per class: a training step builds it anew each time.
-        terms = [[f"`{f}` * {scores.sql_number(self.weights[at[f], c])}" for f in chosen] for c in range(self.width)]
-        return [F.expr(" + ".join(t) if t else "0.0D") for t in terms]
+        numbers = [[scores.sql_number(self.weights[at[f], c]) for f in chosen] for c in range(self.width)]
+        if len(chosen) > INLINE_SUMS:
+            # A long sum is too deep for the parser and for generated code; arrays are flat.
+            values = f"array({', '.join(f'cast(`{f}` as double)' for f in chosen)})"
+            return [F.expr(f"aggregate(zip_with({values}, array({', '.join(n)}), (x, w) -> x * w), 0.0D, (s, x) -> s + x)") for n in numbers]
+        return [F.expr(" + ".join(f"`{f}` * {x}" for f, x in zip(chosen, n)) if n else "0.0D") for n in numbers]
 
     def score_split(self, df: DataFrame) -> DataFrame:
         """Each party's part of the score, and their sum."""
@@ -89,8 +93,10 @@ def residual_sums(frame: DataFrame, model: LinearModel, label: str) -> tuple[np.
     """``X' r`` and the row count; r is p - y, or -y on rows inside the SVM's margin.
 
     A handful of sums is one aggregate in generated code. Beyond that every task multiplies
-    its Arrow batches with NumPy and passes on a single small matrix.
+    its Arrow batches with NumPy and passes on a single small matrix. Rows without a label or
+    with a missing (null or NaN) feature take no part, in the sums or in the count.
     """
+    frame = complete(frame, model.features, label)
     if model.width == 1 and len(model.features) <= INLINE_SUMS:
         r = residual(model, model.margins()[0], F.col(label))
         held = frame.select(*model.features, r.alias("_r"))
@@ -108,12 +114,23 @@ def residual_sums(frame: DataFrame, model: LinearModel, label: str) -> tuple[np.
     return sums, rows
 
 
+def complete(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Rows that have a label and all features."""
+    return df.dropna(subset=list(dict.fromkeys([*features, label])))
+
+
 def residual(model: LinearModel, z: Column, y: Column) -> Column:
     if model.objective == HINGE:
         return F.when(y * z < 1, -y).otherwise(F.lit(0.0))
     return scores.activation(model.objective, z) - y
 
 
+def _some(sums: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    if not sums[1]:
+        raise ValueError("no rows to train on: none has a label and all features")
+    return sums
+
+
 def _partial_sums(model: LinearModel, label: str) -> Callable:
     w, objective, classes, names = model.weights.copy(), model.objective, model.classes, list(model.features)
     off = -1.0 if objective == HINGE else 0.0
@@ -171,12 +188,13 @@ def lr_fit(
         classes = label_classes(df, label) if classes > 1 else None
     width = len(classes) if classes else 1
     objective = scores.pick_objective("classification", width, share_y)
+    df = complete(df, features, label)
     model = LinearModel(list(features), objective, classes, lambda_, np.zeros((len(features), width)), split_col)
     batches = _batches(df, features, label, batch_size, order_by, write)
     step = 0
     for epoch in range(1, n_epochs + 1):
         for batch in batches():
-            sums, rows = residual_sums(batch, model, label)
+            sums, rows = _some(residual_sums(batch, model, label))
             model.weights = (1.0 - lambda_) * model.weights - (lr / epoch / rows) * sums
             if validation is not None and step % val_steps == 0:
                 model.curve.append(("validation", step, evaluate(model, validation, label)))
@@ -228,6 +246,7 @@ def svm_fit(
     if isinstance(classes, int):
         classes = label_classes(df, label) if classes > 1 else None
     width = len(classes) if classes else 1
+    df = complete(df, features, label)
     model = LinearModel(list(features), HINGE, classes, lambda_, np.zeros((len(features), width)))
     needed = list(dict.fromkeys([*features, label]))
     if batch_size is None:
@@ -241,7 +260,7 @@ def svm_fit(
         else:
             batches = _runs(rows, id, n_steps, batch_size, seed)
     for t, batch in enumerate(batches, start=1):
-        sums, rows = residual_sums(batch, model, label)
+        sums, rows = _some(residual_sums(batch, model, label))
         rate = 1.0 / (lambda_ * t)
         model.weights = (1.0 - rate * lambda_) * model.weights - (rate / rows) * sums
         if validation is not None and t % val_steps == 0:

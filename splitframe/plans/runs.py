@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.align import psi_join
 from ..operators.binning import Edges, bin_label, quantile_edges
-from ..operators.prep import find_label_party
+from ..operators.prep import find_label_party, merged_columns
 from ..operators.shares import ROW_ID, psi_shares, share_reconstruct
 from ..session import materialise
-from ..spec import LABEL, Party
+from ..spec import COMPANY, LABEL, PARTNER, Party, TableSpec
 from . import boosting, linear
 
 
@@ -68,9 +69,25 @@ def _aligned(company: DataFrame, partner: DataFrame, on: str, public: tuple[str,
     return share_reconstruct(ours, theirs, keep=public), ours, theirs
 
 
+def _with_own_names(company: Party, partner: Party) -> tuple[Party, Party]:
+    """Both parties with the id under company's name, and no other column name in common."""
+    id = company.spec.id
+    right = partner.df.withColumnRenamed(partner.spec.id, id) if partner.spec.id != id else partner.df
+    columns = lambda party: [c for c in party.spec.columns if c != party.spec.id]
+    names = {(side, x): out for side, x, out in merged_columns([id, *columns(company)], [id, *columns(partner)], id)}
+
+    def renamed(df: DataFrame, party: Party, side: str) -> Party:
+        out = {x: names[side, x] for x in columns(party)}
+        spec = TableSpec(id, tuple(out[f] for f in party.spec.features), tuple(out[f] for f in party.spec.public), out.get(party.spec.label))
+        return Party(df.select(id, *[F.col(x).alias(y) for x, y in out.items()]), spec)
+
+    return renamed(company.df, company, COMPANY), renamed(right, partner, PARTNER)
+
+
 def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(), validation: DataFrame | None = None) -> RunResult:
     """Align two tables, share them and fit a logistic regression."""
     holder = find_label_party(company.df, partner.df)
+    company, partner = _with_own_names(company, partner)
     table, ours, theirs = _aligned(company.table(), partner.table(), company.spec.id, (), options)
     features = [*company.spec.features, *partner.spec.features]
     order = ROW_ID if options.through_shares else company.spec.id
@@ -103,6 +120,7 @@ def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions()
     wasted on inputs that are plain Parquet already.
     """
     holder = find_label_party(company.df, partner.df)
+    company, partner = _with_own_names(company, partner)
     sides, edges = [], Edges({})
     for party in (company, partner):
         table = materialise(party.table(), "party") if options.write_parties else party.table()

@@ -55,12 +55,12 @@ def _write(df: DataFrame, path: str, format: str) -> None:
 
 
 def sink_bins(df: DataFrame, id: str, features: list[str], path: str, suffix: str = "_bin") -> None:
-    """Write bin membership as the row id and one small integer column per feature.
+    """Write bin membership as the row id and one integer column per feature.
 
     Columns already let a reader take some features only, without a file per task and feature
     and without repeating the id for every feature.
     """
-    bins = [F.col(f + suffix).cast("smallint").alias(f + suffix) for f in features]
+    bins = [F.col(f + suffix).cast("int").alias(f + suffix) for f in features]
     df.select(id, *bins).write.mode("overwrite").parquet(path)
 
 

@@ -101,3 +101,24 @@ def test_edges_come_from_the_whole_table_not_the_overlap(spark):
     joined, edges = b.bin_before_join(company, partner, ["c"], ["p"], 1)
     assert edges.cuts == {"c": (49.5,), "p": (144.5,)}
     assert {(r["c_bin"], r["p_bin"]) for r in joined.collect()} == {(1, 0)}
+
+
+def test_infinite_edges_and_values(spark):
+    inf = math.inf
+    values = [-inf, -1.0, 0.0, 2.0, inf, None, math.nan]
+    df = frame(spark, x=values).withColumn("n", F.monotonically_increasing_id())
+    for cuts in ([-inf, 0.0, 0.0, inf], [-inf, inf], [0.0, 2.0], [-inf, -inf, 1.0], [inf]):
+        for equal in (False, True):
+            got = [r["c"] for r in b.count_below(df, [("c", "x", cuts, equal)]).orderBy("n").collect()]
+            want = [None if v is None or math.isnan(v) else sum(c <= v if equal else c < v for c in cuts) for v in values]
+            assert got == want, (cuts, equal)
+
+
+def test_edges_under_the_names_of_the_joined_table(spark):
+    left = frame(spark, id=range(8), x0=range(8), u=range(8))
+    right = frame(spark, id=range(8), x0=[v * 10 for v in range(8)])
+    joined, edges = b.bin_before_join(left, right, ["x0", "u"], ["x0"], 3)
+    assert set(edges.features) == {"company_x0", "u", "partner_x0"} and edges.cuts["partner_x0"] == tuple(10 * e for e in edges.cuts["company_x0"])
+    assert b.bin_edge_join(joined, "id", edges).count() == 24
+    with pytest.raises(ValueError):
+        b.Edges({"a": (1.0,)}).merge(b.Edges({"a": (2.0,)}))

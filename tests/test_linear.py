@@ -142,3 +142,47 @@ def test_weights_that_run_away_stay_valid(spark):
     df, *_ = data(spark)
     model = linear.LinearModel(NAMES, "logistic", None, 0.0, np.array([[np.inf], [1e300], [-1.0]]))
     assert model.predict(df).count() == 300
+
+
+def test_rows_with_missing_values_take_no_part_either_way(spark, monkeypatch):
+    df, x, y = data(spark)
+    holes = df.withColumns(
+        {
+            "a": F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("a")),
+            "b": F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("b")),
+            "y": F.when(F.col("id") % 13 != 0, F.col("y")),
+        }
+    )
+    keep = np.array([i % 7 != 0 and i % 11 != 0 and i % 13 != 0 for i in range(len(x))])
+    want = descend(x[keep], y[keep, None], sigmoid, 3, len(x), 0.1, 0.0)
+    for inline in (64, 0):
+        monkeypatch.setattr(linear, "INLINE_SUMS", inline)
+        assert np.allclose(lr_fit(holes, NAMES, n_epochs=3).weights, want)
+
+
+def test_no_rows_is_a_plain_error(spark):
+    df, *_ = data(spark)
+    for fit in (lr_fit, svm_fit):
+        with pytest.raises(ValueError, match="no rows"):
+            fit(df.where("id < 0"), NAMES, batch_size=None)
+
+
+def test_two_thousand_features_are_scored(spark):
+    names = [f"f{i}" for i in range(2000)]
+    df = spark.range(20).select("id", *[(F.col("id") * 0.001 * (i % 7)).alias(n) for i, n in enumerate(names)])
+    w = np.linspace(-1, 1, 2000)[:, None]
+    model = linear.LinearModel(names, "logistic", None, 0.0, w, split_col=800)
+    x = np.outer(np.arange(20), [0.001 * (i % 7) for i in range(2000)])
+    got = model.score_split(df).orderBy("id").select("z_company", "z_partner", "z").collect()
+    assert np.allclose([r["z"] for r in got], (x @ w).ravel()) and np.allclose([r["z_company"] for r in got], (x[:, :800] @ w[:800]).ravel())
+
+
+def test_slices_of_very_many_parts_are_one_range(spark):
+    from splitframe.operators.position import _MID, ROW_BITS, Positioned
+
+    rows = [(p, k, (p << ROW_BITS) + k) for p in range(0, 4000, 2) for k in range(3)]
+    df = spark.createDataFrame(rows, f"p int, k int, {_MID} long")
+    placed = Positioned(df, tuple(range(0, 4000, 2)), tuple(range(0, 6000, 3)), 6000)
+    for low, high in ((0, 6000), (1, 5998), (2999, 3001), (-5, 2), (5999, 9999), (7, 7)):
+        got = [(r["p"] // 2) * 3 + r["k"] for r in placed.slice(low, high).collect()]
+        assert sorted(got) == list(range(max(low, 0), min(high, 6000)))

@@ -75,3 +75,20 @@ def test_same_shape(spark):
     noise = dense(m.mat_random_like(a, -2, 3, "s"), A.shape)
     assert noise.min() >= -2 and noise.max() <= 2 and len(np.unique(noise)) == 5
     assert np.array_equal(noise, dense(m.mat_random_like(a.repartition(3), -2, 3, "s"), A.shape))
+
+
+@pytest.mark.parametrize("options", [{}, {"small_cells": 0, "block": 2}])
+def test_products_have_the_same_cells_either_way(spark, options):
+    """Zero sums stay, absent cells give nothing, and an infinite cell meets only what is there."""
+    inf = float("inf")
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, -1.0), (1, 2, inf), (3, 3, 0.0)], "i long, j long, v double")
+    b = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0), (2, 1, 2.0), (3, 0, 5.0)], "i long, j long, v double")
+    got = {(r["i"], r["j"]): r["v"] for r in m.mat_mul(a, b, **options).collect()}
+    assert got == {(0, 0): 0.0, (1, 1): inf, (3, 0): 0.0}
+
+
+def test_assign_adds_and_removes_cells(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (5, 5, 9.0)], "i long, j long, v double")
+    value = spark.createDataFrame([(0, 1, 7.0), (1, 1, 8.0), (4, 4, 3.0)], "i long, j long, v double")
+    got = {(r["i"], r["j"]): r["v"] for r in m.mat_assign(a, value, slice(0, 2), slice(0, 2)).collect()}
+    assert got == {(0, 1): 7.0, (1, 1): 8.0, (5, 5): 9.0}
