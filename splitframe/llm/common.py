@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters between words, and a word.
-SPACE = r"[\x20\x09-\x0D]"
+# Fixed value: a word is a run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,12 +67,3 @@ class Vocabulary(dict):
         if len(self) > self.limit:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def add_columns(df: DataFrame, **cols: Column) -> DataFrame:
-    """New columns beside those of ``df``; one of the same name is replaced."""
-    return df.withColumns(cols)
