@@ -47,7 +47,7 @@ class Vocabulary(dict):
     nothing that leaves the task depends on the numbers.
     """
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 80_000):
         super().__init__()
         self.limit = limit
         self.hashes = np.empty(1024, np.uint64)
