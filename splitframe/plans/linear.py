@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.keys import keyed_digest
 from ..operators.metrics import accuracy
 from ..operators.position import Positioned, position_rows
 from ..operators.prep import iter_batches, label_classes
@@ -19,8 +18,11 @@ from ..session import materialise
 
 HINGE = "hinge"
 INLINE_SUMS = 64
-DRAWN_ROWS = 50_000
-DRAWN_BATCH = 10_000
+# Rows and steps that are drawn at once at most.
+DRAWN_ROWS, DRAWN_STEPS = 50_000, 1_000
+# Fixed value: a prime below 2**31, so that a product of two rests fits in a long.
+PRIME = 2**31 - 1
+ROUNDS = 24
 
 
 @dataclass
@@ -240,8 +242,8 @@ def svm_fit(
     """Sub-gradient steps with rate ``1 / (lambda t)``; labels -1/+1, or one-vs-rest classes.
 
     ``w <- (1 - rate lambda) w + (rate / b) sum(y x over rows with y f(x) < 1)``. A batch is
-    drawn anew for each step, without replacement; ``batch_size=None`` uses all rows in every
-    step. Batches over 10,000 rows are runs of one random order, from a random place each.
+    drawn anew for each step, without replacement, by one law at every size; ``batch_size=None``
+    uses all rows in every step.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label) if classes > 1 else None
@@ -254,11 +256,10 @@ def svm_fit(
         frame = materialise(frame, "train") if write else frame
         batches: Iterator[DataFrame] = (frame for _ in range(n_steps))
     else:
-        rows = df.select(*dict.fromkeys([id, *needed]))
-        if batch_size <= DRAWN_BATCH:
-            batches = _drawn(position_rows(rows, id), n_steps, batch_size, seed)
-        else:
-            batches = _runs(rows, id, n_steps, batch_size, seed)
+        placed = position_rows(df.select(*dict.fromkeys([id, *needed])), id)
+        if not placed.rows:
+            raise ValueError("no rows to train on: none has a label and all features")
+        batches = _drawn(placed, n_steps, batch_size, seed)
     for t, batch in enumerate(batches, start=1):
         sums, rows = _some(residual_sums(batch, model, label))
         rate = 1.0 / (lambda_ * t)
@@ -268,35 +269,45 @@ def svm_fit(
     return model
 
 
+def draw_keys(seed: int, step: int) -> list[tuple[int, int, int]]:
+    """What a step's permutation is made of: for each round a shift, a factor and an addend."""
+    rng = np.random.default_rng([seed, step])
+    return [(int(rng.integers(2**62)), int(rng.integers(1, PRIME)), int(rng.integers(PRIME))) for _ in range(ROUNDS)]
+
+
+def permuted(x: str, keys: str, rows: int) -> str:
+    """SQL text for the place of ``x`` in a random permutation of the numbers below ``rows``.
+
+    Each round pairs the numbers that add up to its shift and swaps a pair or not, by a hash of its
+    larger one. A round undoes itself, so reversed keys give the inverse.
+    """
+    other = f"pmod(k.shift - x, {rows}L)"
+    coin = f"(greatest(x, {other}) % {PRIME}L * k.times + k.plus) % {PRIME}L < {PRIME // 2}L"
+    return f"aggregate({keys}, {x}, (x, k) -> if({coin}, {other}, x))"
+
+
 def _drawn(placed: Positioned, n_steps: int, size: int, seed: int) -> Iterator[DataFrame]:
-    """Batches without replacement for many steps at once.
+    """Batches without replacement: step t has the rows whose places a permutation puts below ``size``.
 
-    Row numbers are drawn on the driver, at most 50,000 at a time whatever the table's size;
-    the rows of those steps are fetched in one scan and written, then read step by step.
+    The inverse permutation names the rows of many small batches at once; those are fetched in one
+    scan and written, then read step by step. A batch over ``DRAWN_ROWS`` is a filter on the scan.
+    Both ways give the same rows.
     """
-    rng = np.random.default_rng(seed)
     spark = placed.df.sparkSession
     size = min(size, placed.rows)
-    at_once = max(1, DRAWN_ROWS // size)
+    numbered = placed.with_position("_pos")
+    if size > DRAWN_ROWS:
+        for t in range(n_steps):
+            keys = ", ".join(f"named_struct('shift', {a}L, 'times', {b}L, 'plus', {c}L)" for a, b, c in draw_keys(seed, t))
+            yield numbered.where(f"{permuted('_pos', f'array({keys})', placed.rows)} < {size}L").drop("_pos")
+        return
+    at_once = min(DRAWN_ROWS // size, DRAWN_STEPS)
     for low in range(0, n_steps, at_once):
         steps = range(low, min(low + at_once, n_steps))
-        draws = [(t, int(p)) for t in steps for p in rng.choice(placed.rows, size, replace=False)]
-        wanted = F.broadcast(spark.createDataFrame(draws, "_step int, _pos bigint"))
-        fetched = placed.with_position("_pos").join(wanted, "_pos").drop("_pos")
+        keys = spark.createDataFrame([(t, draw_keys(seed, t)) for t in steps], "_step int, _keys array<struct<shift:bigint,times:bigint,plus:bigint>>")
+        draws = keys.selectExpr("_step", "reverse(_keys) AS _keys", f"explode(sequence(0L, {size - 1}L)) AS _i")
+        wanted = F.broadcast(draws.selectExpr("_step", f"{permuted('_i', '_keys', placed.rows)} AS _pos"))  # DRAWN_ROWS at most
+        fetched = numbered.join(wanted, "_pos").drop("_pos")
         stored = materialise(fetched.repartition("_step").sortWithinPartitions("_step"), "drawn")
         for t in steps:
             yield stored.where(F.col("_step") == t)
-
-
-def _runs(rows: DataFrame, id: str, n_steps: int, size: int, seed: int) -> Iterator[DataFrame]:
-    """Large batches: the table is put in one random order, and a step takes a run of it.
-
-    The run starts at a random place and wraps around; reading it skips the rest of the files.
-    """
-    rng = np.random.default_rng(seed)
-    placed = position_rows(rows.withColumn("_draw", keyed_digest(seed, id)), "_draw", id)
-    size = min(size, placed.rows)
-    for _ in range(n_steps):
-        start = int(rng.integers(placed.rows))
-        run, past = placed.slice(start, start + size), start + size - placed.rows
-        yield run if past <= 0 else run.unionByName(placed.slice(0, past))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import accuracy, curve_table
 from ..operators.prep import hashed_train_test_split, recode_label_pm1
-from ..plans.linear import LinearModel, lr_fit, svm_fit
+from ..plans.linear import PRIME, ROUNDS, LinearModel, draw_keys, lr_fit, svm_fit
 from ..plans.runs import RunOptions, run_linear
 from ..spec import Party
 from .fixtures import FEATURES_A, SQL_A_SCALED, SQL_E, scaled_a, wide_e
@@ -184,7 +184,25 @@ def _(spark, sf):
     return _model("hinge").predict(_pm(spark, sf)).select("id", "prediction")
 
 
-@query("svm_fit_sampled")
+def _drawn_sql(steps: int, size: int, seed: int) -> str:
+    """CTE b: the rows of each step's batch, by the same permutations of the row numbers."""
+    keys = ", ".join(f"({t}, {r}, {a}, {b}, {c})" for t in range(steps) for r, (a, b, c) in enumerate(draw_keys(seed, t)))
+    out = [
+        f"k as (select * from (values {keys}) as k(step, round, shift, times, plus))",
+        "n as (select count(*) as n from m)",
+        "p0 as (select m.*, step, x from (select *, row_number() over (order by id) - 1 as x from m) as m, (select distinct step from k))",
+    ]
+    coin = f"(greatest(x, other) % {PRIME} * times + plus) % {PRIME} < {PRIME // 2}"
+    for r in range(ROUNDS):
+        pairs = f"select p.*, times, plus, (shift % n - x + n) % n as other from p{r} as p join k on p.step = k.step and k.round = {r}, n"
+        out.append(f"p{r + 1} as (select * exclude (x, times, plus, other), case when {coin} then other else x end as x from ({pairs}))")
+    return ", ".join([*out, f"b as (select * from p{ROUNDS} where x < {size})"])
+
+
+_DRAWN_STEPS = [(shrink, rate, f"step = {t}") for t, (shrink, rate, _) in enumerate(_svm_steps(10, 0.5))]
+
+
+@query("svm_fit_sampled", f"with {_PM}, {_drawn_sql(10, 64, 3)}, {steps_sql(_DRAWN_STEPS, _HINGE, 'b')} {_weights(10)}")
 def _(spark, sf):
     model = svm_fit(_pm(spark, sf), FEATURES_A, lambda_=0.5, n_steps=10, batch_size=64, seed=3)
     return _weight_rows(spark, model)

@@ -123,15 +123,31 @@ def test_each_party_scores_its_own_columns(spark):
     assert r["z"] == pytest.approx(r["z_company"] + r["z_partner"])
 
 
-def test_large_batches_are_runs_of_a_random_order(spark):
+def test_large_and_small_batches_are_drawn_alike(spark, monkeypatch):
     df, *_ = data(spark)
-    batches = [sorted(r["id"] for r in b.collect()) for b in linear._runs(df, "id", 4, 200, 1)]
-    assert all(len(set(ids)) == 200 for ids in batches)
-    assert batches[0] != batches[1] and batches[0] != list(range(200))
+    placed = position_rows(df.select("id", *NAMES, "y"), "id")
+    drawn = lambda: [sorted(r["id"] for r in b.collect()) for b in linear._drawn(placed, 4, 200, 1)]
+    small = drawn()
+    monkeypatch.setattr(linear, "DRAWN_ROWS", 50)
+    assert small == drawn()
+    assert all(len(set(ids)) == 200 for ids in small) and small[0] != small[1]
+
+
+def test_draws_are_even(spark):
+    df, *_ = data(spark)
+    placed = position_rows(df.select("id"), "id")
+    batches = linear._drawn(placed, 400, 30, 2)
+    batch = next(batches)
+    stored = spark.read.parquet(batch.inputFiles()[0].rsplit("/", 1)[0])
+    assert stored.groupBy("_step").count().where("count <> 30").count() == 0
+    counts = [r["count"] for r in stored.groupBy("id").count().collect()]
+    # 40 of 400 steps each, with a standard deviation of 6.
+    assert len(counts) == 300 and 10 < min(counts) and max(counts) < 70
+    assert 4.5 < np.std(counts) < 7.5
 
 
 def test_large_batch_steps(spark, monkeypatch):
-    monkeypatch.setattr(linear, "DRAWN_BATCH", 50)
+    monkeypatch.setattr(linear, "DRAWN_ROWS", 50)
     df, *_ = data(spark)
     pm = df.withColumn("y", F.when(F.col("y") == 0, -1.0).otherwise(F.col("y")))
     model = svm_fit(pm, NAMES, lambda_=0.1, n_steps=5, batch_size=250)
