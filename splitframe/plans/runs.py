@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import psi_join
@@ -32,11 +33,13 @@ class RunOptions:
 
     The exception is ``batch_size``, usually 1024: a step is a job, and a large table has too many
     batches of that size to take one after another. ``None`` takes one step per epoch.
+    ``seed`` has no default, as who knows it can undo shares: it is needed where any are made.
+    ``bins_to`` also stores the cut points, in a folder named like it with ``_edges`` added.
     """
 
     share_y: bool = False
     through_shares: bool = True
-    seed: int | str = "run"
+    seed: int | str | None = None
     unique_ids: bool = False
     skew: str = "aqe"
     reg_coef: float = 0.0
@@ -56,11 +59,17 @@ class RunOptions:
     model_to: dict[str, str] | None = None
 
 
+def _seed(opt: RunOptions) -> int | str:
+    if opt.seed is None:
+        raise ValueError("shares need a secret seed: pass RunOptions(seed=...)")
+    return opt.seed
+
+
 def _aligned(company: DataFrame, partner: DataFrame, on: str, public: tuple[str, ...], opt: RunOptions) -> tuple:
     """The training table, by way of shares or straight from the join."""
     if not opt.through_shares:
         return psi_join(company, partner, on, opt.skew), None, None
-    ours, theirs = psi_shares(company, partner, opt.seed, on, opt.unique_ids, public, opt.skew)
+    ours, theirs = psi_shares(company, partner, _seed(opt), on, opt.unique_ids, public, opt.skew)
     if opt.shares_to:
         from ..sources.stores import scan_shares, sink_shares
 
@@ -89,11 +98,15 @@ def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(
     holder = find_label_party(company.df, partner.df)
     company, partner = _with_own_names(company, partner)
     table, ours, theirs = _aligned(company.table(), partner.table(), company.spec.id, (), options)
-    features = [*company.spec.features, *partner.spec.features]
     order = ROW_ID if options.through_shares else company.spec.id
+    model = _fit_linear(table, company.spec.features, partner.spec.features, order, options, validation)
+    return RunResult(model, holder, table, ours, theirs, list(company.spec.features))
+
+
+def _fit_linear(table: DataFrame, ours: Sequence[str], theirs: Sequence[str], order: str, options: RunOptions, validation: DataFrame | None) -> linear.LinearModel:
     model = linear.lr_fit(
         table,
-        features,
+        [*ours, *theirs],
         LABEL,
         options.classes,
         options.reg_coef,
@@ -102,7 +115,7 @@ def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(
         options.batch_size,
         [order],
         options.share_y,
-        len(company.spec.features),
+        len(ours),
         validation,
         options.val_steps,
     )
@@ -110,7 +123,7 @@ def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(
         from ..sources.stores import save_linear
 
         save_linear(table.sparkSession, model, options.model_to)
-    return RunResult(model, holder, table, ours, theirs, list(company.spec.features))
+    return model
 
 
 def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions(), validation: DataFrame | None = None) -> RunResult:
@@ -131,9 +144,15 @@ def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions()
     public = tuple(f"{f}_bin" for f in features)
     table, ours, theirs = _aligned(sides[0], sides[1], company.spec.id, public, options)
     if options.bins_to:
-        from ..sources.stores import sink_bins
+        from ..sources.stores import sink_bins, sink_edges
 
         sink_bins(table, ROW_ID if options.through_shares else company.spec.id, features, options.bins_to)
+        sink_edges(table.sparkSession, edges, f"{options.bins_to}_edges")
+    model = _fit_trees(table, features, list(company.spec.features), edges, options, validation)
+    return RunResult(model, holder, table, ours, theirs, list(company.spec.features))
+
+
+def _fit_trees(table: DataFrame, features: list[str], own: list[str], edges: Edges, options: RunOptions, validation: DataFrame | None) -> boosting.GBTModel:
     model = boosting.gbt_fit(
         table,
         features,
@@ -151,7 +170,44 @@ def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions()
     if options.model_to:
         from ..sources.stores import save_trees
 
-        save_trees(table.sparkSession, model, list(company.spec.features), options.model_to, seed=0)
-    return RunResult(model, holder, table, ours, theirs, list(company.spec.features))
+        save_trees(table.sparkSession, model, own, options.model_to, _seed(options))
+    return model
+
+
+def resume_linear(
+    spark: SparkSession, shares: dict[str, str], company_features: list[str], options: RunOptions = RunOptions(), validation: DataFrame | None = None
+) -> RunResult:
+    """Fit on shares that an earlier run stored (``shares_to``), without aligning again.
+
+    ``company_features`` are the names in the stored tables; all others but the row id and the
+    label are partner's.
+    """
+    ours, theirs = _stored(spark, shares)
+    partner_features = [c for c in ours.columns if c not in {ROW_ID, LABEL, *company_features}]
+    table = share_reconstruct(ours, theirs)
+    model = _fit_linear(table, company_features, partner_features, ROW_ID, options, validation)
+    return RunResult(model, "", table, ours, theirs, list(company_features))
+
+
+def resume_trees(
+    spark: SparkSession, shares: dict[str, str], bins: str, company_features: list[str], options: RunOptions = RunOptions(), validation: DataFrame | None = None
+) -> RunResult:
+    """Boost trees on stored shares, bins and cut points (``shares_to``, ``bins_to``).
+
+    Of the shares only the label is put together; bins join by row id, so rows without bins, which
+    a run does not write, take no part.
+    """
+    from ..sources.stores import scan_edges
+
+    ours, theirs = _stored(spark, shares)
+    edges = scan_edges(spark, f"{bins}_edges")
+    features = [*company_features, *[f for f in edges.features if f not in company_features]]
+    table = share_reconstruct(ours, theirs, [LABEL]).join(spark.read.parquet(bins), ROW_ID)
+    model = _fit_trees(table, features, list(company_features), edges, options, validation)
+    return RunResult(model, "", table, ours, theirs, list(company_features))
+
 
+def _stored(spark: SparkSession, shares: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    from ..sources.stores import scan_shares
 
+    return scan_shares(spark, shares["company"], shares["partner"])

@@ -8,8 +8,10 @@ from .stores import (
     save_linear,
     save_trees,
     scan_bins,
+    scan_edges,
     scan_shares,
     sink_bins,
+    sink_edges,
     sink_shares,
 )
 

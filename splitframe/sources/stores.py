@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -16,6 +17,7 @@ from ..plans.linear import LinearModel
 from .matrices import scan_npy
 
 FORMATS = ("parquet", "csv")
+EDGE_SCHEMA = "place int, feature string, edge_idx int, edge double"
 
 
 # --- shares --------------------------------------------------------------------------------------
@@ -71,6 +73,21 @@ def scan_bins(spark: SparkSession, path: str, id: str, features: list[str] | Non
     return long_bins(df, id, features, suffix).select(id, "feature", F.col("bin").cast("int").alias("bin"))
 
 
+def sink_edges(spark: SparkSession, edges: Edges, path: str) -> None:
+    """Write the cut points, a bounded table, with the place of each feature."""
+    place = {f: i for i, f in enumerate(edges.features)}
+    rows = [(place[f], f, i, float(e)) for f, cuts in edges.cuts.items() for i, e in enumerate(cuts)]
+    spark.createDataFrame(rows, EDGE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def scan_edges(spark: SparkSession, path: str) -> Edges:
+    """Read cut points, features in the order in which they were written."""
+    cuts: dict[str, list[float]] = {}
+    for r in spark.read.schema(EDGE_SCHEMA).parquet(path).orderBy("place", "edge_idx").collect():
+        cuts.setdefault(r["feature"], []).append(r["edge"])
+    return Edges({f: tuple(c) for f, c in cuts.items()})
+
+
 # --- models ----------------------------------------------------------------------------------------
 
 
@@ -127,7 +144,7 @@ TREE_SCHEMA = "tree int, cls int, node bigint, feature string, bin int, gain dou
 
 
 def save_trees(
-    spark: SparkSession, model: GBTModel, company_features: list[str], paths: dict[str, str], seed: int, format: str = "parquet"
+    spark: SparkSession, model: GBTModel, company_features: list[str], paths: dict[str, str], seed: int | str, format: str = "parquet"
 ) -> None:
     """Tree structure to both parties, cut points to their owner, leaf weights as two shares."""
     info = {
@@ -141,7 +158,7 @@ def save_trees(
         "format": format,
     }
     half = SHARE_DOMAIN // 2
-    rng = np.random.default_rng(seed)
+    rng = np.random.default_rng(int(hashlib.sha256(f"{seed}|leaves".encode()).hexdigest(), 16))
     leaves = [n for n in model.nodes if n.is_leaf]
     masks = [float(m) for m in rng.integers(-half, half, len(leaves))]
     shares = {

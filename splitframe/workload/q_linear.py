@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.metrics import accuracy, curve_table
 from ..operators.prep import hashed_train_test_split, recode_label_pm1
 from ..plans.linear import PRIME, ROUNDS, LinearModel, draw_keys, lr_fit, svm_fit
-from ..plans.runs import RunOptions, run_linear
+from ..plans.runs import RunOptions, resume_linear, run_linear
 from ..spec import Party
 from .fixtures import FEATURES_A, SQL_A_SCALED, SQL_E, scaled_a, wide_e
-from .registry import query, rnd, sql_rnd
+from .registry import query, rnd, scratch, sql_rnd
 
 SIGMOID = "1.0E0 / (1.0E0 + exp(-({z})))"
 
@@ -235,4 +235,12 @@ def scaled_parties(spark, sf):
 @query("lr_end_to_end", LR_TWO_STEPS)
 def _(spark, sf):
     company, partner = scaled_parties(spark, sf)
-    return _weight_rows(spark, run_linear(company, partner, RunOptions(n_epochs=2, batch_size=None, unique_ids=True)).model)
+    return _weight_rows(spark, run_linear(company, partner, RunOptions(seed="run", n_epochs=2, batch_size=None, unique_ids=True)).model)
+
+
+@query("lr_resume", lr_steps_sql(3, 0.1))
+def _(spark, sf):
+    company, partner = scaled_parties(spark, sf)
+    stored = {side: f"{scratch(spark)}/{side}" for side in ("company", "partner")}
+    run_linear(company, partner, RunOptions(seed="run", n_epochs=1, unique_ids=True, shares_to=stored))
+    return _weight_rows(spark, resume_linear(spark, stored, ["c0", "c1"], RunOptions(n_epochs=3)).model)

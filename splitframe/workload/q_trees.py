@@ -11,10 +11,10 @@ from ..functions import scores
 from ..operators import splits
 from ..operators.binning import bin_label, quantile_edges
 from ..plans.boosting import gbt_fit
-from ..plans.runs import RunOptions, run_trees
+from ..plans.runs import RunOptions, resume_trees, run_trees
 from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, parties, stored, wide_e
 from .q_bins import COMPANY_COLS, PARTNER_COLS, edges_a_sql, edges_sql
-from .registry import query, rnd, sql_rnd
+from .registry import query, rnd, scratch, sql_rnd
 
 K = 20
 LOGISTIC_GH = ("1.0E0 / (1.0E0 + exp(-score)) - y", "1.0E0 / (1.0E0 + exp(-score)) * (1.0E0 - 1.0E0 / (1.0E0 + exp(-score)))")
@@ -285,5 +285,16 @@ def _(spark, sf):
 @query("gbt_end_to_end", f"{_FOREST} {nodes_sql(2)}")
 def _(spark, sf):
     company, partner = parties(spark, sf, "a")
-    options = RunOptions(reg_coef=1.0, k_quantiles=K, n_estimators=2, max_depth=2, unique_ids=True, curve=False)
+    options = RunOptions(seed="run", reg_coef=1.0, k_quantiles=K, n_estimators=2, max_depth=2, unique_ids=True, curve=False)
     return node_rows(spark, run_trees(company, partner, options).model)
+
+
+@query("gbt_resume", f"{_FOREST} {nodes_sql(2)}")
+def _(spark, sf):
+    company, partner = parties(spark, sf, "a")
+    place = scratch(spark)
+    stored = {side: f"{place}/{side}" for side in ("company", "partner")}
+    first = RunOptions(seed="run", reg_coef=1.0, k_quantiles=K, n_estimators=1, max_depth=1, unique_ids=True, curve=False, shares_to=stored, bins_to=f"{place}/bins")
+    run_trees(company, partner, first)
+    options = RunOptions(reg_coef=1.0, n_estimators=2, max_depth=2, curve=False)
+    return node_rows(spark, resume_trees(spark, stored, f"{place}/bins", ["c0", "c1"], options).model)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -39,3 +42,8 @@ def sql_rnd(x: str, digits: int = 6) -> str:
 
 def rounded(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keys, *[rnd(v, digits).alias(v) for v in values])
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"

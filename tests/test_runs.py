@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from splitframe.plans import RunOptions, run_linear, run_trees
+from splitframe.plans import RunOptions, resume_linear, resume_trees, run_linear, run_trees
 from splitframe.spec import Party
 
 
@@ -35,3 +35,27 @@ def test_no_common_ids_is_a_plain_error(spark):
     for run in (run_linear, run_trees):
         with pytest.raises(ValueError):
             run(company, partner, RunOptions(seed="s"))
+
+
+def test_shares_need_a_seed(spark):
+    company, partner = sides(spark)
+    for run in (run_linear, run_trees):
+        with pytest.raises(ValueError, match="seed"):
+            run(company, partner)
+
+
+def test_stored_shares_bins_and_edges_train_like_the_run_that_wrote_them(spark, tmp_path):
+    company, partner = sides(spark)
+    stored = {side: str(tmp_path / side) for side in ("company", "partner")}
+    options = RunOptions(seed="s", n_epochs=3, max_depth=2, k_quantiles=4, reg_coef=1e-3, batch_size=50, shares_to=stored, bins_to=str(tmp_path / "bins"))
+    later = RunOptions(n_epochs=3, max_depth=2, reg_coef=1e-3, batch_size=50)
+    trees = run_trees(company, partner, options)
+    names = trees.company_features
+    again = resume_trees(spark, stored, str(tmp_path / "bins"), names, later)
+    assert again.model.features == trees.model.features and again.model.edges == trees.model.edges
+    key = lambda n: (n.tree, n.node, n.feature, n.bin, n.edge)
+    assert [key(n) for n in again.model.nodes] == [key(n) for n in trees.model.nodes]
+    lines = run_linear(company, partner, options)
+    again = resume_linear(spark, stored, names, later)
+    assert again.model.features == lines.model.features and again.model.split_col == 2
+    assert np.allclose(again.model.weights, lines.model.weights)

@@ -168,7 +168,7 @@ def test_linear_run(spark, tmp_path, through):
     a, b = halves(spark)
     check = a.df.join(b.df, "id")
     paths = {p: str(tmp_path / p) for p in ("company", "partner")}
-    opt = RunOptions(through_shares=through, batch_size=64, n_epochs=2, lr=0.5, model_to=paths)
+    opt = RunOptions(seed="s", through_shares=through, batch_size=64, n_epochs=2, lr=0.5, model_to=paths)
     result = run_linear(a, b, opt, validation=check)
     assert result.label_party == "partner"
     assert result.model.curve[-1][2] > 0.9
@@ -179,7 +179,7 @@ def test_tree_run_stores_shares_bins_and_model(spark, tmp_path):
     a, b = halves(spark)
     check = a.df.join(b.df, "id")
     named = lambda kind: {p: str(tmp_path / kind / p) for p in ("company", "partner")}
-    opt = RunOptions(n_estimators=2, max_depth=2, reg_coef=1e-3, shares_to=named("shares"), model_to=named("model"), bins_to=str(tmp_path / "bins"))
+    opt = RunOptions(seed="s", n_estimators=2, max_depth=2, reg_coef=1e-3, shares_to=named("shares"), model_to=named("model"), bins_to=str(tmp_path / "bins"))
     result = run_trees(a, b, opt, validation=check)
     plain = run_trees(a, b, RunOptions(n_estimators=2, max_depth=2, reg_coef=1e-3, through_shares=False, curve=False))
     for m, n in zip(result.model.nodes, plain.model.nodes, strict=True):
