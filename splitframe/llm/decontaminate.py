@@ -69,6 +69,36 @@ def _few(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def _other_leaks(windows: DataFrame, item: DataFrame, text: DataFrame, covered: int) -> DataFrame:
+    """Leaks among ``windows`` (row, item_id, near, shift, item_tokens, at, width); those of one ``near`` count together."""
+    group = ["row", "item_id", "near", "item_tokens"]
+    places = windows.select(*group, F.col("at").alias("start"), "shift", F.explode(F.expr("sequence(at, at + width - 1)")).alias("at"))
+    pairs = places.join(item, ["item_id", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
+    pairs = pairs.withColumn("value", plain(F.col("value")))
+    same = plain(F.col("given")) == F.col("value")
+    pairs = pairs.groupBy(*group, "start", "shift").agg(F.collect_list(F.struct("at", "given", "value")).alias("p"), F.bool_and(same).alias("verbatim"))
+    by_place = (
+        pairs.select(*group, "verbatim", F.inline("p"))
+        .groupBy(*group, "at", "given")
+        .agg(F.collect_set("value").alias("values"), F.bool_or("verbatim").cast("bigint").alias("verbatim"))
+    )
+    all_values = F.collect_list("values")
+    by_given = by_place.groupBy(*group, "given").agg(
+        F.count(F.lit(1)).alias("places"),
+        F.sum("verbatim").alias("verbatim"),
+        (F.size(F.aggregate(all_values, F.get(all_values, F.lit(0)), F.array_intersect)) > 0).alias("agrees"),
+        F.bool_and(F.array_contains("values", plain(F.col("given")))).alias("exact"),
+    )
+    named = F.startswith("given", F.lit(MARK + "a"))
+    found = by_given.groupBy(*group).agg(
+        F.sum("verbatim").alias("verbatim"),
+        F.when(F.bool_and(F.col("agrees") | ~named), F.sum(F.when(F.col("agrees"), F.col("places")).otherwise(0))).otherwise(F.lit(0)).alias("agreed"),
+        F.bool_and("exact").alias("exact"),
+    )
+    found = found.withColumn("covered", F.greatest("verbatim", "agreed")).where(F.col("covered") >= F.least(F.lit(covered), F.col("item_tokens")))
+    return found.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, covered: int = COVERED) -> DataFrame:
     """(row, item_id, covered, item_tokens, exact) for each document and item that it repeats.
 
@@ -78,9 +108,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     document cover tokens; they are a leak if they cover at least ``covered`` tokens, or all of a
     shorter item, and the values in the slots correspond one to one: so a question asked with
     other numbers or names is found, while a chance likeness of templates, which puts different
-    values for one, is not. A capitalised word also matches as the word it is. ``exact`` says that
+    names for one, is not. A capitalised word also matches as the word it is. ``exact`` says that
     the values are the same.
 
+    Of alignments that do not correspond one to one, a leak are also those that cover as much by
+    windows copied word for word, in any case of letters; and, if each name stands for one name,
+    those that cover as much without the numbers that stand for several. ``covered`` then counts
+    these tokens. The SQL counterpart of the query has the one-to-one rule alone.
+
     Items of fewer than four tokens never leak; null or empty texts have no tokens; equal items are
     items of their own; of rows that repeat an item id, one counts. Null item ids are left out.
     """
@@ -127,7 +162,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
         F.bool_and(plain(F.col("given")) == plain(F.col("value"))).alias("exact"),
     )
     good = checked.where("pairs = givens and pairs = values")
-    return good.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
+    good = good.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
+    good = materialise(good, "one-to-one")
+    rest = spans.select("row", "item_id", F.col("shift").alias("near"), "shift", "item_tokens", F.explode("windows").alias("w"))
+    rest = rest.join(good, ["row", "item_id"], "left_anti").select("row", "item_id", "near", "shift", "item_tokens", "w.at", "w.width")
+    return good.unionByName(_other_leaks(rest, item, text, covered))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

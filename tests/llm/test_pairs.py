@@ -144,6 +144,24 @@ def test_leaks_by_template_and_slots(spark):
     assert {r["row"] & 0xFFFF for r in leaks(documents(spark, ["x a short but telling question y", "short but telling"]).coalesce(1), short).collect()} == {0}
 
 
+def leaked(spark, texts, *bench):
+    """Numbers of the texts that repeat an item."""
+    return {r["row"] & 0xFFFF for r in leaks(documents(spark, texts).coalesce(1), items(spark, *bench)).collect()}
+
+
+def test_leaks_that_are_not_one_to_one(spark):
+    cased = "The old keeper counts every lamp along the stony pier while The young keeper sleeps until dawn comes"
+    assert leaked(spark, ["x " + cased.replace("while The", "while the") + " y"], cased) == {0}
+    sums = "a farmer puts 3 boxes and 4 bags upon the cart and drives along the river to the mill"
+    assert leaked(spark, [sums.replace("3", "5").replace("4", "5")], sums) == {0}
+    roles = "a farmer puts 3 boxes upon the cart and takes 3 apples out before driving along the river to the mill"
+    assert leaked(spark, [roles.replace("3 boxes", "4 boxes").replace("3 apples", "6 apples")], roles) == {0}
+    long = "Maria walks along the quiet river every single morning before the sun comes up over the hills and then Maria goes home"
+    other = long.replace("then Maria", "then Helen")
+    assert leaked(spark, [other], long) == {0}
+    assert leaked(spark, [MIXED], ITEM) == set()
+
+
 def test_leaks_edges(spark, monkeypatch):
     import splitframe.llm.decontaminate as d
 
