@@ -70,10 +70,10 @@ def _few(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _other_leaks(windows: DataFrame, item: DataFrame, text: DataFrame, covered: int) -> DataFrame:
-    """Leaks among ``windows`` (row, item_id, near, shift, item_tokens, at, width); those of one ``near`` count together."""
-    group = ["row", "item_id", "near", "item_tokens"]
+    """Leaks among ``windows`` (row, item, near, shift, item_tokens, at, width); those of one ``near`` count together."""
+    group = ["row", "item", "near", "item_tokens"]
     places = windows.select(*group, F.col("at").alias("start"), "shift", F.explode(F.expr("sequence(at, at + width - 1)")).alias("at"))
-    pairs = places.join(item, ["item_id", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
+    pairs = places.join(item, ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
     pairs = pairs.withColumn("value", plain(F.col("value")))
     same = plain(F.col("given")) == F.col("value")
     pairs = pairs.groupBy(*group, "start", "shift").agg(F.collect_list(F.struct("at", "given", "value")).alias("p"), F.bool_and(same).alias("verbatim"))
@@ -96,7 +96,7 @@ def _other_leaks(windows: DataFrame, item: DataFrame, text: DataFrame, covered:
         F.bool_and("exact").alias("exact"),
     )
     found = found.withColumn("covered", F.greatest("verbatim", "agreed")).where(F.col("covered") >= F.least(F.lit(covered), F.col("item_tokens")))
-    return found.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
+    return found.groupBy("row", "item").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, covered: int = COVERED) -> DataFrame:
@@ -117,19 +117,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     these tokens. The SQL counterpart of the query has the one-to-one rule alone.
 
     Items of fewer than four tokens never leak; null or empty texts have no tokens; equal items are
-    items of their own; of rows that repeat an item id, one counts. Null item ids are left out.
+    items of their own. All rows of the benchmark are matched, also those that share an item id or
+    have none; what they find is reported once for an id, and once for the null id.
     """
-    items = benchmark.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("item_id")).agg(F.max(F.coalesce(F.col(item_text), F.lit(""))).alias("text"))
+    items = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     items = items.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST)
-    items = materialise(items, "items")
+    items = materialise(items.withColumn("item", F.monotonically_increasing_id()), "items")
     lengths = items.select(F.least(F.size("tokens"), F.lit(window)).alias("width")).distinct().collect()  # ``window`` values at most
     parts = docs.select(F.monotonically_increasing_id().alias("row"), tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tokens"))
     found = None
     for width in sorted(r["width"] for r in lengths):
         own = items if width == window else items.where(F.size("tokens") == width)
-        wanted = materialise(_windows(own, "item_id", width).withColumnRenamed("pos", "at").distinct(), "windows")
+        wanted = materialise(_windows(own, "item", width).withColumnRenamed("pos", "at").distinct(), "windows")
         some = _windows(parts, "row", width).join(_few(wanted, BROADCAST_WINDOWS), "h")
-        some = some.select("row", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", F.lit(width).alias("width"))
+        some = some.select("row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", F.lit(width).alias("width"))
         found = some if found is None else found.unionByName(some)
     if found is None:
         return docs.select(F.monotonically_increasing_id().alias("row")).limit(0).selectExpr(
@@ -137,36 +138,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
         )
     found = materialise(found, "windows-found")
     # Only alignments that cover enough are looked into.
-    sizes = materialise(items.select("item_id", F.size("tokens").cast("bigint").alias("item_tokens")), "item-sizes")
-    order = W.partitionBy("row", "item_id", "shift").orderBy("at")
+    sizes = materialise(items.select("item", F.size("tokens").cast("bigint").alias("item_tokens")), "item-sizes")
+    order = W.partitionBy("row", "item", "shift").orderBy("at")
     fresh = F.least(F.col("width"), F.coalesce(F.col("at") - F.lag("at").over(order), F.col("width")))
     spans = (
         found.withColumn("fresh", fresh)
-        .groupBy("row", "item_id", "shift")
+        .groupBy("row", "item", "shift")
         .agg(F.sum("fresh").alias("covered"), F.collect_set(F.struct("at", "width")).alias("windows"))
-        .join(sizes, "item_id")
+        .join(sizes, "item")
         .where(F.col("covered") >= F.least(F.lit(covered), F.col("item_tokens")))
     )
     spans = materialise(spans, "spans")
     rows = materialise(spans.select("row").distinct(), "span-rows")
     text = parts.join(_few(rows, BROADCAST_WINDOWS), "row", "left_semi").select("row", F.posexplode("tokens").alias("pos", "value"))
-    item = items.select("item_id", F.posexplode("tokens").alias("at", "given"))
-    places = spans.select("row", "item_id", "shift", "covered", "item_tokens", F.explode("windows").alias("w"))
-    places = places.select("row", "item_id", "shift", "covered", "item_tokens", F.explode(F.expr("sequence(w.at, w.at + w.width - 1)")).alias("at")).distinct()
-    pairs = places.join(item, ["item_id", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
+    item = items.select("item", F.posexplode("tokens").alias("at", "given"))
+    places = spans.select("row", "item", "shift", "covered", "item_tokens", F.explode("windows").alias("w"))
+    places = places.select("row", "item", "shift", "covered", "item_tokens", F.explode(F.expr("sequence(w.at, w.at + w.width - 1)")).alias("at")).distinct()
+    pairs = places.join(item, ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
     slot = F.when(_slot(F.col("given")), F.struct("given", "value"))
-    checked = pairs.groupBy("row", "item_id", "shift", "covered", "item_tokens").agg(
+    checked = pairs.groupBy("row", "item", "shift", "covered", "item_tokens").agg(
         F.count_distinct(slot).alias("pairs"),
         F.count_distinct(slot["given"]).alias("givens"),
         F.count_distinct(slot["value"]).alias("values"),
         F.bool_and(plain(F.col("given")) == plain(F.col("value"))).alias("exact"),
     )
     good = checked.where("pairs = givens and pairs = values")
-    good = good.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
+    good = good.groupBy("row", "item").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
     good = materialise(good, "one-to-one")
-    rest = spans.select("row", "item_id", F.col("shift").alias("near"), "shift", "item_tokens", F.explode("windows").alias("w"))
-    rest = rest.join(good, ["row", "item_id"], "left_anti").select("row", "item_id", "near", "shift", "item_tokens", "w.at", "w.width")
-    return good.unionByName(_other_leaks(rest, item, text, covered))
+    rest = spans.select("row", "item", F.col("shift").alias("near"), "shift", "item_tokens", F.explode("windows").alias("w"))
+    rest = rest.join(good, ["row", "item"], "left_anti").select("row", "item", "near", "shift", "item_tokens", "w.at", "w.width")
+    both = good.unionByName(_other_leaks(rest, item, text, covered)).join(items.select("item", "item_id"), "item")
+    return both.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -162,6 +162,13 @@ def test_leaks_that_are_not_one_to_one(spark):
     assert leaked(spark, [MIXED], ITEM) == set()
 
 
+def test_leaks_of_every_benchmark_row(spark):
+    texts = ["which planet has the largest moon", "the answer is a rocky giant", "no number stands for this item"]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (1, None)], "item_id bigint, text string")
+    docs = documents(spark, texts + ["something else is said here"]).coalesce(1)
+    assert {(r["row"], r["item_id"], r["exact"]) for r in leaks(docs, bench).collect()} == {(0, 1, True), (1, 1, True), (2, None, True)}
+
+
 def test_leaks_edges(spark, monkeypatch):
     import splitframe.llm.decontaminate as d
 
