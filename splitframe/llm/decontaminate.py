@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import materialise
 
@@ -26,6 +25,8 @@ _BETWEEN = f"[^\\p{{L}}\\p{{M}}\\p{{N}}_{MARK}]+"
 
 #: Tokens of a window, of what a leak covers at least, and of an item that can leak at least.
 WINDOW, COVERED, LEAST = 8, 13, 4
+#: Shifts this close count together: words were put in or left out between their windows.
+CLOSE = 8
 #: Template windows broadcast at most; beyond, Spark shuffles them.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -69,25 +70,35 @@ def _few(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def _with_names(tokens: str) -> Column:
+    """(value, names) of each token; ``names`` of a capitalised word has also those right beside it."""
+
+    def one(token, at):
+        beside = F.array(F.get(F.col(tokens), at - 1), token, F.get(F.col(tokens), at + 1))
+        names = F.transform(F.filter(beside, lambda t: F.startswith(t, F.lit(MARK + "a"))), plain)
+        return F.struct(token.alias("value"), F.when(F.startswith(token, F.lit(MARK + "a")), names).otherwise(F.array(token)).alias("names"))
+
+    return F.transform(tokens, one)
+
+
 def _other_leaks(windows: DataFrame, item: DataFrame, text: DataFrame, covered: int) -> DataFrame:
     """Leaks among ``windows`` (row, item, near, shift, item_tokens, at, width); those of one ``near`` count together."""
     group = ["row", "item", "near", "item_tokens"]
     places = windows.select(*group, F.col("at").alias("start"), "shift", F.explode(F.expr("sequence(at, at + width - 1)")).alias("at"))
     pairs = places.join(item, ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
-    pairs = pairs.withColumn("value", plain(F.col("value")))
-    same = plain(F.col("given")) == F.col("value")
-    pairs = pairs.groupBy(*group, "start", "shift").agg(F.collect_list(F.struct("at", "given", "value")).alias("p"), F.bool_and(same).alias("verbatim"))
+    pairs = pairs.withColumn("same", plain(F.col("given")) == plain(F.col("value")))
+    pairs = pairs.groupBy(*group, "start", "shift").agg(F.collect_list(F.struct("at", "given", "names", "same")).alias("p"), F.bool_and("same").alias("verbatim"))
     by_place = (
         pairs.select(*group, "verbatim", F.inline("p"))
         .groupBy(*group, "at", "given")
-        .agg(F.collect_set("value").alias("values"), F.bool_or("verbatim").cast("bigint").alias("verbatim"))
+        .agg(F.flatten(F.collect_set("names")).alias("values"), F.bool_or("verbatim").cast("bigint").alias("verbatim"), F.bool_or("same").alias("same"))
     )
     all_values = F.collect_list("values")
     by_given = by_place.groupBy(*group, "given").agg(
         F.count(F.lit(1)).alias("places"),
         F.sum("verbatim").alias("verbatim"),
         (F.size(F.aggregate(all_values, F.get(all_values, F.lit(0)), F.array_intersect)) > 0).alias("agrees"),
-        F.bool_and(F.array_contains("values", plain(F.col("given")))).alias("exact"),
+        F.bool_and("same").alias("exact"),
     )
     named = F.startswith("given", F.lit(MARK + "a"))
     found = by_given.groupBy(*group).agg(
@@ -111,10 +122,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     names for one, is not. A capitalised word also matches as the word it is. ``exact`` says that
     the values are the same.
 
-    Of alignments that do not correspond one to one, a leak are also those that cover as much by
-    windows copied word for word, in any case of letters; and, if each name stands for one name,
-    those that cover as much without the numbers that stand for several. ``covered`` then counts
-    these tokens. The SQL counterpart of the query has the one-to-one rule alone.
+    Where none corresponds one to one, alignments whose shifts differ by at most ``CLOSE`` count
+    together, as words put in or left out shift what follows. They are a leak if they cover as much
+    by windows copied word for word, in any case of letters; or, if each name stands for names that
+    share a word, without the numbers that stand for several. ``covered`` then counts these
+    tokens. The SQL counterpart of the query has the one-to-one rule of single alignments alone.
 
     Items of fewer than four tokens never leak; null or empty texts have no tokens; equal items are
     items of their own. All rows of the benchmark are matched, also those that share an item id or
@@ -137,23 +149,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
             "row", f"cast(null as {dict(benchmark.dtypes)[id_col]}) as item_id", "0L as covered", "0L as item_tokens", "true as exact"
         )
     found = materialise(found, "windows-found")
-    # Only alignments that cover enough are looked into.
+    # Only alignments that cover enough, alone or with those close to them, are looked into.
     sizes = materialise(items.select("item", F.size("tokens").cast("bigint").alias("item_tokens")), "item-sizes")
-    order = W.partitionBy("row", "item", "shift").orderBy("at")
-    fresh = F.least(F.col("width"), F.coalesce(F.col("at") - F.lag("at").over(order), F.col("width")))
+    width = 2 * CLOSE  # two shifts that are close meet in a stretch of one of two grids
+    near = [("shift", F.col("shift")), ("even", F.floor(F.col("shift") / width)), ("odd", F.floor((F.col("shift") + CLOSE) / width))]
+    near = F.array(*(F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at")) for kind, at in near))
+    within = F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1)))
     spans = (
-        found.withColumn("fresh", fresh)
-        .groupBy("row", "item", "shift")
-        .agg(F.sum("fresh").alias("covered"), F.collect_set(F.struct("at", "width")).alias("windows"))
+        found.withColumn("near", F.explode(near))
+        .groupBy("row", "item", "near")
+        .agg(F.collect_set(F.struct("shift", "at", "width")).alias("windows"))
         .join(sizes, "item")
+        .withColumn("covered", F.size(F.array_distinct(within)).cast("bigint"))
         .where(F.col("covered") >= F.least(F.lit(covered), F.col("item_tokens")))
     )
     spans = materialise(spans, "spans")
     rows = materialise(spans.select("row").distinct(), "span-rows")
-    text = parts.join(_few(rows, BROADCAST_WINDOWS), "row", "left_semi").select("row", F.posexplode("tokens").alias("pos", "value"))
+    text = parts.join(_few(rows, BROADCAST_WINDOWS), "row", "left_semi").select("row", "tokens")
+    text = materialise(text, "span-texts").select("row", F.posexplode(_with_names("tokens")).alias("pos", "v")).select("row", "pos", "v.*")
     item = items.select("item", F.posexplode("tokens").alias("at", "given"))
-    places = spans.select("row", "item", "shift", "covered", "item_tokens", F.explode("windows").alias("w"))
-    places = places.select("row", "item", "shift", "covered", "item_tokens", F.explode(F.expr("sequence(w.at, w.at + w.width - 1)")).alias("at")).distinct()
+    places = spans.where("near.kind = 'shift'").select("row", "item", "covered", "item_tokens", F.explode("windows").alias("w"))
+    places = places.select("row", "item", "w.shift", "covered", "item_tokens", F.explode(F.expr("sequence(w.at, w.at + w.width - 1)")).alias("at")).distinct()
     pairs = places.join(item, ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
     slot = F.when(_slot(F.col("given")), F.struct("given", "value"))
     checked = pairs.groupBy("row", "item", "shift", "covered", "item_tokens").agg(
@@ -165,8 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     good = checked.where("pairs = givens and pairs = values")
     good = good.groupBy("row", "item").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
     good = materialise(good, "one-to-one")
-    rest = spans.select("row", "item", F.col("shift").alias("near"), "shift", "item_tokens", F.explode("windows").alias("w"))
-    rest = rest.join(good, ["row", "item"], "left_anti").select("row", "item", "near", "shift", "item_tokens", "w.at", "w.width")
+    rest = spans.join(good, ["row", "item"], "left_anti").select("row", "item", "near", "item_tokens", F.inline("windows"))
     both = good.unionByName(_other_leaks(rest, item, text, covered)).join(items.select("item", "item_id"), "item")
     return both.groupBy("row", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
 

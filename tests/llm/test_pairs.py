@@ -162,6 +162,20 @@ def test_leaks_that_are_not_one_to_one(spark):
     assert leaked(spark, [MIXED], ITEM) == set()
 
 
+def test_leaks_around_words_put_in_or_left_out(spark):
+    story = "a young keeper counts every lamp along the stony pier at dusk and then writes down each of their numbers inside a book"
+    words = story.split()
+    people = "Maria walks along the quiet river before sunrise and then Maria rests a while under an old oak"
+    texts = [
+        " ".join([*words[:12], "slowly", *words[12:]]),
+        " ".join([*words[:11], *words[12:]]),
+        "so " + people.replace("Maria", "Ana Lucia"),
+        "so " + people.replace("then Maria", "then Ana Lucia").replace("Maria walks", "Helen walks"),
+        " ".join([*words[:12], *["other"] * 60, *words[12:]]),
+    ]
+    assert leaked(spark, texts, story, people) == {0, 1, 2}
+
+
 def test_leaks_of_every_benchmark_row(spark):
     texts = ["which planet has the largest moon", "the answer is a rocky giant", "no number stands for this item"]
     bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (1, None)], "item_id bigint, text string")
