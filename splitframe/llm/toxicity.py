@@ -172,6 +172,28 @@ def quoted(words: list[bytes], at: int) -> bool:
     return (opened and closed) or bool(before & REPORTING)
 
 
+def _marks(word: bytes) -> tuple[bool, bool, bool]:
+    """Whether a word opens a quotation, closes one, or reports."""
+    w = word.decode("utf-8", "replace")
+    end = w.rstrip(".,;:!?")[-1:]
+    return w[0] in OPENING, bool(end) and end in CLOSING, not REPORTING.isdisjoint(_CORE.findall(w.lower()))
+
+
+def plain_words(words: list[bytes], marks: _Cache) -> set[bytes]:
+    """The words that have a place at which :func:`quoted` does not mark them."""
+    if not words:
+        return set()
+    n = len(words)
+    # Sums before each place tell whether a stretch holds a mark.
+    sums = np.zeros((n + 1, 3), np.int64)
+    np.cumsum(np.array([marks[w] for w in words], np.int64), axis=0, out=sums[1:])
+    at = np.arange(n)
+    opened = sums[at + 1, 0] > sums[np.maximum(at - WINDOW, 0), 0]
+    closed = sums[np.minimum(at + WINDOW + 1, n), 1] > sums[at, 1]
+    reported = sums[at, 2] > sums[np.maximum(at - 3, 0), 2]
+    return {words[i] for i in np.flatnonzero(~((opened & closed) | reported))}
+
+
 def evidence(text: bytes, hits: _Hits) -> tuple[float, float, float, float]:
     """1, and for plain, misspelt and quoted terms 1 - 2**-count."""
     words = text.split()
@@ -224,6 +246,7 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
 
     Texts that explain most of the toxic ones not yet explained come first; words that hardly
     any clean text has are also taken if chance cannot have made them. Equal texts count once.
+    Quoted uses count on neither side: what they say is left to the weights.
     """
     texts = {}
     for text, label in rows:
@@ -239,18 +262,18 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
         cores = [c for c in _cores(word[:400]) if not c.isdigit()]
         return cores + [c[:k] + "*" for c in cores for k in STEMS if len(c) > k]
 
-    made = _Cache(keys)
+    made, marks = _Cache(keys), _Cache(_marks)
     seen = Counter()
     for text in toxic:
-        seen.update(set().union(*map(made.__getitem__, set(text.split()))))
+        seen.update(set().union(*map(made.__getitem__, plain_words(text.split(), marks))))
     where = {k: set() for k, n in seen.items() if n >= rare}
     wanted = _Cache(lambda word: [k for k in keys(word) if k in where])
     for i, text in enumerate(toxic):
-        for k in set().union(*map(wanted.__getitem__, set(text.split()))):
+        for k in set().union(*map(wanted.__getitem__, plain_words(text.split(), marks))):
             where[k].add(i)
     against = Counter()
     for text in clean:
-        against.update(set().union(*filter(None, map(wanted.__getitem__, set(text.split())))))
+        against.update(set().union(*filter(None, map(wanted.__getitem__, plain_words(text.split(), marks)))))
     fit = {k: v for k, v in where.items() if against[k] * 20 <= len(v)}
     chosen, open_ = [], set(range(len(toxic)))
     while fit and len(chosen) < most:

@@ -10,7 +10,7 @@ import splitframe.llm.lm as lm
 from splitframe.llm.common import bucket
 from splitframe.llm.quality import fit_quality, train_ftrl, word_shape
 from splitframe.llm.queries import QUERIES
-from splitframe.llm.toxicity import Automaton, fit_toxicity, learn, quoted
+from splitframe.llm.toxicity import Automaton, _Cache, _Hits, _marks, evidence, fit_toxicity, learn, plain_words, quoted
 from tests.llm.helpers import documents, empty, nasty
 
 
@@ -89,6 +89,29 @@ def test_misspelt_terms_and_quotations(spark):
     assert quoted(words, 3) and not quoted("you rascals are here".encode().split(), 1)
 
 
+def predicted(model, text):
+    return float(np.dot(evidence(text.encode(), _Hits(model)), model.weights)) >= 0
+
+
+def said(rng, n):
+    return [" ".join(rng.choice("alpha beta gamma delta river stone".split()) for _ in range(20)) for _ in range(n)]
+
+
+def test_plain_words_are_those_not_quoted():
+    rng = random.Random(12)
+    for _ in range(60):
+        words = [rng.choice(["a", "b", "c", '"d', 'e".', "said", "f", "g"]).encode() for _ in range(rng.randrange(40))]
+        assert plain_words(words, _Cache(_marks)) == {w for i, w in enumerate(words) if not quoted(words, i)}
+
+
+def test_terms_that_clean_texts_quote():
+    rng = random.Random(13)
+    rows = [((p + " you scoundrel go away").encode(), 1) for p in said(rng, 60)]
+    rows += [((p + ' they yelled "scoundrel" at us').encode(), 0) for p in said(rng, 30)] + [(p.encode(), 0) for p in said(rng, 90)]
+    model = learn(rows)
+    assert predicted(model, "the scoundrel is here") and not predicted(model, 'somebody yelled "scoundrel" at us')
+
+
 def brute(texts, train):
     words = [(t or "").lower().split() + [None] for t in texts]
     uni, pair, state = Counter(), Counter(), Counter()
