@@ -19,8 +19,8 @@ from .quality import sample_labelled
 LABELLED, TERMS = 6_000, 500
 #: Words of a stem's length; words before and after a term that are looked at.
 STEMS, WINDOW = range(3, 8), 8
-#: Words of clean texts that a term with misspellings may be close to.
-NEIGHBOURS = 1
+#: Letters of a term from which on misspellings are matched: of three, most short words would be one.
+FUZZY = 4
 
 # Quotation marks, and words that report what others say.
 OPENING, CLOSING = "\"'“„«‘`", "\"'”“»’`"
@@ -33,11 +33,11 @@ class Automaton:
     """Levenshtein automata of all terms at once: sets of (trie node, edits) are its states.
 
     States are made as words ask for them. A term of ``fuzzy_from`` letters or more also accepts
-    one inserted, lost, changed or swapped letter, unless it is ``firm``; a stem accepts any word
+    one inserted, lost, changed or swapped letter; a stem accepts any word
     that begins with it.
     """
 
-    def __init__(self, terms: list[str], stems: list[str], firm: set[str] = frozenset(), fuzzy_from: int = 5, most_states: int = 50_000):
+    def __init__(self, terms: list[str], stems: list[str], fuzzy_from: int = 5, most_states: int = 50_000):
         self.next: list[dict[str, int]] = [{}]
         self.end: list[int] = [0]
         self.most_states = most_states
@@ -51,7 +51,7 @@ class Automaton:
                         self.end.append(0)
                     node = self.next[node][c]
                 self.end[node] |= mark
-                if mark == 1 and len(word) >= fuzzy_from and word not in firm:
+                if mark == 1 and len(word) >= fuzzy_from:
                     self.end[node] |= 4
         # Only nodes that lead to a fuzzy term may spend an edit.
         self.fuzzy = [bool(e & 4) for e in self.end]
@@ -145,7 +145,7 @@ class _Hits(dict):
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.automaton = Automaton(list(model.terms), list(model.stems), set(model.firm))
+        self.automaton = Automaton(list(model.terms), list(model.stems), FUZZY)
         self.clean = model.clean
 
     def __missing__(self, word: bytes) -> int:
@@ -210,11 +210,10 @@ PRIOR, HELD = np.array([-3.0, 10.0, 8.0, 2.0]), 0.3
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Terms, stems, terms without misspellings, words near terms that clean texts use, and four weights."""
+    """Terms, stems, words near terms that clean texts use, and four weights."""
 
     terms: tuple[str, ...] = ()
     stems: tuple[str, ...] = ()
-    firm: tuple[str, ...] = ()
     clean: frozenset[str] = frozenset()
     weights: tuple[float, ...] = tuple(PRIOR)
 
@@ -293,18 +292,16 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
 def learn(rows: list[tuple[bytes, int]]) -> ToxicityModel:
     """Terms, then words close to them that clean texts use, then weights near their prior.
 
-    Such words are no misspellings. A term that has more than ``NEIGHBOURS`` of them stands so
-    close to ordinary words that it is only matched as it is.
+    Such words are no misspellings, unless clean texts only quote them.
     """
     terms, stems = learn_terms(rows)
-    automaton = Automaton(terms, stems)
+    automaton, marks = Automaton(terms, stems, FUZZY), _Cache(_marks)
     close = _Cache(lambda w: [c for c in _cores(w[:400]) if automaton.match(c) == 1])
     near = set()
     for text, label in rows:
         if not label:
-            near.update(*filter(None, map(close.__getitem__, set(text.split()))))
-    firm = [t for t in terms if sum(Automaton([t], []).match(c) == 1 for c in near) > NEIGHBOURS]
-    model = ToxicityModel(tuple(terms), tuple(stems), tuple(firm), frozenset(near))
+            near.update(*filter(None, map(close.__getitem__, plain_words(text.split(), marks))))
+    model = ToxicityModel(tuple(terms), tuple(stems), frozenset(near))
     hits = _Hits(model)
     x, y = np.array([evidence(t, hits) for t, _ in rows]).reshape(-1, 4), np.array([y for _, y in rows], float)
     w = PRIOR.copy()
@@ -313,7 +310,7 @@ def learn(rows: list[tuple[bytes, int]]) -> ToxicityModel:
         slope = x.T @ (p - y) + HELD * (w - PRIOR)
         bend = (x * (p * (1 - p))[:, None]).T @ x + HELD * np.eye(4)
         w = w - np.clip(np.linalg.solve(bend, slope), -2, 2)
-    return ToxicityModel(model.terms, model.stems, model.firm, model.clean, tuple(w.tolist()))
+    return ToxicityModel(model.terms, model.stems, model.clean, tuple(w.tolist()))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> ToxicityModel:
@@ -323,7 +320,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     text has one low score.
     """
 
-    words = ("terms", "stems", "firm")
+    words = ("terms", "stems")
 
     def fitted(batches):
         rows = []
@@ -337,7 +334,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         )
 
     sample = sample_labelled(docs, labels, id_col, text_col, most).repartition(1)
-    row = sample.mapInArrow(fitted, "terms array<string>, stems array<string>, firm array<string>, clean array<string>, weights array<double>").first()
+    row = sample.mapInArrow(fitted, "terms array<string>, stems array<string>, clean array<string>, weights array<double>").first()
     if row is None:
         return ToxicityModel()
     return ToxicityModel(*(tuple(row[k]) for k in words), frozenset(row["clean"]), tuple(row["weights"]))

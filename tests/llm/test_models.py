@@ -112,6 +112,17 @@ def test_terms_that_clean_texts_quote():
     assert predicted(model, "the scoundrel is here") and not predicted(model, 'somebody yelled "scoundrel" at us')
 
 
+def test_misspelt_terms_among_ordinary_words():
+    rng = random.Random(14)
+    texts = said(rng, 150)
+    rows = [((p + " you " + t).encode(), 1) for p, t in zip(texts[:90], ["clown", "scum", "loser"] * 30)]
+    rows += [((p + " you see a crown blown closer or lower to scam the sum").encode(), 0) for p in texts[90:]]
+    model = learn(rows)
+    assert {"clown", "scum", "loser"} <= set(model.terms)
+    assert all(predicted(model, "what a " + w) for w in ("clwon", "losser", "scumm", "clown"))
+    assert not any(predicted(model, "what a " + w) for w in ("crown", "closer", "scam", "sum"))
+
+
 def brute(texts, train):
     words = [(t or "").lower().split() + [None] for t in texts]
     uni, pair, state = Counter(), Counter(), Counter()
