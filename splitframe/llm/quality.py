@@ -23,7 +23,7 @@ _CLASSES = ((regex.compile(r"\p{Lu}"), "A"), (regex.compile(r"[[\p{L}\p{M}]--A]"
 
 def word_shape(word: bytes) -> str:
     """Letters as A or a, digits as 9, other characters as they are, runs as two."""
-    text = word[:64].decode("utf-8", "replace")
+    text = word.decode("utf-8", "replace")
     for pattern, letter in _CLASSES:
         text = pattern.sub(letter, text)
     return _RUN.sub(r"\1\1", text)

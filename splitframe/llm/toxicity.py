@@ -26,7 +26,23 @@ FUZZY = 4
 OPENING, CLOSING = "\"'“„«‘`", "\"'”“»’`"
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quoting word term slur insult".split())
 
+#: Bytes of a run without ASCII white space from which on it is split into its words.
+LONG_RUN = 400
+
 _CORE = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+# A word spelt with a mark after each letter, or a word, with the marks around it.
+_PIECE = regex.compile(r"[\p{P}\p{S}]*+(?:(?<![\p{L}\p{M}\p{N}])(?:\p{L}\p{M}*+[\p{P}\p{S}]){2,}\p{L}\p{M}*+(?![\p{L}\p{M}\p{N}])|[\p{L}\p{M}\p{N}]++)[\p{P}\p{S}]*+")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """What ASCII white space parts; long runs, joined by other space or marks, give each word in them."""
+    words = text.split()
+    if all(len(w) <= LONG_RUN for w in words):
+        return words
+    out = []
+    for w in words:
+        out += [w] if len(w) <= LONG_RUN else [x.encode() for x in _PIECE.findall(w.decode("utf-8", "replace"))]
+    return out
 
 
 class Automaton:
@@ -136,7 +152,9 @@ class _Cache(dict):
     def __missing__(self, word):
         if len(self) > self.limit:
             self.clear()
-        self[word] = value = self.make(word)
+        value = self.make(word)
+        if len(word) <= LONG_RUN:
+            self[word] = value
         return value
 
 
@@ -150,10 +168,11 @@ class _Hits(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = 0
-        for core in _cores(word[:400]):
+        for core in _cores(word):
             kind = self.automaton.match(core)
             found = max(found, 0 if kind == 1 and core in self.clean else kind)
-        self[word] = found
+        if len(word) <= LONG_RUN:
+            self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -196,7 +215,7 @@ def plain_words(words: list[bytes], marks: _Cache) -> set[bytes]:
 
 def evidence(text: bytes, hits: _Hits) -> tuple[float, float, float, float]:
     """1, and for plain, misspelt and quoted terms 1 - 2**-count."""
-    words = text.split()
+    words = words_of(text)
     found = hits.of(words)
     counts = [0, 0, 0]
     for i in np.flatnonzero(found):
@@ -258,21 +277,21 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
     sure = max(rare, round(10 / -log10(share)), round(0.02 * len(toxic)))
 
     def keys(word: bytes) -> list[str]:
-        cores = [c for c in _cores(word[:400]) if not c.isdigit()]
+        cores = [c for c in _cores(word) if not c.isdigit()]
         return cores + [c[:k] + "*" for c in cores for k in STEMS if len(c) > k]
 
     made, marks = _Cache(keys), _Cache(_marks)
     seen = Counter()
     for text in toxic:
-        seen.update(set().union(*map(made.__getitem__, plain_words(text.split(), marks))))
+        seen.update(set().union(*map(made.__getitem__, plain_words(words_of(text), marks))))
     where = {k: set() for k, n in seen.items() if n >= rare}
     wanted = _Cache(lambda word: [k for k in keys(word) if k in where])
     for i, text in enumerate(toxic):
-        for k in set().union(*map(wanted.__getitem__, plain_words(text.split(), marks))):
+        for k in set().union(*map(wanted.__getitem__, plain_words(words_of(text), marks))):
             where[k].add(i)
     against = Counter()
     for text in clean:
-        against.update(set().union(*filter(None, map(wanted.__getitem__, plain_words(text.split(), marks)))))
+        against.update(set().union(*filter(None, map(wanted.__getitem__, plain_words(words_of(text), marks)))))
     fit = {k: v for k, v in where.items() if against[k] * 20 <= len(v)}
     chosen, open_ = [], set(range(len(toxic)))
     while fit and len(chosen) < most:
@@ -296,11 +315,11 @@ def learn(rows: list[tuple[bytes, int]]) -> ToxicityModel:
     """
     terms, stems = learn_terms(rows)
     automaton, marks = Automaton(terms, stems, FUZZY), _Cache(_marks)
-    close = _Cache(lambda w: [c for c in _cores(w[:400]) if automaton.match(c) == 1])
+    close = _Cache(lambda w: [c for c in _cores(w) if automaton.match(c) == 1])
     near = set()
     for text, label in rows:
         if not label:
-            near.update(*filter(None, map(close.__getitem__, plain_words(text.split(), marks))))
+            near.update(*filter(None, map(close.__getitem__, plain_words(words_of(text), marks))))
     model = ToxicityModel(tuple(terms), tuple(stems), frozenset(near))
     hits = _Hits(model)
     x, y = np.array([evidence(t, hits) for t, _ in rows]).reshape(-1, 4), np.array([y for _, y in rows], float)

@@ -10,7 +10,7 @@ import splitframe.llm.lm as lm
 from splitframe.llm.common import bucket
 from splitframe.llm.quality import fit_quality, train_ftrl, word_shape
 from splitframe.llm.queries import QUERIES
-from splitframe.llm.toxicity import Automaton, _Cache, _Hits, _marks, evidence, fit_toxicity, learn, plain_words, quoted
+from splitframe.llm.toxicity import Automaton, _Cache, _Hits, _marks, evidence, fit_toxicity, learn, plain_words, quoted, words_of
 from tests.llm.helpers import documents, empty, nasty
 
 
@@ -123,6 +123,21 @@ def test_misspelt_terms_among_ordinary_words():
     assert not any(predicted(model, "what a " + w) for w in ("crown", "closer", "scam", "sum"))
 
 
+def test_long_runs_are_read_whole():
+    rng = random.Random(15)
+    rows = [((p + " you scoundrel").encode(), 1) for p in said(rng, 60)] + [(p.encode(), 0) for p in said(rng, 60)]
+    model = learn(rows)
+    for joint in ("\u00a0", "\u3000", "/", ".", "-", "<br>"):
+        run = joint.join(["river", "stone"] * 90)
+        for term, kind in (("scoundrel", 2), ("scuondrel", 1), ("s.c.o.u.n.d.r.e.l", 2), ("river", 0)):
+            words = words_of((run + joint + term + joint + run).encode())
+            assert max(_Hits(model).of(words)) == kind, (joint, term)
+        assert predicted(model, run + joint + "scoundrel" + joint + run) and not predicted(model, run)
+    joined = [("\u00a0".join((p * 4 + " you rascal").split()).encode(), 1) for p in said(rng, 60)]
+    assert predicted(learn(joined + [(p.encode(), 0) for p in said(rng, 60)]), "a rascal")
+    assert word_shape(b"ab/" * 40 + b"99") == "aa/" * 40 + "99"
+
+
 def brute(texts, train):
     words = [(t or "").lower().split() + [None] for t in texts]
     uni, pair, state = Counter(), Counter(), Counter()
