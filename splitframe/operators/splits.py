@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Fixed value: gains are ranked after rounding, so float noise does not decide ties.
 GAIN_DECIMALS = 6
 
+# Splits of a level that are written as one CASE.
+INLINE_SPLITS = 32
+
 
 def gh_total(df: DataFrame, by: list[str], g: str = "g", h: str = "h") -> DataFrame:
     """Sum of gradients and hessians per node."""
@@ -90,9 +93,20 @@ def route(node: Column, value: Column, cut: float | int) -> Column:
 def tree_route(df: DataFrame, splits: list[dict], node: str = "node", column: str = "bin") -> DataFrame:
     """Move every row one level down. ``splits``: dicts of node, feature name and cut.
 
-    Children of node n are 2n and 2n + 1. Rows of nodes that are not split stay.
+    Children of node n are 2n and 2n + 1. Rows of nodes that are not split stay. Few splits become one
+    CASE; a level of a deep tree is looked up by node instead, in a broadcast table of its splits.
     """
-    moved = F.col(node)
-    for s in splits:
-        moved = F.when(F.col(node) == s["node"], route(F.col(node), F.col(s["feature"]), s[column])).otherwise(moved)
-    return df.withColumn(node, moved)
+    if len(splits) <= INLINE_SPLITS:
+        moved = F.col(node)
+        for s in splits:
+            moved = F.when(F.col(node) == s["node"], route(F.col(node), F.col(s["feature"]), s[column])).otherwise(moved)
+        return df.withColumn(node, moved)
+    names = sorted({s["feature"] for s in splits})
+    rows = [(s["node"], names.index(s["feature"]), float(s[column])) for s in splits]
+    given = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given")
+    values = F.array(*[F.col(n).cast("double") for n in names]).alias("values")
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "at bigint, feature int, cut double"))
+    met = df.select(given, F.col(node).alias("at"), values).join(table, "at", "left")
+    left = F.get("values", F.col("feature")) <= F.col("cut")
+    moved = F.when(F.col("feature").isNull(), F.col("at")).when(left, F.col("at") * 2).otherwise(F.col("at") * 2 + 1)
+    return met.select(*[(moved if c == node else F.col(f"given.`{c}`")).alias(c) for c in df.columns])

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +11,9 @@ from ..functions import scores
 from ..operators.binning import Edges
 from ..operators.metrics import accuracy, cross_entropy_sum, mse
 from ..operators.prep import label_classes
-from ..operators.splits import best_split, gh_histogram, gh_total, split_or_leaf, split_prefix_sums
+from ..operators.splits import best_split, split_or_leaf, split_prefix_sums
 from ..session import materialise
+from .packed import NodeArrays, Packing, dense_histogram, forest_scores, pack_bins, routed
 
 # Default size of a forest.
 N_ESTIMATORS = 3
@@ -22,6 +21,8 @@ MAX_DEPTH = 3
 LAMBDA = 1e-5
 
 INLINE_LEAVES = 64
+# Rows store the node they are in every so many levels; levels since are walked.
+STORED_LEVELS = 6
 
 
 @dataclass(frozen=True)
@@ -93,39 +94,19 @@ class GBTModel:
             out.append(total)
         return out
 
-    def _vectorised(self, trees: range, by: str, suffix: str) -> list[Column]:
-        """For forests beyond what generated code takes: Arrow batches through small arrays."""
+    def packed_scores(self, packing: Packing, trees: range) -> list[Column]:
+        """As ``class_scores``, for packed bins and trees of a bounded number of leaves."""
         slot = {f: i for i, f in enumerate(self.features)}
-        size = 2 ** (self.max_depth + 1)
-        flat = []
-        for t in trees:
-            for c in range(self.width):
-                feature, cut, weight = np.full(size, -1), np.zeros(size), np.zeros(size)
-                for n in self._tree(t, c).values():
-                    if n.is_leaf:
-                        weight[n.node] = n.weight
-                    else:
-                        feature[n.node], cut[n.node] = slot[n.feature], n.edge if by == "value" else n.bin
-                flat.append((c, feature, cut, weight))
-        width, depth = self.width, self.max_depth
-
-        @F.pandas_udf("array<double>")
-        def forest(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            rows = np.arange(len(x))
-            total = np.zeros((len(x), width))
-            for c, feature, cut, weight in flat:
-                at = np.ones(len(x), dtype=int)
-                for _ in range(depth):
-                    f = feature[at]
-                    # A missing value compares false and so goes right.
-                    down = 2 * at + ~(x[rows, np.maximum(f, 0)] <= cut[at])
-                    at = np.where(f >= 0, down, at)
-                total[:, c] += weight[at]
-            return pd.Series(list(total))
+        test = lambda n: packing.at_most("_bins", slot[n.feature], n.bin)
+        leaf = lambda n: scores.sql_number(n.weight)
+        return [sum((F.expr(case_tree(self._tree(t, c), leaf, at_most=test)) for t in trees), F.lit(0.0)) for c in range(self.width)]
 
+    def _vectorised(self, trees: range, by: str, suffix: str) -> list[Column]:
+        """For forests beyond what generated code takes: Arrow batches through the nodes that exist."""
+        slot = {f: i for i, f in enumerate(self.features)}
+        flat = [(c, NodeArrays.of(self._tree(t, c).values(), slot, by)) for t in trees for c in range(self.width)]
         columns = [F.col(f if by == "value" else f + suffix).cast("double") for f in self.features]
-        result = forest(*columns)
+        result = forest_scores(columns, flat, self.width, wide=False)
         return [result[c] for c in range(self.width)]
 
     def score(self, df: DataFrame, by: str = "value", out: str = "score") -> DataFrame:
@@ -154,15 +135,20 @@ class GBTModel:
         return spark.createDataFrame(self.curve, "series string, step int, loss double, accuracy double")
 
 
-def case_tree(tree: dict[int, TreeNode], leaf, by: str = "value", suffix: str = "_bin") -> str:
-    """Nested CASE over a tree; ``leaf`` renders the end nodes. Null goes right."""
+def case_tree(tree: dict[int, TreeNode], leaf, by: str = "value", suffix: str = "_bin", at_most=None) -> str:
+    """Nested CASE over a tree; ``leaf`` renders the end nodes. Null goes right.
+
+    ``at_most`` renders the test of a node otherwise than by a column of values or of bins.
+    """
+
+    def test(n: TreeNode) -> str:
+        if at_most:
+            return at_most(n)
+        return f"`{n.feature}` <= {scores.sql_number(n.edge)}" if by == "value" else f"`{n.feature}{suffix}` <= {n.bin}"
 
     def render(node: int) -> str:
         n = tree[node]
-        if n.is_leaf:
-            return leaf(n)
-        name, cut = (f"`{n.feature}`", scores.sql_number(n.edge)) if by == "value" else (f"`{n.feature}{suffix}`", str(n.bin))
-        return f"CASE WHEN {name} <= {cut} THEN {render(2 * node)} ELSE {render(2 * node + 1)} END"
+        return leaf(n) if n.is_leaf else f"CASE WHEN {test(n)} THEN {render(2 * node)} ELSE {render(2 * node + 1)} END"
 
     return render(1)
 
@@ -188,41 +174,42 @@ def _softmax_columns(score: list[Column]) -> list[Column]:
     return [x / total for x in e]
 
 
-def tree_fit(model: GBTModel, frame: DataFrame, gh: list[tuple[Column, Column]], tree: int, gamma: float | None = None) -> list[TreeNode]:
-    """Grow one tree (one per class) on a binned frame, one job per level.
+def tree_fit(
+    model: GBTModel, frame: DataFrame, packing: Packing, gh: list[tuple[Column, Column]], tree: int, gamma: float | None = None
+) -> list[TreeNode]:
+    """Grow one tree (one per class) on packed bins (``_bins``, ``_at``), one pass a level.
 
-    Every level reads the rows once for all open nodes. What comes back is one row per node,
-    with the sums on both sides, from which the leaf weights of the next level follow.
+    A level measures the root, or the smaller child of every split; the larger child's histogram
+    is its parent's, which the level above has stored, less its sibling's. Rows walk
+    from the node stored in ``_at`` (null: the root), which is written anew every few levels. What
+    comes back is one row a node, with the sums on both sides, from which leaf weights follow.
     """
-    bins = [f"{f}_bin" for f in model.features]
-    width = model.width
+    width, spark = model.width, frame.sparkSession
+    slot_of = {f: i for i, f in enumerate(model.features)}
     # cls -> node -> TreeNode; an open node is a placeholder leaf without a weight.
-    grown: list[dict[int, TreeNode]] = [{} for _ in range(width)]
+    grown: list[dict[int, TreeNode]] = [{1: TreeNode(tree, c, 1, None, None, None, None, None)} for c in range(width)]
     sums: dict[tuple[int, int], tuple[float, float]] = {}
-    open_ = [(c, 1) for c in range(width)]
-    for c, node in open_:
-        grown[c][node] = TreeNode(tree, c, node, None, None, None, None, None)
-
-    def open_rows() -> DataFrame:
-        wanted = set(open_)
-        at = [
-            F.expr(case_tree(grown[c], lambda n, c=c: f"{n.node}L" if (c, n.node) in wanted else "CAST(NULL AS BIGINT)", "bin"))
-            for c in range(width)
-        ]
-        if width == 1:
-            rows = frame.select(F.lit(0).alias("cls"), at[0].alias("node"), gh[0][0].alias("g"), gh[0][1].alias("h"), *bins)
-        else:
-            cells = [F.struct(F.lit(c).alias("cls"), at[c].alias("node"), gh[c][0].alias("g"), gh[c][1].alias("h")) for c in range(width)]
-            rows = frame.select(F.explode(F.array(*cells)).alias("c"), *bins).select("c.*", *bins)
-        return rows.where(F.col("node").isNotNull())
-
+    gradients = F.array(*[F.coalesce(x, F.lit(0.0)) for pair in gh for x in pair]).alias("gh")
     by = ("cls", "node")
+    # Nodes to measure, and the sibling that gets the rest of its parent.
+    measured: list[tuple[int, int, int | None]] = [(c, 1, None) for c in range(width)]
+    histogram: DataFrame | None = None
     for depth in range(model.max_depth):
-        if not open_:
+        if not measured:
             break
-        rows = open_rows()
-        best = split_or_leaf(best_split(split_prefix_sums(gh_histogram(rows, bins, by), by), model.lambda_, gamma, by), depth, model.max_depth)
-        next_open = []
+        arrays = [NodeArrays.of(g.values(), slot_of) for g in grown]
+        if depth and depth % STORED_LEVELS == 0:
+            frame = materialise(routed(frame, packing, arrays), "assigned")
+        slots: list[dict[int, int]] = [{} for _ in range(width)]
+        for i, (c, node, _) in enumerate(measured):
+            slots[c][node] = i
+        parts = dense_histogram(frame.select("_bins", "_at", gradients), packing, arrays, slots)
+        names = spark.createDataFrame([(i, *m) for i, m in enumerate(measured)], "slot bigint, cls int, node bigint, sibling bigint")
+        cells = _with_siblings(parts, names, histogram)
+        if depth + 1 < model.max_depth:
+            histogram = cells = materialise(cells, "histogram")
+        best = split_or_leaf(best_split(split_prefix_sums(cells, by), model.lambda_, gamma, by), depth, model.max_depth)
+        measured = []
         for b in best.collect():
             c, node = b["cls"], b["node"]
             sums[c, node] = (b["g_l"] + b["g_r"], b["h_l"] + b["h_r"])
@@ -233,14 +220,12 @@ def tree_fit(model: GBTModel, frame: DataFrame, gh: list[tuple[Column, Column]],
             for child, side in ((2 * node, "l"), (2 * node + 1, "r")):
                 sums[c, child] = (b[f"g_{side}"], b[f"h_{side}"])
                 grown[c][child] = TreeNode(tree, c, child, None, None, None, None, None)
-                next_open.append((c, child))
+            smaller = 2 * node + (b["n_r"] < b["n_l"])
+            measured.append((c, smaller, smaller ^ 1))
         if depth == 0 and len(sums) < width:
-            _root_sums(open_rows(), sums)
-        open_ = next_open
-    if len(sums) < width:
-        _root_sums(open_rows(), sums)
+            _root_sums(frame, gh, sums)
     if len(sums) < width:
-        raise ValueError("no rows to train on")
+        _root_sums(frame, gh, sums)
 
     def finish(n: TreeNode) -> TreeNode:
         if not n.is_leaf:
@@ -252,12 +237,33 @@ def tree_fit(model: GBTModel, frame: DataFrame, gh: list[tuple[Column, Column]],
     return [finish(n) for per in grown for _, n in sorted(per.items())]
 
 
-def _root_sums(rows: DataFrame, sums: dict) -> None:
+def _with_siblings(parts: DataFrame, names: DataFrame, above: DataFrame | None) -> DataFrame:
+    """Histogram of the measured nodes and of their siblings, which get what is left of the parent.
+
+    ``parts``: partial sums by slot; ``names``: slot, cls, node and sibling, one row a node;
+    ``above``: the level above. One aggregate adds parts to their node and takes them off the
+    parent's cells.
+    """
+    own = F.struct("node", F.lit(1).alias("sign"))
+    rest = F.struct(F.col("sibling").alias("node"), F.lit(-1).alias("sign"))
+    to = F.explode(F.when(F.col("sibling").isNull(), F.array(own)).otherwise(F.array(own, rest))).alias("to")
+    signed = parts.join(F.broadcast(names), "slot").select("cls", "feature", "bin", "g", "h", "n", to)
+    cells = signed.select("cls", "to.node", "feature", "bin", *[(F.col(c) * F.col("to.sign")).alias(c) for c in ("g", "h", "n")])
+    if above is not None:
+        parents = names.select("cls", F.shiftright("node", 1).alias("node"), "sibling")
+        given = above.join(F.broadcast(parents), ["cls", "node"])
+        cells = cells.unionByName(given.select("cls", F.col("sibling").alias("node"), "feature", "bin", "g", "h", "n"))
+    return cells.groupBy("cls", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).where("n > 0")
+
+
+def _root_sums(frame: DataFrame, gh: list[tuple[Column, Column]], sums: dict) -> None:
     """Totals of roots that have no possible cut."""
-    for r in gh_total(rows.where(F.col("node") == 1), ["cls"]).collect():
-        if r["g"] is None:
+    total = [F.sum(x).alias(f"{name}{c}") for c, pair in enumerate(gh) for name, x in zip("gh", pair)]
+    r = frame.agg(*total).first()
+    for c in range(len(gh)):
+        if r[f"g{c}"] is None:
             raise ValueError("no rows to train on")
-        sums.setdefault((r["cls"], 1), (r["g"], r["h"]))
+        sums.setdefault((c, 1), (r[f"g{c}"], r[f"h{c}"]))
 
 
 def _evaluate(model: GBTModel, score: list[Column], y: Column) -> tuple[Column, Column]:
@@ -302,20 +308,21 @@ def gbt_fit(
         classes = label_classes(df, label) if classes > 1 else None
     width = len(classes) if classes else 1
     model = GBTModel(list(features), edges, scores.pick_objective(mission, width, share_y), classes, lambda_, max_depth)
-    bins = [f"{f}_bin" for f in features]
-    frame = df.select(F.col(label).alias("_y"), *bins)
+    packing = Packing(len(features), 1 + max(len(edges.cuts[f]) for f in features))
+    frame = pack_bins(df, [F.col(f"`{f}_bin`") for f in features], {"_y": F.col(label)}, packing)
     frame = materialise(frame, "binned") if write else frame
+    start = F.lit(None).cast("array<bigint>").alias("_at")
     rows = frame.count() if model.objective == scores.SQUARED else 0
     held: list[str] = []
     inlined: list[int] = []
 
     def current() -> list[Column]:
         base = [F.col(h) for h in held] if held else [F.lit(0.0)] * width
-        fresh = model.class_scores("bin", trees=range(inlined[0], model.trees)) if inlined else [F.lit(0.0)] * width
+        fresh = model.packed_scores(packing, range(inlined[0], model.trees)) if inlined else [F.lit(0.0)] * width
         return [a + b for a, b in zip(base, fresh)]
 
     for tree in range(n_estimators):
-        model.nodes += tree_fit(model, frame, _gradients(model, current(), F.col("_y"), rows), tree, gamma)
+        model.nodes += tree_fit(model, frame.select("*", start), packing, _gradients(model, current(), F.col("_y"), rows), tree, gamma)
         inlined.append(tree)
         if curve:
             _add_point(model, "train", tree, frame.agg(*_named(_evaluate(model, current(), F.col("_y")))))
@@ -326,7 +333,7 @@ def gbt_fit(
         if leaves > INLINE_LEAVES * width and tree + 1 < n_estimators:
             # Keep the expression small: store the running score with the bins.
             names = [f"_s{c}" for c in range(width)]
-            frame = frame.select("_y", *bins, *[s.alias(n) for s, n in zip(current(), names)])
+            frame = frame.select("_y", "_bins", *[s.alias(n) for s, n in zip(current(), names)])
             frame, held, inlined = materialise(frame, "scored"), names, []
     return model
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import splits
 from ..operators.binning import bin_label, quantile_edges
-from ..plans.boosting import gbt_fit
+from ..plans.boosting import GBTModel, TreeNode, gbt_fit
 from ..plans.runs import RunOptions, resume_trees, run_trees
 from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, parties, stored, wide_e
 from .q_bins import COMPANY_COLS, PARTNER_COLS, edges_a_sql, edges_sql
@@ -298,3 +298,47 @@ def _(spark, sf):
     run_trees(company, partner, first)
     options = RunOptions(reg_coef=1.0, n_estimators=2, max_depth=2, curve=False)
     return node_rows(spark, resume_trees(spark, stored, f"{place}/bins", ["c0", "c1"], options).model)
+
+
+# Depth 7 from order lines: 128 ends, levels through stored nodes, siblings by subtraction.
+_DEEP = boost_sql(SQL_A, edges_a_sql(K), FEATURES_A, 1, 7, 1.0, LOGISTIC_GH)
+
+
+@query("tree_fit_deep", f"{_DEEP} {nodes_sql(1)}")
+def _(spark, sf):
+    return node_rows(spark, forest(spark, sf, n_estimators=1, max_depth=7)[0])
+
+
+@query("tree_route_deep", f"{_DEEP} select cast(node as bigint) as node, count(*) as n from r0_6 group by node")
+def _(spark, sf):
+    model, df = forest(spark, sf, n_estimators=1, max_depth=7)
+    routed = df.withColumn("node", F.lit(1).cast("bigint"))
+    for depth in range(1, 8):
+        level = [vars(n) for n in model.nodes if not n.is_leaf and n.node.bit_length() == depth]
+        routed = splits.tree_route(routed, level, column="edge")
+    return routed.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHAIN = 40
+_CHAINED = {"c0": 0.5, "p0": 0.25, "p1": 0.125}
+
+
+def chain(tree: int, feature: str, cuts, step: float) -> list[TreeNode]:
+    """One node a level: rows at most the cut end, the others go on to the right."""
+    nodes = []
+    for i, cut in enumerate(cuts):
+        nodes += [TreeNode(tree, 0, 2 ** (i + 1) - 1, feature, i, cut, 0.0, None), TreeNode(tree, 0, 2 ** (i + 2) - 2, None, None, None, None, i * step)]
+    return nodes + [TreeNode(tree, 0, 2 ** (len(cuts) + 1) - 1, None, None, None, None, len(cuts) * step)]
+
+
+@query(
+    "gbt_score_deep",
+    f"""with {SQL_A}, {edges_a_sql(_CHAIN)} select id, {' + '.join(
+        f"{w!r}E0 * (select count(*) from ed where ed.feature = '{f}' and ed.edge < j.{f})" for f, w in _CHAINED.items())} as score from j""",
+)
+def _(spark, sf):
+    company, partner = stored(spark, sf, "a")
+    edges = quantile_edges(company.df, COMPANY_COLS, _CHAIN).merge(quantile_edges(partner.df, PARTNER_COLS, _CHAIN))
+    nodes = [n for t, (f, w) in enumerate(_CHAINED.items()) for n in chain(t, f, edges.cuts[f], w)]
+    model = GBTModel(list(_CHAINED), edges, scores.LOGISTIC, None, 1.0, _CHAIN, nodes)
+    return model.score(company.df.join(partner.df, "id")).select("id", "score")

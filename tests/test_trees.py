@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitframe.operators import binning, splits
-from splitframe.plans import boosting
-from splitframe.plans.boosting import gbt_fit
+from splitframe.plans import boosting, packed
+from splitframe.plans.boosting import TreeNode, gbt_fit
 
 NAMES = ["a", "b", "c"]
 
@@ -205,3 +205,84 @@ def test_scores_take_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("scored").count() == 50
+
+
+@pytest.mark.parametrize("change", [{}, {"DENSE_CELLS": 0}, {"COUNTED": 50}])
+def test_deep_trees_equal_brute_force(spark, monkeypatch, change):
+    for name, value in change.items():
+        monkeypatch.setattr(packed, name, value)
+    monkeypatch.setattr(boosting, "STORED_LEVELS", 3)
+    df, x, label, _ = data(spark, 300, seed=3)
+    df = df.withColumn("b", F.when(F.col("b") == 2, None).otherwise(F.col("b")))
+    rows, edges = binned(df, 12)
+    model = gbt_fit(rows, NAMES, edges, "y", n_estimators=2, max_depth=11, lambda_=0.01, gamma=0.0001)
+    assert max(n.node for n in model.nodes) >= 2**7
+    x = x.copy()
+    x[x[:, 1] == 2, 1] = np.inf
+    want = reference(x, label, [edges.cuts[n] for n in NAMES], 2, 11, 0.01, 0.0001)
+    assert np.allclose([r["score"] for r in model.score(df).collect()], want, atol=1e-5)
+
+
+def reference(x, y, cuts, rounds, depth, lam, gamma):
+    """Boosting over raw values as `brute_force`, with a penalty of its own and missing values (inf) to the right."""
+    score = np.zeros(len(y))
+    for _ in range(rounds):
+        g, h = logistic(y, score)
+        step = np.zeros(len(y))
+
+        def grow(rows, level):
+            best = (0.0, None)
+            for j, edges in enumerate(cuts if level < depth else []):
+                for e in edges:
+                    left = rows & (x[:, j] <= e)
+                    right = rows & ~left
+                    if left.any() and (right & np.isfinite(x[:, j])).any():
+                        parts = [g[s].sum() ** 2 / (h[s].sum() + lam) for s in (left, right)]
+                        gain = round(0.5 * (sum(parts) - g[rows].sum() ** 2 / (h[rows].sum() + lam)) - gamma, 6)
+                        if gain > best[0]:
+                            best = (gain, (left, right))
+            if best[1] is None:
+                step[rows] = -g[rows].sum() / (h[rows].sum() + lam)
+            else:
+                for side in best[1]:
+                    grow(side, level + 1)
+
+        grow(np.ones(len(y), bool), 0)
+        score = score + step
+    return score
+
+
+@pytest.mark.parametrize("bins, size", [(3, 1), (255, 1), (256, 2), (70_000, 4)])
+def test_packed_bins_come_back(spark, bins, size):
+    packing = packed.Packing(3, bins)
+    assert packing.size == size
+    rows = [(i, i % bins, bins - 1, None if i % 3 else 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "i int, a int, b int, c int")
+    for columns in ([F.col("a"), F.col("b"), F.col("c")], [F.array("a", "b", "c")]):
+        table = packed.pack_bins(df, columns, {"i": F.col("i")}, packing).orderBy("i")
+        got = packing.matrix(table.toArrow().combine_chunks().column("_bins").combine_chunks())
+        want = np.array([[a, b, 256**size - 1 if c is None else c] for _, a, b, c in rows])
+        assert (got == want).all()
+        at_most = table.where(packing.at_most("_bins", 0, 1)).count()
+        assert at_most == sum(a <= 1 for _, a, _, _ in rows) and table.where(packing.at_most("_bins", 2, bins - 1)).count() == sum(c == 0 for *_, c in rows)
+
+
+def test_chain_of_sixty_levels():
+    nodes = []
+    for i in range(60):
+        nodes += [TreeNode(0, 0, 2 ** (i + 1) - 1, "a", i, float(i), 0.0, None), TreeNode(0, 0, 2 ** (i + 2) - 2, None, None, None, None, float(i))]
+    nodes.append(TreeNode(0, 0, 2**61 - 1, None, None, None, None, 99.0))
+    tree = packed.NodeArrays.of(nodes, {"a": 0}, "value")
+    x = np.array([[-1.0], [0.0], [0.5], [59.0], [59.5], [np.nan]])
+    assert tree.weight[tree.walk(x)].tolist() == [0.0, 0.0, 1.0, 59.0, 99.0, 99.0]
+    # From a stored node on.
+    assert tree.weight[tree.walk(x[2:4], tree.index(np.array([3, 2**30 - 1])))].tolist() == [1.0, 59.0]
+
+
+def test_wide_levels_are_looked_up(spark, monkeypatch):
+    df = spark.createDataFrame([(n, float(v)) for n in (4, 5, 6, 7) for v in (0, 1, 2)] + [(5, None)], "node bigint, x double").withColumns({"at": F.lit("own"), "cut": F.lit(1)})
+    level = [{"node": n, "feature": "x", "bin": n - 5} for n in (4, 5, 6)]
+    plain = splits.tree_route(df, level)
+    monkeypatch.setattr(splits, "INLINE_SPLITS", 0)
+    wide = splits.tree_route(df, level)
+    assert plain.columns == wide.columns and sorted(plain.collect(), key=str) == sorted(wide.collect(), key=str)
