@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.keys import keyed_int
 
-# A pair of blocks takes 16 KB, so an Arrow batch of 10,000 pairs stays under 200 MB.
+# A full block takes 8 KB, so an Arrow batch of 10,000 blocks stays under 150 MB.
 BLOCK = 32
+# Right blocks that a group of the product keeps (32 MB), and groups for each shuffle task.
+HELD_BLOCKS = 4_096
+GROUPS_A_TASK = 4
 SMALL_CELLS = 1_000_000
 # Fixed value: a quiet NaN that arithmetic does not make.
 ABSENT = np.array(0x7FF8_0000_0000_5A5A, np.int64).view(np.float64)
@@ -44,15 +50,31 @@ def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.unionByName(right).groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def mat_add(a: DataFrame, b: DataFrame | float) -> DataFrame:
-    """Sum with a matrix, or with a number on every present cell."""
+def mat_filled(a: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """All cells of a matrix of so many rows and columns: absent ones as the zeros they are.
+
+    Cells outside the shape are an error of the caller and stay. The cells are made in tasks, and
+    united with the given ones by one combined sum.
+    """
+    rows, columns = shape
+    every = a.sparkSession.range(rows * columns) if rows * columns else a.sparkSession.range(0)
+    zeros = every.select(F.floor(F.col("id") / columns).alias("i"), (F.col("id") % columns).alias("j"), F.lit(0.0).alias("v"))
+    return a.select("i", "j", "v").unionByName(zeros).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def _whole(a: DataFrame, shape: tuple[int, int] | None) -> DataFrame:
+    return a if shape is None else mat_filled(a, shape)
+
+
+def mat_add(a: DataFrame, b: DataFrame | float, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Sum with a matrix, or with a number: on every cell of the ``shape``, or without one on present cells."""
     if not isinstance(b, DataFrame):
-        return a.select("i", "j", (F.col("v") + F.lit(float(b))).alias("v"))
+        return _whole(a, shape).select("i", "j", (F.col("v") + F.lit(float(b))).alias("v"))
     return a.select("i", "j", "v").unionByName(b.select("i", "j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def mat_sub(a: DataFrame, b: DataFrame | float) -> DataFrame:
-    return mat_add(a, mat_scale(b, -1.0) if isinstance(b, DataFrame) else -float(b))
+def mat_sub(a: DataFrame, b: DataFrame | float, shape: tuple[int, int] | None = None) -> DataFrame:
+    return mat_add(a, mat_scale(b, -1.0) if isinstance(b, DataFrame) else -float(b), shape)
 
 
 def mat_scale(a: DataFrame, factor: float) -> DataFrame:
@@ -74,11 +96,14 @@ def mat_fmod(a: DataFrame, m: float) -> DataFrame:
     return a.select("i", "j", (F.col("v") % F.lit(float(m))).alias("v"))
 
 
-def mat_compare(a: DataFrame, op: str, b: DataFrame | float) -> DataFrame:
-    """Elementwise ``<``, ``>``, ``<=``, ``>=`` against a matrix or a number, as 0/1."""
+def mat_compare(a: DataFrame, op: str, b: DataFrame | float, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Elementwise ``<``, ``>``, ``<=``, ``>=`` against a matrix or a number, as 0/1.
+
+    A number is compared with every cell of the ``shape``, or without one with present cells.
+    """
     test = _COMPARE[op]
     if not isinstance(b, DataFrame):
-        return a.select("i", "j", test(F.col("v"), F.lit(float(b))).cast("int").alias("v"))
+        return _whole(a, shape).select("i", "j", test(F.col("v"), F.lit(float(b))).cast("int").alias("v"))
     return _merge(a, b).select("i", "j", test(F.col("a"), F.col("b")).cast("int").alias("v"))
 
 
@@ -103,15 +128,22 @@ def mat_slice(a: DataFrame, rows: slice | list[int] | None = None, columns: slic
 
 
 def mat_assign(
-    a: DataFrame, value: DataFrame | float, rows: slice | list[int] | None = None, columns: slice | list[int] | None = None
+    a: DataFrame,
+    value: DataFrame | float,
+    rows: slice | list[int] | None = None,
+    columns: slice | list[int] | None = None,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Overwrite the chosen rows and columns by a number or by another matrix's cells.
 
     A matrix replaces all that was there: cells it lacks become absent, new ones are added. A
-    number is put in present cells only, as the table does not know its shape.
+    number is put in all chosen cells of the ``shape``, or without one in present cells.
     """
     inside = _within("i", rows) & _within("j", columns)
     if not isinstance(value, DataFrame):
+        if shape is not None:
+            filled = mat_filled(a.where(F.lit(False)), shape).where(inside).select("i", "j", F.lit(float(value)).alias("v"))
+            return a.where(~inside).select("i", "j", "v").unionByName(filled)
         return a.select("i", "j", F.when(inside, F.lit(float(value))).otherwise(F.col("v")).alias("v"))
     return a.where(~inside).select("i", "j", "v").unionByName(value.where(inside).select("i", "j", "v"))
 
@@ -131,7 +163,7 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = BLOCK, small_cells: int = S
 
     A right side of at most ``small_cells`` cells (counted first) is broadcast: then the left
     side is not shuffled at all and only combined sums move. Two large matrices are cut into
-    square blocks, which bounds every group, and blocks are multiplied by NumPy in tasks. Either
+    square blocks and dealt out in a grid of bounded groups, see ``_block_mul``. Either
     way there is a cell, be it zero, exactly where two cells met.
     """
     if b.count() <= small_cells:
@@ -141,24 +173,63 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = BLOCK, small_cells: int = S
     return _block_mul(a, b, block)
 
 
+@dataclass(frozen=True)
+class _Grid:
+    """How a product of blocks is dealt out: slices of left rows, right columns and the inner axis."""
+
+    rows: int
+    columns: int
+    inner: int
+
+    @staticmethod
+    def of(left: Row, right: Row, tasks: int, held: int) -> _Grid:
+        """The cheapest grid whose groups hold about ``held`` right blocks, with enough groups for the tasks.
+
+        A group keeps its right blocks and streams its left ones, so left blocks are sent once a
+        column slice, right blocks once a row slice, and several inner slices add sums of output
+        blocks. Counts are approximate; they decide the layout only.
+        """
+        slices = max(1, math.ceil(right["blocks"] / held))
+        best = None
+        for columns in sorted({min(2**e, right["n_j"]) for e in range(slices.bit_length() + 1)}):
+            inner = max(1, min(right["n_i"], math.ceil(slices / columns)))
+            rows = max(1, min(left["n_i"], math.ceil(GROUPS_A_TASK * tasks / (columns * inner))))
+            sums = inner * left["n_i"] * right["n_j"] if inner > 1 else 0
+            cost = columns * left["blocks"] + rows * right["blocks"] + sums
+            if best is None or cost < best[0]:
+                best = cost, _Grid(rows, columns, inner)
+        return best[1]
+
+
 def _blocks(a: DataFrame, block: int) -> DataFrame:
-    """Cells gathered into dense square blocks; a group has at most ``block * block`` cells."""
+    """Cells gathered into square blocks (bi, bj); a group has at most ``block * block`` cells."""
     at = lambda c: F.floor(F.col(c) / F.lit(block)).alias(f"b{c}")
+    place = (F.pmod("i", F.lit(block)) * block + F.pmod("j", F.lit(block))).cast("int")
+    return a.groupBy(at("i"), at("j")).agg(F.collect_list(F.struct(place.alias("at"), "v")).alias("cells"))
+
+
+def _shape(a: DataFrame, block: int) -> Row:
+    """Approximate numbers of blocks, block rows and block columns."""
+    at = lambda c: F.floor(F.col(c) / F.lit(block))
+    count = F.approx_count_distinct
+    found = a.select(at("i").alias("i"), at("j").alias("j"))
+    return found.agg(count(F.struct("i", "j")).alias("blocks"), count("i").alias("n_i"), count("j").alias("n_j")).first()
 
-    def pack(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        # Absent cells are NaN in bits of their own, to be told from numbers that are zero or NaN.
-        dense = np.full((block, block), ABSENT)
-        dense[(cells["i"] % block).to_numpy(), (cells["j"] % block).to_numpy()] = cells["v"].to_numpy()
-        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [dense.tobytes()]})
 
-    blocks = a.select("i", "j", "v", at("i"), at("j"))
-    return blocks.groupBy("bi", "bj").applyInPandas(pack, "bi bigint, bj bigint, data binary")
+def _dense(batch: pa.RecordBatch, block: int) -> np.ndarray:
+    """Blocks of a batch as arrays in which absent cells are marked."""
+    cells = batch.column("cells")
+    sizes = np.diff(cells.offsets.to_numpy())
+    flat = cells.flatten()
+    out = np.full((batch.num_rows, block * block), ABSENT)
+    out[np.repeat(np.arange(batch.num_rows), sizes), flat.field("at").to_numpy()] = flat.field("v").to_numpy(zero_copy_only=False)
+    return out.reshape(-1, block, block)
 
 
 def _product(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Product over the cells that are there, and where such a product is."""
     here, there = x.view(np.int64) != ABSENT.view(np.int64), y.view(np.int64) != ABSENT.view(np.int64)
-    some = here.astype(float) @ there.astype(float) > 0
+    some = np.ones((len(x), y.shape[1]), bool) if here.all() and there.all() else here.astype(np.float32) @ there.astype(np.float32) > 0
     x, y = np.where(here, x, 0.0), np.where(there, y, 0.0)
     if np.isfinite(x).all() and np.isfinite(y).all():
         return x @ y, some
@@ -167,31 +238,94 @@ def _product(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sum(parts), some
 
 
-def _block_mul(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
-    left = _blocks(a, block).select("bi", F.col("bj").alias("bk"), F.col("data").alias("ldata"))
-    right = _blocks(b, block).select(F.col("bi").alias("bk"), "bj", F.col("data").alias("rdata"))
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
-            sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-            for bi, bj, x, y in zip(pairs["bi"], pairs["bj"], pairs["ldata"], pairs["rdata"]):
-                product, some = _product(np.frombuffer(x).reshape(block, block), np.frombuffer(y).reshape(block, block))
-                held = sums.get((bi, bj))
-                sums[bi, bj] = (held[0] + product, held[1] | some) if held else (product, some)
-            parts = [(np.nonzero(some), bi, bj, s) for (bi, bj), (s, some) in sums.items()]
-            if not parts:
-                continue
-            yield pd.DataFrame(
-                {
-                    "i": np.concatenate([r + bi * block for (r, _), bi, _, _ in parts]),
-                    "j": np.concatenate([c + bj * block for (_, c), _, bj, _ in parts]),
-                    "v": np.concatenate([s[at] for at, _, _, s in parts]),
-                }
-            )
-
-    pairs = left.join(right, "bk").select("bi", "bj", "ldata", "rdata")
-    cells = pairs.mapInPandas(multiply, "i bigint, j bigint, v double")
-    return cells.groupBy("i", "j").agg(F.sum("v").alias("v"))
+def _cells(i: int, j: np.ndarray, total: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+    """Cells of a strip of output: rows from ``i``, columns ``j``."""
+    r, c = np.nonzero(some)
+    return pa.RecordBatch.from_arrays([pa.array(r + i), pa.array(j[c]), pa.array(total[r, c])], ["i", "j", "v"])
+
+
+def _block_mul(a: DataFrame, b: DataFrame, block: int, held: int = HELD_BLOCKS) -> DataFrame:
+    """Product of two large matrices in a grid of (row slice, column slice, inner slice).
+
+    Every group gets its right blocks first and keeps them, then its left blocks by block row: a
+    strip of output is summed in the group, whatever the number of left blocks that share a right
+    one, and unfolded to cells when it is whole. Only with several inner slices are sums of
+    output blocks shuffled, before they are unfolded.
+    """
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = _Grid.of(_shape(a, block), _shape(b, block), tasks, held)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _blocks(a, block).select(F.lit(1).alias("side"), F.col("bi").alias("at"), F.col("bj").alias("bk"), "cells", dealt("bi", grid.rows).alias("p"), every(grid.columns).alias("q"))
+    right = _blocks(b, block).select(F.lit(0).alias("side"), F.col("bj").alias("at"), F.col("bi").alias("bk"), "cells", every(grid.rows).alias("p"), dealt("bj", grid.columns).alias("q"))
+    both = left.unionByName(right).withColumn("s", dealt("bk", grid.inner))
+    group = (F.col("p") * grid.columns + F.col("q")).cast("bigint") * grid.inner + F.col("s")
+    both = both.select(group.alias("grp"), "side", "at", "bk", "cells").repartition("grp").sortWithinPartitions("grp", "side", "at", "bk")
+    whole = grid.inner == 1
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept, strip = None, {}, None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if strip is None or not strip[2].any():
+                return
+            at, total, some = strip
+            if whole:
+                yield _cells(at * block, columns, total, some)
+                return
+            marked = np.where(some, total, ABSENT)
+            names = [int(c) for c in columns[::block] // block]
+            data = [marked[:, n * block : (n + 1) * block].tobytes() for n in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(names)), pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["bi", "bj", "data"])
+
+        for batch in batches:
+            arrays = _dense(batch, block)
+            for n, (g, side, at, bk) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "side", "at", "bk")))):
+                if g != group:
+                    yield from finished()
+                    group, kept, strip, ready = g, {}, None, False
+                if side == 0:
+                    kept.setdefault(bk, []).append((at, arrays[n].copy()))
+                    continue
+                if not ready:
+                    # Right blocks of one inner number side by side, and their places in the strip.
+                    names = sorted({j for held in kept.values() for j, _ in held})
+                    places = {j: i for i, j in enumerate(names)}
+                    columns = (np.array(names, np.int64)[:, None] * block + np.arange(block)).ravel()
+                    kept = {k: (np.hstack([y for _, y in v]), np.concatenate([np.arange(block) + places[j] * block for j, _ in v])) for k, v in kept.items()}
+                    ready = True
+                if strip is not None and strip[0] != at:
+                    yield from finished()
+                    strip = None
+                if bk in kept:
+                    if strip is None:
+                        strip = at, np.zeros((block, len(columns))), np.zeros((block, len(columns)), bool)
+                    y, to = kept[bk]
+                    product, some = _product(arrays[n], y)
+                    strip[1][:, to] += product
+                    strip[2][:, to] |= some
+        yield from finished()
+
+    if whole:
+        return both.mapInArrow(multiply, "i bigint, j bigint, v double")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, total, some = None, None, None
+        for batch in batches:
+            for bi, bj, data in zip(*(batch.column(c).to_pylist() for c in ("bi", "bj", "data"))):
+                x = np.frombuffer(data).reshape(block, block)
+                here = x.view(np.int64) != ABSENT.view(np.int64)
+                if (bi, bj) != name:
+                    if name:
+                        yield _cells(name[0] * block, name[1] * block + np.arange(block), total, some)
+                    name, total, some = (bi, bj), np.zeros((block, block)), np.zeros((block, block), bool)
+                total += np.where(here, x, 0.0)
+                some |= here
+        if name:
+            yield _cells(name[0] * block, name[1] * block + np.arange(block), total, some)
+
+    sums = both.mapInArrow(multiply, "bi bigint, bj bigint, data binary").repartition("bi", "bj").sortWithinPartitions("bi", "bj")
+    return sums.mapInArrow(add, "i bigint, j bigint, v double")
 
 
 def gram(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:

@@ -120,3 +120,36 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return m.mat_random_like(cells(spark, sf), -5, 15, "noise")
+
+
+# Sparse cells with a shape: numbers meet the absent cells as zeros.
+_SPARSE = f"""{_V}, g as (select unnest(range((select max(i) + 1 from e))) as i), h as (select unnest(range(64)) as j),
+s as (select g.i, h.j, coalesce(e.v, 0) as v from g cross join h left join e on e.i = g.i and e.j = h.j and e.v > 0.05E0)"""
+
+
+def _sparse(spark, sf):
+    """Cells above 0.05, and the shape of the whole."""
+    rows = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return cells(spark, sf).where("v > 0.05"), (rows, 64)
+
+
+@query("mat_add_sparse", f"{_SPARSE} select i, j, {sql_rnd('v - 0.75E0')} as v from s")
+def _(spark, sf):
+    a, shape = _sparse(spark, sf)
+    return _out(m.mat_sub(a, 0.75, shape))
+
+
+@query("mat_compare_sparse", f"{_SPARSE} select i, j, cast(v <= 0.06E0 as integer) as v from s")
+def _(spark, sf):
+    a, shape = _sparse(spark, sf)
+    return m.mat_compare(a, "<=", 0.06, shape)
+
+
+@query(
+    "mat_assign_sparse",
+    f"""{_SPARSE} select i, j, {sql_rnd('case when i >= 3 and j in (1, 5, 60) then -1.0E0 else v end')} as v from s
+    where v > 0.05E0 or (i >= 3 and j in (1, 5, 60))""",
+)
+def _(spark, sf):
+    a, shape = _sparse(spark, sf)
+    return _out(m.mat_assign(a, -1.0, slice(3, None), [1, 5, 60], shape))

@@ -92,3 +92,39 @@ def test_assign_adds_and_removes_cells(spark):
     value = spark.createDataFrame([(0, 1, 7.0), (1, 1, 8.0), (4, 4, 3.0)], "i long, j long, v double")
     got = {(r["i"], r["j"]): r["v"] for r in m.mat_assign(a, value, slice(0, 2), slice(0, 2)).collect()}
     assert got == {(0, 1): 7.0, (1, 1): 8.0, (5, 5): 9.0}
+
+
+@pytest.mark.parametrize("held, block", [(1, 4), (2, 3), (5, 8), (10_000, 4)])
+def test_grids_of_blocks_give_the_same(spark, held, block):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(21, 30)), rng.normal(size=(30, 17))
+    x[rng.random(x.shape) < 0.6], y[rng.random(y.shape) < 0.6] = 0, 0
+    x[:, 7], y[7, :], x[4, 2], x[5, 7] = 1.5, 2.0, np.inf, -0.0
+    a, b = cells(spark, x).where("v != 0 or (i = 5 and j = 7)"), cells(spark, y).where("v != 0")
+    got = m._block_mul(a, b, block, held).collect()
+    want = {(r["i"], r["j"]): r["v"] for r in m.mat_mul(a, b).collect()}
+    assert len(got) == len(want)
+    for r in got:
+        assert np.isclose(r["v"], want[r["i"], r["j"]], equal_nan=True)
+
+
+def test_grid_of_a_product(spark):
+    shape = lambda blocks, i, j: {"blocks": blocks, "n_i": i, "n_j": j}
+    # A tall table by a wide one: the right side is kept whole, its inner axis is not cut.
+    grid = m._Grid.of(shape(1_250_000, 312_500, 4), shape(628, 4, 157), 200, 4096)
+    assert (grid.columns, grid.inner) == (1, 1) and grid.rows >= 800
+    # Its transpose by itself: only the inner axis can be cut.
+    grid = m._Grid.of(shape(1_250_000, 4, 312_500), shape(1_250_000, 312_500, 4), 200, 4096)
+    assert grid.columns * grid.inner >= 300 and grid.rows <= 4
+
+
+def test_numbers_on_a_shape(spark):
+    x = np.where(np.abs(A) < 0.7, 0.0, A)
+    a = cells(spark, x).where("v != 0")
+    assert np.allclose(dense(m.mat_add(a, 2, x.shape), x.shape), x + 2) and m.mat_add(a, 2, x.shape).count() == x.size
+    assert np.allclose(dense(m.mat_sub(a, 2, x.shape), x.shape), x - 2)
+    assert np.array_equal(dense(m.mat_compare(a, "<=", 0.0, x.shape), x.shape), x <= 0)
+    want = x.copy()
+    want[2:5, [1, 3]] = 9
+    assert np.allclose(dense(m.mat_assign(a, 9, slice(2, 5), [1, 3], x.shape), x.shape), want)
+    assert m.mat_filled(a.where("false"), (0, 3)).count() == 0
