@@ -16,6 +16,7 @@ from ..session import materialise
 from ..spec import COMPANY, PARTNER
 from .align import psi_join
 from .prep import merged_columns
+from .wide_quantiles import wide_quantiles
 
 # Default number of cut points and decimals kept of a cut point.
 DEFAULT_K = 50
@@ -84,6 +85,19 @@ def quantile_edges(df: DataFrame, columns: list[str], k: int = DEFAULT_K, method
     return Edges({c: tuple(float(x) for x in np.round(values[c], EDGE_DECIMALS)) for c in columns})
 
 
+def array_edges(df: DataFrame, column: str, k: int = DEFAULT_K, prefix: str = "x") -> Edges:
+    """As ``quantile_edges`` for every place of an array column, whose features are x0, x1, ...
+
+    All arrays must have one length, that of the first row met.
+    """
+    first = df.select(F.size(column).alias("n")).first()
+    width = first["n"] if first else 0
+    values = wide_quantiles(df, F.col(column), width, cut_probabilities(k), _Search)
+    if not width or any(v is None for v in values):
+        raise ValueError(f"no values to cut in {column}")
+    return Edges({f"{prefix}{i}": tuple(float(x) for x in np.round(v, EDGE_DECIMALS)) for i, v in enumerate(values)})
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], fetch_rows: int = FETCH_ROWS, sketch_k: int = SKETCH_K
 ) -> dict[str, list[float] | None]:
@@ -93,14 +107,13 @@ def exact_quantiles(
     pass says exactly how many rows lie at and between the cuts, and only the few values
     between the two cuts next to a rank are looked at; while those are still more than
     ``fetch_rows``, their stretches are sketched and counted again. Passes (three, as a rule)
-    read the columns and shuffle counts. Nothing is sorted or gathered, and a sketch's error
+    read the columns and shuffle counts. Many columns are searched together as one matrix, see
+    ``wide_quantiles``. Nothing is sorted or gathered, and a sketch's error
     affects the number of passes, never the result.
     """
-    out: dict[str, list[float] | None] = {}
-    for start in range(0, len(columns), COLUMNS_AT_ONCE):
-        chunk = columns[start : start + COLUMNS_AT_ONCE]
-        out |= dict(zip(chunk, _quantiles(df, chunk, probs, fetch_rows, sketch_k)))
-    return out
+    if len(columns) > COLUMNS_AT_ONCE:
+        return dict(zip(columns, wide_quantiles(df, F.expr(f"array({', '.join(f'CAST(`{c}` AS DOUBLE)' for c in columns)})"), len(columns), probs, _Search)))
+    return dict(zip(columns, _quantiles(df, columns, probs, fetch_rows, sketch_k)))
 
 
 def _quantiles(df: DataFrame, columns: list[str], probs: list[float], fetch_rows: int, sketch_k: int) -> list[list[float] | None]:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import matrix_of
+
 # Histograms of up to so many cells are kept dense in a task (three times eight bytes a cell).
 DENSE_CELLS = 4_000_000
 # Values (rows x features) that are counted at once.
@@ -57,17 +59,6 @@ class Packing:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(whole.tobytes())]).cast(pa.binary())
 
 
-def _matrix_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    """Columns as a matrix of doubles; one array column gives the whole matrix."""
-    if len(names) == 1 and pa.types.is_list(batch.column(names[0]).type):
-        rows = batch.column(names[0])
-        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
-        if rows.null_count or len(flat) % max(len(rows), 1):
-            raise ValueError(f"rows of {names[0]} differ in length")
-        return flat.reshape(len(rows), -1)
-    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
-
-
 def pack_bins(df: DataFrame, bins: list[Column], keep: dict[str, Column], packing: Packing, out: str = "_bins") -> DataFrame:
     """``keep`` and the bins of a row as one binary value.
 
@@ -81,7 +72,7 @@ def pack_bins(df: DataFrame, bins: list[Column], keep: dict[str, Column], packin
         for batch in batches:
             if batch.num_rows:
                 kept = [batch.column(k) for k in held]
-                yield pa.RecordBatch.from_arrays([*kept, packing.packed(_matrix_of(batch, names))], [*held, out])
+                yield pa.RecordBatch.from_arrays([*kept, packing.packed(matrix_of(batch, names))], [*held, out])
 
     return plain.mapInArrow(pack, f"{schema}, {out} binary")
 
@@ -196,8 +187,8 @@ def dense_histogram(rows: DataFrame, packing: Packing, trees: list[NodeArrays],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, gh = packing.matrix(batch.column("_bins")), _matrix_of(batch, ["gh"])
-            stored = None if batch.column("_at").null_count else _matrix_of(batch, ["_at"]).astype(np.int64)
+            bins, gh = packing.matrix(batch.column("_bins")), matrix_of(batch, ["gh"])
+            stored = None if batch.column("_at").null_count else matrix_of(batch, ["_at"]).astype(np.int64)
             for c, (tree, slot) in enumerate(zip(trees, wanted)):
                 at = tree.walk(bins, None if stored is None else tree.index(stored[:, c]))
                 mine = np.flatnonzero(slot[at] >= 0)
@@ -228,7 +219,7 @@ def routed(frame: DataFrame, packing: Packing, trees: list[NodeArrays]) -> DataF
             if not batch.num_rows:
                 continue
             bins = packing.matrix(batch.column("_bins"))
-            stored = None if batch.column("_at").null_count else _matrix_of(batch, ["_at"]).astype(np.int64)
+            stored = None if batch.column("_at").null_count else matrix_of(batch, ["_at"]).astype(np.int64)
             at = [t.node[t.walk(bins, None if stored is None else t.index(stored[:, c]))] for c, t in enumerate(trees)]
             flat = np.column_stack(at).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(trees), pa.int32()), pa.array(flat, pa.int64()))

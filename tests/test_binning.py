@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitframe.operators import binning as b
+from splitframe.operators import wide_quantiles
 
 
 def frame(spark, **columns):
@@ -122,3 +123,35 @@ def test_edges_under_the_names_of_the_joined_table(spark):
     assert b.bin_edge_join(joined, "id", edges).count() == 24
     with pytest.raises(ValueError):
         b.Edges({"a": (1.0,)}).merge(b.Edges({"a": (2.0,)}))
+
+
+@pytest.mark.parametrize("picked", [4_000_000, 3])
+def test_wide_tables_are_searched_as_one_matrix(spark, monkeypatch, picked):
+    monkeypatch.setattr(wide_quantiles, "SUMMARY_VALUES", 1000)
+    monkeypatch.setattr(wide_quantiles, "CHUNK_VALUES", 900)
+    monkeypatch.setattr(wide_quantiles.wide_quantiles, "__defaults__", (picked,))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 7))
+    x[:, 1], x[:, 2] = np.round(x[:, 1]), 4.0
+    x[rng.random(900) < 0.3, 3] = np.nan
+    x[:, 4] = np.nan
+    x[5, 4], x[:40, 5], x[0, 6] = 2.5, -0.0, np.inf
+    rows = [([None if np.isnan(v) and i % 2 else float(v) for v in r],) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "x array<double>").repartition(4)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.73, 1.0]
+    got = wide_quantiles.wide_quantiles(df, F.col("x"), 7, probs, b._Search)
+    for c in range(7):
+        want = np.quantile(x[~np.isnan(x[:, c]), c], probs)
+        assert np.allclose(got[c][:5], want[:5], atol=1e-12) and got[c][5] == want[5] or c == 6
+    assert np.allclose(got[6][:5], np.quantile(x[:, 6], probs[:5]))
+    assert wide_quantiles.wide_quantiles(df.where("false"), F.col("x"), 2, probs, b._Search) == [None, None]
+
+
+def test_edges_of_an_array_column(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 70)), 2)
+    names = [f"x{i}" for i in range(70)]
+    wide = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    arrays = wide.select(F.array(*names).alias("v"))
+    assert b.quantile_edges(wide, names, 9) == b.array_edges(arrays, "v", 9)
+    assert b.quantile_edges(wide, names[:5], 9).cuts["x3"] == b.array_edges(arrays, "v", 9).cuts["x3"]
