@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..spec import COMPANY
 from .position import global_position
 from .prep import merged_columns
@@ -151,21 +152,38 @@ def _row_mark(df: DataFrame, on: str, out: str) -> DataFrame:
     return marked.withColumn(out, F.concat_ws(".", content, F.col("copy"))).drop("copy")
 
 
+def _place_mark(df: DataFrame, on: str, out: str) -> DataFrame:
+    """Rows that can match, with their place; written, so that the places stay."""
+    return materialise(df.where(F.col(on).isNotNull()).withColumn(out, F.monotonically_increasing_id().cast("string")), "marked")
+
+
 def psi_row_index(
-    company: DataFrame, partner: DataFrame, on: str = "id", seed: str | int = "row", unique_ids: bool = False, skew: str = "aqe"
+    company: DataFrame,
+    partner: DataFrame,
+    seed: str | int,
+    on: str = "id",
+    unique_ids: bool = False,
+    skew: str = "aqe",
+    marks: str = "place",
 ) -> DataFrame:
     """Aligned table with a ``row_id`` that both parties' outputs share.
 
     With unique ids the row id is a digest of the id. Otherwise each party marks its own rows
-    (content digest and copy number) before the join, so that every aligned row gets its own
-    id, equal rows included; no group of rows has to be ordered for it.
+    before the join, so that every aligned row gets its own id, equal rows included. The mark is
+    the row's place in a table that is written once (``marks="place"``: the join's own exchanges
+    and no others), or a digest of its content and a copy number (``"content"``), which are the
+    same in every run, at the price of grouping both sides by all columns. The seed is a secret:
+    who knows it can test ids against row ids.
     """
+    if marks not in ("place", "content"):
+        raise ValueError(f"unknown marks {marks!r}")
     if unique_ids:
         joined = psi_join(company, partner, on, skew)
         names = [c for c in joined.columns if c != on]
         return joined.select(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(on).cast("string")), 256).alias("row_id"), on, *names)
     c, p, names = _renamed(company, partner, on)
-    joined = equi_join(_row_mark(c, on, "_cm"), _row_mark(p, on, "_pm"), on, skew)
+    mark = _place_mark if marks == "place" else _row_mark
+    joined = equi_join(mark(c, on, "_cm"), mark(p, on, "_pm"), on, skew)
     row_id = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(on).cast("string"), "_cm", "_pm"), 256)
     return joined.select(row_id.alias("row_id"), on, *names)
 

@@ -12,7 +12,10 @@ from ..functions.keys import digest_word, keyed_digest
 from ..spec import COMPANY, LABEL, PARTNER
 from .position import Positioned, position_rows
 
-MAX_CLASSES = 10_000
+# Rows of a sample that are merged at one place; larger samples are cut off by a threshold.
+TOP_ROWS = 10_000
+# Fixed value: numbers that 32 bits of a digest take.
+WORDS = 2**32
 
 
 def find_label_party(company: DataFrame, partner: DataFrame, label: str = LABEL) -> str:
@@ -72,7 +75,7 @@ def ordered_train_test_split(df: DataFrame, *order_by: str, test_size: float = 0
 
 def hashed_train_test_split(df: DataFrame, id: str, seed: str | int, test_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Shuffled split, repeatable: a row's side depends on its id and the seed only."""
-    held_out = F.pmod(digest_word(keyed_digest(seed, id)), F.lit(10_000)) < F.lit(round(test_size * 10_000))
+    held_out = digest_word(keyed_digest(seed, id)) < F.lit(round(test_size * WORDS))
     return df.where(~held_out), df.where(held_out)
 
 
@@ -86,12 +89,13 @@ def recode_label_pm1(y: Column) -> Column:
     return F.when(y == 0, F.lit(-1).cast("double")).otherwise(y)
 
 
-def label_classes(df: DataFrame, label: str = LABEL) -> list:
-    """Sorted classes of a label column; more than 10,000 is taken for a mistake."""
-    found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
-    return sorted(r[0] for r in found)
+def label_classes(df: DataFrame, label: str = LABEL, most: int | None = None) -> list:
+    """Sorted classes of a label column on the driver; more than ``most`` are an error."""
+    found = df.select(label).where(F.col(label).isNotNull()).distinct()
+    rows = (found if most is None else found.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"{label!r} has more than {most} classes")
+    return sorted(r[0] for r in rows)
 
 
 def one_hot(y: Column, classes: list, off: float = 0.0) -> Column:
@@ -99,9 +103,33 @@ def one_hot(y: Column, classes: list, off: float = 0.0) -> Column:
     return F.array(*[F.when(y == F.lit(c), F.lit(1.0)).otherwise(F.lit(float(off))) for c in classes])
 
 
-def one_hot_label(df: DataFrame, label: str = LABEL, classes: list | None = None, out: str = "y_vec") -> DataFrame:
-    """Integer class to indicator vector; classes are read from the data unless given."""
-    return df.withColumn(out, one_hot(F.col(label), classes if classes is not None else label_classes(df, label)))
+def class_index(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, int]:
+    """Table of distinct labels with their place in sorted order, and their number. Nulls are no class."""
+    labels = df.select(F.col(label).alias("label")).where(F.col(label).isNotNull()).distinct()
+    placed = position_rows(labels, "label")
+    return placed.with_position("at"), placed.rows
+
+
+def one_hot_label(df: DataFrame, label: str = LABEL, classes: list | None = None, out: str = "y_vec", sparse: bool = False) -> DataFrame:
+    """Integer class to indicator vector over the sorted classes of the data, unless they are given.
+
+    Any number of classes: a row finds the place of its class by a join, which is a broadcast as
+    long as the classes are few. ``sparse`` gives struct(size, at) instead of an array, which is
+    what to ask for with many classes; rows without a label have a null place or only zeros.
+    """
+    if classes is not None and not sparse:
+        return df.withColumn(out, one_hot(F.col(label), classes))
+    if classes is not None:
+        rows = [(c, i) for i, c in enumerate(classes)]
+        index, size = df.sparkSession.createDataFrame(rows, f"label {df.schema[label].dataType.simpleString()}, at bigint"), len(rows)
+    else:
+        index, size = class_index(df, label)
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given"), F.col(label).alias("label"))
+    found = given.join(index, "label", "left")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == F.col("at"), 1.0).otherwise(0.0))
+    vector = F.struct(F.lit(size).cast("bigint").alias("size"), "at") if sparse else dense if size else F.array().cast("array<double>")
+    kept = [F.col(f"given.`{c}`").alias(c) for c in df.columns if c != out]
+    return found.select("given", vector.alias("vector")).select(*kept, F.col("vector").alias(out))
 
 
 def batch_assign(df: DataFrame, *order_by: str, batch_size: int = 64, out: str = "batch") -> DataFrame:
@@ -118,16 +146,39 @@ def iter_batches(placed: Positioned, batch_size: int) -> Iterable[DataFrame]:
         yield placed.slice(low, min(low + batch_size, placed.rows))
 
 
-def sample_batch(df: DataFrame, id: str, seed: str | int, step: int, size: int = 64) -> DataFrame:
-    """``size`` rows without replacement, drawn anew for each step and repeatable."""
+def sample_batch(df: DataFrame, id: str, seed: str | int, step: int, size: int = 64, top_rows: int = TOP_ROWS) -> DataFrame:
+    """``size`` rows without replacement, drawn anew for each step and repeatable.
+
+    The rows whose keyed digests come first. A small sample is the top of a sort that tasks cut
+    off; for a large one two counting passes find the digest word up to which rows belong, and a
+    filter takes them where they are. Only rows of that very word are merged.
+    """
     draw = keyed_digest(seed, F.lit(step), F.col(id))
-    return df.orderBy(draw, F.col(id)).limit(size)
+    if size <= top_rows:
+        return df.orderBy(draw, F.col(id)).limit(size)
+    word = digest_word(draw)
+    high = _crossing(df.select(F.shiftright(word, 16).alias("b")), size)
+    if high is None:
+        return df
+    part, before = high
+    low = _crossing(df.where(F.shiftright(word, 16) == part).select(word.bitwiseAND(F.lit(0xFFFF)).alias("b")), size - before)
+    last, more = (part << 16) + low[0], before + low[1]
+    return df.where(word < last).unionAll(df.where(word == last).orderBy(draw, F.col(id)).limit(size - more))
+
+
+def _crossing(buckets: DataFrame, size: int) -> tuple[int, int] | None:
+    """The bucket (of at most 65,536) in which the ``size``-th row lies, and the rows before it."""
+    before = 0
+    for r in buckets.groupBy("b").count().orderBy("b").collect():
+        if before + r["count"] >= size:
+            return r["b"], before
+        before += r["count"]
+    return None
 
 
 def party_sample(df: DataFrame, id: str, seed: str | int, party: str, share: float = 0.9) -> DataFrame:
     """About ``share`` of the rows, drawn separately for each party."""
-    draw = F.pmod(digest_word(keyed_digest(seed, F.lit(party), F.col(id))), F.lit(1000))
-    return df.where(draw < F.lit(round(share * 1000)))
+    return df.where(digest_word(keyed_digest(seed, F.lit(party), F.col(id))) < F.lit(round(share * WORDS)))
 
 
 def random_reorder(df: DataFrame, seed: str | int, *row_key: str) -> DataFrame:

@@ -43,7 +43,7 @@ def psi_shares(
     merged = merged_columns(company.columns, partner.columns, on)
     names = [out for _, _, out in merged if out not in public]
     own = {out for party, _, out in merged if party == "company"}
-    indexed = psi_row_index(company, partner, on, seed, unique_ids, skew)
+    indexed = psi_row_index(company, partner, seed, on, unique_ids, skew)
     mask = {n: share_mask(seed, ROW_ID, n) for n in names}
     held = [(F.col(n) - mask[n] if n in own else mask[n].cast("double")).alias(f"company_{n}") for n in names]
     given = [(mask[n].cast("double") if n in own else F.col(n) - mask[n]).alias(f"partner_{n}") for n in names]

@@ -305,7 +305,7 @@ def gbt_fit(
     the few columns needed are written once and every level reads them back.
     """
     if isinstance(classes, int):
-        classes = label_classes(df, label) if classes > 1 else None
+        classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
     model = GBTModel(list(features), edges, scores.pick_objective(mission, width, share_y), classes, lambda_, max_depth)
     packing = Packing(len(features), 1 + max(len(edges.cuts[f]) for f in features))

@@ -187,7 +187,7 @@ def lr_fit(
     batches in the order of ``order_by`` are cut once and each read by its own row ranges.
     """
     if isinstance(classes, int):
-        classes = label_classes(df, label) if classes > 1 else None
+        classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
     objective = scores.pick_objective("classification", width, share_y)
     df = complete(df, features, label)
@@ -246,7 +246,7 @@ def svm_fit(
     uses all rows in every step.
     """
     if isinstance(classes, int):
-        classes = label_classes(df, label) if classes > 1 else None
+        classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
     df = complete(df, features, label)
     model = LinearModel(list(features), HINGE, classes, lambda_, np.zeros((len(features), width)))

@@ -78,12 +78,12 @@ def _(spark, sf):
 
 @query("psi_row_index", f"with {SQL_A} select sha256('row|' || id) as row_id, id, c0, c1, p0, p1, p2, y from j")
 def _(spark, sf):
-    return align.psi_row_index(company_a(spark, sf), partner_a(spark, sf), unique_ids=True)
+    return align.psi_row_index(company_a(spark, sf), partner_a(spark, sf), "row", unique_ids=True)
 
 
 @query("psi_row_index_duplicates", f"with {SQL_F} select id, count(*) as n, count(*) as row_ids, sum(c0) as c0 from j group by id")
 def _(spark, sf):
-    rows = align.psi_row_index(company_f(spark, sf), partner_f(spark, sf))
+    rows = align.psi_row_index(company_f(spark, sf), partner_f(spark, sf), "row")
     return rows.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("row_ids"), F.sum("c0").alias("c0")
     )
@@ -94,5 +94,5 @@ def _(spark, sf):
     f"with {SQL_B} select id, row_number() over (order by sha256('row|' || id)) - 1 as pos from j",
 )
 def _(spark, sf):
-    rows = align.psi_row_index(company_b(spark, sf), partner_b(spark, sf), unique_ids=True)
+    rows = align.psi_row_index(company_b(spark, sf), partner_b(spark, sf), "row", unique_ids=True)
     return align.dense_row_index(rows).select("id", "pos")

@@ -124,7 +124,7 @@ def _(spark, sf):
 
 
 def _split_sql(seed: str) -> str:
-    test = f"('0x' || substr(sha256(concat_ws('|', '{seed}', id)), 1, 8))::bigint % 10000 < 2500"
+    test = f"('0x' || substr(sha256(concat_ws('|', '{seed}', id)), 1, 8))::bigint < 1073741824"
     return f"tr as (select * from s where not ({test})), te as (select * from s where {test})"
 
 

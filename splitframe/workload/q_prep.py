@@ -62,7 +62,7 @@ def _(spark, sf):
 
 @query(
     "hashed_train_test_split",
-    """select o_orderkey as id, case when ('0x' || substr(sha256(concat_ws('|', 'split', o_orderkey)), 1, 8))::bigint % 10000 < 2500
+    """select o_orderkey as id, case when ('0x' || substr(sha256(concat_ws('|', 'split', o_orderkey)), 1, 8))::bigint < 1073741824
     then 'test' else 'train' end as part from orders""",
 )
 def _(spark, sf):
@@ -123,7 +123,7 @@ def _(spark, sf):
 @query(
     "party_sample",
     " union all ".join(
-        f"select '{p}' as party, {k} as id from {t} where ('0x' || substr(sha256(concat_ws('|', 'keep', '{p}', {k})), 1, 8))::bigint % 1000 < 900"
+        f"select '{p}' as party, {k} as id from {t} where ('0x' || substr(sha256(concat_ws('|', 'keep', '{p}', {k})), 1, 8))::bigint < 3865470566"
         for p, k, t in (("company", "o_orderkey", "orders"), ("partner", "c_custkey", "customer"))
     ),
 )
@@ -186,3 +186,20 @@ def _(spark, sf):
     )
     batched = prep.party_apply(company, lambda b: b[["id"]].assign(pandas_c1=b["c1"]), "id bigint, pandas_c1 double")
     return doubled.join(moved, "id").join(batched, "id")
+
+
+# A class for every order line: places come by a join, the vector stays sparse.
+@query(
+    "one_hot_label_many",
+    """with t as (select l_orderkey * 10 + l_linenumber as y from lineitem), c as (select count(distinct y) as size from t)
+    select y, size, dense_rank() over (order by y) - 1 as place from t, c""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("y"))
+    return prep.one_hot_label(rows, "y", sparse=True).select("y", "y_vec.size", F.col("y_vec.at").alias("place"))
+
+
+@query("sample_batch_half", "select o_orderkey as id from orders order by sha256(concat_ws('|', 'draw', 1, o_orderkey)), o_orderkey limit (select count(*) // 2 from orders)")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return prep.sample_batch(rows, "id", "draw", 1, rows.count() // 2, top_rows=0)

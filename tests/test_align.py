@@ -63,10 +63,16 @@ def test_hot_rows_are_spread_over_salts(spark):
 def test_row_ids_of_copies_are_distinct_and_repeatable(spark, monkeypatch):
     monkeypatch.setattr(align, "COPY_CHUNK", 7)
     a, b = pair(spark, [("k", 1.0)] * 20 + [("m", None)] * 2, [("k", 2.0)] * 3 + [("m", 1.0)])
-    indexed = align.psi_row_index(a, b)
+    placed = align.psi_row_index(a, b, "seed")
+    assert placed.count() == 62 and placed.select("row_id").distinct().count() == 62
+    # The ids are those of the written places, however often they are computed.
+    assert rows(placed) == rows(placed)
+    with pytest.raises(ValueError):
+        align.psi_row_index(a, b, "seed", marks="none")
+    indexed = align.psi_row_index(a, b, "seed", marks="content")
     assert indexed.count() == 62
     assert indexed.select("row_id").distinct().count() == 62
-    again = align.psi_row_index(a.repartition(3), b.repartition(2))
+    again = align.psi_row_index(a.repartition(3), b.repartition(2), "seed", marks="content")
     assert rows(indexed) and {r["row_id"] for r in indexed.collect()} == {r["row_id"] for r in again.collect()}
 
 

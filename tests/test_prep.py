@@ -83,10 +83,35 @@ def test_one_hot(spark):
     assert [r["v"] for r in coded] == [[-1, 1], [1, -1], [-1, -1]]
 
 
-def test_too_many_classes(spark, monkeypatch):
-    monkeypatch.setattr(prep, "MAX_CLASSES", 5)
+def test_too_many_classes(spark):
     with pytest.raises(ValueError):
-        prep.label_classes(people(spark), "id")
+        prep.label_classes(people(spark), "id", 5)
+    assert len(prep.label_classes(people(spark, 50), "id")) == 50
+
+
+def test_one_hot_of_any_number_of_classes(spark):
+    df = spark.createDataFrame([(c, "x") for c in (7, 3, None, 7, 5)], "y int, at string").withColumn("size", F.lit(1))
+    got = prep.one_hot_label(df, sparse=True)
+    assert sorted(((r["y"] or 0), r["y_vec"]["at"], r["y_vec"]["size"], r["at"]) for r in got.collect() if r["y"]) == [(3, 0, 3, "x"), (5, 1, 3, "x"), (7, 2, 3, "x"), (7, 2, 3, "x")]
+    assert [r["y_vec"]["at"] for r in got.where("y is null").collect()] == [None]
+    assert {r["y"]: r["y_vec"] for r in prep.one_hot_label(df).collect()} == {7: [0, 0, 1], 3: [1, 0, 0], 5: [0, 1, 0], None: [0, 0, 0]}
+    given = prep.one_hot_label(df, classes=[7, 5], sparse=True).collect()
+    assert {r["y"]: r["y_vec"]["at"] for r in given} == {7: 0, 5: 1, 3: None, None: None}
+    assert prep.one_hot_label(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("size", [0, 1, 70, 199, 200, 500])
+def test_large_samples_are_the_same_rows(spark, size):
+    df = people(spark, 200)
+    want = sorted(r["id"] for r in prep.sample_batch(df, "id", 1, 2, size).collect())
+    assert sorted(r["id"] for r in prep.sample_batch(df, "id", 1, 2, size, top_rows=-1).collect()) == want and len(want) == min(size, 200)
+
+
+def test_shares_are_not_rounded(spark):
+    df = people(spark, 30_000)
+    assert 0 < df.count() - prep.party_sample(df, "id", 1, "company", 0.9996).count() < 60
+    train, test = prep.hashed_train_test_split(df, "id", 1, 0.00004)
+    assert test.count() < 10 and train.count() + test.count() == 30_000
 
 
 def test_party_columns(spark):
