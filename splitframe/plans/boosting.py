@@ -13,7 +13,7 @@ from ..operators.metrics import accuracy, cross_entropy_sum, mse
 from ..operators.prep import label_classes
 from ..operators.splits import best_split, split_or_leaf, split_prefix_sums
 from ..session import materialise
-from .packed import NodeArrays, Packing, dense_histogram, forest_scores, pack_bins, routed
+from .packed import NodeArrays, Packing, dense_histogram, forest_scores, pack_bins, pack_values, routed
 
 # Default size of a forest.
 N_ESTIMATORS = 3
@@ -103,20 +103,27 @@ class GBTModel:
 
     def _vectorised(self, trees: range, by: str, suffix: str) -> list[Column]:
         """For forests beyond what generated code takes: Arrow batches through the nodes that exist."""
+        columns = [F.col(f if by == "value" else f + suffix).cast("double") for f in self.features]
+        return self._walked(columns, trees, by, wide=False)
+
+    def array_scores(self, values: str, trees: range | None = None) -> list[Column]:
+        """As ``class_scores``, from one array column of raw values in the order of ``features``."""
+        return self._walked([F.col(values)], trees if trees is not None else range(self.trees), "value", wide=True)
+
+    def _walked(self, columns: list[Column], trees: range, by: str, wide: bool) -> list[Column]:
         slot = {f: i for i, f in enumerate(self.features)}
         flat = [(c, NodeArrays.of(self._tree(t, c).values(), slot, by)) for t in trees for c in range(self.width)]
-        columns = [F.col(f if by == "value" else f + suffix).cast("double") for f in self.features]
-        result = forest_scores(columns, flat, self.width, wide=False)
+        result = forest_scores(columns, flat, self.width, wide)
         return [result[c] for c in range(self.width)]
 
-    def score(self, df: DataFrame, by: str = "value", out: str = "score") -> DataFrame:
-        """Add the raw score (an array with several classes)."""
-        s = self.class_scores(by)
+    def score(self, df: DataFrame, by: str = "value", out: str = "score", values: str | None = None) -> DataFrame:
+        """Add the raw score (an array with several classes); ``values`` names an array column of all features."""
+        s = self.array_scores(values) if values else self.class_scores(by)
         return df.withColumn(out, s[0] if self.width == 1 else F.array(*s))
 
-    def predict(self, df: DataFrame, by: str = "value", out: str = "prediction") -> DataFrame:
+    def predict(self, df: DataFrame, by: str = "value", out: str = "prediction", values: str | None = None) -> DataFrame:
         """Add probability and label, or the value itself for regression."""
-        scored = self.score(df, by, "_score")
+        scored = self.score(df, by, "_score", values)
         p = scores.activation(self.objective, F.col("_score"))
         if self.objective == scores.SQUARED:
             return scored.withColumn(out, p).drop("_score")
@@ -296,20 +303,26 @@ def gbt_fit(
     validation: DataFrame | None = None,
     curve: bool = False,
     write: bool = True,
+    values: str | None = None,
 ) -> GBTModel:
     """Boost ``n_estimators`` rounds from score 0, without shrinkage or sampling.
 
     ``df`` has the label and ``<feature>_bin`` columns (see ``bin_label``). ``classes`` makes
     it multi-class with one tree per class and round: pass the class list, or the number of
     classes to read it from the data. ``validation`` has raw feature values. With ``write``
-    the few columns needed are written once and every level reads them back.
+    the few columns needed are written once and every level reads them back. ``values`` names an
+    array column of raw values, in ``df`` and ``validation``, which is read instead of named
+    columns, however many features there are; bins are then found while rows are packed.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
     model = GBTModel(list(features), edges, scores.pick_objective(mission, width, share_y), classes, lambda_, max_depth)
     packing = Packing(len(features), 1 + max(len(edges.cuts[f]) for f in features))
-    frame = pack_bins(df, [F.col(f"`{f}_bin`") for f in features], {"_y": F.col(label)}, packing)
+    if values:
+        frame = pack_values(df, values, [edges.cuts[f] for f in features], {"_y": F.col(label)}, packing)
+    else:
+        frame = pack_bins(df, [F.col(f"`{f}_bin`") for f in features], {"_y": F.col(label)}, packing)
     frame = materialise(frame, "binned") if write else frame
     start = F.lit(None).cast("array<bigint>").alias("_at")
     rows = frame.count() if model.objective == scores.SQUARED else 0
@@ -327,7 +340,9 @@ def gbt_fit(
         if curve:
             _add_point(model, "train", tree, frame.agg(*_named(_evaluate(model, current(), F.col("_y")))))
             if validation is not None:
-                points = validation.agg(*_named(_evaluate(model, model.class_scores("value"), F.col(label))))
+                raw = model.array_scores(values) if values else model.class_scores("value")
+                points = validation.select(F.col(label).alias("_y"), *[x.alias(f"_r{c}") for c, x in enumerate(raw)])
+                points = points.agg(*_named(_evaluate(model, [F.col(f"_r{c}") for c in range(width)], F.col("_y"))))
                 _add_point(model, "validation", tree, points)
         leaves = sum(n.is_leaf for n in model.nodes if n.tree in inlined)
         if leaves > INLINE_LEAVES * width and tree + 1 < n_estimators:

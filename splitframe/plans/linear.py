@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..operators.batches import matrix_of
 from ..operators.metrics import accuracy
 from ..operators.position import Positioned, position_rows
 from ..operators.prep import iter_batches, label_classes
@@ -36,6 +38,8 @@ class LinearModel:
     weights: np.ndarray
     split_col: int | None = None
     curve: list[tuple[str, int, float]] = field(default_factory=list)
+    #: Array column that holds all features in order, instead of columns of their names.
+    values: str | None = None
 
     @property
     def width(self) -> int:
@@ -44,12 +48,18 @@ class LinearModel:
     def margins(self, features: list[str] | None = None) -> list[Column]:
         """Weighted sum per class, over all features or one party's."""
         chosen = features if features is not None else self.features
+        if not chosen:
+            return [F.lit(0.0)] * self.width
         at = {f: i for i, f in enumerate(self.features)}
         # One parsed expression per class: a training step builds it anew each time.
         numbers = [[scores.sql_number(self.weights[at[f], c]) for f in chosen] for c in range(self.width)]
-        if len(chosen) > INLINE_SUMS:
+        if len(chosen) > INLINE_SUMS or self.values:
             # A long sum is too deep for the parser and for generated code; arrays are flat.
             values = f"array({', '.join(f'cast(`{f}` as double)' for f in chosen)})"
+            if self.values:
+                places = ", ".join(str(at[f]) for f in chosen)
+                whole = f"transform(`{self.values}`, x -> cast(x as double))"
+                values = whole if chosen == self.features else f"transform(array({places}), i -> cast(`{self.values}`[i] as double))"
             return [F.expr(f"aggregate(zip_with({values}, array({', '.join(n)}), (x, w) -> x * w), 0.0D, (s, x) -> s + x)") for n in numbers]
         return [F.expr(" + ".join(f"`{f}` * {x}" for f, x in zip(chosen, n)) if n else "0.0D") for n in numbers]
 
@@ -98,6 +108,10 @@ def residual_sums(frame: DataFrame, model: LinearModel, label: str) -> tuple[np.
     its Arrow batches with NumPy and passes on a single small matrix. Rows without a label or
     with a missing (null or NaN) feature take no part, in the sums or in the count.
     """
+    if model.values:
+        frame = complete_arrays(frame, model.values, len(model.features), label)
+        parts = frame.select(F.col(model.values).alias("values"), F.col(label).alias("label"))
+        return _added(model, parts.mapInArrow(_partial_arrays(model), "i int, c int, v double"))
     frame = complete(frame, model.features, label)
     if model.width == 1 and len(model.features) <= INLINE_SUMS:
         r = residual(model, model.margins()[0], F.col(label))
@@ -105,7 +119,11 @@ def residual_sums(frame: DataFrame, model: LinearModel, label: str) -> tuple[np.
         sums = [f"sum(`{f}` * _r) AS s{i}" for i, f in enumerate(model.features)]
         row = held.selectExpr(*sums, "count(1) AS n").first()
         return np.array([[row[f"s{i}"] or 0.0] for i in range(len(model.features))]), row["n"]
-    parts = frame.select(*model.features, label).mapInPandas(_partial_sums(model, label), "i int, c int, v double")
+    return _added(model, frame.select(*model.features, label).mapInPandas(_partial_sums(model, label), "i int, c int, v double"))
+
+
+def _added(model: LinearModel, parts: DataFrame) -> tuple[np.ndarray, int]:
+    """Partial sums of the tasks together; features x classes numbers come back."""
     sums = np.zeros_like(model.weights)
     rows = 0
     for p in parts.groupBy("i", "c").agg(F.sum("v").alias("v")).collect():
@@ -121,6 +139,12 @@ def complete(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.dropna(subset=list(dict.fromkeys([*features, label])))
 
 
+def complete_arrays(df: DataFrame, values: str, width: int, label: str) -> DataFrame:
+    """Rows that have a label and an array of so many values, none of them missing."""
+    missing = F.exists(values, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")) & (F.size(values) == width) & ~missing)
+
+
 def residual(model: LinearModel, z: Column, y: Column) -> Column:
     if model.objective == HINGE:
         return F.when(y * z < 1, -y).otherwise(F.lit(0.0))
@@ -134,33 +158,61 @@ def _some(sums: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
 
 
 def _partial_sums(model: LinearModel, label: str) -> Callable:
-    w, objective, classes, names = model.weights.copy(), model.objective, model.classes, list(model.features)
-    off = -1.0 if objective == HINGE else 0.0
+    names, add, zero = list(model.features), *_adding(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = np.zeros_like(w), 0
+        total, rows = zero.copy(), 0
+        for batch in batches:
+            total += add(batch[names].to_numpy(dtype=float), batch[label].to_numpy())
+            rows += len(batch)
+        yield pd.DataFrame(_long(total, rows))
+
+    return run
+
+
+def _partial_arrays(model: LinearModel) -> Callable:
+    add, zero = _adding(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = zero.copy(), 0
         for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            y = batch[label].to_numpy()
-            y = np.where(y[:, None] == np.array(classes)[None, :], 1.0, off) if classes else y[:, None].astype(float)
-            z = x @ w
-            if objective == HINGE:
-                r = np.where(y * z < 1, -y, 0.0)
-            elif objective == scores.PIECEWISE:
-                r = np.clip(z + 0.5, 0.0, 1.0) - y
-            elif objective == scores.SOFTMAX:
-                e = np.exp(z - z.max(axis=1, keepdims=True))
-                r = e / e.sum(axis=1, keepdims=True) - y
-            else:
-                r = 1.0 / (1.0 + np.exp(-z)) - y
-            total += x.T @ r
-            rows += len(x)
-        i, c = np.indices(total.shape)
-        yield pd.DataFrame({"i": np.append(i.ravel(), -1), "c": np.append(c.ravel(), 0), "v": np.append(total.ravel(), float(rows))})
+            if batch.num_rows:
+                total += add(matrix_of(batch, ["values"]), batch.column("label").to_numpy(zero_copy_only=False))
+                rows += batch.num_rows
+        found = _long(total, rows)
+        yield pa.RecordBatch.from_arrays([pa.array(found["i"].astype(np.int32)), pa.array(found["c"].astype(np.int32)), pa.array(found["v"])], ["i", "c", "v"])
 
     return run
 
 
+def _long(total: np.ndarray, rows: int) -> dict[str, np.ndarray]:
+    """Sums by place, and the number of rows at feature -1."""
+    i, c = np.indices(total.shape)
+    return {"i": np.append(i.ravel(), -1), "c": np.append(c.ravel(), 0), "v": np.append(total.ravel(), float(rows))}
+
+
+def _adding(model: LinearModel) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], np.ndarray]:
+    """``X' r`` of some rows, for workers, and sums to start from."""
+    w, objective, classes = model.weights.copy(), model.objective, model.classes
+    off = -1.0 if objective == HINGE else 0.0
+
+    def add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        y = np.where(y[:, None] == np.array(classes)[None, :], 1.0, off) if classes else y[:, None].astype(float)
+        z = x @ w
+        if objective == HINGE:
+            r = np.where(y * z < 1, -y, 0.0)
+        elif objective == scores.PIECEWISE:
+            r = np.clip(z + 0.5, 0.0, 1.0) - y
+        elif objective == scores.SOFTMAX:
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            r = e / e.sum(axis=1, keepdims=True) - y
+        else:
+            r = 1.0 / (1.0 + np.exp(-z)) - y
+        return x.T @ r
+
+    return add, np.zeros_like(w)
+
+
 # --- logistic regression -------------------------------------------------------------------------
 
 
@@ -179,20 +231,22 @@ def lr_fit(
     validation: DataFrame | None = None,
     val_steps: int = 1,
     write: bool = True,
+    values: str | None = None,
 ) -> LinearModel:
     """Gradient descent from zero weights with step ``lr / t`` in epoch t.
 
     ``w <- (1 - lambda) w - (step / b) X'(p - y)``. ``batch_size=None`` takes one step per
     epoch over all rows, which is the form for large tables; with a batch size, contiguous
     batches in the order of ``order_by`` are cut once and each read by its own row ranges.
+    ``values`` names an array column that holds all features in order, instead of named columns.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
     objective = scores.pick_objective("classification", width, share_y)
-    df = complete(df, features, label)
-    model = LinearModel(list(features), objective, classes, lambda_, np.zeros((len(features), width)), split_col)
-    batches = _batches(df, features, label, batch_size, order_by, write)
+    df = complete_arrays(df, values, len(features), label) if values else complete(df, features, label)
+    model = LinearModel(list(features), objective, classes, lambda_, np.zeros((len(features), width)), split_col, values=values)
+    batches = _batches(df, [values] if values else features, label, batch_size, order_by, write)
     step = 0
     for epoch in range(1, n_epochs + 1):
         for batch in batches():
@@ -238,19 +292,20 @@ def svm_fit(
     validation: DataFrame | None = None,
     val_steps: int = 50,
     write: bool = True,
+    values: str | None = None,
 ) -> LinearModel:
     """Sub-gradient steps with rate ``1 / (lambda t)``; labels -1/+1, or one-vs-rest classes.
 
     ``w <- (1 - rate lambda) w + (rate / b) sum(y x over rows with y f(x) < 1)``. A batch is
     drawn anew for each step, without replacement, by one law at every size; ``batch_size=None``
-    uses all rows in every step.
+    uses all rows in every step. ``values`` names an array column of all features.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
-    df = complete(df, features, label)
-    model = LinearModel(list(features), HINGE, classes, lambda_, np.zeros((len(features), width)))
-    needed = list(dict.fromkeys([*features, label]))
+    df = complete_arrays(df, values, len(features), label) if values else complete(df, features, label)
+    model = LinearModel(list(features), HINGE, classes, lambda_, np.zeros((len(features), width)), values=values)
+    needed = list(dict.fromkeys([*([values] if values else features), label]))
     if batch_size is None:
         frame = df.select(*needed)
         frame = materialise(frame, "train") if write else frame

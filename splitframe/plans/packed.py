@@ -77,6 +77,28 @@ def pack_bins(df: DataFrame, bins: list[Column], keep: dict[str, Column], packin
     return plain.mapInArrow(pack, f"{schema}, {out} binary")
 
 
+def pack_values(df: DataFrame, values: str, cuts: list[tuple[float, ...]], keep: dict[str, Column], packing: Packing, out: str = "_bins") -> DataFrame:
+    """As ``pack_bins`` from one array column of raw values: a bin is the number of cuts strictly below."""
+    held = list(keep)
+    plain = df.select(*[c.alias(k) for k, c in keep.items()], F.col(values).alias("values"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[: len(keep)])
+    bounds = [np.sort(np.array(c)) for c in cuts]
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asfortranarray(matrix_of(batch, ["values"]))
+            if x.shape[1] != len(bounds):
+                raise ValueError(f"rows of {values} have {x.shape[1]} values, not {len(bounds)}")
+            for c, b in enumerate(bounds):
+                x[:, c] = np.where(np.isnan(x[:, c]), np.nan, np.searchsorted(b, x[:, c], "left"))
+            kept = [batch.column(k) for k in held]
+            yield pa.RecordBatch.from_arrays([*kept, packing.packed(np.ascontiguousarray(x))], [*held, out])
+
+    return plain.mapInArrow(pack, f"{schema}, {out} binary")
+
+
 @dataclass(frozen=True)
 class NodeArrays:
     """The nodes that a tree has, in order of their heap number, with pointers to children.

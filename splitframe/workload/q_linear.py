@@ -10,7 +10,7 @@ from ..operators.prep import hashed_train_test_split, recode_label_pm1
 from ..plans.linear import PRIME, ROUNDS, LinearModel, draw_keys, lr_fit, svm_fit
 from ..plans.runs import RunOptions, resume_linear, run_linear
 from ..spec import Party
-from .fixtures import FEATURES_A, SQL_A_SCALED, SQL_E, scaled_a, wide_e
+from .fixtures import FEATURES_A, SQL_A_SCALED, SQL_E, scaled_a, table, wide_e
 from .registry import query, rnd, scratch, sql_rnd
 
 SIGMOID = "1.0E0 / (1.0E0 + exp(-({z})))"
@@ -92,6 +92,12 @@ def _(spark, sf):
     return table_.select("feature", "cls", rnd("weight").alias("weight"))
 
 
+@query("lr_fit_array", _SOFT_STEPS)
+def _(spark, sf):
+    model = lr_fit(table(spark, sf, "embeddings"), [f"x{j}" for j in range(64)], "label", classes=10, n_epochs=2, values="embedding")
+    return model.weight_table(spark).select("feature", "cls", rnd("weight").alias("weight"))
+
+
 # Fixed weights for scoring queries.
 WEIGHTS = {"c0": -0.8, "c1": 0.3, "p0": 1.7, "p1": -0.25, "p2": 0.9}
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import splits
-from ..operators.binning import bin_label, quantile_edges
+from ..operators.binning import array_edges, bin_label, quantile_edges
 from ..plans.boosting import GBTModel, TreeNode, gbt_fit
 from ..plans.runs import RunOptions, resume_trees, run_trees
-from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, parties, stored, wide_e
+from .fixtures import FEATURES_A, FEATURES_D, SQL_A, SQL_C, SQL_D, SQL_E, joined, parties, stored, table, wide_e
 from .q_bins import COMPANY_COLS, PARTNER_COLS, edges_a_sql, edges_sql
 from .registry import query, rnd, scratch, sql_rnd
 
@@ -274,6 +274,15 @@ def _(spark, sf):
     return model.node_table(spark).select("cls", "node", "feature", "bin", "edge", rnd("gain", 4).alias("gain"), rnd("weight").alias("weight"))
 
 
+@query("gbt_fit_array", f"select cls, cast(node as bigint) as node, feature, bin, edge, gain, weight from ({_SOFTMAX})")
+def _(spark, sf):
+    """As above from the array column itself, without named columns or stored bins."""
+    rows = table(spark, sf, "embeddings")
+    edges = array_edges(rows, "embedding", 4)
+    model = gbt_fit(rows, edges.features, edges, "label", n_estimators=1, max_depth=1, lambda_=1.0, classes=10, values="embedding")
+    return model.node_table(spark).select("cls", "node", "feature", "bin", "edge", rnd("gain", 4).alias("gain"), rnd("weight").alias("weight"))
+
+
 @query("gbt_label_at_company", boost_sql(SQL_C, f"ed as ({edges_sql('co', ['c0', 'c1'], 8)} union all {edges_sql('pa', ['p0', 'p1'], 8)})", ["c0", "c1", "p0", "p1"], 1, 2, 1e-05, LOGISTIC_GH) + nodes_sql(1))
 def _(spark, sf):
     company, partner = stored(spark, sf, "c")
