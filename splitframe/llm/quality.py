@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,33 +19,63 @@ from .common import Vocabulary, mixed
 #: Labelled rows that a model is fitted on at most.
 LABELLED = 12_000
 
-_RUN = regex.compile(r"(.)\1+", regex.DOTALL)
-_CLASSES = ((regex.compile(r"\p{Lu}"), "A"), (regex.compile(r"[[\p{L}\p{M}]--A]", regex.V1), "a"), (regex.compile(r"\p{N}"), "9"))
+#: Bytes of words that a task keeps.
+KEPT_BYTES = 16_000_000
+
+_RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
+_CLASSES = ((regex.compile(r"\p{Lu}"), "A"), (regex.compile(r"[\p{L}\p{M}]"), "a"), (regex.compile(r"\p{N}"), "9"))
+
+
+class _Letters(dict):
+    """Code points to what they are in a shape, found when first met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = next((letter for pattern, letter in _CLASSES if pattern.match(chr(code))), chr(code))
+        return self[code]
+
+
+_LETTERS = _Letters()
 
 
 def word_shape(word: bytes) -> str:
     """Letters as A or a, digits as 9, other characters as they are, runs as two."""
-    text = word.decode("utf-8", "replace")
-    for pattern, letter in _CLASSES:
-        text = pattern.sub(letter, text)
-    return _RUN.sub(r"\1\1", text)
+    return _RUN.sub(r"\1\1", word.decode("utf-8", "replace").translate(_LETTERS))
 
 
 class _Words(Vocabulary):
-    """Also the hash of each word's shape; ``hashes`` are of the lower-cased word."""
+    """Also the hash of each word's shape; ``hashes`` are of the lower-cased word.
+
+    Starts anew when its words take ``KEPT_BYTES`` as well. One for each task, and gone with it.
+    """
 
     def __init__(self):
         super().__init__()
         self.shapes = np.empty(1024, np.uint64)
+        self.known: dict[str, int] = {}
+        self.weight = 0
 
     def __missing__(self, word: bytes) -> int:
         n = super().__missing__(word)
         if len(self.shapes) < len(self.hashes):
             self.shapes = np.concatenate([self.shapes, np.empty(len(self.hashes) - len(self.shapes), np.uint64)])
         self.hashes[n] = xxhash.xxh64_intdigest(word.lower())
-        self.shapes[n] = xxhash.xxh64_intdigest(word_shape(word).encode(), 3)
+        shape = word_shape(word)
+        digest = self.known.get(shape)
+        if digest is None:
+            digest = xxhash.xxh64_intdigest(shape.encode(), 3)
+            if len(self.known) < self.limit and len(shape) < 100:
+                self.known[shape] = digest
+        self.shapes[n] = digest
+        self.weight += len(word)
         return n
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if self.weight > KEPT_BYTES:
+            self.clear()
+        if not self:
+            self.weight = 0
+        return super().numbers(words)
+
 
 _SAME = np.uint64(0x5851F42D4C957F2D)
 
@@ -110,27 +142,18 @@ class QualityModel:
         weights = SparkSession.active().sparkContext.broadcast(self.weights)
 
         @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
-            words, w = _words(), weights.value
-            out = np.empty(len(texts))
-            for i, x in enumerate(texts):
-                at, values = features(x, words, bits)
-                out[i] = w[at] @ values + bias
-            return pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            words, w = _Words(), weights.value
+            for texts in batches:
+                out = np.empty(len(texts))
+                for i, x in enumerate(texts):
+                    at, values = features(x, words, bits)
+                    out[i] = w[at] @ values + bias
+                yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
         return scored(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-_kept: list[_Words] = []
-
-
-def _words() -> _Words:
-    """One vocabulary for each worker process."""
-    if not _kept:
-        _kept.append(_Words())
-    return _kept[0]
-
-
 def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     """(order, text, label) of the ``most`` labelled documents whose ids hash lowest.
 
@@ -160,7 +183,7 @@ def fit_quality(
     """
 
     def sparse(batches):
-        words = _words()
+        words = _Words()
         for batch in batches:
             found = [features(x.as_py(), words, bits) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

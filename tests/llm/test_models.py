@@ -181,3 +181,53 @@ def test_lm_edges(spark):
     assert len(got) == 11 and {r["n_tokens"] for r in got if r["id"] in (3, 4, 5)} == {1}
     assert lm.score_corpus(empty(spark), bucket(7) == 2).count() == 0
     assert all(r["base_score"] == 0 for r in lm.score_corpus(nasty(spark), F.lit(True)).collect())
+
+
+def test_quality_features_by_plain_python():
+    import math
+    import re
+    import unicodedata
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+
+    from splitframe.llm import quality
+
+    full = 2**64
+
+    def mix(a, b):
+        x = (a * 0x9E3779B97F4A7C15 + b) % full
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 % full
+        return x ^ (x >> 32)
+
+    def shape(word):
+        kinds = ""
+        for c in word.decode("utf-8", "replace"):
+            kind = unicodedata.category(c)
+            kinds += "A" if kind == "Lu" else "a" if kind[0] in "LM" else "9" if kind[0] == "N" else c
+        return re.sub(r"(.)\1+", r"\1\1", kinds, flags=re.DOTALL)
+
+    def plain(text, bits):
+        words = text.split()
+        h = [xxhash.xxh64_intdigest(w.lower()) for w in words]
+        s = [xxhash.xxh64_intdigest(shape(w).encode(), 3) for w in words]
+        s = [x ^ 0x5851F42D4C957F2D if i and words[i] == words[i - 1] else x for i, x in enumerate(s)]
+        two = [mix(a, b) for a, b in zip(s, s[1:])]
+        grams = [h, [mix(a, b) for a, b in zip(h, h[1:])], s, two, [mix(a, b) for a, b in zip(two, s[2:])]]
+        out = Counter()
+        for kind, found in enumerate(grams):
+            for key, n in Counter((g + kind) % full >> (64 - bits) for g in found).items():
+                out[key] += math.sqrt(n / len(found))
+        return dict(out)
+
+    texts = ["One two two  THREE\n3.5 aaab", "é É Ⅷ ½ \U0001f600\U0001f600\U0001f600 x", "one", "", " \t", "word/" * 5000 + " end", "a b " * 400]
+    weights = np.random.default_rng(1).normal(size=1 << 12)
+    words = quality._Words()
+    words.limit = 5
+    for text in [t.encode() for t in texts * 2]:
+        at, values = quality.features(text, words, 12)
+        want = plain(text, 12)
+        assert at.tolist() == sorted(want) and np.allclose(values, [want[k] for k in sorted(want)])
+        assert np.isclose(weights[at] @ values, sum(weights[k] * v for k, v in want.items()))
