@@ -16,6 +16,14 @@ ROW_BITS = 33
 _MID = "_mid"
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @dataclass(frozen=True)
 class Positioned:
     """A table written in global order, with the first position of every written part.
@@ -27,20 +35,16 @@ class Positioned:
     parts: tuple[int, ...]
     starts: tuple[int, ...]
     rows: int
+    mid: str = _MID
 
     def with_position(self, out: str = "pos") -> DataFrame:
         """Add positions 0..n-1. The offset table has one row per partition."""
-        columns = [c for c in self.df.columns if c != _MID]
-        position = F.col("_start") + F.col(_MID).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-        return (
-            self.df.withColumn("_part", F.shiftright(_MID, ROW_BITS))
-            .join(F.broadcast(self._offsets()), "_part")
-            .select(*columns, position.alias(out))
-        )
-
-    def _offsets(self) -> DataFrame:
-        spark = self.df.sparkSession
-        return spark.createDataFrame(list(zip(self.parts, self.starts)), "_part bigint, _start bigint")
+        columns = [f"`{c}`" for c in self.df.columns if c != self.mid]
+        part, start = free_name("_part", self.df.columns), free_name("_start", self.df.columns)
+        position = F.col(start) + F.col(self.mid).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+        offsets = self.df.sparkSession.createDataFrame(list(zip(self.parts, self.starts)), f"{part} bigint, {start} bigint")
+        placed = self.df.withColumn(part, F.shiftright(self.mid, ROW_BITS)).join(F.broadcast(offsets), part)
+        return placed.select(*columns, position.alias(out))
 
     def slice(self, low: int, high: int) -> DataFrame:
         """Rows at positions ``[low, high)``.
@@ -51,11 +55,11 @@ class Positioned:
         """
         low, high = max(low, 0), min(high, self.rows)
         if low >= high:
-            return self.df.where(F.lit(False)).drop(_MID)
-        keep = F.col(_MID) >= F.lit(self._id(low))
+            return self.df.where(F.lit(False)).drop(self.mid)
+        keep = F.col(self.mid) >= F.lit(self._id(low))
         if high < self.rows:
-            keep = keep & (F.col(_MID) < F.lit(self._id(high)))
-        return self.df.where(keep).drop(_MID)
+            keep = keep & (F.col(self.mid) < F.lit(self._id(high)))
+        return self.df.where(keep).drop(self.mid)
 
     def _id(self, position: int) -> int:
         """The stored id of the row at a position."""
@@ -72,15 +76,16 @@ def position_rows(df: DataFrame, *order_by: str) -> Positioned:
     anew by every plan, and both uses must see the same layout.
     """
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    placed = materialise(ordered.withColumn(_MID, F.monotonically_increasing_id()), "ordered")
+    mid = free_name(_MID, df.columns)
+    placed = materialise(ordered.withColumn(mid, F.monotonically_increasing_id()), "ordered")
     sizes = (
-        placed.groupBy(F.shiftright(_MID, ROW_BITS).alias("part"))
+        placed.groupBy(F.shiftright(mid, ROW_BITS).alias("part"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy("part")
         .collect()
     )
     ends = list(accumulate((r["n"] for r in sizes), initial=0))
-    return Positioned(placed, tuple(r["part"] for r in sizes), tuple(ends[:-1]), ends[-1])
+    return Positioned(placed, tuple(r["part"] for r in sizes), tuple(ends[:-1]), ends[-1], mid)
 
 
 def global_position(df: DataFrame, *order_by: str, out: str = "pos") -> DataFrame:

@@ -202,3 +202,21 @@ def test_slices_of_very_many_parts_are_one_range(spark):
     for low, high in ((0, 6000), (1, 5998), (2999, 3001), (-5, 2), (5999, 9999), (7, 7)):
         got = [(r["p"] // 2) * 3 + r["k"] for r in placed.slice(low, high).collect()]
         assert sorted(got) == list(range(max(low, 0), min(high, 6000)))
+
+
+def test_newton_steps_reach_a_certified_optimum(spark):
+    from splitframe.plans.baselines import newton_lr
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    y = (x @ [1.0, -2.0, 0.5] + 0.7 + rng.logistic(size=400) > 0).astype(float)
+    rows = [(*map(float, r), float(t)) for r, t in zip(x, y)] + [(None, 1.0, 1.0, 1.0), (1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double").repartition(3)
+    w, worst = newton_lr(df, ["a", "b", "c"])
+    one = np.column_stack([x, np.ones(400)])
+    assert worst <= 1e-10 and np.abs(one.T @ (1 / (1 + np.exp(-one @ w)) - y)).max() < 1e-6
+    with pytest.raises(ValueError):
+        newton_lr(df.where("false"), ["a"])
+    # Separable classes have no optimum: the certificate says so.
+    apart = spark.createDataFrame([(float(i), float(i > 4)) for i in range(10)], "a double, y double")
+    assert newton_lr(apart, ["a"], max_steps=3)[1] > 1e-10

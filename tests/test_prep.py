@@ -128,3 +128,13 @@ def test_party_apply_counts_results(spark):
 
 def test_intermediate_tables_go_to_the_named_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_internal_names_of_positions_may_be_taken(spark):
+    from splitframe.operators.position import position_rows
+
+    df = spark.createDataFrame([(i, f"m{i}", f"p{i}", f"s{i}") for i in range(20)], "id int, _mid string, _Part string, _start string")
+    placed = position_rows(df.repartition(3), "id")
+    got = placed.with_position("pos").collect()
+    assert {tuple(r) for r in got} == {(i, f"m{i}", f"p{i}", f"s{i}", i) for i in range(20)}
+    assert sorted(r["_mid"] for r in placed.slice(3, 6).collect()) == ["m3", "m4", "m5"]

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"quantile_edges_approx", "baseline_lr", "baseline_svm"}
+    assert set(QUERIES) - set(ORACLES) == {"quantile_edges_approx", "baseline_svm"}
 
 
 def test_flagship(spark):
