@@ -71,8 +71,9 @@ def _aligned(company: DataFrame, partner: DataFrame, on: str, public: tuple[str,
         return psi_join(company, partner, on, opt.skew), None, None
     ours, theirs = psi_shares(company, partner, _seed(opt), on, opt.unique_ids, public, opt.skew)
     if opt.shares_to:
-        from ..sources.stores import scan_shares, sink_shares
+        from ..sources.stores import scan_shares, sink_holder, sink_shares
 
+        sink_holder(company.sparkSession, find_label_party(company, partner), opt.shares_to["company"])
         sink_shares(ours, theirs, opt.shares_to["company"], opt.shares_to["partner"])
         ours, theirs = scan_shares(company.sparkSession, opt.shares_to["company"], opt.shares_to["partner"])
     return share_reconstruct(ours, theirs, keep=public), ours, theirs
@@ -186,7 +187,7 @@ def resume_linear(
     partner_features = [c for c in ours.columns if c not in {ROW_ID, LABEL, *company_features}]
     table = share_reconstruct(ours, theirs)
     model = _fit_linear(table, company_features, partner_features, ROW_ID, options, validation)
-    return RunResult(model, "", table, ours, theirs, list(company_features))
+    return RunResult(model, _holder(spark, shares), table, ours, theirs, list(company_features))
 
 
 def resume_trees(
@@ -204,7 +205,13 @@ def resume_trees(
     features = [*company_features, *[f for f in edges.features if f not in company_features]]
     table = share_reconstruct(ours, theirs, [LABEL]).join(spark.read.parquet(bins), ROW_ID)
     model = _fit_trees(table, features, list(company_features), edges, options, validation)
-    return RunResult(model, "", table, ours, theirs, list(company_features))
+    return RunResult(model, _holder(spark, shares), table, ours, theirs, list(company_features))
+
+
+def _holder(spark: SparkSession, shares: dict[str, str]) -> str:
+    from ..sources.stores import scan_holder
+
+    return scan_holder(spark, shares["company"])
 
 
 def _stored(spark: SparkSession, shares: dict[str, str]) -> tuple[DataFrame, DataFrame]:

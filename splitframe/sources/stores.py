@@ -29,6 +29,16 @@ def sink_shares(company: DataFrame, partner: DataFrame, company_path: str, partn
         _write(df, path, format)
 
 
+def sink_holder(spark: SparkSession, holder: str, company_path: str) -> None:
+    """Note which party holds the label, beside company's shares."""
+    _write_info(spark, {"label_party": holder}, f"{company_path}_run")
+
+
+def scan_holder(spark: SparkSession, company_path: str) -> str:
+    """The party that held the label when the shares were stored."""
+    return _read_info(spark, f"{company_path}_run")["label_party"]
+
+
 def scan_shares(
     spark: SparkSession, company_path: str, partner_path: str, format: str = "parquet", columns: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:

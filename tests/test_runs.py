@@ -53,6 +53,7 @@ def test_stored_shares_bins_and_edges_train_like_the_run_that_wrote_them(spark,
     names = trees.company_features
     again = resume_trees(spark, stored, str(tmp_path / "bins"), names, later)
     assert again.model.features == trees.model.features and again.model.edges == trees.model.edges
+    assert again.label_party == trees.label_party != ""
     key = lambda n: (n.tree, n.node, n.feature, n.bin, n.edge)
     assert [key(n) for n in again.model.nodes] == [key(n) for n in trees.model.nodes]
     lines = run_linear(company, partner, options)
