@@ -43,13 +43,18 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Vocabulary(dict):
     """Numbers for byte words as they come, with the hash and length of each.
 
-    Lives in one task and starts anew when ``limit`` words are known, so its memory is bounded;
-    nothing that leaves the task depends on the numbers.
+    Lives in one task and starts anew when ``limit`` words or ``most_bytes`` bytes of words are
+    known, so between texts its memory is bounded; nothing that leaves the task depends on the numbers.
     """
 
-    def __init__(self, limit: int = 80_000):
+    def __init__(self, limit: int = 80_000, most_bytes: int = 8_000_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.most_bytes = limit, most_bytes
+        self._forget()
+
+    def _forget(self):
+        self.clear()
+        self.held = 0
         self.hashes = np.empty(1024, np.uint64)
         self.lengths = np.empty(1024, np.int64)
 
@@ -60,10 +65,11 @@ class Vocabulary(dict):
             self.lengths = np.concatenate([self.lengths, np.empty(n, np.int64)])
         self.hashes[n] = xxhash.xxh64_intdigest(word)
         self.lengths[n] = len(word)
+        self.held += len(word)
         self[word] = n
         return n
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
+        if len(self) > self.limit or self.held > self.most_bytes:
+            self._forget()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))

@@ -1,10 +1,10 @@
-"""Jaccard join of documents on word n-grams, as a blocked sparse matrix product.
+"""Jaccard join of documents on word n-grams, over prefixes of a sparse matrix's rows.
 
 The matrix has a row for each distinct set of shingles and a column for each shingle. Columns are
 in one order for all rows: rare before frequent, long before short. A pair can only reach the
 similarity if its first common column lies in the prefix of both rows that their sizes allow, so
-the product is taken over these prefixes; pairs whose sizes, places or counts by column block
-bound the overlap too low are discarded, and the full rows of the others are multiplied.
+only these prefixes are joined; pairs whose sizes, places or counts by column block bound the
+overlap too low are discarded, and the full rows of the others are intersected.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.position import free_name
 from ..session import materialise
 from .common import Vocabulary, mixed, unit
 from .components import components
@@ -24,8 +25,8 @@ from .components import components
 FREQUENT, LAST = 8, 200_000
 #: Column blocks: where the counts of two rows differ in parity, a column is in one of them only.
 BLOCKS = 512
-#: Ids broadcast at most (16 bytes each); beyond, tables are shuffled instead.
-BROADCAST_IDS = 2_000_000
+#: Ids broadcast at most (some 100 bytes each once hashed); beyond, tables are shuffled instead.
+BROADCAST_IDS = 500_000
 #: Shingles (eight bytes each) of compared rows broadcast at most.
 BROADCAST_GRAMS = 2_000_000
 #: Rows of a list that all of its rows meet.
@@ -58,15 +59,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-_kept: list[Vocabulary] = []
-
-
-def _vocabulary() -> Vocabulary:
-    if not _kept:
-        _kept.append(Vocabulary())
-    return _kept[0]
-
-
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     """Lists of uint64 as an Arrow list of longs."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
@@ -78,7 +70,7 @@ def _leading(k: int, percent: int):
     """The first columns of each row in the order without counts: a little more than its prefix."""
 
     def zones(batches):
-        words = _vocabulary()
+        words = Vocabulary()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 out = []
@@ -94,7 +86,7 @@ def _rows(k: int, percent: int, last: np.ndarray):
     """Size, identity, block parities and prefix of each row; frequent columns come last."""
 
     def rows(batches):
-        words = _vocabulary()
+        words = Vocabulary()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
@@ -131,7 +123,7 @@ def _rows(k: int, percent: int, last: np.ndarray):
 
 def _sets(k: int):
     def sets(batches):
-        words = _vocabulary()
+        words = Vocabulary()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -304,6 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, of several the first."""
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = materialise(found.where("row <> first_row").select(F.col("row").alias("_row")), "gone")
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    return marked.join(_few(gone), "_row", "left_anti").select(*docs.columns)
+    own = free_name("_row", docs.columns)
+    gone = materialise(found.where("row <> first_row").select(F.col("row").alias(own)), "gone")
+    marked = docs.withColumn(own, F.monotonically_increasing_id())
+    return marked.join(_few(gone), own, "left_anti").select(*docs.columns)

@@ -1,9 +1,7 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores from word pairs, interpolated with words.
 
-States are the empty context and every word (and the start of a text); the arcs of a state are the
-word pairs seen in training, and its failure arc leads to the empty context at a cost. The model has
-no bound, so no task holds it: the corpus is cut into blocks, each block asks for the counts of its
-own words and pairs and builds the part of the automaton that its texts walk through.
+The model has no bound, so no task holds it: the corpus is cut into blocks, and each block asks for
+the counts of its own words and pairs of adjacent words, which its texts are then scored by.
 """
 
 from __future__ import annotations
@@ -25,15 +23,6 @@ STRENGTHS = (1.0, 4.0, 16.0, 128.0, 1024.0, float("inf"))
 #: Hash of the end of a text, which is no word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
 
-_kept: list[Vocabulary] = []
-
-
-def _vocabulary() -> Vocabulary:
-    if not _kept:
-        _kept.append(Vocabulary())
-    return _kept[0]
-
-
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted hashes by their differences, byte planes together."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -61,7 +50,7 @@ class _Block:
     train: list[bool]
 
     def add(self, text: bytes, train: bool) -> None:
-        words = _vocabulary()
+        words = Vocabulary()
         numbers = words.numbers(text.lower().split())
         self.tokens.append(np.append(words.hashes[numbers], END))
         self.train.append(train)
