@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.position import free_name
 from ..session import materialise
 
 # Units that may follow a number.
@@ -25,6 +26,8 @@ _BETWEEN = f"[^\\p{{L}}\\p{{M}}\\p{{N}}_{MARK}]+"
 
 #: Tokens of a window, of what a leak covers at least, and of an item that can leak at least.
 WINDOW, COVERED, LEAST = 8, 13, 4
+#: Covered tokens that must be the same, as placeholders alone say nothing: any list of numbers has those of another.
+SAME = 3
 #: Shifts this close count together: words were put in or left out between their windows.
 CLOSE = 8
 #: Template windows broadcast at most; beyond, Spark shuffles them.
@@ -87,26 +90,28 @@ def _other_leaks(windows: DataFrame, item: DataFrame, text: DataFrame, covered:
     places = windows.select(*group, F.col("at").alias("start"), "shift", F.explode(F.expr("sequence(at, at + width - 1)")).alias("at"))
     pairs = places.join(item, ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
     pairs = pairs.withColumn("same", plain(F.col("given")) == plain(F.col("value")))
-    pairs = pairs.groupBy(*group, "start", "shift").agg(F.collect_list(F.struct("at", "given", "names", "same")).alias("p"), F.bool_and("same").alias("verbatim"))
+    pairs = pairs.groupBy(*group, "start", "shift").agg(F.collect_list(F.struct("at", "given", "names", "same")).alias("p"), F.bool_and("same").alias("verbatim"), F.count_if("same").alias("alike"))
     by_place = (
-        pairs.select(*group, "verbatim", F.inline("p"))
+        pairs.select(*group, "verbatim", "alike", F.inline("p"))
         .groupBy(*group, "at", "given")
-        .agg(F.flatten(F.collect_set("names")).alias("values"), F.bool_or("verbatim").cast("bigint").alias("verbatim"), F.bool_or("same").alias("same"))
+        .agg(F.flatten(F.collect_set("names")).alias("values"), F.bool_or("verbatim").cast("bigint").alias("verbatim"), F.bool_or("same").alias("same"), F.max("alike").alias("alike"))
     )
     all_values = F.collect_list("values")
     by_given = by_place.groupBy(*group, "given").agg(
         F.count(F.lit(1)).alias("places"),
         F.sum("verbatim").alias("verbatim"),
         (F.size(F.aggregate(all_values, F.get(all_values, F.lit(0)), F.array_intersect)) > 0).alias("agrees"),
+        F.max("alike").alias("alike"),
         F.bool_and("same").alias("exact"),
     )
     named = F.startswith("given", F.lit(MARK + "a"))
     found = by_given.groupBy(*group).agg(
         F.sum("verbatim").alias("verbatim"),
         F.when(F.bool_and(F.col("agrees") | ~named), F.sum(F.when(F.col("agrees"), F.col("places")).otherwise(0))).otherwise(F.lit(0)).alias("agreed"),
+        F.max("alike").alias("alike"),
         F.bool_and("exact").alias("exact"),
     )
-    found = found.withColumn("covered", F.greatest("verbatim", "agreed")).where(F.col("covered") >= F.least(F.lit(covered), F.col("item_tokens")))
+    found = found.where(F.col("alike") >= SAME).withColumn("covered", F.greatest("verbatim", "agreed")).where(F.col("covered") >= F.least(F.lit(covered), F.col("item_tokens")))
     return found.groupBy("row", "item").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
 
 
@@ -119,14 +124,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     document cover tokens; they are a leak if they cover at least ``covered`` tokens, or all of a
     shorter item, and the values in the slots correspond one to one: so a question asked with
     other numbers or names is found, while a chance likeness of templates, which puts different
-    names for one, is not. A capitalised word also matches as the word it is. ``exact`` says that
+    names for one, is not. At least ``SAME`` of the tokens covered must be the same in both, so lists of
+    other numbers or names are none. A capitalised word also matches as the word it is. ``exact`` says that
     the values are the same.
 
     Where none corresponds one to one, alignments whose shifts differ by at most ``CLOSE`` count
     together, as words put in or left out shift what follows. They are a leak if they cover as much
     by windows copied word for word, in any case of letters; or, if each name stands for names that
     share a word, without the numbers that stand for several. ``covered`` then counts these
-    tokens. The SQL counterpart of the query has the one-to-one rule of single alignments alone.
+    tokens, and one of the windows must have the ``SAME`` tokens. The SQL counterpart of the query has the one-to-one rule of single alignments alone.
 
     Items of fewer than four tokens never leak; null or empty texts have no tokens; equal items are
     items of their own. All rows of the benchmark are matched, also those that share an item id or
@@ -172,13 +178,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     places = places.select("row", "item", "w.shift", "covered", "item_tokens", F.explode(F.expr("sequence(w.at, w.at + w.width - 1)")).alias("at")).distinct()
     pairs = places.join(item, ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(text, ["row", "pos"])
     slot = F.when(_slot(F.col("given")), F.struct("given", "value"))
+    same = plain(F.col("given")) == plain(F.col("value"))
     checked = pairs.groupBy("row", "item", "shift", "covered", "item_tokens").agg(
         F.count_distinct(slot).alias("pairs"),
         F.count_distinct(slot["given"]).alias("givens"),
         F.count_distinct(slot["value"]).alias("values"),
-        F.bool_and(plain(F.col("given")) == plain(F.col("value"))).alias("exact"),
+        F.count_if(same).alias("same"),
+        F.bool_and(same).alias("exact"),
     )
-    good = checked.where("pairs = givens and pairs = values")
+    good = checked.where("pairs = givens and pairs = values").where(F.col("same") >= SAME)
     good = good.groupBy("row", "item").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.bool_or("exact").alias("exact"))
     good = materialise(good, "one-to-one")
     rest = spans.join(good, ["row", "item"], "left_anti").select("row", "item", "near", "item_tokens", F.inline("windows"))
@@ -188,6 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that repeat an item of ``benchmark``."""
-    gone = materialise(leaks(docs, benchmark, **options).select(F.col("row").alias("_row")).distinct(), "leaks")
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    return marked.join(_few(gone, BROADCAST_WINDOWS), "_row", "left_anti").select(*docs.columns)
+    own = free_name("_row", docs.columns)
+    gone = materialise(leaks(docs, benchmark, **options).select(F.col("row").alias(own)).distinct(), "leaks")
+    marked = docs.withColumn(own, F.monotonically_increasing_id())
+    return marked.join(_few(gone, BROADCAST_WINDOWS), own, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .chat import format_paths, linear_tree, masked_text, read_turns, reply_paths
-from .decontaminate import COVERED, LEAST, UNITS, WINDOW, leaks
+from .decontaminate import COVERED, LEAST, SAME, UNITS, WINDOW, leaks
 from .dedup import exact_duplicates
 from .common import bucket
 from .fingerprint import DIGITS, WORDS, edited_fingerprints, written
@@ -183,9 +183,10 @@ _SQL_PLAIN = "(case when {0}[:2] = chr(1) || 'a' then {0}[3:] else {0} end)"
       from places join it using (item_id) join d using (doc_id)),
     c as (select doc_id, item_id, shift, any_value(item_tokens) as item_tokens, count(*) as covered,
       count(distinct given || chr(2) || value) filter (given[1] = chr(1)) as pairs, count(distinct given) filter (given[1] = chr(1)) as givens,
-      count(distinct value) filter (given[1] = chr(1)) as vals, bool_and({_SQL_PLAIN.format('given')} = {_SQL_PLAIN.format('value')}) as exact from v group by all)
+      count(distinct value) filter (given[1] = chr(1)) as vals, bool_and({_SQL_PLAIN.format('given')} = {_SQL_PLAIN.format('value')}) as exact,
+      count(*) filter ({_SQL_PLAIN.format('given')} = {_SQL_PLAIN.format('value')}) as same from v group by all)
     select doc_id, item_id, max(covered) as covered, max(item_tokens)::bigint as item_tokens, bool_or(exact) as exact from c
-    where covered >= least({COVERED}, item_tokens) and pairs = givens and pairs = vals group by 1, 2"""
+    where covered >= least({COVERED}, item_tokens) and pairs = givens and pairs = vals and same >= {SAME} group by 1, 2"""
 )
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
@@ -256,7 +257,8 @@ def _sql_crc(text: str) -> str:
     m as (select conv_id, len(p) as length, unnest(range(len(p) + 1)) as depth, p from r),
     k as (select conv_id, length, depth, p[:depth] as k from m),
     n as (select k, depth, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (length = depth) as ends,
-      len(regexp_extract_all(k[depth].t, '[^ 	-]+')) as words from k group by k, depth),
+      len(regexp_extract_all(k[depth].t, '[^ 	-
+]+')) as words from k group by k, depth),
     c as (select k[: depth - 1] as k, depth - 1 as depth, count(*) as n_children from n where depth > 0 group by all),
     w as (select n.*, coalesce(n_children, 0) as n_children from n left join c using (k, depth)),
     s as (select u.k, u.depth, count(*) filter (v.n_children = 0) as n_leaves, sum(case when v.depth > 0 then (v.n_convs - 1) * v.words else 0 end) as saved
