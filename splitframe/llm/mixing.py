@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.position import free_name
 from ..session import materialise
 from .common import WORD
 
@@ -186,20 +187,21 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     becomes a row with that part of the text, and ``n_chars``, where it is a column, is its length.
     """
     taken = mix(docs, text_col=text_col, **options)
+    own, first, count, size = (free_name(c, docs.columns) for c in ("_row", "_first", "_words", "_size"))
     order = W.partitionBy("row", "pass").orderBy("first_word")
     cut = (F.col("first_word") != F.lag(F.col("first_word") + F.col("words")).over(order)).cast("int")
     runs = (
         taken.pieces.withColumn("cut", F.coalesce(cut, F.lit(0)))
         .withColumn("run", F.sum("cut").over(order))
         .groupBy("row", "pass", "run")
-        .agg(F.min("first_word").alias("_first"), F.sum("words").alias("_words"))
-        .select(F.col("row").alias("_row"), "_first", "_words")
-        .join(taken.documents.select(F.col("row").alias("_row"), F.col("size").alias("_size")), "_row")
+        .agg(F.min("first_word").alias(first), F.sum("words").alias(count))
+        .select(F.col("row").alias(own), first, count)
+        .join(taken.documents.select(F.col("row").alias(own), F.col("size").alias(size)), own)
     )
-    whole = docs.withColumn("_row", F.monotonically_increasing_id()).join(runs, "_row")
+    whole = docs.withColumn(own, F.monotonically_increasing_id()).join(runs, own)
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), F.col("_words").cast("int")), "")
-    whole = whole.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(part))
+    part = F.array_join(F.slice(words, (F.col(first) + 1).cast("int"), F.col(count).cast("int")), "")
+    whole = whole.withColumn(text_col, F.when(F.col(count) == F.col(size), F.col(text_col)).otherwise(part))
     if "n_chars" in docs.columns:
         whole = whole.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return whole.select(*docs.columns)
