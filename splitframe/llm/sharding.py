@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from ..operators.position import global_position
 from ..session import materialise
 from .common import unit
 
-LOWEST = -(2**63)
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -52,48 +53,54 @@ class Splitters:
 def _sampled(rows: DataFrame, step: float, seed: int) -> list[tuple[int, int, float]]:
     """Rows drawn with probability ``size / step``; what a row stands for is size over probability."""
     chance = F.least(F.lit(1.0), F.col("_size") / F.lit(step))
-    drawn = rows.where(unit(F.lit(seed), "_key", "_tie") < chance).select("_key", "_tie", (F.col("_size") / chance).alias("w"))
+    drawn = rows.where(unit(F.lit(seed), "_key", "_tie") < chance).groupBy("_key", "_tie").agg(F.sum(F.col("_size") / chance).alias("w"))
     return sorted((r[0], r[1], r[2]) for r in drawn.collect())
 
 
 def _quantiles(sample: list[tuple[int, int, float]], step: float) -> list[tuple[int, int]]:
-    """Keys of the sample at every ``step`` of its weight."""
+    """Units (key, tie) of the sample at every ``step`` of its weight; one that weighs a step is a range of its own."""
     out, seen, due = [], 0.0, step
-    for key, tie, weight in sample:
-        if seen >= due:
+    for (key, tie), rows in groupby(sample, key=lambda r: r[:2]):
+        weight = sum(r[2] for r in rows)
+        if seen >= due or weight >= step:
             out.append((key, tie))
-            due += step * max(1, int((seen - due) / step) + 1)
+            due = max(due, step * (int(seen / step) + 1))
+        if weight >= step and tie < HIGHEST:
+            out.append((key, tie + 1))
         seen += weight
     return out
 
 
 def choose_splitters(
-    rows: DataFrame, shards: int, per_shard: int = 32, per_range: int = 8, whole_share: float = 0.05, rounds: int = 4, seed: int = 7
+    rows: DataFrame, shards: int, per_shard: int = 32, per_range: int = 8, whole_share: float = 0.05, seed: int = 7
 ) -> Splitters:
     """Bounds of ``shards`` ranges of (_key, _tie) with nearly equal sums of _size.
 
     A size-weighted sample of about ``shards * per_shard * per_range`` keys gives ``per_shard``
     fine ranges a shard. They are weighed exactly; one of twice the due weight is sampled more
-    densely and subdivided. Shard bounds are the fine bounds nearest to equal sums. A bound
-    inside the rows of one key moves to their end if they weigh under ``whole_share`` of a shard,
-    so such groups stay together. The driver holds the sample and a number for each fine range.
+    densely and subdivided, until none is left but those of one unit. Shard bounds are the fine
+    bounds nearest to equal sums. A bound inside the rows of one key moves to their end if they
+    weigh under ``whole_share`` of a shard, so such groups stay together. The driver holds the sample and a number for each fine range.
     """
     total = rows.agg(F.sum("_size")).first()[0] or 0
     if not total or shards < 2:
         return Splitters.of([])
     due = total / (shards * per_shard)
     cuts = Splitters.of(_quantiles(_sampled(rows, due / per_range, seed), due))
-    for again in range(rounds):
+    for again in count():
         found = rows.groupBy(cuts.column().alias("range")).agg(F.sum("_size").alias("w"), F.count_distinct("_key", "_tie").alias("keys"))
         weights = {r["range"]: (r["w"], r["keys"]) for r in found.collect()}
         over = [k for k, (w, keys) in weights.items() if w > 2 * due and keys > 1]
-        if not over or again == rounds - 1:
+        if not over:
             break
         inside = rows.where(cuts.column().isin(over))
         more = _sampled(inside, due / per_range / 2 ** (again + 1), seed + again + 1)
         at = cuts.find(np.array([r[0] for r in more], np.int64), np.array([r[1] for r in more], np.int64))
         new = [b for k in over for b in _quantiles([r for r, x in zip(more, at) if x == k], due)]
-        cuts = Splitters.of(cuts.pairs() + new)
+        finer = Splitters.of(cuts.pairs() + new)
+        if len(finer.keys) == len(cuts.keys) and due / per_range < 2**again:
+            break  # every row was drawn
+        cuts = finer
     edges, sums = cuts.pairs(), np.cumsum([weights.get(k, (0, 0))[0] for k in range(len(cuts.keys) + 1)])[:-1].astype(float)
     if not edges:
         return cuts
@@ -126,10 +133,12 @@ def shard(rows: DataFrame, shards: int, key: Column, size: Column, tie: Column)
     Sums of ``size`` (at least 1) are nearly equal. Rows are dealt by ranges of ``key`` (a long;
     a hash of what should stay together), and ``tie`` (a long) orders rows of one key. Rows equal
     in both are one unit, in a defined shard but any order. An empty table gives an empty table;
-    nulls in key, size or tie are not allowed; columns named shard or slot are replaced. All
-    columns travel once, in one range shuffle.
+    nulls in key, size or tie are not allowed; columns named shard or slot are replaced, all others
+    are kept whatever their names. All columns travel once, in one range shuffle.
     """
-    keyed = rows.drop("shard", "slot").withColumns({"_key": key, "_size": size, "_tie": tie})
+    columns = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    given = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("given")
+    keyed = rows.select(given, key.alias("_key"), size.alias("_size"), tie.alias("_tie"))
     light = materialise(keyed.select("_key", "_size", "_tie"), "keys")
     dealt = keyed.withColumn("shard", choose_splitters(light, shards).column())
     placed = global_position(dealt, "shard", "_key", "_tie", out="slot")
@@ -140,7 +149,7 @@ def shard(rows: DataFrame, shards: int, key: Column, size: Column, tie: Column)
         starts.append(first)
         first += counts.get(k, 0)
     start = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("shard") + 1)
-    return placed.withColumn("slot", F.col("slot") - start).drop("_key", "_size", "_tie")
+    return placed.select(*[F.col(f"given.`{c}`") for c in columns], "shard", (F.col("slot") - start).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
