@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from math import log10
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .quality import sample_labelled
 
-#: Labelled rows that a model is fitted on at most, and terms that it has at most.
-LABELLED, TERMS = 6_000, 500
+#: Labelled rows that a model is fitted on at most.
+LABELLED = 6_000
 #: Words of a stem's length; words before and after a term that are looked at.
 STEMS, WINDOW = range(3, 8), 8
 #: Letters of a term from which on misspellings are matched: of three, most short words would be one.
@@ -26,22 +27,39 @@ FUZZY = 4
 OPENING, CLOSING = "\"'“„«‘`", "\"'”“»’`"
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quoting word term slur insult".split())
 
-#: Bytes of a run without ASCII white space from which on it is split into its words.
-LONG_RUN = 400
+#: Bytes of the longest word that a vocabulary keeps; longer ones are looked at anew each time.
+CACHED = 400
+#: Pieces of a run that may be one word spelt apart; between a piece and those after it stands ``NEXT``.
+JOINED, NEXT = 4, b"\0"
 
 _CORE = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 # A word spelt with a mark after each letter, or a word, with the marks around it.
 _PIECE = regex.compile(r"[\p{P}\p{S}]*+(?:(?<![\p{L}\p{M}\p{N}])(?:\p{L}\p{M}*+[\p{P}\p{S}]){2,}\p{L}\p{M}*+(?![\p{L}\p{M}\p{N}])|[\p{L}\p{M}\p{N}]++)[\p{P}\p{S}]*+")
 
 
+# One ASCII word with marks around it, or an apostrophe in it and no other marks.
+_ONE = re.compile(rb"[!-/:-@\[-`{-~]*[0-9A-Za-z]+[!-/:-@\[-`{-~]*|[0-9A-Za-z]+'[0-9A-Za-z]+[.,;:!?]?").fullmatch
+
+
 def words_of(text: bytes) -> list[bytes]:
-    """What ASCII white space parts; long runs, joined by other space or marks, give each word in them."""
-    words = text.split()
-    if all(len(w) <= LONG_RUN for w in words):
-        return words
+    """Each word of a text, in order, also of runs joined by other space than ASCII or by marks.
+
+    A run gives its pieces, whatever its length. A piece is followed by the next ones of its run, up
+    to ``JOINED`` in all, as they may spell one word apart; apostrophes between two pieces are
+    left out, as they quote nothing. Runs without letters and digits stay as they are.
+    """
     out = []
-    for w in words:
-        out += [w] if len(w) <= LONG_RUN else [x.encode() for x in _PIECE.findall(w.decode("utf-8", "replace"))]
+    for w in text.split():
+        if _ONE(w):
+            out.append(w)
+            continue
+        found = list(_PIECE.finditer(w.decode("utf-8", "replace")))
+        pieces = [m.group() for m in found]
+        for i, (a, b) in enumerate(zip(found, found[1:])):
+            if a.end() == b.start() and pieces[i][-1] in "'’" and _CORE.match(pieces[i][-2:-1]):
+                pieces[i] = pieces[i][:-1]
+        pieces = [p.encode() for p in pieces]
+        out += [NEXT.join(pieces[i : i + JOINED]) for i in range(len(pieces))] or [w.replace(NEXT, b" ")]
     return out
 
 
@@ -136,12 +154,26 @@ class Automaton:
         return found
 
 
-def _cores(word: bytes) -> list[str]:
-    """The word without punctuation around it, and its parts if there is some inside."""
-    parts = _CORE.findall(word.decode("utf-8", "replace").lower())
+def _cores(piece: bytes) -> list[str]:
+    """The piece without punctuation around it, and its parts if there is some inside."""
+    parts = _CORE.findall(piece.decode("utf-8", "replace").lower())
     return parts if len(parts) < 2 else [*parts, "".join(parts)]
 
 
+def _own(word: bytes) -> str:
+    """A word without the pieces that follow it in its run."""
+    return word.split(NEXT, 1)[0].decode("utf-8", "replace")
+
+
+def _spelt(word: bytes) -> list[str]:
+    """Cores of the word, and what it spells with one or more of the pieces after it."""
+    first, *rest = word.split(NEXT)
+    cores = _cores(first)
+    for at in range(len(rest)):
+        cores.append("".join(_CORE.findall(b"".join([first, *rest[: at + 1]]).decode("utf-8", "replace").lower())))
+    return cores
+
+
 class _Cache(dict):
     """Values of ``make`` by word; starts anew when it holds ``limit`` words."""
 
@@ -153,7 +185,7 @@ class _Cache(dict):
         if len(self) > self.limit:
             self.clear()
         value = self.make(word)
-        if len(word) <= LONG_RUN:
+        if len(word) <= CACHED:
             self[word] = value
         return value
 
@@ -166,12 +198,21 @@ class _Hits(dict):
         self.automaton = Automaton(list(model.terms), list(model.stems), FUZZY)
         self.clean = model.clean
 
-    def __missing__(self, word: bytes) -> int:
+    def kind(self, cores: list[str]) -> int:
         found = 0
-        for core in _cores(word):
+        for core in cores:
             kind = self.automaton.match(core)
             found = max(found, 0 if kind == 1 and core in self.clean else kind)
-        if len(word) <= LONG_RUN:
+        return found
+
+    def __missing__(self, word: bytes) -> int:
+        first, *rest = word.split(NEXT)
+        found = self.kind(_cores(first))
+        for at, piece in enumerate(rest):
+            if found or self.kind(_cores(piece)):  # a term of its own is counted at its own place
+                break
+            found = self.kind(_spelt(NEXT.join([first, *rest[: at + 1]]))[-1:])
+        if len(word) <= CACHED:
             self[word] = found
         return found
 
@@ -183,7 +224,7 @@ class _Hits(dict):
 
 def quoted(words: list[bytes], at: int) -> bool:
     """Whether quotation marks enclose word ``at`` within the window, or it is reported."""
-    around = [w.decode("utf-8", "replace") for w in words[max(0, at - WINDOW) : at + WINDOW + 1]]
+    around = [_own(w) for w in words[max(0, at - WINDOW) : at + WINDOW + 1]]
     mid = min(at, WINDOW)
     opened = any(w[0] in OPENING for w in around[: mid + 1])
     closed = any(w.rstrip(".,;:!?")[-1:] and w.rstrip(".,;:!?")[-1] in CLOSING for w in around[mid:])
@@ -193,7 +234,7 @@ def quoted(words: list[bytes], at: int) -> bool:
 
 def _marks(word: bytes) -> tuple[bool, bool, bool]:
     """Whether a word opens a quotation, closes one, or reports."""
-    w = word.decode("utf-8", "replace")
+    w = _own(word)
     end = w.rstrip(".,;:!?")[-1:]
     return w[0] in OPENING, bool(end) and end in CLOSING, not REPORTING.isdisjoint(_CORE.findall(w.lower()))
 
@@ -259,7 +300,7 @@ def _hits(model: ToxicityModel) -> _Hits:
     return _kept[0][1]
 
 
-def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[str], list[str]]:
+def learn_terms(rows: list[tuple[bytes, int]]) -> tuple[list[str], list[str]]:
     """Words and word beginnings that set toxic texts apart, as (terms, stems).
 
     Texts that explain most of the toxic ones not yet explained come first; words that hardly
@@ -277,7 +318,7 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
     sure = max(rare, round(10 / -log10(share)), round(0.02 * len(toxic)))
 
     def keys(word: bytes) -> list[str]:
-        cores = [c for c in _cores(word) if not c.isdigit()]
+        cores = [c for c in _spelt(word) if not c.isdigit()]
         return cores + [c[:k] + "*" for c in cores for k in STEMS if len(c) > k]
 
     made, marks = _Cache(keys), _Cache(_marks)
@@ -294,7 +335,7 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
         against.update(set().union(*filter(None, map(wanted.__getitem__, plain_words(words_of(text), marks)))))
     fit = {k: v for k, v in where.items() if against[k] * 20 <= len(v)}
     chosen, open_ = [], set(range(len(toxic)))
-    while fit and len(chosen) < most:
+    while fit:
         best = max(fit, key=lambda k: (len(fit[k] & open_) - 5 * against[k], k[-1] != "*", len(k), k))
         if len(fit[best] & open_) < rare:
             break
@@ -303,7 +344,7 @@ def learn_terms(rows: list[tuple[bytes, int]], most: int = TERMS) -> tuple[list[
         fit = {k: v for k, v in fit.items() if k != best and (len(v & open_) >= rare or len(v) >= sure)}
     begun = tuple(k[:-1] for k in chosen if k[-1] == "*")
     for k, v in sorted(fit.items(), key=lambda x: -len(x[1])):
-        if len(v) >= sure and k[-1] != "*" and len(chosen) < most and not k.startswith(begun):
+        if len(v) >= sure and k[-1] != "*" and not k.startswith(begun):
             chosen.append(k)
     return [k for k in chosen if k[-1] != "*"], [k[:-1] for k in chosen if k[-1] == "*"]
 
@@ -315,7 +356,7 @@ def learn(rows: list[tuple[bytes, int]]) -> ToxicityModel:
     """
     terms, stems = learn_terms(rows)
     automaton, marks = Automaton(terms, stems, FUZZY), _Cache(_marks)
-    close = _Cache(lambda w: [c for c in _cores(w) if automaton.match(c) == 1])
+    close = _Cache(lambda w: [c for c in _spelt(w) if automaton.match(c) == 1])
     near = set()
     for text, label in rows:
         if not label:
