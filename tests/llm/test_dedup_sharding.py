@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from splitframe.llm.dedup import exact_duplicates
-from splitframe.llm.sharding import Splitters, shard, write_shards
+from splitframe.llm.sharding import Splitters, _quantiles, shard, write_shards
 from tests.llm.helpers import documents, empty, nasty
 
 
@@ -60,11 +60,24 @@ def test_shards_are_even_gapless_and_hold_groups_together(spark):
 def test_sharding_edges(spark, tmp_path):
     got = shards_of(nasty(spark), 3)
     assert got.count() == 11 and set(got.columns) == set(nasty(spark).columns)
+    others = [c for c in nasty(spark).columns if c not in ("shard", "slot")]
+    assert sorted(map(str, got.select(others).collect())) == sorted(map(str, nasty(spark).select(others).collect()))
     write_shards(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 11
     assert shards_of(empty(spark)).count() == 0
 
 
+def test_overfull_ranges_are_subdivided_until_none_is_left(spark):
+    # Almost all weight in few keys close together, and units of many equal rows.
+    rows = [(k, k, 1) for k in range(2000)] + [(5000 + k % 40, k, 500) for k in range(2000)] + [(7000, 7, 100)] * 3000
+    df = spark.createDataFrame(rows, "k bigint, t bigint, s bigint")
+    got = shard(df, 16, F.col("k"), F.col("s"), F.col("t")).groupBy("shard").agg(F.sum("s").alias("w"), F.count_distinct("k", "t").alias("units")).collect()
+    share = sum(r[2] for r in rows) / 16
+    assert sum(r["w"] for r in got) == 16 * share
+    assert all(r["w"] < 1.15 * share for r in got if r["units"] > 1) and max(r["w"] for r in got) <= 300_000 + 0.15 * share
+    assert _quantiles([(1, 1, 1.0), (2, 5, 9.0), (2, 5, 9.0), (3, 0, 1.0)], 4.0) == [(2, 5), (2, 6), (3, 0)]
+
+
 def test_find_counts_bounds_at_or_below():
     import numpy as np
 

@@ -63,5 +63,6 @@ def test_mix_meets_targets(spark):
 def test_mixing_edges(spark):
     got = mix(nasty(spark)).taken().collect()
     assert len(got) == 11 and {r["taken"] for r in got if r["id"] in (3, 4, 5)} == {0}
-    assert mixed_documents(nasty(spark)).columns == nasty(spark).columns
+    out = mixed_documents(nasty(spark))
+    assert out.columns == nasty(spark).columns and all(r[c] == "x" for r in out.collect() for c in ("_row", "_first", "_words", "_size"))
     assert mix(empty(spark)).taken().count() == 0 and mixed_documents(empty(spark)).count() == 0

@@ -4,12 +4,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import splitframe.llm.lm as lm
 from splitframe.llm.common import bucket
 from splitframe.llm.quality import fit_quality, train_ftrl, word_shape
 from splitframe.llm.queries import QUERIES
+from splitframe.llm.common import Vocabulary
 from splitframe.llm.toxicity import Automaton, _Cache, _Hits, _marks, evidence, fit_toxicity, learn, plain_words, quoted, words_of
 from tests.llm.helpers import documents, empty, nasty
 
@@ -138,6 +140,32 @@ def test_long_runs_are_read_whole():
     assert word_shape(b"ab/" * 40 + b"99") == "aa/" * 40 + "99"
 
 
+def test_one_law_for_runs_of_any_length():
+    rng = random.Random(16)
+    rows = [((p + " you scoundrel").encode(), 1) for p in said(rng, 60)] + [(p.encode(), 0) for p in said(rng, 60)]
+    model = learn(rows)
+    for joint in ("/", "\u00a0", ".", "-", "\u200b"):
+        for n in range(1, 60):
+            assert evidence(joint.join(["scoundrel"] * n).encode(), _Hits(model))[1] == 1 - 0.5**n, (joint, n)
+            kept = joint.join(["river"] * n)
+            for text, want in ((f"he said: scoundrel{joint}{kept}", (0, 0.5)), (f"{kept}{joint}scoundrel{joint}{kept}", (0.5, 0))):
+                got = evidence(text.encode(), _Hits(model))
+                assert (got[1], got[3]) == want, text
+    for spelt in ("scoun-drel", "sc-oun-drel", "scoun\u200bdrel", "s-c-o-u-n-d-r-e-l"):
+        for run in (spelt, "river/" + spelt, "/".join(["river"] * 90 + [spelt])):
+            assert evidence(run.encode(), _Hits(model))[1:] == (0.5, 0, 0), run
+    assert [w.decode() for w in words_of("don't it’s «a-b» ... x".encode())] == ["don't", "it\0s", "s", "«a-\0b»", "b»", "...", "x"]
+
+
+def test_vocabulary_is_bounded_by_words_and_bytes():
+    words = Vocabulary(limit=10, most_bytes=100)
+    for text in ([b"a"] * 5, [bytes([65 + i]) for i in range(12)], [b"x" * 200], [b"y", b"x" * 200, b"y"]):
+        numbers = words.numbers(text)
+        assert [int(words.hashes[n]) for n in numbers] == [xxhash.xxh64_intdigest(w) for w in text]
+        assert words.lengths[numbers].tolist() == [len(w) for w in text]
+    assert len(words) == 2 and words.held == 201
+
+
 def brute(texts, train):
     words = [(t or "").lower().split() + [None] for t in texts]
     uni, pair, state = Counter(), Counter(), Counter()
