@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ..operators.prep import label_classes
 from ..operators.splits import best_split, split_or_leaf, split_prefix_sums
 from ..session import materialise
 from .packed import NodeArrays, Packing, dense_histogram, forest_scores, pack_bins, pack_values, routed
+from .store import RunStore
 
 # Default size of a forest.
 N_ESTIMATORS = 3
@@ -304,6 +305,7 @@ def gbt_fit(
     curve: bool = False,
     write: bool = True,
     values: str | None = None,
+    store: RunStore | None = None,
 ) -> GBTModel:
     """Boost ``n_estimators`` rounds from score 0, without shrinkage or sampling.
 
@@ -312,12 +314,18 @@ def gbt_fit(
     classes to read it from the data. ``validation`` has raw feature values. With ``write``
     the few columns needed are written once and every level reads them back. ``values`` names an
     array column of raw values, in ``df`` and ``validation``, which is read instead of named
-    columns, however many features there are; bins are then found while rows are packed.
+    columns, however many features there are; bins are then found while rows are packed. With a
+    ``store`` each round's trees are kept, and boosting goes on after the last one.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label, classes) if classes > 1 else None
     width = len(classes) if classes else 1
     model = GBTModel(list(features), edges, scores.pick_objective(mission, width, share_y), classes, lambda_, max_depth)
+    finished = store.steps()[:n_estimators] if store else []
+    model.nodes += [TreeNode(**node) for state in finished for node in state["nodes"]]
+    model.curve += [tuple(point) for state in finished for point in state["curve"]]
+    if finished and len(finished) == n_estimators:
+        return model
     packing = Packing(len(features), 1 + max(len(edges.cuts[f]) for f in features))
     if values:
         frame = pack_values(df, values, [edges.cuts[f] for f in features], {"_y": F.col(label)}, packing)
@@ -327,15 +335,23 @@ def gbt_fit(
     start = F.lit(None).cast("array<bigint>").alias("_at")
     rows = frame.count() if model.objective == scores.SQUARED else 0
     held: list[str] = []
-    inlined: list[int] = []
+    inlined = list(range(len(finished)))
 
     def current() -> list[Column]:
         base = [F.col(h) for h in held] if held else [F.lit(0.0)] * width
         fresh = model.packed_scores(packing, range(inlined[0], model.trees)) if inlined else [F.lit(0.0)] * width
         return [a + b for a, b in zip(base, fresh)]
 
-    for tree in range(n_estimators):
-        model.nodes += tree_fit(model, frame.select("*", start), packing, _gradients(model, current(), F.col("_y"), rows), tree, gamma)
+    for tree in range(len(finished), n_estimators):
+        leaves = sum(n.is_leaf for n in model.nodes if n.tree in inlined)
+        if leaves > INLINE_LEAVES * width:
+            # Keep the expression small: store the running score with the bins.
+            names = [f"_s{c}" for c in range(width)]
+            frame = frame.select("_y", "_bins", *[s.alias(n) for s, n in zip(current(), names)])
+            frame, held, inlined = materialise(frame, "scored"), names, []
+        grown = tree_fit(model, frame.select("*", start), packing, _gradients(model, current(), F.col("_y"), rows), tree, gamma)
+        points = len(model.curve)
+        model.nodes += grown
         inlined.append(tree)
         if curve:
             _add_point(model, "train", tree, frame.agg(*_named(_evaluate(model, current(), F.col("_y")))))
@@ -344,12 +360,8 @@ def gbt_fit(
                 points = validation.select(F.col(label).alias("_y"), *[x.alias(f"_r{c}") for c, x in enumerate(raw)])
                 points = points.agg(*_named(_evaluate(model, [F.col(f"_r{c}") for c in range(width)], F.col("_y"))))
                 _add_point(model, "validation", tree, points)
-        leaves = sum(n.is_leaf for n in model.nodes if n.tree in inlined)
-        if leaves > INLINE_LEAVES * width and tree + 1 < n_estimators:
-            # Keep the expression small: store the running score with the bins.
-            names = [f"_s{c}" for c in range(width)]
-            frame = frame.select("_y", "_bins", *[s.alias(n) for s, n in zip(current(), names)])
-            frame, held, inlined = materialise(frame, "scored"), names, []
+        if store:
+            store.add_step(tree, {"nodes": [asdict(n) for n in grown], "curve": model.curve[points:]})
     return model
 
 

@@ -17,6 +17,7 @@ from ..operators.metrics import accuracy
 from ..operators.position import Positioned, position_rows
 from ..operators.prep import iter_batches, label_classes
 from ..session import materialise
+from .store import RunStore
 
 HINGE = "hinge"
 INLINE_SUMS = 64
@@ -232,6 +233,7 @@ def lr_fit(
     val_steps: int = 1,
     write: bool = True,
     values: str | None = None,
+    store: RunStore | None = None,
 ) -> LinearModel:
     """Gradient descent from zero weights with step ``lr / t`` in epoch t.
 
@@ -239,6 +241,7 @@ def lr_fit(
     epoch over all rows, which is the form for large tables; with a batch size, contiguous
     batches in the order of ``order_by`` are cut once and each read by its own row ranges.
     ``values`` names an array column that holds all features in order, instead of named columns.
+    With a ``store`` the weights are kept after each epoch, and training goes on after the last one.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label, classes) if classes > 1 else None
@@ -246,15 +249,23 @@ def lr_fit(
     objective = scores.pick_objective("classification", width, share_y)
     df = complete_arrays(df, values, len(features), label) if values else complete(df, features, label)
     model = LinearModel(list(features), objective, classes, lambda_, np.zeros((len(features), width)), split_col, values=values)
+    finished, step = store.steps()[:n_epochs] if store else [], 0
+    if finished:
+        model.weights, step = np.array(finished[-1]["weights"], float), finished[-1]["step"]
+        model.curve += [tuple(point) for state in finished for point in state["curve"]]
+        if len(finished) == n_epochs:
+            return model
     batches = _batches(df, [values] if values else features, label, batch_size, order_by, write)
-    step = 0
-    for epoch in range(1, n_epochs + 1):
+    for epoch in range(len(finished) + 1, n_epochs + 1):
+        points = len(model.curve)
         for batch in batches():
             sums, rows = _some(residual_sums(batch, model, label))
             model.weights = (1.0 - lambda_) * model.weights - (lr / epoch / rows) * sums
             if validation is not None and step % val_steps == 0:
                 model.curve.append(("validation", step, evaluate(model, validation, label)))
             step += 1
+        if store:
+            store.add_step(epoch - 1, {"weights": model.weights.tolist(), "step": step, "curve": model.curve[points:]})
     return model
 
 

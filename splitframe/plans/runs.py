@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from contextlib import AbstractContextManager
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from ..operators.align import psi_join
 from ..operators.binning import Edges, bin_label, quantile_edges
 from ..operators.prep import find_label_party, merged_columns
 from ..operators.shares import ROW_ID, psi_shares, share_reconstruct
-from ..session import materialise
+from ..session import materialise, writing_to
 from ..spec import COMPANY, LABEL, PARTNER, Party, TableSpec
 from . import boosting, linear
+from .store import RunStore
 
 
 @dataclass
@@ -25,6 +27,12 @@ class RunResult:
     company_share: DataFrame | None = None
     partner_share: DataFrame | None = None
     company_features: list[str] = field(default_factory=list)
+    store: RunStore | None = None
+
+    def remove(self) -> None:
+        """Delete all that a run with ``run_dir`` wrote; the tables of this result cannot be read any more."""
+        if self.store:
+            self.store.remove()
 
 
 @dataclass(frozen=True)
@@ -35,6 +43,9 @@ class RunOptions:
     batches of that size to take one after another. ``None`` takes one step per epoch.
     ``seed`` has no default, as who knows it can undo shares: it is needed where any are made.
     ``bins_to`` also stores the cut points, in a folder named like it with ``_edges`` added.
+    ``run_dir``, a folder that all executors share, keeps what a run finishes, so that the same run
+    goes on from there when it is started again, and ``RunResult.remove`` can delete it all. It holds
+    the shares of both parties, so it is for whoever may see the aligned table.
     """
 
     share_y: bool = False
@@ -57,6 +68,23 @@ class RunOptions:
     shares_to: dict[str, str] | None = None
     bins_to: str | None = None
     model_to: dict[str, str] | None = None
+    run_dir: str | None = None
+
+
+#: Options that may differ when a run goes on: where things are stored, how long it trains, and secrets.
+_FREE = ("seed", "n_epochs", "n_estimators", "skew", "shares_to", "bins_to", "model_to", "run_dir")
+
+
+def _store(kind: str, company: Party, partner: Party, opt: RunOptions) -> RunStore | None:
+    if not opt.run_dir:
+        return None
+    settings = {k: v for k, v in asdict(opt).items() if k not in _FREE}
+    columns = {side: [*party.spec.features, *party.spec.public] for side, party in ((COMPANY, company), (PARTNER, partner))}
+    return RunStore(company.df.sparkSession, opt.run_dir, {"kind": kind, "id": company.spec.id, **columns, **settings})
+
+
+def _written(store: RunStore | None) -> AbstractContextManager:
+    return writing_to(store.work if store else None)
 
 
 def _seed(opt: RunOptions) -> int | str:
@@ -65,11 +93,13 @@ def _seed(opt: RunOptions) -> int | str:
     return opt.seed
 
 
-def _aligned(company: DataFrame, partner: DataFrame, on: str, public: tuple[str, ...], opt: RunOptions) -> tuple:
+def _aligned(company: DataFrame, partner: DataFrame, on: str, public: tuple[str, ...], opt: RunOptions, store: RunStore | None) -> tuple:
     """The training table, by way of shares or straight from the join."""
     if not opt.through_shares:
-        return psi_join(company, partner, on, opt.skew), None, None
-    ours, theirs = psi_shares(company, partner, _seed(opt), on, opt.unique_ids, public, opt.skew)
+        joined = lambda: [psi_join(company, partner, on, opt.skew)]
+        return (store.tables("aligned", make=joined) if store else joined())[0], None, None
+    made = lambda: psi_shares(company, partner, _seed(opt), on, opt.unique_ids, public, opt.skew)
+    ours, theirs = store.tables("company_share", "partner_share", make=made) if store else made()
     if opt.shares_to:
         from ..sources.stores import scan_shares, sink_holder, sink_shares
 
@@ -98,13 +128,15 @@ def run_linear(company: Party, partner: Party, options: RunOptions = RunOptions(
     """Align two tables, share them and fit a logistic regression."""
     holder = find_label_party(company.df, partner.df)
     company, partner = _with_own_names(company, partner)
-    table, ours, theirs = _aligned(company.table(), partner.table(), company.spec.id, (), options)
-    order = ROW_ID if options.through_shares else company.spec.id
-    model = _fit_linear(table, company.spec.features, partner.spec.features, order, options, validation)
-    return RunResult(model, holder, table, ours, theirs, list(company.spec.features))
+    store = _store("linear", company, partner, options)
+    with _written(store):
+        table, ours, theirs = _aligned(company.table(), partner.table(), company.spec.id, (), options, store)
+        order = ROW_ID if options.through_shares else company.spec.id
+        model = _fit_linear(table, company.spec.features, partner.spec.features, order, options, validation, store)
+    return RunResult(model, holder, table, ours, theirs, list(company.spec.features), store)
 
 
-def _fit_linear(table: DataFrame, ours: Sequence[str], theirs: Sequence[str], order: str, options: RunOptions, validation: DataFrame | None) -> linear.LinearModel:
+def _fit_linear(table: DataFrame, ours: Sequence[str], theirs: Sequence[str], order: str, options: RunOptions, validation: DataFrame | None, store: RunStore | None = None) -> linear.LinearModel:
     model = linear.lr_fit(
         table,
         [*ours, *theirs],
@@ -119,6 +151,7 @@ def _fit_linear(table: DataFrame, ours: Sequence[str], theirs: Sequence[str], or
         len(ours),
         validation,
         options.val_steps,
+        store=store,
     )
     if options.model_to:
         from ..sources.stores import save_linear
@@ -135,25 +168,32 @@ def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions()
     """
     holder = find_label_party(company.df, partner.df)
     company, partner = _with_own_names(company, partner)
-    sides, edges = [], Edges({})
-    for party in (company, partner):
-        table = materialise(party.table(), "party") if options.write_parties else party.table()
-        cuts = quantile_edges(table, list(party.spec.features), options.k_quantiles)
-        edges = edges.merge(cuts)
-        sides.append(bin_label(table, cuts))
-    features = [*company.spec.features, *partner.spec.features]
-    public = tuple(f"{f}_bin" for f in features)
-    table, ours, theirs = _aligned(sides[0], sides[1], company.spec.id, public, options)
-    if options.bins_to:
-        from ..sources.stores import sink_bins, sink_edges
-
-        sink_bins(table, ROW_ID if options.through_shares else company.spec.id, features, options.bins_to)
-        sink_edges(table.sparkSession, edges, f"{options.bins_to}_edges")
-    model = _fit_trees(table, features, list(company.spec.features), edges, options, validation)
-    return RunResult(model, holder, table, ours, theirs, list(company.spec.features))
-
-
-def _fit_trees(table: DataFrame, features: list[str], own: list[str], edges: Edges, options: RunOptions, validation: DataFrame | None) -> boosting.GBTModel:
+    store = _store("trees", company, partner, options)
+    with _written(store):
+        tables = [party.table() for party in (company, partner)]
+        if options.write_parties:
+            given = tables
+            tables = store.tables("company", "partner", make=lambda: given) if store else [materialise(t, "party") for t in given]
+
+        def searched() -> list:
+            found = [quantile_edges(t, list(p.spec.features), options.k_quantiles) for t, p in zip(tables, (company, partner))]
+            return [[[f, list(map(float, cuts))] for f, cuts in side.cuts.items()] for side in found]
+
+        cuts = [Edges({f: tuple(c) for f, c in side}) for side in (store.note("edges", searched) if store else searched())]
+        edges, sides = cuts[0].merge(cuts[1]), [bin_label(t, c) for t, c in zip(tables, cuts)]
+        features = [*company.spec.features, *partner.spec.features]
+        public = tuple(f"{f}_bin" for f in features)
+        table, ours, theirs = _aligned(sides[0], sides[1], company.spec.id, public, options, store)
+        if options.bins_to:
+            from ..sources.stores import sink_bins, sink_edges
+
+            sink_bins(table, ROW_ID if options.through_shares else company.spec.id, features, options.bins_to)
+            sink_edges(table.sparkSession, edges, f"{options.bins_to}_edges")
+        model = _fit_trees(table, features, list(company.spec.features), edges, options, validation, store)
+    return RunResult(model, holder, table, ours, theirs, list(company.spec.features), store)
+
+
+def _fit_trees(table: DataFrame, features: list[str], own: list[str], edges: Edges, options: RunOptions, validation: DataFrame | None, store: RunStore | None = None) -> boosting.GBTModel:
     model = boosting.gbt_fit(
         table,
         features,
@@ -167,6 +207,7 @@ def _fit_trees(table: DataFrame, features: list[str], own: list[str], edges: Edg
         share_y=options.share_y,
         validation=validation,
         curve=options.curve,
+        store=store,
     )
     if options.model_to:
         from ..sources.stores import save_trees

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def local_session(cores: str = "*", app: str = "splitframe", **conf: str) -> SparkSession:
@@ -46,15 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+@contextmanager
+def writing_to(folder: str | None) -> Iterator[None]:
+    """Have :func:`materialise` write into ``folder``, which all executors share; None changes nothing."""
+    before = _folder.set(folder or _folder.get())
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+    """Write ``df`` once as Parquet in the shared folder, or that of :func:`writing_to`, and read it back.
 
     Cuts lineage and survives lost executors, unlike a cache; later readers get column
     pruning and row-group skipping. Values that depend on the physical layout (for example
     ``monotonically_increasing_id``) are frozen by it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -271,6 +273,16 @@ def _(spark, sf):
     return _weight_rows(spark, run_linear(company, partner, RunOptions(seed="run", n_epochs=2, batch_size=None, unique_ids=True)).model)
 
 
+@query("lr_continued", lr_steps_sql(3, 0.1))
+def _(spark, sf):
+    company, partner = scaled_parties(spark, sf)
+    options = RunOptions(seed="run", n_epochs=1, unique_ids=True, run_dir=scratch(spark))
+    run_linear(company, partner, options)
+    result = run_linear(company, partner, replace(options, n_epochs=3))
+    result.remove()
+    return _weight_rows(spark, result.model)
+
+
 @query("lr_resume", lr_steps_sql(3, 0.1))
 def _(spark, sf):
     company, partner = scaled_parties(spark, sf)

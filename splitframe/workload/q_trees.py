@@ -5,6 +5,8 @@ The SQL side never sees bins: it compares raw values with cut points and sums on
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -309,6 +311,16 @@ def _(spark, sf):
     return node_rows(spark, resume_trees(spark, stored, f"{place}/bins", ["c0", "c1"], options).model)
 
 
+@query("gbt_continued", f"{_FOREST} {nodes_sql(2)}")
+def _(spark, sf):
+    company, partner = parties(spark, sf, "a")
+    options = RunOptions(seed="run", reg_coef=1.0, k_quantiles=K, max_depth=2, unique_ids=True, curve=False, run_dir=scratch(spark))
+    run_trees(company, partner, replace(options, n_estimators=1))
+    result = run_trees(company, partner, replace(options, n_estimators=2))
+    result.remove()
+    return node_rows(spark, result.model)
+
+
 # Depth 7 from order lines: 128 ends, levels through stored nodes, siblings by subtraction.
 _DEEP = boost_sql(SQL_A, edges_a_sql(K), FEATURES_A, 1, 7, 1.0, LOGISTIC_GH)
 

@@ -1,6 +1,9 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
+from splitframe.plans import boosting, linear, runs
 from splitframe.plans import RunOptions, resume_linear, resume_trees, run_linear, run_trees
 from splitframe.spec import Party
 
@@ -60,3 +63,66 @@ def test_stored_shares_bins_and_edges_train_like_the_run_that_wrote_them(spark,
     again = resume_linear(spark, stored, names, later)
     assert again.model.features == lines.model.features and again.model.split_col == 2
     assert np.allclose(again.model.weights, lines.model.weights)
+
+
+def failing(monkeypatch, module, name, after):
+    """Have a function of ``module`` fail from its call number ``after`` on; gives the list of calls."""
+    whole, calls = getattr(module, name), []
+
+    def run(*args):
+        calls.append(args)
+        if len(calls) > after:
+            raise RuntimeError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(module, name, run)
+    return calls
+
+
+def test_trees_go_on_after_the_last_finished_one(spark, tmp_path, monkeypatch):
+    company, partner = sides(spark)
+    options = RunOptions(seed="s", n_estimators=3, max_depth=2, k_quantiles=4, reg_coef=1e-3, run_dir=str(tmp_path / "run"))
+    whole = run_trees(company, partner, replace(options, run_dir=None)).model
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        failing(patch, boosting, "tree_fit", 1)
+        run_trees(company, partner, options)
+    with monkeypatch.context() as patch:
+        calls = failing(patch, boosting, "tree_fit", 9)
+        cuts = failing(patch, runs, "quantile_edges", 0)
+        joins = failing(patch, runs, "psi_shares", 0)
+        result = run_trees(company, partner, options)
+    assert len(calls) == 2 and not cuts and not joins
+    key = lambda n: (n.tree, n.cls, n.node, n.feature, n.bin, n.edge)
+    assert [key(n) for n in result.model.nodes] == [key(n) for n in whole.nodes] and result.model.edges == whole.edges
+    assert np.allclose([n.weight for n in result.model.nodes if n.is_leaf], [n.weight for n in whole.nodes if n.is_leaf])
+    assert [p[:2] for p in result.model.curve] == [p[:2] for p in whole.curve] and np.allclose([p[2] for p in result.model.curve], [p[2] for p in whole.curve])
+    assert result.train.count() == 115 and (tmp_path / "run" / "work").exists()
+    monkeypatch.setattr(boosting, "INLINE_LEAVES", 1)
+    more = run_trees(company, partner, replace(options, n_estimators=5))
+    assert more.model.nodes[: len(whole.nodes)] == result.model.nodes and more.model.trees == 5
+    assert run_trees(company, partner, replace(options, n_estimators=2)).model.trees == 2
+    with pytest.raises(ValueError, match="max_depth"):
+        run_trees(company, partner, replace(options, max_depth=3))
+    with pytest.raises(ValueError, match="kind"):
+        run_linear(company, partner, options)
+    result.remove()
+    assert not (tmp_path / "run").exists()
+
+
+@pytest.mark.parametrize("through_shares", [True, False])
+def test_linear_runs_go_on_after_the_last_finished_epoch(spark, tmp_path, monkeypatch, through_shares):
+    company, partner = sides(spark)
+    options = RunOptions(seed="s", n_epochs=4, batch_size=50, through_shares=through_shares, run_dir=str(tmp_path / "run"))
+    table = run_linear(company, partner, replace(options, run_dir=None))
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        failing(patch, linear, "residual_sums", 7)
+        run_linear(company, partner, options, table.train)
+    with monkeypatch.context() as patch:
+        calls = failing(patch, linear, "residual_sums", 99)
+        result = run_linear(company, partner, options, table.train)
+    assert len(calls) == 6 and np.allclose(result.model.weights, table.model.weights)
+    assert [p[1] for p in result.model.curve] == list(range(12))
+    assert result.label_party == table.label_party
+    result.remove()
+    assert not (tmp_path / "run").exists()
+    table.remove()  # nothing of its own
