@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log10
 
 import numpy as np
@@ -52,17 +53,24 @@ def words_of(text: bytes) -> list[bytes]:
     for w in text.split():
         if _ONE(w):
             out.append(w)
-            continue
-        found = list(_PIECE.finditer(w.decode("utf-8", "replace")))
-        pieces = [m.group() for m in found]
-        for i, (a, b) in enumerate(zip(found, found[1:])):
-            if a.end() == b.start() and pieces[i][-1] in "'’" and _CORE.match(pieces[i][-2:-1]):
-                pieces[i] = pieces[i][:-1]
-        pieces = [p.encode() for p in pieces]
-        out += [NEXT.join(pieces[i : i + JOINED]) for i in range(len(pieces))] or [w.replace(NEXT, b" ")]
+        else:
+            out += _short_pieces(w) if len(w) <= CACHED else _pieces(w)
     return out
 
 
+def _pieces(run: bytes) -> list[bytes]:
+    found = list(_PIECE.finditer(run.decode("utf-8", "replace")))
+    pieces = [m.group() for m in found]
+    for i, (a, b) in enumerate(zip(found, found[1:])):
+        if a.end() == b.start() and pieces[i][-1] in "'’" and _CORE.match(pieces[i][-2:-1]):
+            pieces[i] = pieces[i][:-1]
+    pieces = [p.encode() for p in pieces]
+    return [NEXT.join(pieces[i : i + JOINED]) for i in range(len(pieces))] or [run.replace(NEXT, b" ")]
+
+
+_short_pieces = lru_cache(10_000)(_pieces)
+
+
 class Automaton:
     """Levenshtein automata of all terms at once: sets of (trie node, edits) are its states.
 
