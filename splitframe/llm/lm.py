@@ -1,12 +1,17 @@
-"""Language-model scores from word pairs, interpolated with words.
+"""Language-model scores by a weighted backoff automaton over words, pairs and triples.
 
-The model has no bound, so no task holds it: the corpus is cut into blocks, and each block asks for
-the counts of its own words and pairs of adjacent words, which its texts are then scored by.
+States are the contexts that training texts hold: the empty one, single words, and pairs of adjacent
+words. A state has an arc for every word that followed it, to the longest context that ends there,
+and a failure arc to the context without its first word. Reading a word adds the weights of the
+failure arcs taken and of the arc found, so arcs that training never saw cost nothing to keep.
+
+The automaton has no bound, so no task holds it: the corpus is cut into blocks, and each block asks
+for the counts of its own n-grams, which are all the arcs and states that its texts can meet.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +23,15 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import Vocabulary, mixed
 
-#: Strengths of the unigram prior that training chooses from; the last means no pairs at all.
-STRENGTHS = (1.0, 4.0, 16.0, 128.0, 1024.0, float("inf"))
+_NONE = float("inf")
+#: Strengths that training chooses from: how much weight, in counts, the shorter context has in
+#: contexts of one word and of two; infinity means that the longer context is not used.
+STRENGTHS = ((4.0, 1.0), (16.0, 4.0), (64.0, 16.0), (128.0, 32.0), (256.0, 64.0), (1024.0, 256.0), (128.0, _NONE), (_NONE, _NONE))
 #: Hash of the end of a text, which is no word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
+#: Tokens that one traversal reads one after the other; the pieces of a block advance together.
+PIECE = 256
+
 
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted hashes by their differences, byte planes together."""
@@ -34,6 +44,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and how often each occurs."""
+    every = np.sort(hashes)
+    first = np.ones(len(every), bool)
+    first[1:] = every[1:] != every[:-1]
+    at = np.flatnonzero(first)
+    return every[at], np.diff(np.append(at, len(every)))
+
+
 def _press(numbers: np.ndarray) -> bytes:
     return zstd.ZstdCompressor(level=1).compress(numbers.astype(np.int64).tobytes())
 
@@ -46,63 +65,130 @@ def _numbers(data: bytes) -> np.ndarray:
 class _Block:
     """The tokens of the texts of a block, one text after the other, each closed by its end."""
 
-    tokens: list[np.ndarray]
-    train: list[bool]
+    tokens: list[np.ndarray] = field(default_factory=list)
+    train: list[bool] = field(default_factory=list)
+    known: Vocabulary = field(default_factory=Vocabulary)
 
     def add(self, text: bytes, train: bool) -> None:
-        words = Vocabulary()
-        numbers = words.numbers(text.lower().split())
-        self.tokens.append(np.append(words.hashes[numbers], END))
+        numbers = self.known.numbers(text.lower().split())
+        self.tokens.append(np.append(self.known.hashes[numbers], END))
         self.train.append(train)
 
-    def index(self) -> None:
-        """Distinct words and pairs in the order of their hashes, and where each token's are."""
-        sizes = np.array([len(t) for t in self.tokens])
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        every = np.concatenate(self.tokens)
-        before = np.concatenate([[END], every[:-1]])  # the end before a text is the start of the next
-        self.learnt = np.repeat(np.array(self.train), sizes)
-        self.sizes = sizes
-        self.words, self.word_at = np.unique(every, return_inverse=True)
-        self.pairs, self.pair_at = np.unique(mixed(before, every), return_inverse=True)
-        end = np.searchsorted(self.words, END)
-        self.state = np.concatenate([[end], self.word_at[:-1]])
-
-    def keys(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-        """For words and pairs: the sorted hashes, and their counts in training texts."""
-        return tuple(
-            (keys, np.bincount(at[self.learnt], minlength=len(keys))) for keys, at in ((self.words, self.word_at), (self.pairs, self.pair_at))
-        )
+    def grams(self) -> list[np.ndarray]:
+        """Hashes of the word, pair and triple that end at each token; the last only at ``deep`` ones.
 
-    def walk(self, words: np.ndarray, pairs: np.ndarray, mass: float) -> tuple[np.ndarray, ...]:
+        The end before a text is the start of the next one, and no context reaches beyond it.
+        """
+        self.sizes = np.array([len(t) for t in self.tokens])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        words = np.concatenate(self.tokens)
+        self.tokens, self.known = [], Vocabulary()
+        self.learnt = np.repeat(np.array(self.train), self.sizes)
+        self.ends = words == END
+        before = np.concatenate([[END], words[:-1]])
+        self.deep = np.flatnonzero(before != END)
+        pairs = mixed(before, words)
+        return [words, pairs, mixed(pairs[self.deep - 1], words[self.deep])]
+
+    def keys(self):
+        """For words, pairs and triples: the sorted hashes, and their counts in training texts."""
+        every = self.grams()
+        for kind in range(3):
+            hashes, every[kind] = every[kind], None
+            learnt, counts = _distinct(hashes[self.learnt if kind < 2 else self.learnt[self.deep]])
+            keys, _ = _distinct(hashes)
+            out = np.zeros(len(keys), np.int64)
+            out[np.searchsorted(keys, learnt)] = counts
+            yield keys, out
+
+
+class _Automaton:
+    """The part of the automaton that the texts of a block can meet.
+
+    Arcs are kept by the place where a text meets them: ``arcs[d][i]`` counts the n-gram of d + 1 words
+    that ends at token i, which is the arc of the token from its context of d words, and the state
+    that this arc leads to. An n-gram without a count is neither arc nor state.
+    """
+
+    def __init__(self, texts: _Block, totals: list[np.ndarray]):
+        self.arcs = []
+        for kind, hashes in enumerate(texts.grams()):
+            keys, at = np.unique(hashes, return_inverse=True)
+            if len(keys) != len(totals[kind]):
+                raise ValueError("the table of documents changed while it was read")
+            found = totals[kind][at]
+            if kind == 2:
+                found, met = np.zeros(len(texts.ends), np.int64), found
+                found[texts.deep] = met
+            self.arcs.append(found)
+        self.ends = texts.ends
+
+    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
+        """Depth of the state that each token is read in, and of the context whose arc reads it (-1: none).
+
+        One pass from left to right carries the state. The automaton is in the same state after two
+        tokens wherever it started, so a block is read in pieces of ``PIECE`` tokens, each after the two
+        tokens before it, and the pieces advance together.
+        """
+        n = len(self.ends)
+        width = -(-n // PIECE)
+        entered, taken = np.zeros(n, np.int8), np.zeros(n, np.int8)
+        # The first piece starts in the state after an end.
+        depth = np.zeros(width, np.int8)
+        depth[0] = self.first
+        for step in range(-2, PIECE):
+            at = np.arange(width) * PIECE + step
+            live = (at >= 0) & (at < n)
+            at, d = at[live], depth[live]
+            arc = d.copy()
+            for context in (2, 1, 0):
+                arc[(arc == context) & (self.arcs[context][at] == 0)] -= 1  # the failure arc
+            if step >= 0:
+                entered[at], taken[at] = d, arc
+            # An arc from the empty context leads to the word's state, longer ones to the pair's; after an end, nothing but it matters.
+            depth[live] = np.where(self.ends[at], np.minimum(arc + 1, 1), np.minimum(arc + 1, 2))
+        return entered, taken
+
+    @property
+    def first(self) -> int:
+        """Depth of the state after an end: 0 if training texts have none."""
+        return int((self.arcs[0][self.ends] > 0).any())
+
+    def weigh(self, starts: np.ndarray, learnt: np.ndarray, mass: float) -> tuple[np.ndarray, ...]:
         """Sums over each text: tokens known, log10(count + 1), and log10 probabilities for each
-        strength, from all counts and with the token itself left out.
+        strength, from all counts and, over training texts, with the token itself left out.
 
-        From state v a word w is reached by the arc of the pair, (c(vw) + k p(w)) / (c(v) + k), or,
-        if there is none, by the failure arc, k / (c(v) + k), and the arc of the empty context,
-        p(w) = (c(w) + 1) / mass.
+        With counts c and strengths j and k, the arc of w from the empty context weighs
+        p(w) = (c(w) + 1) / mass, from v p(w|v) = (c(vw) + j p(w)) / (c(v) + j), and from uv
+        (c(uvw) + k p(w|v)) / (c(uv) + k). The failure arcs of v and uv weigh j / (c(v) + j) and
+        k / (c(uv) + k). Probabilities are products of weights.
         """
-        c, seen, from_ = words[self.word_at], pairs[self.pair_at], words[self.state]
-        single = (c + 1) / mass
-        total = lambda x: np.add.reduceat(x, self.starts)
+        word, pair, triple = self.arcs
+        entered, taken = self.traverse()
+        # Counts of the states; after an end there is no longer one.
+        one = np.concatenate([[word[self.ends][-1]], word[:-1]])
+        two = np.concatenate([[0], np.where(self.ends, 0, pair)[:-1]])
+        single = (word + 1) / mass
+        total = lambda x: np.add.reduceat(x, starts)
         scores, left_out = [], []
-        for k in STRENGTHS:
-            if k == float("inf"):
-                scores.append(total(np.log10(single)))
-                left_out.append(scores[-1])
-                continue
-            prior = k * single
-            arc = np.where(seen > 0, (seen + prior) / (from_ + k), k / (from_ + k) * single)
-            scores.append(total(np.log10(arc)))
-            left_out.append(total(np.log10((np.maximum(seen - 1, 0) + prior) / (np.maximum(from_ - 1, 0) + k))))
-        return total((c > 0).astype(np.int64)), total(np.log10(c + 1)), np.stack(scores, 1), np.stack(left_out, 1)
+        for j, k in STRENGTHS:
+            weight, fails, other = single, np.ones(len(word)), single
+            for d, strength, arcs, state in ((1, j, pair, one), (2, k, triple, two)):
+                if strength == _NONE:
+                    continue
+                longer = (arcs + strength * weight) / (state + strength)
+                weight = np.where(taken >= d, longer, weight)
+                fails = np.where((entered >= d) & (taken < d), fails * strength / (state + strength), fails)
+                other = (np.maximum(arcs - 1, 0) + strength * other) / (np.maximum(state - 1, 0) + strength)
+            scores.append(total(np.log10(weight * fails)))
+            left_out.append(total(np.log10(other) * learnt))
+        return total((word > 0).astype(np.int64)), total(np.log10(word + 1)), np.stack(scores, 1), np.stack(left_out, 1)
 
 
 def _asks(buckets: int):
     """For each block: its keys and counts by bucket of their hashes. Rows of a block follow each other."""
 
     def rows_of(block: int, texts: _Block):
-        texts.index()
         edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
         out = []
         for kind, (keys, counts) in enumerate(texts.keys()):
@@ -119,7 +205,7 @@ def _asks(buckets: int):
                 if b.as_py() != block:
                     if texts:
                         yield rows_of(block, texts)
-                    block, texts = b.as_py(), _Block([], [])
+                    block, texts = b.as_py(), _Block()
                 texts.add(text.as_py(), train.as_py())
         if texts:
             yield rows_of(block, texts)
@@ -163,11 +249,8 @@ def _scores(mass: float):
     names = ["id", "held_out", "n_tokens", "n_known", "known", "scores", "left_out"]
 
     def close(ids, held, texts, counts):
-        texts.index()
-        totals = [np.concatenate(c) for c in counts]
-        if [len(t) for t in totals] != [len(texts.words), len(texts.pairs)]:
-            raise ValueError("the table of documents changed while it was read")
-        known, logs, scores, left_out = texts.walk(*totals, mass)
+        met = _Automaton(texts, [np.concatenate([np.empty(0, np.int64), *c]) for c in counts])
+        known, logs, scores, left_out = met.weigh(texts.starts, texts.learnt, mass)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(STRENGTHS)).cast(pa.list_(pa.float64())) for x in (scores, left_out)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(texts.sizes.astype(np.int64)), pa.array(known), pa.array(logs), *lists], names=names)
 
@@ -178,7 +261,7 @@ def _scores(mass: float):
                 if block.as_py() != now:
                     if state:
                         yield close(*state)
-                    now, state = block.as_py(), ([], [], _Block([], []), ([], []))
+                    now, state = block.as_py(), ([], [], _Block(), ([], [], []))
                 ids, helds, texts, counts = state
                 if kind.as_py() < 0:
                     ids.append(id_.as_py())
@@ -199,9 +282,9 @@ def score_corpus(
 
     Gives (id, held_out, n_tokens, n_known, train_tokens, base_score, score). Tokens are words,
     A to Z lower-cased, and one end for each text. ``base_score`` is the add-one unigram model's
-    log10 probability, ``score`` that of the pair model, whose strength of smoothing is the
-    one under which training tokens, each left out in turn, are likeliest; the unigram model is
-    among the choices.
+    log10 probability, ``score`` that of the automaton, with the strengths of smoothing under which
+    training tokens, each left out in turn, are likeliest; pairs alone and words alone are among
+    the choices.
 
     A null or empty text has only its end; a null ``held_out`` counts as held out. Without
     training rows the base gives every token one. Rows may repeat. ``docs`` should be a stored

@@ -168,19 +168,29 @@ def test_vocabulary_is_bounded_by_words_and_bytes():
 
 def brute(texts, train):
     words = [(t or "").lower().split() + [None] for t in texts]
-    uni, pair, state = Counter(), Counter(), Counter()
+    counts = Counter()
     for w, t in zip(words, train):
+        line = [None, *w]
         if t:
-            for v, x in zip([None, *w], w):
-                uni[x] += 1
-                pair[v, x] += 1
-                state[v] += 1
-    n, mass = sum(uni.values()), sum(uni.values()) + len(uni) + 1
+            counts.update((x,) for x in w)
+            counts.update(zip(line, w))
+            counts.update(zip(line, w, w[1:]))
+    n = sum(c for g, c in counts.items() if len(g) == 1)
+    mass = n + sum(len(g) == 1 for g in counts) + 1
+
+    def likely(gram, strengths):
+        """By the recursion over contexts, without states or arcs."""
+        if len(gram) == 1:
+            return (counts[gram] + 1) / mass
+        shorter, k = likely(gram[1:], strengths), strengths[len(gram) - 2]
+        return shorter if k == math.inf else (counts[gram] + k * shorter) / (counts[gram[:-1]] + k)
+
     out = []
     for w in words:
-        base = [(uni[x] + 1) / mass for x in w]
-        by = [[p if k == math.inf else (pair[v, x] + k * p) / (state[v] + k) for v, x, p in zip([None, *w], w, base)] for k in lm.STRENGTHS]
-        out.append((len(w), sum(uni[x] > 0 for x in w), n, sum(map(math.log10, base)), [sum(map(math.log10, p)) for p in by]))
+        line = [None, *w]
+        grams = [tuple(line[max(0, i - 2) : i + 1]) for i in range(1, len(line))]
+        by = [sum(math.log10(likely(g, s)) for g in grams) for s in lm.STRENGTHS]
+        out.append((len(w), sum(counts[x,] > 0 for x in w), n, sum(math.log10(likely((x,), None)) for x in w), by))
     return out
 
 
