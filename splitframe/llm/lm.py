@@ -29,8 +29,10 @@ _NONE = float("inf")
 STRENGTHS = ((4.0, 1.0), (16.0, 4.0), (64.0, 16.0), (128.0, 32.0), (256.0, 64.0), (1024.0, 256.0), (128.0, _NONE), (_NONE, _NONE))
 #: Hash of the end of a text, which is no word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
-#: Tokens that one traversal reads one after the other; the pieces of a block advance together.
+#: Tokens, at least two, that one traversal reads one after the other; the pieces of a block advance together.
 PIECE = 256
+#: Tokens, in whole texts, that are weighed at a time.
+SLICE = 1 << 17
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -163,26 +165,35 @@ class _Automaton:
         (c(uvw) + k p(w|v)) / (c(uv) + k). The failure arcs of v and uv weigh j / (c(v) + j) and
         k / (c(uv) + k). Probabilities are products of weights.
         """
-        word, pair, triple = self.arcs
-        entered, taken = self.traverse()
+        word, pair, _ = self.arcs
         # Counts of the states; after an end there is no longer one.
         one = np.concatenate([[word[self.ends][-1]], word[:-1]])
         two = np.concatenate([[0], np.where(self.ends, 0, pair)[:-1]])
-        single = (word + 1) / mass
-        total = lambda x: np.add.reduceat(x, starts)
-        scores, left_out = [], []
-        for j, k in STRENGTHS:
-            weight, fails, other = single, np.ones(len(word)), single
-            for d, strength, arcs, state in ((1, j, pair, one), (2, k, triple, two)):
-                if strength == _NONE:
-                    continue
-                longer = (arcs + strength * weight) / (state + strength)
-                weight = np.where(taken >= d, longer, weight)
-                fails = np.where((entered >= d) & (taken < d), fails * strength / (state + strength), fails)
-                other = (np.maximum(arcs - 1, 0) + strength * other) / (np.maximum(state - 1, 0) + strength)
-            scores.append(total(np.log10(weight * fails)))
-            left_out.append(total(np.log10(other) * learnt))
-        return total((word > 0).astype(np.int64)), total(np.log10(word + 1)), np.stack(scores, 1), np.stack(left_out, 1)
+        every = (*self.arcs, one, two, *self.traverse(), learnt)
+        first = np.flatnonzero(np.diff(starts // SLICE, prepend=-1))
+        parts = []
+        for a, b in zip(first, [*first[1:], len(starts)]):
+            i, j = starts[a], starts[b] if b < len(starts) else len(word)
+            parts.append(_weigh(*(x[i:j] for x in every), starts[a:b] - i, mass))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _weigh(word, pair, triple, one, two, entered, taken, learnt, starts, mass: float) -> tuple[np.ndarray, ...]:
+    """``_Automaton.weigh`` for a run of texts; ``one`` and ``two`` count the states they are read in."""
+    single = (word + 1) / mass
+    total = lambda x: np.add.reduceat(x, starts)
+    scores, left_out = [], []
+    for j, k in STRENGTHS:
+        weight, fails, other = single, np.ones(len(word)), single
+        for d, strength, arcs, state in ((1, j, pair, one), (2, k, triple, two)):
+            if strength == _NONE:
+                continue
+            weight = np.where(taken >= d, (arcs + strength * weight) / (state + strength), weight)
+            fails = np.where((entered >= d) & (taken < d), fails * strength / (state + strength), fails)
+            other = (np.maximum(arcs - 1, 0) + strength * other) / (np.maximum(state - 1, 0) + strength)
+        scores.append(total(np.log10(weight * fails)))
+        left_out.append(total(np.log10(other) * learnt))
+    return total((word > 0).astype(np.int64)), total(np.log10(word + 1)), np.stack(scores, 1), np.stack(left_out, 1)
 
 
 def _asks(buckets: int):

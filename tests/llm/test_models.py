@@ -214,6 +214,53 @@ def test_lm_equals_brute_force(spark):
     assert sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
 
 
+def test_lm_traversal_is_an_automaton(monkeypatch):
+    """States, arcs and failure arcs as dictionaries, one token after the other, against the traversal in pieces."""
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 3, 40, 90]))) for _ in range(120)]
+    train = [rng.random() < 0.4 for _ in texts]
+    counts = Counter()
+    for text, learnt in zip(texts, train):
+        line = ["$", *text.split(), "$"]
+        if learnt:
+            counts.update((w,) for w in line[1:])
+            counts.update(zip(line, line[1:]))
+            counts.update(zip(line, line[1:], line[2:]))
+    entered, taken = [], []
+    for text in texts:
+        state = ("$",)
+        for w in [*text.split(), "$"]:
+            entered.append(len(state))
+            while state and not counts[*state, w]:
+                state = state[1:]
+            taken.append(len(state) if counts[*state, w] else -1)
+            state = (*state, w) if counts[*state, w] else ()
+            while len(state) > 2 or (len(state) == 2 and w == "$"):
+                state = state[1:]
+
+    def block():
+        made = lm._Block()
+        for text, learnt in zip(texts, train):
+            made.add(text.encode(), learnt)
+        return made
+
+    totals = [c for _, c in block().keys()]
+    whole = None
+    for piece, part in ((256, 1 << 17), (5, 1), (2, 60), (10**6, 7)):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        monkeypatch.setattr(lm, "SLICE", part)
+        now = block()
+        met = lm._Automaton(now, totals)
+        got = met.traverse()
+        assert got[0].tolist() == entered and got[1].tolist() == taken
+        weighed = met.weigh(now.starts, now.learnt, 500.0)
+        whole = whole or weighed
+        assert all(np.allclose(x, y) for x, y in zip(whole, weighed)) and len(weighed[0]) == len(texts)
+    assert {0, 1, 2} <= set(taken) and any(a < b for a, b in zip(taken, entered))
+
+
 def test_lm_edges(spark):
     got = lm.score_corpus(nasty(spark), bucket(7) == 2).collect()
     assert len(got) == 11 and {r["n_tokens"] for r in got if r["id"] in (3, 4, 5)} == {1}
