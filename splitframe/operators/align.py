@@ -10,23 +10,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..spec import COMPANY
+from .curve import PRIME, TOKEN_BYTES, multiples, usable
 from .position import global_position
 from .prep import merged_columns
 
-# Fixed value: the 2048-bit safe prime of RFC 3526, group 14.
-MODP_2048 = int(
-    "FFFFFFFFFFFFFFFFC90FDAA22168C234C4C6628B80DC1CD129024E088A67CC74"
-    "020BBEA63B139B22514A08798E3404DDEF9519B3CD3A431B302B0A6DF25F1437"
-    "4FE1356D6D51C245E485B576625E7EC6F44C42E9A637ED6B0BFF5CB6F406B7ED"
-    "EE386BFB5A899FA5AE9F24117C4B1FE649286651ECE45B3DC2007CB8A163BF05"
-    "98DA48361C55D39A69163FA8FD24CF5F83655D23DCA3AD961C62F356208552BB"
-    "9ED529077096966D670C354E4ABC9804F1746C08CA18217C32905E462E36CE3B"
-    "E39E772C180E86039B2783A2EC07A28FB5C55DF06F4C52C9DE2BCBF695581718"
-    "3995497CEA956AE515D2261898FA051015728E5A8AACAA68FFFFFFFFFFFFFFFF",
-    16,
-)
-TOKEN_BYTES = 256
-
 # Fixed value: the most items that Spark's frequent-items sketch tracks.
 TRACKED_MOST = 1_000_000
 COPY_CHUNK = 1_000_000
@@ -201,50 +188,45 @@ def salted_token(id: Column, salts: Iterable[str]) -> Column:
     return F.when(id.isNotNull(), F.sha2(F.concat(*[F.lit(s) for s in salts], id.cast("string")), 256))
 
 
-def _element(token: bytes) -> int:
-    return int.from_bytes(token, "big")
-
-
 def hash_to_group(id: Column) -> Column:
-    """Id to a group element: four SHA-512 digests as one number, reduced and squared.
+    """Id to a group element: a SHA-512 digest, which counts modulo the prime as a point's x-coordinate.
 
-    Squaring lands in the subgroup of prime order, where raising to a secret loses nothing.
+    Every number is one of Curve25519 or of its twist, and both serve: a ladder over x-coordinates
+    never leaves the one it starts in.
     """
-    wide = F.concat(*[F.sha2(F.concat_ws("|", F.lit(str(i)), id.cast("string")), 512) for i in range(4)])
-
-    @F.pandas_udf("binary")
-    def square(digests: pd.Series) -> pd.Series:
-        return digests.map(lambda d: pow(int(d, 16), 2, MODP_2048).to_bytes(TOKEN_BYTES, "big"), na_action="ignore")
-
-    return square(F.when(id.isNotNull(), wide))
+    return F.unhex(F.sha2(id.cast("string"), 512))
 
 
 def blind(token: Column, secret: int) -> Column:
-    """Raise group elements to a party's secret. Blinding by two parties commutes.
+    """Multiply group elements by a party's secret. Blinding by two parties commutes.
 
     The secret travels in the function's closure and is not part of the plan. The function
     counts as non-deterministic only to keep the optimizer from moving a copy of it into the
     join's null filter, which would do the costly work twice.
     """
+    if not isinstance(secret, int) or not usable(secret):
+        raise ValueError("a secret is a positive integer that no group order divides")
 
     @F.pandas_udf("binary")
     def raise_to_secret(tokens: pd.Series) -> pd.Series:
-        power = lambda t: pow(_element(t), secret, MODP_2048).to_bytes(TOKEN_BYTES, "big")
-        return tokens.map(power, na_action="ignore")
+        out, known = tokens.astype(object), tokens.notna()
+        points = multiples([int.from_bytes(t, "big") % PRIME for t in tokens[known]], secret)
+        out[known] = pd.Series([x.to_bytes(TOKEN_BYTES, "big") for x in points], out.index[known], object)
+        return out
 
     return raise_to_secret.asNondeterministic()(token)
 
 
 def _blinded_side(df: DataFrame, on: str, first: int, second: int, skew: str) -> DataFrame:
-    # An exponentiation costs milliseconds, a shuffled row microseconds: blind distinct ids only,
+    # Blinding costs a millisecond, a shuffled row microseconds: blind distinct ids only,
     # and spread them by number, since a partitioning by id would be merged into the distinct and
     # then into few tasks, as ids are small.
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ids = df.select(on).where(F.col(on).isNotNull()).distinct().repartition(tasks)
     element = blind(blind(hash_to_group(F.col(on)), first), second)
-    # A digest stands for the 256-byte element from here on: a short key to shuffle and join by.
-    tokens = ids.select(on, F.sha2(element, 256).alias("token"))
+    # As text, since the sketch of frequent items that salted joins use takes no binary values.
+    tokens = ids.select(on, F.hex(element).alias("token"))
     return equi_join(df, tokens, on, skew).drop(on)
 
 
@@ -260,7 +242,7 @@ def psi_blinded_join(
     """Aligned table without ids, compared on tokens made from both parties' secrets.
 
     ``mode="salted"`` hashes with both salts (a trusted runner knows both) and needs no
-    Python. ``mode="two_party"`` blinds group elements with each party's exponent in turn, so
+    Python. ``mode="two_party"`` blinds points of a curve with each party's secret in turn, so
     neither party alone can make or undo a token; it is the costly mode.
     """
     c, p, names = _renamed(company, partner, on)
