@@ -194,7 +194,7 @@ PARTIAL = "slot bigint, feature int, bin int, g double, h double, n bigint"
 def dense_histogram(rows: DataFrame, packing: Packing, trees: list[NodeArrays], slots: list[dict[int, int]]) -> DataFrame:
     """Partial sums (``PARTIAL``) per (slot, feature, bin) of every task, to be added by the caller.
 
-    ``rows``: ``_bins``, ``_at`` (heap number a class, or null) and ``gh`` (g and h a class). A class
+    ``rows``: ``_bins``, ``_at`` (heap number a class) and ``gh`` (g and h a class). A class
     has a tree and the slots of the nodes to measure; rows in other nodes count nowhere. Rows
     are summed into arrays in the task, so what leaves it is bounded by slots x features x bins.
     """
@@ -210,9 +210,9 @@ def dense_histogram(rows: DataFrame, packing: Packing, trees: list[NodeArrays],
             if not batch.num_rows:
                 continue
             bins, gh = packing.matrix(batch.column("_bins")), matrix_of(batch, ["gh"])
-            stored = None if batch.column("_at").null_count else matrix_of(batch, ["_at"]).astype(np.int64)
+            stored = matrix_of(batch, ["_at"]).astype(np.int64)
             for c, (tree, slot) in enumerate(zip(trees, wanted)):
-                at = tree.walk(bins, None if stored is None else tree.index(stored[:, c]))
+                at = tree.walk(bins, tree.index(stored[:, c]))
                 mine = np.flatnonzero(slot[at] >= 0)
                 for i in range(0, len(mine), step := max(1, COUNTED // packing.features)):
                     part = mine[i : i + step]
@@ -241,8 +241,8 @@ def routed(frame: DataFrame, packing: Packing, trees: list[NodeArrays]) -> DataF
             if not batch.num_rows:
                 continue
             bins = packing.matrix(batch.column("_bins"))
-            stored = None if batch.column("_at").null_count else matrix_of(batch, ["_at"]).astype(np.int64)
-            at = [t.node[t.walk(bins, None if stored is None else t.index(stored[:, c]))] for c, t in enumerate(trees)]
+            stored = matrix_of(batch, ["_at"]).astype(np.int64)
+            at = [t.node[t.walk(bins, t.index(stored[:, c]))] for c, t in enumerate(trees)]
             flat = np.column_stack(at).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(trees), pa.int32()), pa.array(flat, pa.int64()))
             others = [n for n in batch.schema.names if n != "_at"]

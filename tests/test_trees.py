@@ -286,3 +286,19 @@ def test_wide_levels_are_looked_up(spark, monkeypatch):
     monkeypatch.setattr(splits, "INLINE_SPLITS", 0)
     wide = splits.tree_route(df, level)
     assert plain.columns == wide.columns and sorted(plain.collect(), key=str) == sorted(wide.collect(), key=str)
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_rows_start_at_the_root_and_never_without_a_node(spark, monkeypatch, classes):
+    """Arrays that are null cost far more on their way to Python than others."""
+    without, measure = [], packed.dense_histogram
+
+    def spied(rows, *rest):
+        without.append(rows.where("_at IS NULL OR size(_at) = 0").count())
+        return measure(rows, *rest)
+
+    monkeypatch.setattr(boosting, "dense_histogram", spied)
+    df, _, _, _ = data(spark, 200, classes=max(2, classes))
+    rows, edges = binned(df)
+    gbt_fit(rows, NAMES, edges, n_estimators=2, max_depth=2, classes=classes)
+    assert without == [0] * 4
