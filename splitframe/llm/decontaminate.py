@@ -64,9 +64,9 @@ def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
     names = F.transform("tokens", lambda t: F.xxhash64(template(t)))
     words = F.transform("tokens", lambda t: F.xxhash64(template(plain(t))))
     hashed = rows.where(F.size("tokens") >= width).select(key, F.explode(F.array_distinct(F.array(names, words))).alias("hashes"))
-    stop = F.size("hashes") - width
-    grams = F.transform(F.sequence(F.lit(0), stop), lambda i: F.xxhash64(F.slice("hashes", i + 1, F.lit(width))))
-    return hashed.select(key, F.posexplode(grams).alias("pos", "h"))
+    # Places are unfolded before they are hashed: a function over an array would run outside generated code.
+    placed = hashed.select(key, "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - width)).alias("pos"))
+    return placed.select(key, "pos", F.xxhash64(*(F.get("hashes", F.col("pos") + i) for i in range(width))).alias("h"))
 
 
 def _few(rows: DataFrame, most: int) -> DataFrame:
@@ -142,7 +142,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     items = items.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST)
     items = materialise(items.withColumn("item", F.monotonically_increasing_id()), "items")
     lengths = items.select(F.least(F.size("tokens"), F.lit(window)).alias("width")).distinct().collect()  # ``window`` values at most
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tokens"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parts = texts.select("row", tokens(F.col("text")).alias("tokens"))
     found = None
     for width in sorted(r["width"] for r in lengths):
         own = items if width == window else items.where(F.size("tokens") == width)
@@ -171,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_t
     )
     spans = materialise(spans, "spans")
     rows = materialise(spans.select("row").distinct(), "span-rows")
-    text = parts.join(_few(rows, BROADCAST_WINDOWS), "row", "left_semi").select("row", "tokens")
+    text = texts.join(_few(rows, BROADCAST_WINDOWS), "row", "left_semi").select("row", tokens(F.col("text")).alias("tokens"))
     text = materialise(text, "span-texts").select("row", F.posexplode(_with_names("tokens")).alias("pos", "v")).select("row", "pos", "v.*")
     item = items.select("item", F.posexplode("tokens").alias("at", "given"))
     places = spans.where("near.kind = 'shift'").select("row", "item", "covered", "item_tokens", F.explode("windows").alias("w"))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import splitframe.llm.decontaminate as decontamination
 import splitframe.llm.jaccard as jaccard
 from splitframe.llm.components import components
 from splitframe.llm.decontaminate import decontaminate, leaks, tokens
@@ -205,3 +206,29 @@ def test_leaks_edges(spark, monkeypatch):
         assert leaks(docs, b).count() == 0 and decontaminate(docs, b).count() == docs.count()
     left = decontaminate(nasty(spark), bench)
     assert left.columns == nasty(spark).columns and {r["_row"] for r in left.collect()} <= {"x", None}
+
+
+def test_windows_are_hashed_in_generated_code(spark):
+    rows = spark.createDataFrame([(1, list("abcde")), (2, list("bcd")), (3, list("ab"))], "row bigint, tokens array<string>")
+    windows = decontamination._windows(rows, "row", 3)
+    assert "slice(" not in windows._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["row"], r["pos"]): r["h"] for r in windows.collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (2, 0)}
+    assert got[1, 1] == got[2, 0] and len(set(got.values())) == 3
+
+
+def test_only_texts_with_enough_windows_are_tokenised_again(spark, monkeypatch):
+    plans = {}
+
+    def spied(df, label, *rest):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, label, *rest)
+
+    written = decontamination.materialise
+    monkeypatch.setattr(decontamination, "materialise", spied)
+    item = "one long question about many small things that nobody ever asked before today at noon"
+    docs = documents(spark, ["nothing of it", f"they said {item} and left"])
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert leaks(docs, items).count() == 1
+    plan = plans["span-texts"]
+    assert plan.index("regexp_replace") < plan.index("Join LeftSemi") and "regexp_replace" not in plan[plan.index("Join LeftSemi") :]
