@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ GAIN_DECIMALS = 6
 
 # Splits of a level that are written as one CASE.
 INLINE_SPLITS = 32
+# Heap numbers listed for each split at most; in a sparser level only the nodes that are split are listed.
+SPREAD = 16
 
 
 def gh_total(df: DataFrame, by: list[str], g: str = "g", h: str = "h") -> DataFrame:
@@ -84,7 +88,7 @@ def split_or_leaf(best: DataFrame, depth: int, max_depth: int) -> DataFrame:
     return best.withColumn("is_split", gains & F.lit(depth < max_depth))
 
 
-def route(node: Column, value: Column, cut: float | int) -> Column:
+def route(node: Column, value: Column, cut: float | int | Column) -> Column:
     """Child of a split node: left if the value is at most the cut, otherwise (or null) right."""
     left = node * F.lit(2)
     return F.when(value <= F.lit(cut), left).otherwise(left + F.lit(1))
@@ -94,7 +98,8 @@ def tree_route(df: DataFrame, splits: list[dict], node: str = "node", column: st
     """Move every row one level down. ``splits``: dicts of node, feature name and cut.
 
     Children of node n are 2n and 2n + 1. Rows of nodes that are not split stay. Few splits become one
-    CASE; a level of a deep tree is looked up by node instead, in a broadcast table of its splits.
+    CASE; a wider level is looked up by node in literal arrays. No join: the optimizer would infer
+    filters for it from all levels below, which grow with every way through them.
     """
     if len(splits) <= INLINE_SPLITS:
         moved = F.col(node)
@@ -102,11 +107,19 @@ def tree_route(df: DataFrame, splits: list[dict], node: str = "node", column: st
             moved = F.when(F.col(node) == s["node"], route(F.col(node), F.col(s["feature"]), s[column])).otherwise(moved)
         return df.withColumn(node, moved)
     names = sorted({s["feature"] for s in splits})
-    rows = [(s["node"], names.index(s["feature"]), float(s[column])) for s in splits]
-    given = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given")
-    values = F.array(*[F.col(n).cast("double") for n in names]).alias("values")
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, "at bigint, feature int, cut double"))
-    met = df.select(given, F.col(node).alias("at"), values).join(table, "at", "left")
-    left = F.get("values", F.col("feature")) <= F.col("cut")
-    moved = F.when(F.col("feature").isNull(), F.col("at")).when(left, F.col("at") * 2).otherwise(F.col("at") * 2 + 1)
-    return met.select(*[(moved if c == node else F.col(f"given.`{c}`")).alias(c) for c in df.columns])
+    by = {s["node"]: s for s in splits}
+    low, high = min(by), max(by)
+    dense = high - low < SPREAD * len(by)
+    listed = range(low, high + 1) if dense else sorted(by)
+    feature = _literals([names.index(by[n]["feature"]) if n in by else -1 for n in listed], "int")
+    cut = _literals([float(by[n][column]) if n in by else 0.0 for n in listed], "double")
+    place = F.col(node) - low if dense else F.array_position(_literals(listed, "bigint"), F.col(node).cast("bigint")) - 1
+    known = F.when(F.col(node).between(low, high), place)
+    values = F.array(*[F.col(n).cast("double") for n in names])
+    slot = F.coalesce(F.get(feature, known), F.lit(-1))
+    return df.withColumn(node, F.when(slot < 0, F.col(node)).otherwise(route(F.col(node), F.get(values, slot), F.get(cut, known))))
+
+
+def _literals(values: Iterable, kind: str) -> Column:
+    """An array that the optimizer folds into one literal, whatever its length."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")

@@ -288,6 +288,18 @@ def test_wide_levels_are_looked_up(spark, monkeypatch):
     assert plain.columns == wide.columns and sorted(plain.collect(), key=str) == sorted(wide.collect(), key=str)
 
 
+@pytest.mark.parametrize("step", [1, 1000])
+def test_wide_levels_need_no_join(spark, monkeypatch, step):
+    """Dense and sparse levels, of which each row meets all: joins made their plans grow exponentially."""
+    df = spark.range(4).select(F.col("id").cast("double").alias("x"), F.explode(F.array(*(F.lit(n).cast("bigint") for n in (0, 1, 5, 40 * step, 41 * step, 2**40)))).alias("node"))
+    level = [{"node": n * step, "feature": "x", "edge": 1.5} for n in range(1, 41)]
+    got = splits.tree_route(df, level, column="edge")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(splits, "INLINE_SPLITS", 100)
+    plain = splits.tree_route(df, level, column="edge")
+    assert sorted(got.collect()) == sorted(plain.collect())
+
+
 @pytest.mark.parametrize("classes", [1, 3])
 def test_rows_start_at_the_root_and_never_without_a_node(spark, monkeypatch, classes):
     """Arrays that are null cost far more on their way to Python than others."""
