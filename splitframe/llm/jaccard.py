@@ -31,6 +31,8 @@ BROADCAST_IDS = 500_000
 BROADCAST_GRAMS = 2_000_000
 #: Rows of a list that all of its rows meet.
 HEADS = 16
+#: Columns before an entry that tell whether two rows have met already.
+EARLIER = 16
 
 
 def shingles(text: bytes, words: Vocabulary, k: int) -> np.ndarray:
@@ -215,11 +217,25 @@ def _near(percent: int, na: str, pa_: str, nb: str, pb: str) -> Column:
     return (F.lit(100) * F.col(na) >= F.lit(percent) * F.col(nb)) & (left * F.lit(100 + percent) >= need)
 
 
-def _met(x: DataFrame, y: DataFrame, percent: int, apart: Column) -> DataFrame:
-    """Distinct pairs (a, b) of the entries x (.., a) and y (.., b) of the same lists that may link."""
+def _meetings(x: DataFrame, y: DataFrame, percent: int, apart: Column) -> DataFrame:
+    """Pairs (a, b) of the entries x (.., a) and y (.., b) of the same lists that may link, once a list.
+
+    Entries with ``ea`` and ``eb``, the columns before them, leave out pairs that have one of these in
+    common: they meet in that list, so what is left is their first common column and few others.
+    """
     first = (F.col("na") < F.col("nb")) & _near(percent, "na", "pa", "nb", "pb") | (F.col("na") >= F.col("nb")) & _near(percent, "nb", "pb", "na", "pa")
-    pairs = x.join(y, "gram").where(apart & first & _differ_little(percent, "na", "ca", "nb", "cb"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = apart & first & _differ_little(percent, "na", "ca", "nb", "cb")
+    if "ea" in x.columns:
+        near = near & ~F.arrays_overlap("ea", "eb")
+    return x.join(y, "gram").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _with_earlier(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """``entries`` with the ``EARLIER`` columns of a row's prefix that stand before each."""
+    nodes = materialise(entries.select("node").distinct(), "open-nodes")
+    prefixes = rows.select(F.col("row").alias("node"), "prefix").join(_few(nodes), "node", "left_semi")
+    earlier = F.slice("prefix", F.greatest(F.col("pos") - EARLIER, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(EARLIER)))
+    return entries.join(prefixes, "node").select(*entries.columns, earlier.alias("earlier"))
 
 
 def link_classes(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -228,21 +244,23 @@ def link_classes(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> Dat
     First the rows of each column's list meet about ``HEADS`` of them, chosen by a hash: all of them
     in short lists. Near copies of one text mostly become one component that way, by pairs that grow
     with the rows. Then rows of longer lists that are still in different components meet each
-    other. Components lose no link between them.
+    other, at their first common column: if its list is short they have met before, and in later
+    lists they need not meet again. Components lose no link between them.
     """
     shared = _shared(rows)
     heads = shared.where(unit(F.lit(17), "node") * F.col("c") < HEADS)
     x = shared.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("parity").alias("ca"))
     y = heads.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("parity").alias("cb"))
-    star = materialise(_met(x, y, percent, F.col("a") != F.col("b")), "star")
+    star = materialise(_meetings(x, y, percent, F.col("a") != F.col("b")).distinct(), "star")
     links = materialise(_verified(star, texts, rows, k, percent), "links")
     found = materialise(components(links), "components")
     long = shared.where(F.col("c") > HEADS).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     long = materialise(long, "long")
     split = materialise(long.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "split")
     open_ = materialise(long.join(split, "gram").select("gram", "node", "n", "pos", "parity", "root"), "open")
-    x, y = open_.toDF("gram", "a", "na", "pa", "ca", "ra"), open_.toDF("gram", "b", "nb", "pb", "cb", "rb")
-    rest = _met(x, y, percent, (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")))
+    open_ = materialise(_with_earlier(open_, rows), "open-earlier")
+    x, y = open_.toDF("gram", "a", "na", "pa", "ca", "ra", "ea"), open_.toDF("gram", "b", "nb", "pb", "cb", "rb", "eb")
+    rest = _meetings(x, y, percent, (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).distinct()
     rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "rest")
     more = materialise(_verified(rest, texts, rows, k, percent), "more-links")
     return components(links.unionByName(more))

@@ -104,6 +104,26 @@ def test_columns_in_any_order_of_frequency(spark, monkeypatch):
     assert {(r["id"], r["component_id"]) for r in jaccard_components(df).collect()} == want
 
 
+def test_rows_of_long_lists_meet_once(spark, monkeypatch):
+    """Long texts below the threshold share hundreds of columns, but meet at the first one only."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(2000)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), 60):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    met, meetings = [], jaccard._meetings
+    monkeypatch.setattr(jaccard, "_meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    got = {r["id"]: r["component_id"] for r in jaccard_components(documents(spark, texts), k=3, percent=80).collect()}
+    assert got == dict(enumerate(brute(texts, 3, 80)[1]))
+    pairs = 40 * 39 // 2
+    assert pairs // 2 < met[-1].distinct().count() <= pairs
+    assert met[-1].count() < 1.2 * pairs
+
+
 def test_jaccard_edges(spark):
     got = jaccard_components(nasty(spark)).collect()
     assert len(got) == 11
