@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import pandas as pd
@@ -17,6 +18,8 @@ from .prep import merged_columns
 # Fixed value: the most items that Spark's frequent-items sketch tracks.
 TRACKED_MOST = 1_000_000
 COPY_CHUNK = 1_000_000
+# Rows of both sides that a task joins where the aligned rows are grouped by id: about 0.4 GB of row ids.
+ROWS_A_TASK = 500_000
 
 
 # --- joins ---------------------------------------------------------------------------------
@@ -144,6 +147,12 @@ def _place_mark(df: DataFrame, on: str, out: str) -> DataFrame:
     return materialise(df.where(F.col(on).isNotNull()).withColumn(out, F.monotonically_increasing_id().cast("string")), "marked")
 
 
+def tasks_for(*tables: DataFrame) -> int:
+    """Partitions that get about ``ROWS_A_TASK`` rows of the tables each, and at least one a core."""
+    rows = sum(t.count() for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_TASK))
+
+
 def psi_row_index(
     company: DataFrame,
     partner: DataFrame,
@@ -152,6 +161,7 @@ def psi_row_index(
     unique_ids: bool = False,
     skew: str = "aqe",
     marks: str = "place",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Aligned table with a ``row_id`` that both parties' outputs share.
 
@@ -161,16 +171,25 @@ def psi_row_index(
     and no others), or a digest of its content and a copy number (``"content"``), which are the
     same in every run, at the price of grouping both sides by all columns. The seed is a secret:
     who knows it can test ids against row ids.
+
+    ``tasks`` is for callers that group the rows by id: the join and what follows then run in so many
+    partitions (see ``tasks_for``). Adaptive execution would size them by the few bytes a mark takes, and
+    a digest takes ten times as many; it neither merges nor splits the given ones.
     """
     if marks not in ("place", "content"):
         raise ValueError(f"unknown marks {marks!r}")
+    if tasks and (unique_ids or skew != "aqe"):
+        raise ValueError("tasks are for marked rows without salts")
     if unique_ids:
         joined = psi_join(company, partner, on, skew)
         names = [c for c in joined.columns if c != on]
         return joined.select(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(on).cast("string")), 256).alias("row_id"), on, *names)
     c, p, names = _renamed(company, partner, on)
     mark = _place_mark if marks == "place" else _row_mark
-    joined = equi_join(mark(c, on, "_cm"), mark(p, on, "_pm"), on, skew)
+    c, p = mark(c, on, "_cm"), mark(p, on, "_pm")
+    if tasks:
+        c, p = c.repartition(tasks, on), p.repartition(tasks, on)
+    joined = equi_join(c, p, on, skew)
     row_id = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(on).cast("string"), "_cm", "_pm"), 256)
     return joined.select(row_id.alias("row_id"), on, *names)
 

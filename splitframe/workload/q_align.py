@@ -83,7 +83,8 @@ def _(spark, sf):
 
 @query("psi_row_index_duplicates", f"with {SQL_F} select id, count(*) as n, count(*) as row_ids, sum(c0) as c0 from j group by id")
 def _(spark, sf):
-    rows = align.psi_row_index(company_f(spark, sf), partner_f(spark, sf), "row")
+    company, partner = company_f(spark, sf), partner_f(spark, sf)
+    rows = align.psi_row_index(company, partner, "row", tasks=align.tasks_for(company, partner))
     return rows.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("row_ids"), F.sum("c0").alias("c0")
     )

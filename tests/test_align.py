@@ -1,7 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from splitframe.operators import align
+from splitframe.workload.fixtures import company_f, partner_f
+from splitframe.workload.registry import QUERIES
 
 
 def pair(spark, a, b):
@@ -18,6 +22,19 @@ def test_duplicates_multiply(spark):
     assert align.psi_cardinality(a, b).first()["n"] == 6
 
 
+def test_tasks_of_marked_rows_follow_their_number(spark, sf, monkeypatch):
+    company, partner = company_f(spark, sf), partner_f(spark, sf)
+    monkeypatch.setattr(align, "ROWS_A_TASK", 500)
+    tasks = align.tasks_for(company, partner)
+    assert tasks == -(-(company.count() + partner.count()) // 500) > 8
+    got = QUERIES["psi_row_index_duplicates"](spark, sf)
+    assert f"hashpartitioning(id, {tasks})" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+    assert rows(got.select("id", "n", "row_ids")) == rows(company.groupBy("id").agg(F.count("c0").alias("n"), F.count("c0")))
+    assert rows(align.psi_row_index(company, partner, "s", tasks=tasks).drop("row_id")) == rows(align.psi_join(company, partner))
+    with pytest.raises(ValueError, match="without salts"):
+        align.psi_row_index(company, partner, "s", skew="salt", tasks=tasks)
+
+
 def test_null_ids_never_match(spark):
     a, b = pair(spark, [(None, 1.0), ("k", 2.0)], [(None, 3.0), ("k", 4.0)])
     assert rows(align.psi_join(a, b)) == [("k", 2.0, 4.0)]
