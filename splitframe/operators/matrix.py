@@ -16,9 +16,11 @@ from ..functions.keys import keyed_int
 
 # A full block takes 8 KB, so an Arrow batch of 10,000 blocks stays under 150 MB.
 BLOCK = 32
-# Right blocks that a group of the product keeps (32 MB), and groups for each shuffle task.
-HELD_BLOCKS = 4_096
+# Cells of right blocks that a group of the product keeps (32 MB), groups for each shuffle task, and how many
+# times the kept blocks a group streams at most.
+HELD_CELLS = 4_194_304
 GROUPS_A_TASK = 4
+STREAMED = 2
 SMALL_CELLS = 1_000_000
 # Fixed value: a quiet NaN that arithmetic does not make.
 ABSENT = np.array(0x7FF8_0000_0000_5A5A, np.int64).view(np.float64)
@@ -193,7 +195,10 @@ class _Grid:
         best = None
         for columns in sorted({min(2**e, right["n_j"]) for e in range(slices.bit_length() + 1)}):
             inner = max(1, min(right["n_i"], math.ceil(slices / columns)))
-            rows = max(1, min(left["n_i"], math.ceil(GROUPS_A_TASK * tasks / (columns * inner))))
+            parts = math.ceil(left["blocks"] / (STREAMED * held))
+            rows = max(1, min(left["n_i"], max(math.ceil(GROUPS_A_TASK * tasks / (columns * inner)), math.ceil(parts / inner))))
+            spare = (left["blocks"] + right["blocks"]) // max(1, left["n_i"] * right["n_j"])
+            inner = max(inner, min(right["n_i"], max(math.ceil(parts / rows), min(math.ceil(tasks / (columns * rows)), spare))))
             sums = inner * left["n_i"] * right["n_j"] if inner > 1 else 0
             cost = columns * left["blocks"] + rows * right["blocks"] + sums
             if best is None or cost < best[0]:
@@ -244,23 +249,25 @@ def _cells(i: int, j: np.ndarray, total: np.ndarray, some: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(r + i), pa.array(j[c]), pa.array(total[r, c])], ["i", "j", "v"])
 
 
-def _block_mul(a: DataFrame, b: DataFrame, block: int, held: int = HELD_BLOCKS) -> DataFrame:
+def _block_mul(a: DataFrame, b: DataFrame, block: int, held: int | None = None) -> DataFrame:
     """Product of two large matrices in a grid of (row slice, column slice, inner slice).
 
     Every group gets its right blocks first and keeps them, then its left blocks by block row: a
     strip of output is summed in the group, whatever the number of left blocks that share a right
     one, and unfolded to cells when it is whole. Only with several inner slices are sums of
-    output blocks shuffled, before they are unfolded.
+    output blocks shuffled, before they are unfolded. Groups go to tasks by number, so none gets many by chance.
     """
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = _Grid.of(_shape(a, block), _shape(b, block), tasks, held)
+    grid = _Grid.of(_shape(a, block), _shape(b, block), tasks, held or max(1, HELD_CELLS // block**2))
+    groups = grid.rows * grid.columns * grid.inner
+    tasks = min(groups, max(tasks, math.ceil(groups / GROUPS_A_TASK)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = _blocks(a, block).select(F.lit(1).alias("side"), F.col("bi").alias("at"), F.col("bj").alias("bk"), "cells", dealt("bi", grid.rows).alias("p"), every(grid.columns).alias("q"))
     right = _blocks(b, block).select(F.lit(0).alias("side"), F.col("bj").alias("at"), F.col("bi").alias("bk"), "cells", every(grid.rows).alias("p"), dealt("bj", grid.columns).alias("q"))
     both = left.unionByName(right).withColumn("s", dealt("bk", grid.inner))
     group = (F.col("p") * grid.columns + F.col("q")).cast("bigint") * grid.inner + F.col("s")
-    both = both.select(group.alias("grp"), "side", "at", "bk", "cells").repartition("grp").sortWithinPartitions("grp", "side", "at", "bk")
+    both = both.select(group.alias("grp"), "side", "at", "bk", "cells").repartitionById(tasks, F.pmod("grp", F.lit(tasks)).cast("int")).sortWithinPartitions("grp", "side", "at", "bk")
     whole = grid.inner == 1
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

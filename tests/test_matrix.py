@@ -128,3 +128,21 @@ def test_numbers_on_a_shape(spark):
     want[2:5, [1, 3]] = 9
     assert np.allclose(dense(m.mat_assign(a, 9, slice(2, 5), [1, 3], x.shape), x.shape), want)
     assert m.mat_filled(a.where("false"), (0, 3)).count() == 0
+
+
+def test_a_product_of_one_block_row_is_dealt_out_too():
+    shape = lambda blocks, n_i, n_j: {"blocks": blocks, "n_i": n_i, "n_j": n_j}
+    for blocks in (1_875, 18_750, 1_000_000):
+        grid = m._Grid.of(shape(blocks, 1, blocks), shape(blocks, blocks, 1), 200, 1024)
+        assert (grid.rows, grid.columns) == (1, 1) and grid.inner >= 200
+        assert blocks / grid.inner <= 1024
+    # A small left side whose block rows are few, but a right side that fits: left blocks stay bounded.
+    grid = m._Grid.of(shape(4_000_000, 4, 1_000_000), shape(1_000_000, 1_000_000, 1), 8, 1_000_000)
+    assert 4_000_000 / (grid.rows * grid.inner) <= 2 * 1_000_000
+
+
+def test_groups_of_one_block_row_add_up(spark):
+    a = RNG.normal(size=(400, 3))
+    e = cells(spark, a)
+    got = m.mat_mul(m.mat_transpose(e), e, block=4, small_cells=0)
+    assert np.allclose(dense(got, (3, 3)), a.T @ a)
