@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import sql_number
 from ..operators.batches import matrix_of
+from ..session import materialise
 from .linear import complete
 
 
@@ -67,8 +68,11 @@ def baseline_lr(train: DataFrame, test: DataFrame, features: list[str], label: s
     """Unpenalised logistic regression; returns the test table with a prediction.
 
     With ``certify`` Newton steps go on from the library's weights to the optimum, and a column
-    ``gradient`` has the largest mean gradient left. Labels are 0 and 1, or -1 and 1.
+    ``gradient`` has the largest mean gradient left. Labels are 0 and 1, or -1 and 1. The columns needed
+    are written once then, as every step reads them.
     """
+    if certify:
+        train = materialise(train.select(*features, label), "train")
     given = _assembled(train, features, label)
     fitted = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0, maxIter=max_iter).fit(given)
     if not certify:

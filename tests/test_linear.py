@@ -220,3 +220,17 @@ def test_newton_steps_reach_a_certified_optimum(spark):
     # Separable classes have no optimum: the certificate says so.
     apart = spark.createDataFrame([(float(i), float(i > 4)) for i in range(10)], "a double, y double")
     assert newton_lr(apart, ["a"], max_steps=3)[1] > 1e-10
+
+
+def test_the_certified_baseline_joins_its_table_once(spark, monkeypatch):
+    from splitframe.plans import baselines
+
+    df, *_ = data(spark)
+    df = df.withColumn("k", F.monotonically_increasing_id())
+    both = df.select("k", "a", "b").join(df.select("k", "c", "y"), "k")
+    read = []
+    newton = baselines.newton_lr
+    monkeypatch.setattr(baselines, "newton_lr", lambda given, *rest: read.append(given) or newton(given, *rest))
+    found = baselines.baseline_lr(both, both, NAMES, certify=True).collect()
+    assert len(found) == 300 and found[0]["gradient"] < 1e-10
+    assert "Join" not in read[0]._jdf.queryExecution().optimizedPlan().toString()
