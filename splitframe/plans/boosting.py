@@ -315,7 +315,7 @@ def gbt_fit(
     the few columns needed are written once and every level reads them back. ``values`` names an
     array column of raw values, in ``df`` and ``validation``, which is read instead of named
     columns, however many features there are; bins are then found while rows are packed. With a
-    ``store`` each round's trees are kept, and boosting goes on after the last one.
+    ``store`` the binned rows and each round's trees are kept, and boosting goes on after the last one.
     """
     if isinstance(classes, int):
         classes = label_classes(df, label, classes) if classes > 1 else None
@@ -331,7 +331,8 @@ def gbt_fit(
         frame = pack_values(df, values, [edges.cuts[f] for f in features], {"_y": F.col(label)}, packing)
     else:
         frame = pack_bins(df, [F.col(f"`{f}_bin`") for f in features], {"_y": F.col(label)}, packing)
-    frame = materialise(frame, "binned") if write else frame
+    if write:
+        frame = store.tables("binned", make=lambda packed=frame: [packed])[0] if store else materialise(frame, "binned")
     # The root a class. Not null: null arrays take Spark 30 microseconds a row to hand to Python, others one.
     start = F.array(*[F.lit(1).cast("bigint")] * width).alias("_at")
     rows = frame.count() if model.objective == scores.SQUARED else 0

@@ -126,3 +126,16 @@ def test_linear_runs_go_on_after_the_last_finished_epoch(spark, tmp_path, monkey
     result.remove()
     assert not (tmp_path / "run").exists()
     table.remove()  # nothing of its own
+
+
+def test_a_run_that_goes_on_reads_the_rows_it_packed(spark, tmp_path, monkeypatch):
+    company, partner = sides(spark)
+    options = RunOptions(seed="s", max_depth=2, k_quantiles=4, reg_coef=1e-3, curve=False, run_dir=str(tmp_path / "run"))
+    run_trees(company, partner, replace(options, n_estimators=1))
+    mark = tmp_path / "run" / "tables" / "binned" / "_SUCCESS"
+    written = mark.stat().st_mtime_ns
+    frames, grow = [], boosting.tree_fit
+    monkeypatch.setattr(boosting, "tree_fit", lambda model, frame, *rest: frames.append(frame) or grow(model, frame, *rest))
+    run_trees(company, partner, replace(options, n_estimators=2))
+    assert mark.stat().st_mtime_ns == written and len(frames) == 1
+    assert all("/run/tables/binned/" in f for f in frames[0].inputFiles())
