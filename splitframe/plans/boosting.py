@@ -336,6 +336,9 @@ def gbt_fit(
     # The root a class. Not null: null arrays take Spark 30 microseconds a row to hand to Python, others one.
     start = F.array(*[F.lit(1).cast("bigint")] * width).alias("_at")
     rows = frame.count() if model.objective == scores.SQUARED else 0
+    if curve and write and validation is not None and n_estimators - len(finished) > 1:
+        # Every round reads it.
+        validation = materialise(validation.select(label, *([values] if values else features)), "validation")
     held: list[str] = []
     inlined = list(range(len(finished)))
 

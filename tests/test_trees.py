@@ -314,3 +314,14 @@ def test_rows_start_at_the_root_and_never_without_a_node(spark, monkeypatch, cla
     rows, edges = binned(df)
     gbt_fit(rows, NAMES, edges, n_estimators=2, max_depth=2, classes=classes)
     assert without == [0] * 4
+
+
+def test_validation_rows_are_made_once(spark, monkeypatch):
+    df, *_ = data(spark)
+    rows, edges = binned(df)
+    labels, write = [], boosting.materialise
+    monkeypatch.setattr(boosting, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    model = gbt_fit(rows, NAMES, edges, n_estimators=3, max_depth=1, curve=True, validation=df)
+    assert labels.count("validation") == 1
+    ours, theirs = ([p[2:] for p in model.curve if p[0] == s] for s in ("train", "validation"))
+    assert np.allclose(ours, theirs)
