@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 LOG_FLOOR = 1e-12
 
 
-def cross_entropy_sum(y: Column, p: Column) -> Column:
+def _mean(x: Column, copies: Column | None) -> Column:
+    """Mean of a value that a row has ``copies`` times (once unless given); nulls do not count."""
+    return F.avg(x) if copies is None else F.sum(x * copies) / F.sum(F.when(x.isNotNull(), copies))
+
+
+def cross_entropy_sum(y: Column, p: Column, copies: Column | None = None) -> Column:
     """Aggregate ``-sum(y ln(p + 1e-12))``: a sum, in which only positives count."""
-    return -F.sum(y * F.ln(p + F.lit(LOG_FLOOR)))
+    each = y * F.ln(p + F.lit(LOG_FLOOR))
+    return -F.sum(each if copies is None else each * copies)
 
 
 def cross_entropy_sum_vec(y: Column, p: Column) -> Column:
@@ -26,14 +32,14 @@ def log_loss(y: Column, p: Column) -> Column:
     return -F.avg(y * F.ln(p + F.lit(LOG_FLOOR)) + (one - y) * F.ln(one - p + F.lit(LOG_FLOOR)))
 
 
-def mse(y: Column, p: Column) -> Column:
+def mse(y: Column, p: Column, copies: Column | None = None) -> Column:
     d = y - p
-    return F.avg(d * d)
+    return _mean(d * d, copies)
 
 
-def accuracy(y: Column, label: Column) -> Column:
+def accuracy(y: Column, label: Column, copies: Column | None = None) -> Column:
     """Share of equal labels."""
-    return F.avg((y == label).cast("double"))
+    return _mean((y == label).cast("double"), copies)
 
 
 def curve_table(spark: SparkSession, points: list[tuple[str, int, float]], value: str = "accuracy") -> DataFrame:

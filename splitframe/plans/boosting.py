@@ -24,6 +24,8 @@ LAMBDA = 1e-5
 INLINE_LEAVES = 64
 # Rows store the node they are in every so many levels; levels since are walked.
 STORED_LEVELS = 6
+# Rows equal in label and bins become one where that leaves at most one row of so many.
+GROUPED = 4
 
 
 @dataclass(frozen=True)
@@ -187,6 +189,8 @@ def tree_fit(
 ) -> list[TreeNode]:
     """Grow one tree (one per class) on packed bins (``_bins``, ``_at``), one pass a level.
 
+    A row that stands for several has their number in ``_n``, and ``gh`` for all of them.
+
     A level measures the root, or the smaller child of every split; the larger child's histogram
     is its parent's, which the level above has stored, less its sibling's. Rows walk
     from the node stored in ``_at``, at first the root, which is written anew every few levels. What
@@ -197,7 +201,8 @@ def tree_fit(
     # cls -> node -> TreeNode; an open node is a placeholder leaf without a weight.
     grown: list[dict[int, TreeNode]] = [{1: TreeNode(tree, c, 1, None, None, None, None, None)} for c in range(width)]
     sums: dict[tuple[int, int], tuple[float, float]] = {}
-    gradients = F.array(*[F.coalesce(x, F.lit(0.0)) for pair in gh for x in pair]).alias("gh")
+    copies = [F.col("_n").cast("double")] if "_n" in frame.columns else []
+    gradients = F.array(*[F.coalesce(x, F.lit(0.0)) for pair in gh for x in pair], *copies).alias("gh")
     by = ("cls", "node")
     # Nodes to measure, and the sibling that gets the rest of its parent.
     measured: list[tuple[int, int, int | None]] = [(c, 1, None) for c in range(width)]
@@ -274,19 +279,37 @@ def _root_sums(frame: DataFrame, gh: list[tuple[Column, Column]], sums: dict) ->
         sums.setdefault((c, 1), (r[f"g{c}"], r[f"h{c}"]))
 
 
-def _evaluate(model: GBTModel, score: list[Column], y: Column) -> tuple[Column, Column]:
+def _evaluate(model: GBTModel, score: list[Column], y: Column, copies: Column | None = None) -> tuple[Column, Column]:
     """Loss and accuracy aggregates at the given score."""
     if model.objective == scores.SQUARED:
-        return mse(y, score[0]), F.lit(None).cast("double")
+        return mse(y, score[0], copies), F.lit(None).cast("double")
     if model.objective == scores.SOFTMAX:
         p = _softmax_columns(score)
         own = F.lit(0.0)
         for c, pc in zip(model.classes, p):
             own = own + F.when(y == c, pc).otherwise(0.0)
         chosen = scores.to_int_labels(F.array(*p), several=True)
-        return cross_entropy_sum(F.lit(1.0), own), accuracy(F.array_position(F.array(*map(F.lit, model.classes)), y) - 1, chosen)
+        return cross_entropy_sum(F.lit(1.0), own, copies), accuracy(F.array_position(F.array(*map(F.lit, model.classes)), y) - 1, chosen, copies)
     p = scores.activation(model.objective, score[0])
-    return cross_entropy_sum(y, p), accuracy(y, scores.to_int_labels(p))
+    return cross_entropy_sum(y, p, copies), accuracy(y, scores.to_int_labels(p), copies)
+
+
+def _grouped(frame: DataFrame, store: RunStore | None) -> tuple[DataFrame, int]:
+    """Packed rows for all rounds to read, and the number of rows they stand for.
+
+    Bins are few, so rows of a large table are often equal in label and bins, and then in score and
+    gradients whatever the trees. Each kind becomes one row with its number (``_n``) if an estimate
+    says that they are few; it decides how long rounds take, not what they find.
+    """
+
+    def counted() -> list[int]:
+        return list(frame.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("_y", "_bins"))).first())
+
+    rows, kinds = store.note("kinds", counted) if store else counted()
+    if kinds * GROUPED > rows:
+        return frame, rows
+    one = frame.groupBy("_y", "_bins").agg(F.count(F.lit(1)).alias("_n"))
+    return store.tables("grouped", make=lambda: [one])[0] if store else materialise(one, "grouped"), rows
 
 
 def gbt_fit(
@@ -312,7 +335,8 @@ def gbt_fit(
     ``df`` has the label and ``<feature>_bin`` columns (see ``bin_label``). ``classes`` makes
     it multi-class with one tree per class and round: pass the class list, or the number of
     classes to read it from the data. ``validation`` has raw feature values. With ``write``
-    the few columns needed are written once and every level reads them back. ``values`` names an
+    the few columns needed are written once and every level reads them back, rows that are equal
+    in them as one if they are many (``_grouped``). ``values`` names an
     array column of raw values, in ``df`` and ``validation``, which is read instead of named
     columns, however many features there are; bins are then found while rows are packed. With a
     ``store`` the binned rows and each round's trees are kept, and boosting goes on after the last one.
@@ -333,9 +357,12 @@ def gbt_fit(
         frame = pack_bins(df, [F.col(f"`{f}_bin`") for f in features], {"_y": F.col(label)}, packing)
     if write:
         frame = store.tables("binned", make=lambda packed=frame: [packed])[0] if store else materialise(frame, "binned")
+        frame, rows = _grouped(frame, store)
+    else:
+        rows = frame.count() if model.objective == scores.SQUARED else 0
+    copies = [F.col("_n")] if "_n" in frame.columns else []
     # The root a class. Not null: null arrays take Spark 30 microseconds a row to hand to Python, others one.
     start = F.array(*[F.lit(1).cast("bigint")] * width).alias("_at")
-    rows = frame.count() if model.objective == scores.SQUARED else 0
     if curve and write and validation is not None and n_estimators - len(finished) > 1:
         # Every round reads it.
         validation = materialise(validation.select(label, *([values] if values else features)), "validation")
@@ -352,14 +379,17 @@ def gbt_fit(
         if leaves > INLINE_LEAVES * width:
             # Keep the expression small: store the running score with the bins.
             names = [f"_s{c}" for c in range(width)]
-            frame = frame.select("_y", "_bins", *[s.alias(n) for s, n in zip(current(), names)])
+            frame = frame.select("_y", "_bins", *copies, *[s.alias(n) for s, n in zip(current(), names)])
             frame, held, inlined = materialise(frame, "scored"), names, []
-        grown = tree_fit(model, frame.select("*", start), packing, _gradients(model, current(), F.col("_y"), rows), tree, gamma)
+        gh = _gradients(model, current(), F.col("_y"), rows)
+        if copies:
+            gh = [(g * copies[0], h * copies[0]) for g, h in gh]
+        grown = tree_fit(model, frame.select("*", start), packing, gh, tree, gamma)
         points = len(model.curve)
         model.nodes += grown
         inlined.append(tree)
         if curve:
-            _add_point(model, "train", tree, frame.agg(*_named(_evaluate(model, current(), F.col("_y")))))
+            _add_point(model, "train", tree, frame.agg(*_named(_evaluate(model, current(), F.col("_y"), *copies))))
             if validation is not None:
                 raw = model.array_scores(values) if values else model.class_scores("value")
                 points = validation.select(F.col(label).alias("_y"), *[x.alias(f"_r{c}") for c, x in enumerate(raw)])

@@ -149,7 +149,10 @@ class NodeArrays:
 
 
 class _Cells:
-    """Sums of g, h and rows by cell number: dense while the cells are few, else by distinct cells."""
+    """Sums of g, h and rows by cell number: dense while the cells are few, else by distinct cells.
+
+    Rows count once, or as often as they are given to stand for.
+    """
 
     def __init__(self, cells: int):
         self.cells = cells
@@ -158,10 +161,10 @@ class _Cells:
         self.values: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, g: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        """Add rows x features of keys, with sums of rows; gives out sums where they are not kept."""
+    def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
+        """Add rows x features of keys, with rows x (g, h and, if rows stand for several, their number); gives out sums where they are not kept."""
         self.keys.append(keys)
-        self.values.append(np.stack([g, h]))
+        self.values.append(values)
         self.held += keys.size
         if self.held >= max(COUNTED, self.cells if self.dense is not None else 0):
             yield from self.flush()
@@ -171,14 +174,15 @@ class _Cells:
             return
         width = self.keys[0].shape[1]
         keys = np.concatenate(self.keys).ravel()
-        g, h = (np.repeat(np.concatenate([v[i] for v in self.values]), width) for i in range(2))
+        given = [np.repeat(np.concatenate([v[:, i] for v in self.values]), width) for i in range(self.values[0].shape[1])]
+        weights_of = given if len(given) == 3 else [*given, None]
         self.keys, self.values, self.held = [], [], 0
         if self.dense is not None:
-            for row, weights in zip(self.dense, (g, h, None)):
+            for row, weights in zip(self.dense, weights_of):
                 row += np.bincount(keys, weights, self.cells)
             return
         cells, place = np.unique(keys, return_inverse=True)
-        yield cells, *(np.bincount(place, w, len(cells)) for w in (g, h, None))
+        yield cells, *(np.bincount(place, w, len(cells)) for w in weights_of)
 
     def end(self) -> Iterator[tuple]:
         yield from self.flush()
@@ -194,9 +198,10 @@ PARTIAL = "slot bigint, feature int, bin int, g double, h double, n bigint"
 def dense_histogram(rows: DataFrame, packing: Packing, trees: list[NodeArrays], slots: list[dict[int, int]]) -> DataFrame:
     """Partial sums (``PARTIAL``) per (slot, feature, bin) of every task, to be added by the caller.
 
-    ``rows``: ``_bins``, ``_at`` (heap number a class) and ``gh`` (g and h a class). A class
-    has a tree and the slots of the nodes to measure; rows in other nodes count nowhere. Rows
-    are summed into arrays in the task, so what leaves it is bounded by slots x features x bins.
+    ``rows``: ``_bins``, ``_at`` (heap number a class) and ``gh`` (g and h a class, then the number
+    of rows that a row stands for, if not one). A class has a tree and the slots of the nodes to
+    measure; rows in other nodes count nowhere. Rows are summed into arrays in the task, so what
+    leaves it is bounded by slots x features x bins.
     """
     every = packing.bins + 1
     cells = (1 + max((s for per in slots for s in per.values()), default=-1)) * packing.features * every
@@ -210,6 +215,7 @@ def dense_histogram(rows: DataFrame, packing: Packing, trees: list[NodeArrays],
             if not batch.num_rows:
                 continue
             bins, gh = packing.matrix(batch.column("_bins")), matrix_of(batch, ["gh"])
+            counted = range(2 * len(trees), gh.shape[1])
             stored = matrix_of(batch, ["_at"]).astype(np.int64)
             for c, (tree, slot) in enumerate(zip(trees, wanted)):
                 at = tree.walk(bins, tree.index(stored[:, c]))
@@ -218,7 +224,7 @@ def dense_histogram(rows: DataFrame, packing: Packing, trees: list[NodeArrays],
                     part = mine[i : i + step]
                     x = bins[part].astype(np.int64)
                     keys = np.where(x >= every, packing.bins, x) + lanes + slot[at[part], None] * (packing.features * every)
-                    for found in held.add(keys, gh[part, 2 * c], gh[part, 2 * c + 1]):
+                    for found in held.add(keys, gh[part][:, [2 * c, 2 * c + 1, *counted]]):
                         yield batch_of(*found)
         for found in held.end():
             yield batch_of(*found)

@@ -325,3 +325,27 @@ def test_validation_rows_are_made_once(spark, monkeypatch):
     assert labels.count("validation") == 1
     ours, theirs = ([p[2:] for p in model.curve if p[0] == s] for s in ("train", "validation"))
     assert np.allclose(ours, theirs)
+
+
+@pytest.mark.parametrize("mission, classes", [("classification", None), ("classification", [0.0, 1.0, 2.0]), ("regression", None)])
+def test_rows_equal_in_label_and_bins_train_as_one(spark, monkeypatch, mission, classes):
+    """Few kinds of rows, many copies: the same trees and curve as from all rows, which no level reads."""
+    kinds, _, _, _ = data(spark, 30, classes=3 if classes else 2)
+    kinds = kinds.withColumn("a", F.when(F.col("c") < 0.9, F.col("a"))).withColumn("n", (F.col("c") * 20).cast("int") + 1)
+    label = F.when(F.col("i") != 3, F.col("target" if mission == "regression" else "y"))
+    df = kinds.select(*NAMES, "y", "target", F.explode(F.sequence(F.lit(1), "n")).alias("i")).select(*NAMES, label.alias("y"))
+    rows, edges = binned(df, 4)
+    options = dict(n_estimators=3, max_depth=3, lambda_=0.001, mission=mission, classes=classes, curve=True)
+    read, measure = [], packed.dense_histogram
+    monkeypatch.setattr(boosting, "dense_histogram", lambda frame, *rest: read.append(frame.count()) or measure(frame, *rest))
+    monkeypatch.setattr(boosting, "INLINE_LEAVES", 4)
+    some = gbt_fit(rows, NAMES, edges, **options)
+    assert max(read) <= 60 < rows.count() // 4
+    monkeypatch.setattr(boosting, "GROUPED", 10**9)
+    every = gbt_fit(rows, NAMES, edges, **options)
+    assert max(read) == rows.count()
+    key = lambda n: (n.tree, n.cls, n.node, n.feature, n.bin)
+    assert [key(n) for n in some.nodes] == [key(n) for n in every.nodes] and len(some.nodes) > 3
+    assert np.allclose([n.weight for n in some.nodes if n.is_leaf], [n.weight for n in every.nodes if n.is_leaf])
+    plain = lambda m: np.array([p[2:] for p in m.curve], float)
+    assert np.allclose(plain(some), plain(every), equal_nan=True)
