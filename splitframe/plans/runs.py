@@ -187,7 +187,9 @@ def run_trees(company: Party, partner: Party, options: RunOptions = RunOptions()
         if options.bins_to:
             from ..sources.stores import sink_bins, sink_edges
 
-            sink_bins(table, ROW_ID if options.through_shares else company.spec.id, features, options.bins_to)
+            # Shares carry the bins beside the row id: no need to put both sides together for them.
+            carrier = ours if options.through_shares else table
+            sink_bins(carrier, ROW_ID if options.through_shares else company.spec.id, features, options.bins_to)
             sink_edges(table.sparkSession, edges, f"{options.bins_to}_edges")
         model = _fit_trees(table, features, list(company.spec.features), edges, options, validation, store)
     return RunResult(model, holder, table, ours, theirs, list(company.spec.features), store)

@@ -139,3 +139,17 @@ def test_a_run_that_goes_on_reads_the_rows_it_packed(spark, tmp_path, monkeypatc
     run_trees(company, partner, replace(options, n_estimators=2))
     assert mark.stat().st_mtime_ns == written and len(frames) == 1
     assert all("/run/tables/binned/" in f for f in frames[0].inputFiles())
+
+
+def test_stored_bins_come_from_one_share_without_a_join(spark, tmp_path, monkeypatch):
+    from splitframe.sources import stores
+
+    company, partner = sides(spark)
+    stored = {side: str(tmp_path / side) for side in ("company", "partner")}
+    plans, write = [], stores.sink_bins
+    monkeypatch.setattr(stores, "sink_bins", lambda df, *rest: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *rest))
+    options = RunOptions(seed="s", n_estimators=1, max_depth=1, k_quantiles=4, reg_coef=1e-3, curve=False, shares_to=stored, bins_to=str(tmp_path / "bins"))
+    result = run_trees(company, partner, options)
+    assert len(plans) == 1 and "Join" not in plans[0]
+    names = ["row_id", *[f"{f}_bin" for f in result.model.features]]
+    assert sorted(spark.read.parquet(options.bins_to).select(names).collect()) == sorted(result.train.select(names).collect())
